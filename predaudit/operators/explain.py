@@ -292,6 +292,10 @@ def feature_ranking(importance: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def _status(df: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+    return tall(group(df, by, F.max(F.lit(1.0)).alias(name)), by, EXPLAINABILITY, [name])
+
+
 def explain_metrics(
     df: DataFrame,
     spec: AuditSpec,
@@ -305,12 +309,11 @@ def explain_metrics(
     """
 
     if spec.truth is None:
-        raise ValueError("explanations need a truth column")
+        return _status(df, by, "analysis_skipped")
     frame, names = feature_frame(df, spec, by)
     text = F.lit(None).cast("string")
     if not names:
-        status = group(df, by, F.lit(1.0).alias("no_numeric_features"))
-        return tall(status, by, EXPLAINABILITY, ["no_numeric_features"])
+        return _status(df, by, "no_numeric_features")
     if isinstance(importance, str):
         if importance == "forest" and not by:
             importance = forest_importance(frame, names, spec.problem)
