@@ -172,13 +172,13 @@ q as (select score, sum(pos) over (order by score desc) as tp, sum(neg) over (or
 ORACLES["roc_points"] = with_view(
     "risk",
     CURVE
-    + f"""select {r('score')} as threshold, {r(div('fp', 'n'))} as fpr, {r(div('tp', 'p'))} as tpr from q
+    + f"""select score as threshold, {r(div('fp', 'n'))} as fpr, {r(div('tp', 'p'))} as tpr from q
 union all select -1, 0, 0""",
 )
 ORACLES["pr_points"] = with_view(
     "risk",
     CURVE
-    + f"""select {r('score')} as threshold, {r(div0('tp', '(tp + fp)'))} as "precision", {r(div('tp', 'p'))} as recall from q
+    + f"""select score as threshold, {r(div0('tp', '(tp + fp)'))} as "precision", {r(div('tp', 'p'))} as recall from q
 union all select -1, 1, 0""",
 )
 ORACLES["label_histogram"] = with_view(
@@ -654,8 +654,8 @@ ORACLES["completeness_cells"] = with_view(
 )
 ORACLES["residual_points"] = with_view(
     "items",
-    f"""{RESIDUALS} select l_orderkey as "index", {r('true_value')} as actual, {r('prediction')} as predicted,
-  {r('res')} as residual, {r('abs(res)')} as absolute_error from e""",
+    f"""{RESIDUALS} select l_orderkey as "index", true_value as actual, prediction as predicted, res as residual,
+  abs(res) as absolute_error from e""",
 )
 
 # --- validation -------------------------------------------------------------------------------

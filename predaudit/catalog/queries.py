@@ -108,13 +108,14 @@ def log_loss(spark, sf_dir):
 def roc_points(spark, sf_dir):
     points = classification.roc_points(view(spark, sf_dir, "risk"), SPECS["risk"])
     finite = F.when(F.col("threshold") < float("inf"), F.col("threshold")).otherwise(-1.0)
-    return tidy(points.withColumn("threshold", finite))
+    return points.select(finite.alias("threshold"), *[rounded(F.col(c)).alias(c) for c in ("fpr", "tpr")])
 
 
 @query
 def pr_points(spark, sf_dir):
     points = classification.pr_points(view(spark, sf_dir, "risk"), SPECS["risk"])
-    return tidy(points.withColumn("threshold", F.coalesce("threshold", F.lit(-1.0))))
+    threshold = F.coalesce("threshold", F.lit(-1.0)).alias("threshold")
+    return points.select(threshold, *[rounded(F.col(c)).alias(c) for c in ("precision", "recall")])
 
 
 @query
@@ -373,7 +374,7 @@ def completeness_cells(spark, sf_dir):
 
 @query
 def residual_points(spark, sf_dir):
-    return tidy(charts.residual_points(view(spark, sf_dir, "items"), SPECS["items"], order="l_orderkey"))
+    return charts.residual_points(view(spark, sf_dir, "items"), SPECS["items"], order="l_orderkey")
 
 
 # --- validation -------------------------------------------------------------------------------

@@ -12,13 +12,21 @@ METRIC_COLUMNS = ("analysis", "attribute", "group", "metric", "value")
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Null-safe equi-join on ``keys``. No broadcast hint: Spark picks by the measured size."""
+    """Equi-join on ``keys`` where null matches null. No broadcast hint: Spark picks by measured size.
+
+    Keys named ``column`` or starting with ``_`` are the library's own and never null.
+    """
     twin = {k: f"__{k}" for k in keys}
     renamed = right.select(
         *[F.col(k).alias(twin[k]) for k in keys],
         *[F.col(c) for c in right.columns if c not in twin],
     )
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(twin[k])) for k in keys])
+    # only keys that may be null need the null-safe form, which hashes two values per key
+    nullable = {k for k in keys if left.schema[k].nullable and not k.startswith("_") and k != "column"}
+    same = [
+        F.col(k).eqNullSafe(F.col(twin[k])) if k in nullable else F.col(k) == F.col(twin[k]) for k in keys
+    ]
+    on = reduce(lambda a, b: a & b, same)
     return left.join(renamed, on, how).drop(*twin.values())
 
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from predaudit.functions.keys import join_on
+from predaudit.functions.keys import group, join_on
 
 BUCKET_VALUES = 200_000
 
@@ -88,8 +88,15 @@ def quantiles(
     bucket = [*keys, "_oct", "_sub"]
     before = Window.partitionBy(*keys).orderBy("_oct", "_sub").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    position = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
-    ranks = F.array_distinct(F.array(*[f(h).cast("long") for h in position for f in (F.floor, F.ceil)]))
+    grid = F.lit([float(p) for p in probs])
+
+    def place(p: Column) -> Column:
+        return p * (F.col("_n") - 1)
+
+    both_ends = F.transform(
+        grid, lambda p: F.array(F.floor(place(p)).cast("long"), F.ceil(place(p)).cast("long"))
+    )
+    ranks = F.array_distinct(F.flatten(both_ends))
     wanted = (
         rows.groupBy(*bucket)
         .agg(F.sum(weight).alias("_w"))
@@ -125,14 +132,18 @@ def quantiles(
             F.map_from_entries(F.collect_list(F.struct("_rank", F.col(value).cast("double")))).alias("_at"),
         )
     )
-    def at(h: Column, pick) -> Column:
-        return F.element_at("_at", pick(h).cast("long"))
 
-    points = []
-    for h in position:
-        low, high = at(h, F.floor), at(h, F.ceil)
-        points.append(F.when(low == high, low).otherwise(low + (high - low) * (h - F.floor(h))))
-    return found.select(*keys, F.col("_n").alias("n"), F.array(*points).alias("q"))
+    def at(rank: Column) -> Column:
+        return F.element_at("_at", rank.cast("long"))
+
+    def between(p: Column) -> Column:
+        h = place(p)
+        low, high = at(F.floor(h)), at(F.ceil(h))
+        return F.when(low == high, low).otherwise(low + (high - low) * (h - F.floor(h)))
+
+    return found.where(F.col("_n").isNotNull()).select(
+        *keys, F.col("_n").alias("n"), F.transform(grid, between).alias("q")
+    )
 
 
 def column_quantiles(
@@ -153,10 +164,12 @@ def column_quantiles(
     return quantiles(counts, [*by, "column"], "v", "n", probs)
 
 
-def wide_quantiles(
-    df: DataFrame, columns: dict[str, Column], by: Sequence[str], probs: Sequence[float], accuracy: int | None = None
+def value_quantiles(
+    df: DataFrame, name: str, value: Column, by: Sequence[str], probs: Sequence[float], accuracy: int | None = None
 ) -> DataFrame:
-    """One row per key with an array column per expression name."""
-    tall = column_quantiles(df, columns, by, probs, accuracy)
-    picks = [F.max(F.when(F.col("column") == c, F.col("q"))).alias(c) for c in columns]
-    return tall.groupBy(*by).agg(*picks) if by else tall.agg(*picks)
+    """One row per key with the quantiles of one expression as the array column ``name``."""
+    rows = df.select(*by, value.cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    if accuracy is not None:
+        return group(rows, by, F.percentile_approx("v", list(probs), accuracy).alias(name))
+    counts = rows.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("n"))
+    return quantiles(counts, by, "v", "n", probs).select(*by, F.col("q").alias(name))

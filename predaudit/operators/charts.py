@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from predaudit.functions.keys import attach, group
-from predaudit.functions.ordered import column_quantiles
+from predaudit.functions.ordered import column_quantiles, value_quantiles
 from predaudit.functions.safe import clean_double, div0, numeric_columns
 from predaudit.operators.quality import completeness, data_columns
 from predaudit.operators.regression import residuals
@@ -76,8 +76,8 @@ def distribution_summary(df: DataFrame, column: str, by: Sequence[str] = (), acc
     """``(by…, mean, median, std)`` drawn next to a distribution."""
     v = clean_double(df, column)
     moments = group(df, by, F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
-    median = column_quantiles(df, {column: v}, by, (0.5,), accuracy).select(*by, F.col("q")[0].alias("median"))
-    return attach(moments, median, by, "_m").select(*by, "mean", F.col("_m.median").alias("median"), "std")
+    median = value_quantiles(df, "q", v, by, (0.5,), accuracy)
+    return attach(moments, median, by, "_m").select(*by, "mean", F.col("_m.q")[0].alias("median"), "std")
 
 
 def column_boxes(

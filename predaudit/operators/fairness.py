@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from predaudit.functions.keys import attach, group, join_on, tall
-from predaudit.functions.ordered import column_quantiles, quantiles, wide_quantiles
+from predaudit.functions.ordered import column_quantiles, quantiles, value_quantiles
 from predaudit.functions.safe import clean, clean_double, div, div0, r2
 from predaudit.operators.classification import label_pair
 from predaudit.spec import BIAS, BINARY, REGRESSION, AuditSpec
@@ -112,7 +112,7 @@ def _regression_rows(df: DataFrame, spec: AuditSpec, by: Sequence[str]) -> DataF
 
 def _regression_groups(df: DataFrame, spec: AuditSpec, by: Sequence[str], accuracy: int | None) -> DataFrame:
     rows = _regression_rows(df, spec, by)
-    median = wide_quantiles(rows, {"p": F.col("_p")}, by, (0.5,), accuracy)
+    median = value_quantiles(rows, "p", F.col("_p"), by, (0.5,), accuracy)
     marked = attach(rows, median, by, "_m").withColumn("_above", F.col("_p") > F.col("_m.p")[0])
     long = marked.select(*by, "_y", "_p", "_above", _groups(rows, spec, present_attributes(df, spec)))
     r = F.col("_y") - F.col("_p")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from predaudit.functions.keys import attach, group, tall
-from predaudit.functions.ordered import wide_quantiles
+from predaudit.functions.ordered import value_quantiles
 from predaudit.functions.safe import clean_double, corr, div, r2
 from predaudit.spec import PERFORMANCE, AuditSpec
 
@@ -137,7 +137,7 @@ def residual_outliers(
 ) -> DataFrame:
     """Residuals beyond 1.5 interquartile ranges: fences, threshold, count and percentage."""
     rows = residuals(df, spec, by)
-    cuts = wide_quantiles(rows, {"r": F.col("r")}, by, (0.25, 0.75), accuracy).select(
+    cuts = value_quantiles(rows, "r", F.col("r"), by, (0.25, 0.75), accuracy).select(
         *by, F.col("r")[0].alias("q25"), F.col("r")[1].alias("q75")
     )
     fenced = attach(rows, cuts, by, "_q")
@@ -174,7 +174,7 @@ def quartile_performance(
     """R², MAE and count per quartile of the truth. Bins are closed at both ends, so a row on a
     boundary counts in two of them."""
     rows = residuals(df, spec, by)
-    cuts = wide_quantiles(rows, {"y": F.col("y")}, by, (0.0, 0.25, 0.5, 0.75, 1.0), accuracy)
+    cuts = value_quantiles(rows, "y", F.col("y"), by, (0.0, 0.25, 0.5, 0.75, 1.0), accuracy)
     q = F.col("_q.y")
     bins = F.array(*[F.when(F.col("y").between(q[i], q[i + 1]), F.lit(f"quartile_{i + 1}")) for i in range(4)])
     binned = attach(rows, cuts, by, "_q").select(*by, "y", "r", F.explode(F.array_compact(bins)).alias("bin"))
@@ -202,7 +202,7 @@ def qq_points(
 ) -> DataFrame:
     """``(by…, prob, theoretical, sample)``: normal quantiles against residual quantiles."""
     probs = [i / (points + 1) for i in range(1, points + 1)]
-    sample = wide_quantiles(residuals(df, spec, by), {"r": F.col("r")}, by, probs, accuracy)
+    sample = value_quantiles(residuals(df, spec, by), "r", F.col("r"), by, probs, accuracy)
     grid = F.array(
         *[F.struct(F.lit(p).alias("prob"), F.lit(NormalDist().inv_cdf(p)).alias("theoretical")) for p in probs]
     )
@@ -227,7 +227,7 @@ def prediction_distribution(
         F.skewness(p).alias("prediction_skewness"),
         F.kurtosis(p).alias("prediction_kurtosis"),
     )
-    median = wide_quantiles(rows, {"p": p}, by, (0.5,), accuracy)
+    median = value_quantiles(rows, "p", p, by, (0.5,), accuracy)
     return attach(moments, median, by, "_m").select(
         *by, *[(F.col("_m.p")[0] if m == "prediction_median" else F.col(m)).alias(m) for m in DISTRIBUTION]
     )
