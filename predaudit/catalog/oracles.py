@@ -27,9 +27,10 @@ def grouped(by: list[str]) -> str:
     return f"group by {', '.join(by)}" if by else ""
 
 
-def tall(source: str, metrics: list[str], by: list[str] = (), attribute: str = "''") -> str:
+def tall(source: str, metrics: list[str], by: list[str] = (), attribute: str = "''", raw: bool = False) -> str:
+    value = (lambda m: f"cast({m} as double)") if raw else (lambda m: r(f"cast({m} as double)"))
     return " union all ".join(
-        f"select {keys(by)}{attribute} as attribute, '{m}' as metric, {r(f'cast({m} as double)')} as value "
+        f"select {keys(by)}{attribute} as attribute, '{m}' as metric, {value(m)} as value "
         f"from {source} where {m} is not null"
         for m in metrics
     )
@@ -609,7 +610,7 @@ ORDER_QUALITY = quality(ORDER_COLUMNS, ORDER_NUMERIC, "true_label", 2)
 ORACLES["quality_metrics"] = with_view("orders_scored", ORDER_QUALITY + " " + tall("qm", QUALITY))
 ORACLES["metric_categories"] = with_view(
     "orders_scored",
-    f"""{ORDER_QUALITY}, t as ({tall('qm', QUALITY)}),
+    f"""{ORDER_QUALITY}, t as ({tall('qm', QUALITY, raw=True)}),
 c as (select *, case when regexp_matches(metric, 'accuracy|precision|recall|f1|r2|rmse|mae') then 'Performance'
   when regexp_matches(metric, 'completeness|quality|missing|duplicate') then 'Quality'
   when regexp_matches(metric, 'bias|fairness|disparate|demographic') then 'Bias' else 'Other' end as category from t)
@@ -860,8 +861,11 @@ ORACLES["overall_score"] = with_view(
     "risk",
     f"""{binary_groups(RISK).replace('w as (', 'bw as (').replace('from w ', 'from bw ')}, {gaps(CLASS_GAPS)},
 {overall_bias(list(CLASS_GAPS.values()))}, {quality(RISK_COLUMNS, RISK_NUMERIC, 'true_label', 3)},
-acc as (select avg(cast(true_label = prediction as int)) as accuracy from v)
-select {r('0.4 * accuracy + 0.3 * (1 - overall_bias_score) + 0.2 * confidence_score + 0.1 * 0.5')} as overall_score from acc, b, qm""",
+acc as (select avg(cast(true_label = prediction as int)) as accuracy from v),
+co as (select true_label as y, dense_rank() over (order by c_mktsegment) as a, dense_rank() over (order by o_orderpriority) as b,
+  dense_rank() over (order by r_name) as c from v),
+ex as (select ({' + '.join(f'cast(abs(covar_pop({c}, y) / (stddev_pop({c}) * stddev_pop(y))) > 0.01 as int)' for c in 'abc')}) / 3.0 as diversity from co)
+select {r('(0.4 * accuracy + 0.3 * (1 - overall_bias_score) + 0.2 * confidence_score + 0.1 * diversity)')} as overall_score from acc, b, qm, ex""",
 )
 
 # --- monitoring -------------------------------------------------------------------------------

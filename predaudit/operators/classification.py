@@ -106,8 +106,8 @@ def performance(df: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -> DataF
     totals = label_totals(confusion_counts(df, spec, by), by)
     result = tall(basic_metrics(totals, spec, by), by, PERFORMANCE, BASIC)
     if spec.problem == BINARY and spec.score:
-        result = result.unionByName(tall(roc_auc(df, spec, by), by, PERFORMANCE, ["roc_auc"]))
-        result = result.unionByName(tall(log_loss(df, spec, by), by, PERFORMANCE, ["log_loss"]))
+        scored = _auc(score_counts(df, spec, by), by, "roc_auc")
+        result = result.unionByName(tall(scored, by, PERFORMANCE, ["roc_auc", "log_loss"]))
     elif spec.problem != BINARY and spec.class_scores:
         auc = multiclass_auc(df, spec, by)
         result = result.unionByName(tall(auc, by, PERFORMANCE, ["roc_auc_ovr"]))
@@ -207,23 +207,27 @@ def _auc(counts: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     below = running_totals(counts, keys, "score", ["pos", "neg"])
     pos, neg_below, neg = (F.col(c).cast("double") for c in ("pos", "neg_below", "neg"))
     wins = F.sum(pos * (neg_below + neg / 2))
+    clipped = F.greatest(F.least(F.col("score"), F.lit(1.0 - EPSILON)), F.lit(EPSILON))
+    loss = -F.sum(pos * F.ln(clipped) + neg * F.ln(1.0 - clipped))
     return group(
         below,
         keys,
         F.max("pos_total").alias("positives"),
         F.max("neg_total").alias("negatives"),
         wins.alias("_wins"),
+        loss.alias("_loss"),
     ).select(
         *keys,
         "positives",
         "negatives",
         div(F.col("_wins"), F.col("positives").cast("double") * F.col("negatives")).alias(name),
+        div(F.col("_loss"), F.col("positives") + F.col("negatives")).alias("log_loss"),
     )
 
 
 def roc_auc(df: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -> DataFrame:
     """``(by…, positives, negatives, roc_auc)``; ties count one half, one class alone gives null."""
-    return _auc(score_counts(df, spec, by), by, "roc_auc")
+    return _auc(score_counts(df, spec, by), by, "roc_auc").drop("log_loss")
 
 
 def log_loss(df: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -> DataFrame:
@@ -256,7 +260,7 @@ def multiclass_auc(df: DataFrame, spec: AuditSpec, by: Sequence[str] = (), per_c
             F.count_if(F.col("_y") != F.col("label")).alias("neg"),
         )
     )
-    per_label = _auc(counts, [*by, "label"], "roc_auc")
+    per_label = _auc(counts, [*by, "label"], "roc_auc").drop("log_loss")
     if per_class:
         return per_label
     weight = F.when(F.col("roc_auc").isNotNull(), F.col("positives").cast("double"))

@@ -124,6 +124,31 @@ def interactions(frame: DataFrame, names: Sequence[str], by: Sequence[str] = ())
     return join_on(found, top, by).where(kept).drop("best")
 
 
+def correlation_pass(frame: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``(by…, feature_a, feature_b, value)``: target correlations (``feature_b`` null) and interactions.
+
+    The same numbers as :func:`target_correlation` and :func:`interactions`, in one scan; for at most
+    10 features, where no choice of the best ones is needed.
+    """
+    names = list(names)
+    pairs = list(combinations(names, 2))
+    y = F.col(TARGET)
+    aggregates = [corr(F.col(c), y).alias(f"_s{i}") for i, c in enumerate(names)]
+    aggregates += [F.abs(corr(F.col(a) * F.col(b), y)).alias(f"_p{i}") for i, (a, b) in enumerate(pairs)]
+    at = {c: F.col(f"_s{i}") for i, c in enumerate(names)}
+
+    def row(a: str, b: str | None, value: Column) -> Column:
+        return F.struct(F.lit(a).alias("feature_a"), F.lit(b).cast("string").alias("feature_b"), value.alias("value"))
+
+    rows = [row(c, None, F.coalesce(at[c], F.lit(0.0))) for c in names]
+    for i, (a, b) in enumerate(pairs):
+        known = F.col(f"_p{i}").isNotNull() & at[a].isNotNull() & at[b].isNotNull()
+        gain = F.col(f"_p{i}") - F.greatest(F.abs(at[a]), F.abs(at[b]))
+        rows.append(row(a, b, F.when(known, F.greatest(F.lit(0.0), gain))))
+    opened = group(frame, by, *aggregates).select(*by, F.inline(F.array(*rows)))
+    return opened.where(F.col("value").isNotNull())
+
+
 def forest_importance(
     frame: DataFrame, names: Sequence[str], problem: str, trees: int = TREES, max_depth: int = 5
 ) -> DataFrame:
@@ -314,11 +339,18 @@ def explain_metrics(
     text = F.lit(None).cast("string")
     if not names:
         return _status(df, by, "no_numeric_features")
+    if len(names) <= TOP_FEATURES:
+        measured = correlation_pass(frame, names, by)
+        single = measured.where(F.col("feature_b").isNull())
+        correlation = single.select(*by, F.col("feature_a").alias("feature"), F.col("value").alias("corr"))
+        pairs = measured.where(F.col("feature_b").isNotNull()).withColumnRenamed("value", "strength")
+    else:
+        correlation, pairs = target_correlation(frame, names, by), interactions(frame, names, by)
     if isinstance(importance, str):
         if importance == "forest" and not by:
             importance = forest_importance(frame, names, spec.problem)
         elif importance == "correlation":
-            importance = correlation_importance(frame, names, by)
+            importance = correlation.select(*by, "feature", F.abs("corr").alias("importance"))
         else:
             raise ValueError(f"cannot compute {importance!r} importance here")
 
@@ -335,9 +367,9 @@ def explain_metrics(
     parts = [
         tall(importance_statistics(importance, by), by, EXPLAINABILITY, STATISTICS),
         rows(importance, "feature_importance", F.col("feature"), "importance"),
-        rows(target_correlation(frame, names, by), "target_correlation", F.col("feature"), "corr"),
+        rows(correlation, "target_correlation", F.col("feature"), "corr"),
         rows(
-            interactions(frame, names, by),
+            pairs,
             "feature_interactions",
             F.concat_ws("×", "feature_a", "feature_b"),
             "strength",

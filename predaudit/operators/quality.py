@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from predaudit.functions.keys import attach, group, join_on, tall
+from predaudit.functions.keys import attach, group, join_on
 from predaudit.functions.ordered import quantiles
 from predaudit.functions.safe import (
     TEMPORAL,
@@ -21,11 +21,12 @@ from predaudit.functions.safe import (
     numeric_columns,
     text_columns,
 )
-from predaudit.functions.values import few_values, numbers, present, value_table
+from predaudit.functions.values import few_values, number, numbers, present, value_table
 from predaudit.spec import QUALITY, AuditSpec
 
 CHUNK_COLUMNS = 40  # columns per aggregation, keeps generated code within the JVM method limit
 CHUNK_PAIRS = 120
+CHUNK_AGGREGATES = 300
 FEW_CLASSES = 20
 HIGH_CORRELATION = 0.95
 HIGH_SKEW = 3.0
@@ -46,39 +47,41 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def completeness(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Cells, columns and rows with missing values per key, in one aggregation."""
-    columns = data_columns(df, by)
+def _missing_aggregates(df: DataFrame, columns: Sequence[str]) -> list[Column]:
     missing = [is_missing(df, c) for c in columns]
     any_missing = reduce(lambda a, b: a | b, missing, F.lit(False))
-    counts = group(
-        df,
-        by,
+    return [
         F.count(F.lit(1)).alias("rows"),
         F.count_if(any_missing).alias("rows_with_missing"),
         *[F.count_if(m).alias(f"_m{i}") for i, m in enumerate(missing)],
-    )
+    ]
+
+
+def _missing_metrics(columns: Sequence[str]) -> dict[str, Column]:
     zero = F.lit(0).cast("long")
+    counts = [F.col(f"_m{i}") for i in range(len(columns))]
     cells = F.col("rows") * F.lit(len(columns))
-    lost = reduce(lambda a, b: a + b, [F.col(f"_m{i}") for i in range(len(columns))], zero)
-    holed = reduce(
-        lambda a, b: a + b,
-        [F.when(F.col(f"_m{i}") > 0, 1).otherwise(0).cast("long") for i in range(len(columns))],
-        zero,
-    )
-    return counts.select(
-        *by,
-        "rows",
-        F.lit(len(columns)).cast("long").alias("columns"),
-        cells.alias("cells"),
-        lost.alias("missing_cells"),
-        div(cells - lost, cells).alias("completeness_rate"),
-        (100.0 * div(lost, cells)).alias("missing_percentage"),
-        holed.alias("columns_with_missing"),
-        (100.0 * div(holed, F.lit(len(columns)))).alias("percentage_columns_with_missing"),
-        "rows_with_missing",
-        (100.0 * div(F.col("rows_with_missing"), F.col("rows"))).alias("percentage_rows_with_missing"),
-    )
+    lost = reduce(lambda a, b: a + b, counts, zero)
+    holed = reduce(lambda a, b: a + b, [F.when(c > 0, 1).otherwise(0).cast("long") for c in counts], zero)
+    return {
+        "rows": F.col("rows"),
+        "columns": F.lit(len(columns)).cast("long"),
+        "cells": cells,
+        "missing_cells": lost,
+        "completeness_rate": div(cells - lost, cells),
+        "missing_percentage": 100.0 * div(lost, cells),
+        "columns_with_missing": holed,
+        "percentage_columns_with_missing": 100.0 * div(holed, F.lit(len(columns))),
+        "rows_with_missing": F.col("rows_with_missing"),
+        "percentage_rows_with_missing": 100.0 * div(F.col("rows_with_missing"), F.col("rows")),
+    }
+
+
+def completeness(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Cells, columns and rows with missing values per key, in one aggregation."""
+    columns = data_columns(df, by)
+    counts = group(df, by, *_missing_aggregates(df, columns))
+    return counts.select(*by, *[c.alias(k) for k, c in _missing_metrics(columns).items()])
 
 
 def missing_by_column(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -438,64 +441,106 @@ def confidence() -> Column:
     return F.greatest(F.lit(0.0), score)
 
 
+def _aggregate(df: DataFrame, by: Sequence[str], aggregates: Sequence[Column]) -> DataFrame:
+    """All aggregates per key in one scan; very wide tables take one scan per chunk."""
+    chunks = _chunks(aggregates, CHUNK_AGGREGATES)
+    wide = group(df, by, *chunks[0])
+    for chunk in chunks[1:]:
+        more = group(df, by, *chunk)
+        wide = join_on(wide, more, by) if by else attach(wide, more, by, "_more").select("*", "_more.*").drop("_more")
+    return wide
+
+
+def _profile_aggregates(df: DataFrame, numeric: Sequence[str], spec: AuditSpec) -> list[Column]:
+    """Per numeric column min, max and skewness, all pair correlations and infinite predictions."""
+    values = {c: clean_double(df, c) for c in numeric}
+    found = []
+    for i, v in enumerate(values.values()):
+        found += [F.min(v).alias(f"_lo{i}"), F.max(v).alias(f"_hi{i}"), F.skewness(v).alias(f"_skew{i}")]
+        found.append(F.count(v).alias(f"_n{i}"))
+    pairs = combinations(values.values(), 2)
+    found += [corr(a, b).alias(f"_corr{i}") for i, (a, b) in enumerate(pairs)]
+    for tag, name in (("p", spec.prediction), ("y", spec.truth)):
+        if name:
+            found.append(F.count_if(is_missing(df, name)).alias(f"_{tag}_missing"))
+            infinite = F.abs(F.col(name).cast("double")) == float("inf") if name in values else F.lit(False)
+            found.append(F.count_if(infinite).alias(f"_{tag}_infinite"))
+    return found
+
+
 def quality_metrics(df: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -> DataFrame:
-    """Tall quality metrics, the confidence score and a flag per constant column."""
+    """Tall quality metrics, the confidence score and a flag per constant column.
+
+    The source is read three times: one aggregation without a shuffle for everything that needs no
+    distinct values, one for duplicate rows, and one value table for distinct values and quartiles.
+    """
     columns = data_columns(df, by)
     numeric = numeric_columns(df, columns)
-    wide = completeness(df, by)
+    wide = _aggregate(df, by, [*_missing_aggregates(df, columns), *_profile_aggregates(df, numeric, spec)])
     wide = attach(wide, duplicates(df, by), by, "_dup")
-    wide = attach(wide, outlier_summary(iqr_outliers(df, by), by), by, "_out")
-    absent = F.lit(None).cast("double")
-    picked = {
-        "duplicate_rows": F.col("_dup.duplicate_rows"),
-        "duplicate_percentage": F.col("_dup.duplicate_percentage"),
-        "numeric_columns": F.lit(len(numeric)),
-        "categorical_columns": F.lit(len(text_columns(df, columns))),
-        "total_columns": F.lit(len(columns)),
-        "outlier_percentage": F.coalesce("_out.outlier_percentage", F.lit(0.0)),
-        "columns_with_outliers": F.coalesce("_out.columns_with_outliers", F.lit(0)),
-        "predictions_missing": absent,
-        "predictions_infinite": absent,
-        "prediction_diversity": absent,
-        "true_values_missing": absent,
-        "true_values_infinite": absent,
-        "class_balance_ratio": absent,
-        "highly_correlated_features": absent,
-    }
+    vectors = [c for c in (spec.prediction, spec.truth) if c]
+    values = value_table(df, list(dict.fromkeys([*numeric, *vectors])), by).where(present())
+    kinds = values.groupBy(*by, "column").agg(
+        F.count(F.lit(1)).alias("distinct"), F.min("n").alias("least"), F.max("n").alias("most")
+    )
+    facts = group(
+        kinds,
+        by,
+        *[F.max(F.when(F.col("column") == c, F.col(k))).alias(f"{k}_{i}") for i, c in enumerate(vectors) for k in ("distinct", "least", "most")],
+        F.count(F.lit(1)).alias("_"),
+    )
+    wide = attach(wide, facts, by, "_kinds")
+    nothing = F.lit(None).cast("double")
+    picked = {k: c for k, c in _missing_metrics(columns).items() if k in WIDE_METRICS}
+    picked["duplicate_rows"] = F.col("_dup.duplicate_rows")
+    picked["duplicate_percentage"] = F.col("_dup.duplicate_percentage")
+    picked["numeric_columns"] = F.lit(len(numeric))
+    picked["categorical_columns"] = F.lit(len(text_columns(df, columns)))
+    picked["total_columns"] = F.lit(len(columns))
+    picked["outlier_percentage"] = picked["columns_with_outliers"] = F.lit(0.0)
+    if numeric:
+        counted = values.select(*by, "column", number().alias("v"), "n")
+        if any(c not in numeric for c in vectors):
+            counted = counted.where(F.col("column").isin(numeric))
+        wide = attach(wide, outlier_summary(_iqr(counted, by), by), by, "_out")
+        for k in ("outlier_percentage", "columns_with_outliers"):
+            picked[k] = F.coalesce(F.col(f"_out.{k}").cast("double"), F.lit(0.0))
+    for tag, name, label in (("p", spec.prediction, "predictions"), ("y", spec.truth, "true_values")):
+        if name:
+            picked[f"{label}_missing"] = F.col(f"_{tag}_missing")
+            picked[f"{label}_infinite"] = F.col(f"_{tag}_infinite")
     if spec.prediction:
-        wide = attach(wide, vector_quality(df, spec.prediction, by), by, "_p")
-        picked["predictions_missing"] = F.col("_p.missing")
-        picked["predictions_infinite"] = F.col("_p.infinite")
-        picked["prediction_diversity"] = F.col("_p.diversity")
+        seen = F.coalesce("_kinds.distinct_0", F.lit(0)) + F.when(F.col("_p_missing") > 0, 1).otherwise(0)
+        picked["prediction_diversity"] = div(seen, F.col("rows"))
     if spec.truth:
-        wide = attach(wide, vector_quality(df, spec.truth, by), by, "_y")
-        wide = attach(wide, class_balance(df, spec.truth, by), by, "_b")
-        picked["true_values_missing"] = F.col("_y.missing")
-        picked["true_values_infinite"] = F.col("_y.infinite")
-        picked["class_balance_ratio"] = F.col("_b.class_balance_ratio")
+        i = len(vectors) - 1
+        few = F.col(f"_kinds.distinct_{i}") <= FEW_CLASSES
+        picked["class_balance_ratio"] = F.when(few, div(F.col(f"_kinds.least_{i}"), F.col(f"_kinds.most_{i}")))
     if len(numeric) > 1:
-        high = group(
-            correlations(df, by), by, F.count_if(F.abs("corr") > HIGH_CORRELATION).alias("pairs")
-        )
-        wide = attach(wide, high, by, "_c")
-        picked["highly_correlated_features"] = F.col("_c.pairs")
-    flags = column_flags(df, by) if numeric else None
-    picked["highly_skewed_features"] = absent
-    if flags is not None:
-        skewed = group(flags, by, F.count_if("highly_skewed").alias("skewed"))
-        wide = attach(wide, skewed, by, "_s")
-        picked["highly_skewed_features"] = F.when(F.col("_s.skewed") > 0, F.col("_s.skewed"))
-    kept = [c for c in WIDE_METRICS if c not in picked and c != "confidence_score"]
-    flat = wide.select(*by, *kept, *[c.cast("double").alias(k) for k, c in picked.items()])
-    result = tall(flat.withColumn("confidence_score", confidence()), by, QUALITY, WIDE_METRICS)
-    if flags is None:
-        return result
-    constant = flags.where("zero_variance").select(
-        *by,
-        F.lit(QUALITY).alias("analysis"),
-        F.col("column").alias("attribute"),
-        F.lit(None).cast("string").alias("group"),
-        F.lit("zero_variance").alias("metric"),
-        F.lit(1.0).alias("value"),
+        pairs = len(numeric) * (len(numeric) - 1) // 2
+        high = [F.coalesce((F.abs(f"_corr{i}") > HIGH_CORRELATION).cast("int"), F.lit(0)) for i in range(pairs)]
+        picked["highly_correlated_features"] = F.aggregate(F.array(*high), F.lit(0), lambda a, b: a + b)
+    if numeric:
+        skewed = [F.coalesce((F.abs(f"_skew{i}") > HIGH_SKEW).cast("int"), F.lit(0)) for i in range(len(numeric))]
+        skews = F.aggregate(F.array(*skewed), F.lit(0), lambda a, b: a + b)
+        picked["highly_skewed_features"] = F.when(skews > 0, skews)
+    constant = [
+        F.when((F.col(f"_n{i}") > 1) & (F.col(f"_lo{i}") == F.col(f"_hi{i}")), F.lit(c)) for i, c in enumerate(numeric)
+    ]
+    named = F.array_compact(F.array(*constant)).cast("array<string>")
+    for k in WIDE_METRICS[:-1]:
+        picked.setdefault(k, nothing)
+    flat = wide.select(*by, *[c.cast("double").alias(k) for k, c in picked.items()], named.alias("_constant"))
+    scored = flat.withColumn("confidence_score", confidence())
+    # one pass over the single row per key emits the metrics and the constant columns together
+    text = F.lit(None).cast("string")
+
+    def row(attribute: Column, metric: Column, value: Column) -> Column:
+        return F.struct(attribute.alias("attribute"), metric.alias("metric"), value.alias("value"))
+
+    metrics = F.array(*[row(text, F.lit(k), F.col(k)) for k in WIDE_METRICS])
+    flags = F.transform("_constant", lambda c: row(c, F.lit("zero_variance"), F.lit(1.0)))
+    opened = scored.select(*by, F.inline(F.concat(metrics, flags))).where(F.col("value").isNotNull())
+    return opened.select(
+        *by, F.lit(QUALITY).alias("analysis"), "attribute", text.alias("group"), "metric", "value"
     )
-    return result.unionByName(constant)
