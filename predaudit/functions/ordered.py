@@ -1,9 +1,11 @@
 """Exact order statistics and running totals that no single task has to hold.
 
-Both start from counted distinct values. Values are cut into order-preserving buckets, first by
-sign and power of two, then evenly inside each power of two by how many distinct values it holds.
-Bucket bounds come from min, max and count, which do not depend on row order, so a recomputed task
-gets the same buckets. Only the short bucket totals are summed in one window per key.
+Both start from counted distinct values, so a hot value is one row. Each value gets two
+order-preserving codes from its own binary form: its power of two cut into 16384 equal pieces, and
+that piece cut into 16384 again. The codes need no statistics of the data, so a recomputed task
+gives the same ones. A pair of codes holds at most 2^24 different doubles, a first code at most
+16384 second ones, which bounds every window below except the one over the first codes of a key:
+it has one short row per occupied piece.
 """
 
 from __future__ import annotations
@@ -15,122 +17,112 @@ from pyspark.sql import functions as F
 
 from predaudit.functions.keys import group, join_on
 
-BUCKET_VALUES = 200_000
+PIECES = 16384
+BEFORE = (Window.unboundedPreceding, -1)
 
 
-def _octave(v: Column) -> Column:
-    """Non-decreasing in v: sign times (floor(log2 |v|) + 1100); the clamp keeps infinities finite."""
-    exponent = F.floor(F.least(F.log2(F.abs(v)), F.lit(1025.0))) + F.lit(1100)
-    return F.when(v == 0, F.lit(0)).when(v > 0, exponent).otherwise(-exponent).cast("int")
+def coded(counts: DataFrame, value: str) -> DataFrame:
+    """Add ``_c1`` and ``_c2`` so that ordering by them agrees with ordering by ``value``.
 
-
-def bucketed(counts: DataFrame, keys: Sequence[str], value: str, target: int = BUCKET_VALUES) -> DataFrame:
-    """Add ``_oct`` and ``_sub`` so that ordering by them agrees with ordering by ``value``."""
-    v = F.col(value)
-    rows = counts.withColumn("_oct", _octave(v))
-    spans = rows.groupBy(*keys, "_oct").agg(
-        F.min(v).alias("_lo"),
-        F.max(v).alias("_hi"),
-        F.ceil(F.count(F.lit(1)) / F.lit(float(target))).cast("int").alias("_parts"),
-    )
-    share = F.try_divide(v - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    sub = F.when(
-        (F.col("_parts") > 1) & (F.col("_hi") > F.col("_lo")),
-        F.least(F.floor(share * F.col("_parts")), F.col("_parts") - 1),
-    ).otherwise(F.lit(0))
-    return (
-        join_on(rows, spans, [*keys, "_oct"])
-        .withColumn("_sub", sub.cast("int"))
-        .drop("_lo", "_hi", "_parts")
+    Rounding in the logarithm can move a value next to a power of two into the neighbouring piece,
+    but never past another value, as every step is non-decreasing in the size of the value.
+    """
+    size = F.abs(value)
+    finite = (size > 0) & (size < float("inf"))
+    exponent = F.floor(F.log2(size))
+    # scaling by powers of two is exact, so the second code continues where the first one stops
+    place = (size / F.pow(F.lit(2.0), exponent) - 1.0) * PIECES
+    rows = counts.withColumns(
+        {"_e": F.when(finite, exponent + 1100).when(size > 0, 3000).otherwise(0), "_at": F.when(finite, place).otherwise(0.0)}
     )
+    first = F.greatest(F.least(F.floor("_at"), F.lit(PIECES - 1)), F.lit(0))
+    second = F.greatest(F.least(F.floor((F.col("_at") - first) * PIECES), F.lit(PIECES - 1)), F.lit(0))
+    sign = F.when(F.col(value) < 0, -1).otherwise(1)
+    return rows.withColumns(
+        {"_c1": (sign * (F.col("_e") * PIECES + first)).cast("int"), "_c2": (sign * second).cast("int")}
+    ).drop("_e", "_at")
 
 
 def running_totals(
-    counts: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str], target: int = BUCKET_VALUES
+    counts: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str]
 ) -> DataFrame:
     """Add ``<m>_below`` (sum over smaller values) and ``<m>_total`` (sum per key) for each measure."""
-    rows = bucketed(counts, keys, value, target)
-    bucket = [*keys, "_oct", "_sub"]
-    before = Window.partitionBy(*keys).orderBy("_oct", "_sub").rowsBetween(Window.unboundedPreceding, -1)
+    rows = coded(counts, value)
+    outer, inner = [*keys, "_c1"], [*keys, "_c1", "_c2"]
+
+    def before(partition: Sequence[str], order: str, column: str) -> Column:
+        window = Window.partitionBy(*partition).orderBy(order).rowsBetween(*BEFORE)
+        return F.coalesce(F.sum(column).over(window), F.lit(0))
+
+    pieces = rows.groupBy(*inner).agg(*[F.sum(m).alias(m) for m in measures])
+    second = pieces.select(*inner, *[before(outer, "_c2", m).alias(f"_{m}_2") for m in measures])
     whole = Window.partitionBy(*keys)
-    offsets = (
-        rows.groupBy(*bucket)
+    first = (
+        pieces.groupBy(*outer)
         .agg(*[F.sum(m).alias(m) for m in measures])
         .select(
-            *bucket,
-            *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"_{m}_offset") for m in measures],
+            *outer,
+            *[before(keys, "_c1", m).alias(f"_{m}_1") for m in measures],
             *[F.sum(m).over(whole).alias(f"{m}_total") for m in measures],
         )
     )
-    inside = Window.partitionBy(*bucket).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    local = rows.select(
-        "*", *[F.coalesce(F.sum(m).over(inside), F.lit(0)).alias(f"_{m}_local") for m in measures]
+    local = rows.select("*", *[before(inner, value, m).alias(f"_{m}_3") for m in measures])
+    joined = join_on(local, join_on(second, first, outer), inner)
+    below = {f"{m}_below": F.col(f"_{m}_1") + F.col(f"_{m}_2") + F.col(f"_{m}_3") for m in measures}
+    return joined.select(
+        *counts.columns, *[f"{m}_total" for m in measures], *[c.alias(k) for k, c in below.items()]
     )
-    joined = join_on(local, offsets, bucket)
-    for m in measures:
-        joined = joined.withColumn(f"{m}_below", F.col(f"_{m}_offset") + F.col(f"_{m}_local"))
-    return joined.drop("_oct", "_sub", *[f"_{m}_{p}" for m in measures for p in ("offset", "local")])
 
 
 def quantiles(
-    counts: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    weight: str,
-    probs: Sequence[float],
-    target: int = BUCKET_VALUES,
+    counts: DataFrame, keys: Sequence[str], value: str, weight: str, probs: Sequence[float]
 ) -> DataFrame:
     """Exact linear-interpolated quantiles: ``(keys…, n, q)`` with ``q`` an array aligned to ``probs``.
 
-    Bucket totals locate the buckets that hold the wanted ranks; only those buckets are sorted.
+    Totals per first code locate the pieces with the wanted ranks, totals per second code narrow them
+    down, and only the few pieces left are sorted.
     """
-    rows = bucketed(counts, keys, value, target)
-    bucket = [*keys, "_oct", "_sub"]
-    before = Window.partitionBy(*keys).orderBy("_oct", "_sub").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
+    rows = coded(counts, value)
+    outer, inner = [*keys, "_c1"], [*keys, "_c1", "_c2"]
     grid = F.lit([float(p) for p in probs])
 
     def place(p: Column) -> Column:
         return p * (F.col("_n") - 1)
 
-    both_ends = F.transform(
-        grid, lambda p: F.array(F.floor(place(p)).cast("long"), F.ceil(place(p)).cast("long"))
+    def start(partition: Sequence[str], order: str, column: str) -> Column:
+        window = Window.partitionBy(*partition).orderBy(order).rowsBetween(*BEFORE)
+        return F.coalesce(F.sum(column).over(window), F.lit(0))
+
+    def held(ranks: Column, count: str) -> Column:
+        return F.filter(ranks, lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col(count)))
+
+    def narrowed(totals: DataFrame, ranks: Column, kept: Sequence[str]) -> DataFrame:
+        return totals.withColumn("_ranks", held(ranks, "_w")).where(F.size("_ranks") > 0).select(*kept)
+
+    ends = F.transform(grid, lambda p: F.array(F.floor(place(p)).cast("long"), F.ceil(place(p)).cast("long")))
+    whole = Window.partitionBy(*keys)
+    first = narrowed(
+        rows.groupBy(*outer)
+        .agg(F.sum(weight).alias("_w"))
+        .select(*outer, "_w", start(keys, "_c1", "_w").alias("_start"), F.sum("_w").over(whole).alias("_n")),
+        F.array_distinct(F.flatten(ends)),
+        [*outer, "_start", "_n", "_ranks"],
     )
-    ranks = F.array_distinct(F.flatten(both_ends))
-    wanted = (
-        rows.groupBy(*bucket)
+    second = narrowed(
+        join_on(rows, first, outer)
+        .groupBy(*inner, "_start", "_n", "_ranks")
         .agg(F.sum(weight).alias("_w"))
-        .select(
-            *bucket,
-            "_w",
-            F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_start"),
-            F.sum("_w").over(whole).alias("_n"),
-        )
-        .withColumn(
-            "_ranks",
-            F.filter(ranks, lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_w"))),
-        )
-        .where(F.size("_ranks") > 0)
-        .drop("_w")
+        .withColumn("_start", F.col("_start") + start(outer, "_c2", "_w")),
+        F.col("_ranks"),
+        [*inner, "_start", "_n", "_ranks"],
     )
-    inside = Window.partitionBy(*bucket).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    first = F.col("_start") + F.coalesce(F.sum(weight).over(inside), F.lit(0))
-    found = (
-        join_on(rows, wanted, bucket)
-        .withColumn("_first", first)
-        .withColumn(
-            "_rank",
-            F.explode(
-                F.filter(
-                    "_ranks", lambda r: (r >= F.col("_first")) & (r < F.col("_first") + F.col(weight))
-                )
-            ),
-        )
-        .groupBy(*keys)
-        .agg(
-            F.max("_n").alias("_n"),
-            F.map_from_entries(F.collect_list(F.struct("_rank", F.col(value).cast("double")))).alias("_at"),
-        )
+    found = group(
+        join_on(rows, second, inner)
+        .withColumn("_start", F.col("_start") + start(inner, value, weight))
+        .select(*keys, "_n", F.col(value).cast("double").alias("_v"), F.explode(held(F.col("_ranks"), weight)).alias("_rank")),
+        keys,
+        F.max("_n").alias("_n"),
+        F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"),
     )
 
     def at(rank: Column) -> Column:
