@@ -55,7 +55,7 @@ def tall(
     attribute: str | None = None,
     group_column: str | None = None,
 ) -> DataFrame:
-    """Wide metric columns to ``(by…, analysis, attribute, group, metric, value)``; nulls dropped."""
+    """Wide metric columns to ``(by…, analysis, attribute, group, metric, value)``; null and NaN dropped."""
     text = F.lit(None).cast("string")
     ids = df.select(
         *by,
@@ -65,4 +65,4 @@ def tall(
         *[F.col(m).cast("double").alias(m) for m in metrics],
     )
     kept = [*by, "analysis", "attribute", "group"]
-    return ids.unpivot(kept, list(metrics), "metric", "value").where(F.col("value").isNotNull())
+    return ids.unpivot(kept, list(metrics), "metric", "value").where(F.col("value").isNotNull() & ~F.isnan("value"))

@@ -55,6 +55,11 @@ def is_missing(df: DataFrame, name: str) -> Column:
     return c.isNull()
 
 
+def finite(c: Column) -> Column:
+    """NaN, which infinite inputs leave in moments and which compares above every number, as null."""
+    return F.when(~F.isnan(c), c)
+
+
 def corr(a: Column, b: Column) -> Column:
     """Pairwise-complete Pearson correlation, null for a constant or empty side.
 
@@ -62,7 +67,7 @@ def corr(a: Column, b: Column) -> Column:
     """
     both = a.isNotNull() & b.isNotNull()
     x, y = F.when(both, a), F.when(both, b)
-    return div(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return finite(div(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def r2(squared_residuals: Column, n: Column, truth_variance: Column) -> Column:

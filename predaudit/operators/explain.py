@@ -96,7 +96,8 @@ def interactions(frame: DataFrame, names: Sequence[str], by: Sequence[str] = ())
         if by:
             best = Window.partitionBy(*by).orderBy(F.desc(F.abs("corr")), "_ord")
             top = ranked.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= TOP_FEATURES)
-            top = top.groupBy(*by).agg(F.collect_set("feature").alias("best"))
+            ordered = F.array_sort(F.collect_list(F.struct("_rank", "feature")))
+            top = top.groupBy(*by).agg(F.transform(ordered, lambda f: f["feature"]).alias("best"))
         else:
             chosen = ranked.orderBy(F.desc(F.abs("corr")), "_ord").limit(TOP_FEATURES).collect()
             names = [r["feature"] for r in chosen]
@@ -120,8 +121,19 @@ def interactions(frame: DataFrame, names: Sequence[str], by: Sequence[str] = ())
     found = _union(frames).where(F.col("strength").isNotNull())
     if top is None:
         return found
-    kept = F.array_contains("best", F.col("feature_a")) & F.array_contains("best", F.col("feature_b"))
-    return join_on(found, top, by).where(kept).drop("best")
+    # the better feature comes first, as it does when the features are chosen up front
+    a, b = (F.array_position("best", F.col(c)) for c in ("feature_a", "feature_b"))
+    first, second = F.least(a, b).cast("int"), F.greatest(a, b).cast("int")
+    return (
+        join_on(found, top, by)
+        .where((a > 0) & (b > 0))
+        .select(
+            *by,
+            F.element_at("best", first).alias("feature_a"),
+            F.element_at("best", second).alias("feature_b"),
+            "strength",
+        )
+    )
 
 
 def correlation_pass(frame: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

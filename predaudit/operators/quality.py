@@ -17,6 +17,7 @@ from predaudit.functions.safe import (
     corr,
     div,
     div0,
+    finite,
     is_missing,
     numeric_columns,
     text_columns,
@@ -242,7 +243,7 @@ def extreme_values(
         counts, parts = [], []
         for i, c in enumerate(chunk):
             score = F.try_divide(F.abs(F.col(f"_{i}") - F.col(f"_at.m{i}")), F.col(f"_at.s{i}"))
-            counts += [F.count(f"_{i}").alias(f"n{i}"), F.count_if(score > z).alias(f"x{i}")]
+            counts += [F.count(f"_{i}").alias(f"n{i}"), F.count_if((score > z) & ~F.isnan(score)).alias(f"x{i}")]
             parts += [F.lit(c), F.col(f"n{i}"), F.col(f"x{i}")]
         stacked = F.stack(F.lit(len(chunk)), *parts).alias("column", "n", "extremes")
         frames.append(group(rows, by, *counts).select(*by, stacked))
@@ -315,7 +316,7 @@ def column_flags(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             *by,
             "column",
             ((present_rows > 1) & (F.col("min") == F.col("max"))).alias("zero_variance"),
-            F.coalesce(F.abs("skewness") > HIGH_SKEW, F.lit(False)).alias("highly_skewed"),
+            F.coalesce(finite(F.abs("skewness")) > HIGH_SKEW, F.lit(False)).alias("highly_skewed"),
         )
     )
 
@@ -521,7 +522,7 @@ def quality_metrics(df: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -> D
         high = [F.coalesce((F.abs(f"_corr{i}") > HIGH_CORRELATION).cast("int"), F.lit(0)) for i in range(pairs)]
         picked["highly_correlated_features"] = F.aggregate(F.array(*high), F.lit(0), lambda a, b: a + b)
     if numeric:
-        skewed = [F.coalesce((F.abs(f"_skew{i}") > HIGH_SKEW).cast("int"), F.lit(0)) for i in range(len(numeric))]
+        skewed = [F.coalesce((finite(F.abs(f"_skew{i}")) > HIGH_SKEW).cast("int"), F.lit(0)) for i in range(len(numeric))]
         skews = F.aggregate(F.array(*skewed), F.lit(0), lambda a, b: a + b)
         picked["highly_skewed_features"] = F.when(skews > 0, skews)
     constant = [
@@ -540,7 +541,7 @@ def quality_metrics(df: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -> D
 
     metrics = F.array(*[row(text, F.lit(k), F.col(k)) for k in WIDE_METRICS])
     flags = F.transform("_constant", lambda c: row(c, F.lit("zero_variance"), F.lit(1.0)))
-    opened = scored.select(*by, F.inline(F.concat(metrics, flags))).where(F.col("value").isNotNull())
+    opened = scored.select(*by, F.inline(F.concat(metrics, flags))).where(F.col("value").isNotNull() & ~F.isnan("value"))
     return opened.select(
         *by, F.lit(QUALITY).alias("analysis"), "attribute", text.alias("group"), "metric", "value"
     )
