@@ -1,11 +1,11 @@
 """Exact order statistics and running totals that no single task has to hold.
 
 Both start from counted distinct values, so a hot value is one row. Each value gets two
-order-preserving codes from its own binary form: its power of two cut into 16384 equal pieces, and
-that piece cut into 16384 again. The codes need no statistics of the data, so a recomputed task
-gives the same ones. A pair of codes holds at most 2^24 different doubles, a first code at most
-16384 second ones, which bounds every window below except the one over the first codes of a key:
-it has one short row per occupied piece.
+order-preserving codes from its own binary form: its power of two cut into 1024 equal pieces, and
+that piece cut into 262144 again. The codes need no statistics of the data, so a recomputed task
+gives the same ones. A pair of codes holds at most 2^24 different doubles and a first code at most
+2^18 second ones. A key has one short row per occupied first code, thousands in practice. So every
+window below is bounded, whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from predaudit.functions.keys import group, join_on
 
-PIECES = 16384
+PIECES, SUBPIECES = 1024, 262_144
 BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -36,7 +36,7 @@ def coded(counts: DataFrame, value: str) -> DataFrame:
         {"_e": F.when(finite, exponent + 1100).when(size > 0, 3000).otherwise(0), "_at": F.when(finite, place).otherwise(0.0)}
     )
     first = F.greatest(F.least(F.floor("_at"), F.lit(PIECES - 1)), F.lit(0))
-    second = F.greatest(F.least(F.floor((F.col("_at") - first) * PIECES), F.lit(PIECES - 1)), F.lit(0))
+    second = F.greatest(F.least(F.floor((F.col("_at") - first) * SUBPIECES), F.lit(SUBPIECES - 1)), F.lit(0))
     sign = F.when(F.col(value) < 0, -1).otherwise(1)
     return rows.withColumns(
         {"_c1": (sign * (F.col("_e") * PIECES + first)).cast("int"), "_c2": (sign * second).cast("int")}
@@ -93,33 +93,36 @@ def quantiles(
         window = Window.partitionBy(*partition).orderBy(order).rowsBetween(*BEFORE)
         return F.coalesce(F.sum(column).over(window), F.lit(0))
 
-    def held(ranks: Column, count: str) -> Column:
-        return F.filter(ranks, lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col(count)))
+    def holds(rank: Column, count: str) -> Column:
+        return (rank >= F.col("_start")) & (rank < F.col("_start") + F.col(count))
 
-    def narrowed(totals: DataFrame, ranks: Column, kept: Sequence[str]) -> DataFrame:
-        return totals.withColumn("_ranks", held(ranks, "_w")).where(F.size("_ranks") > 0).select(*kept)
+    def wanted(count: str) -> Column:
+        """Whether a wanted rank falls among the rows from ``_start`` on."""
+        return F.exists(grid, lambda p: holds(F.floor(place(p)), count) | holds(F.ceil(place(p)), count))
 
-    ends = F.transform(grid, lambda p: F.array(F.floor(place(p)).cast("long"), F.ceil(place(p)).cast("long")))
     whole = Window.partitionBy(*keys)
-    first = narrowed(
+    first = (
         rows.groupBy(*outer)
         .agg(F.sum(weight).alias("_w"))
-        .select(*outer, "_w", start(keys, "_c1", "_w").alias("_start"), F.sum("_w").over(whole).alias("_n")),
-        F.array_distinct(F.flatten(ends)),
-        [*outer, "_start", "_n", "_ranks"],
+        .select(*outer, "_w", start(keys, "_c1", "_w").alias("_start"), F.sum("_w").over(whole).alias("_n"))
+        .where(wanted("_w"))
+        .select(*outer, "_start", "_n")
     )
-    second = narrowed(
+    second = (
         join_on(rows, first, outer)
-        .groupBy(*inner, "_start", "_n", "_ranks")
+        .groupBy(*inner, "_start", "_n")
         .agg(F.sum(weight).alias("_w"))
-        .withColumn("_start", F.col("_start") + start(outer, "_c2", "_w")),
-        F.col("_ranks"),
-        [*inner, "_start", "_n", "_ranks"],
+        .select(*inner, "_n", "_w", (F.col("_start") + start(outer, "_c2", "_w")).alias("_start"))
+        .where(wanted("_w"))
+        .select(*inner, "_start", "_n")
     )
+    ends = F.transform(grid, lambda p: F.array(F.floor(place(p)).cast("long"), F.ceil(place(p)).cast("long")))
+    ranks = F.filter(F.array_distinct(F.flatten(ends)), lambda r: holds(r, weight))
     found = group(
         join_on(rows, second, inner)
         .withColumn("_start", F.col("_start") + start(inner, value, weight))
-        .select(*keys, "_n", F.col(value).cast("double").alias("_v"), F.explode(held(F.col("_ranks"), weight)).alias("_rank")),
+        .where(wanted(weight))
+        .select(*keys, "_n", F.col(value).cast("double").alias("_v"), F.explode(ranks).alias("_rank")),
         keys,
         F.max("_n").alias("_n"),
         F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"),
