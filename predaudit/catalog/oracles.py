@@ -702,14 +702,6 @@ select (select count(*) from orders) as data_rows, (select count(*) from lineite
 # --- roles and configuration ------------------------------------------------------------------
 
 
-def facts(columns: dict[str, str]) -> str:
-    return " union all ".join(
-        f"select '{c}' as \"column\", '{kind}' as kind, count(*) as rows, count(*) - count({c}) as missing, "
-        f"count(distinct {c}) as \"distinct\" from v"
-        for c, kind in columns.items()
-    )
-
-
 ORACLES["problem_type"] = "with " + ", ".join(
     f"v_{name} as ({view_sql(name)})" for name in ("docs", "orders_scored", "items", "risk")
 ) + ", f as (" + " union all ".join(
