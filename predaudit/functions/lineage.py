@@ -1,24 +1,42 @@
-"""Cutting the lineage of small result tables that several later tables read."""
+"""Cutting lineage: reliable checkpoints and tables written to the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a local one only if unset."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``, where lineage is cut.
+
+    Unset, a temporary folder serves in local mode, where one machine runs everything, and is remembered by the
+    context. On a cluster its executors couldn't see such a folder, so there an error asks for the setting.
+    """
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="predaudit-checkpoint-"))
-        current = context.getCheckpointDir()
-    return current
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    named = named or context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="predaudit-checkpoint-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Compute the table once, into reliable storage, so a lost executor does not recompute it."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write the table under the shared folder and read it back: narrow scans, and its size is known to the optimizer.
+
+    Every call takes a folder of its own, so a repeated or concurrent job never meets the files of another.
+    """
+    path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
