@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from predaudit.llm.setsketch import near_duplicates
 from predaudit.llm.sharding import shard_documents
 
 
@@ -19,5 +20,12 @@ def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-LLM_QUERIES = {"op2_minimax_shards": op2_minimax_shards}
+def op3_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), 75)
+
+
+LLM_QUERIES = {
+    "op2_minimax_shards": op2_minimax_shards,
+    "op3_setsketch_near_dedup": op3_setsketch_near_dedup,
+}
 LLM_ORACLES: dict[str, str] = {}
