@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from predaudit.llm.quality import quality
 from predaudit.llm.setsketch import near_duplicates
 from predaudit.llm.sharding import shard_documents
 
@@ -24,8 +25,13 @@ def op3_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), 75)
 
 
+def op8_quality_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 LLM_QUERIES = {
     "op2_minimax_shards": op2_minimax_shards,
     "op3_setsketch_near_dedup": op3_setsketch_near_dedup,
+    "op8_quality_ngram_ratio": op8_quality_ngram_ratio,
 }
 LLM_ORACLES: dict[str, str] = {}
