@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from predaudit.llm.decontaminate import leaks
 from predaudit.llm.quality import quality
 from predaudit.llm.setsketch import near_duplicates
 from predaudit.llm.sharding import shard_documents
@@ -29,9 +30,14 @@ def op8_quality_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_spaced_seed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 LLM_QUERIES = {
     "op2_minimax_shards": op2_minimax_shards,
     "op3_setsketch_near_dedup": op3_setsketch_near_dedup,
     "op8_quality_ngram_ratio": op8_quality_ngram_ratio,
+    "op9_spaced_seed_leaks": op9_spaced_seed_leaks,
 }
 LLM_ORACLES: dict[str, str] = {}
