@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from predaudit.llm import oracles
 from predaudit.llm.decontaminate import leaks
+from predaudit.llm.mixing import mix_sources
 from predaudit.llm.quality import quality
 from predaudit.llm.setsketch import near_duplicates
 from predaudit.llm.sharding import shard_documents
@@ -34,10 +36,16 @@ def op9_spaced_seed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "n_tokens", "epoch", "block", "start_token", "position")
+
+
 LLM_QUERIES = {
     "op2_minimax_shards": op2_minimax_shards,
     "op3_setsketch_near_dedup": op3_setsketch_near_dedup,
+    "op5_temperature_mixing": op5_temperature_mixing,
     "op8_quality_ngram_ratio": op8_quality_ngram_ratio,
     "op9_spaced_seed_leaks": op9_spaced_seed_leaks,
 }
-LLM_ORACLES: dict[str, str] = {}
+LLM_ORACLES = {"op5_temperature_mixing": oracles.OP5}
