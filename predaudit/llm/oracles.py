@@ -47,3 +47,37 @@ placed as (
 select doc_id, source, n_tokens, epoch, block, cast(start_token as bigint) as start_token, start_token / budget as position
 from placed where start_token + n_tokens <= budget
 """
+
+_ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_JWT = r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
+
+
+def _secret_matches(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
+    return rf"""
+  select doc_id, '{kind}' as kind, {rank} as rank, {least} as least,
+    list_transform(string_split_regex(t, '{pattern}'), lambda x: length(x)) as gaps,
+    list_transform(regexp_extract_all(t, '{pattern}', 0), lambda x: length(x)) as lengths,
+    list_transform(regexp_extract_all(t, '{pattern}', {group}), lambda x: length(x)) as vals
+  from d where regexp_matches(t, '{pattern}')"""
+
+
+OP6 = rf"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+m as ({" union all ".join(_secret_matches(*rule) for rule in (
+    ("assign", 0, _ASSIGN, 2, 12), ("access", 1, "AKIA[A-Z0-9]+", 0, 0), ("hex", 2, "[0-9a-f]+", 0, 0),
+    ("pem", 3, "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0), ("jwt", 4, _JWT, 0, 0)))}),
+u as (select doc_id, kind, rank, gaps, lengths, vals, unnest(range(1, len(lengths) + 1)) as i from m),
+f as (
+  select doc_id, kind, rank, list_sum(gaps[1:i]) + coalesce(list_sum(lengths[1:i - 1]), 0) as start, lengths[i] as n
+  from u where case kind when 'assign' then vals[i] >= 12 when 'access' then lengths[i] >= 18 when 'hex' then lengths[i] >= 16 else true end),
+s as (
+  select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access,
+    count(*) filter (kind = 'hex') as n_hex,
+    string_agg(kind || ':' || cast(start as bigint) || ':' || cast(start + n as bigint), ',' order by start, rank) as spans,
+    string_agg(kind || ':' || cast(start as bigint) || ':' || cast(start + n as bigint), ',' order by start, rank)
+      filter (kind in ('assign', 'access', 'hex')) as base
+  from f group by doc_id)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join s on d.doc_id = s.doc_id
+"""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from predaudit.llm import oracles
+from predaudit.functions.lineage import store
+from predaudit.llm import oracles, secrets
 from predaudit.llm.decontaminate import leaks
 from predaudit.llm.mixing import mix_sources
 from predaudit.llm.quality import quality
@@ -41,11 +42,21 @@ def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "n_tokens", "epoch", "block", "start_token", "position")
 
 
+def op6_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    ledger = store(secrets.scan(docs), "secret-ledger")
+    return secrets.digest(secrets.report(docs, ledger))
+
+
 LLM_QUERIES = {
     "op2_minimax_shards": op2_minimax_shards,
     "op3_setsketch_near_dedup": op3_setsketch_near_dedup,
     "op5_temperature_mixing": op5_temperature_mixing,
+    "op6_blob_ledger_secrets": op6_blob_ledger_secrets,
     "op8_quality_ngram_ratio": op8_quality_ngram_ratio,
     "op9_spaced_seed_leaks": op9_spaced_seed_leaks,
 }
-LLM_ORACLES = {"op5_temperature_mixing": oracles.OP5}
+LLM_ORACLES = {
+    "op5_temperature_mixing": oracles.OP5,
+    "op6_blob_ledger_secrets": oracles.OP6,
+}
