@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from predaudit.functions.lineage import store
 from predaudit.llm import oracles, secrets
 from predaudit.llm.decontaminate import leaks
+from predaudit.llm.lines import drop_repeated_lines
 from predaudit.llm.mixing import mix_sources
 from predaudit.llm.quality import quality
 from predaudit.llm.setsketch import near_duplicates
@@ -48,6 +49,11 @@ def op6_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.report(docs, ledger))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = drop_repeated_lines(_table(spark, sf_dir, "documents"), 10)
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 LLM_QUERIES = {
     "op2_minimax_shards": op2_minimax_shards,
     "op3_setsketch_near_dedup": op3_setsketch_near_dedup,
@@ -55,8 +61,10 @@ LLM_QUERIES = {
     "op6_blob_ledger_secrets": op6_blob_ledger_secrets,
     "op8_quality_ngram_ratio": op8_quality_ngram_ratio,
     "op9_spaced_seed_leaks": op9_spaced_seed_leaks,
+    "op10_line_dedup": op10_line_dedup,
 }
 LLM_ORACLES = {
     "op5_temperature_mixing": oracles.OP5,
     "op6_blob_ledger_secrets": oracles.OP6,
+    "op10_line_dedup": oracles.OP10,
 }
