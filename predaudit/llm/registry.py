@@ -11,6 +11,7 @@ from predaudit.llm.decontaminate import leaks
 from predaudit.llm.lines import drop_repeated_lines
 from predaudit.llm.mixing import mix_sources
 from predaudit.llm.quality import quality
+from predaudit.llm.repeats import repeated_units
 from predaudit.llm.setsketch import near_duplicates
 from predaudit.llm.sharding import shard_documents
 
@@ -54,9 +55,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_units(_table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES = {
     "op2_minimax_shards": op2_minimax_shards,
     "op3_setsketch_near_dedup": op3_setsketch_near_dedup,
+    "op4_repeated_passages": op4_repeated_passages,
     "op5_temperature_mixing": op5_temperature_mixing,
     "op6_blob_ledger_secrets": op6_blob_ledger_secrets,
     "op8_quality_ngram_ratio": op8_quality_ngram_ratio,
