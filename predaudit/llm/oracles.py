@@ -95,3 +95,14 @@ select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
 from f group by doc_id
 """
+
+OP1 = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+f as (select h, min(page_id) as first, sha1(h) as hex from p group by h)
+select page_id, cast(strlen(p.h) as bigint) as payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((cast('0x' || substr(hex, 1 + 5 * (i // 4), 5) as integer) >> (15 - 5 * (i % 4))) & 31), 1)), 'string_agg', '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to
+from p join f on p.h = f.h
+"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from predaudit.functions.lineage import store
-from predaudit.llm import oracles, secrets
+from predaudit.llm import oracles, secrets, warc
 from predaudit.llm.decontaminate import leaks
 from predaudit.llm.lines import drop_repeated_lines
 from predaudit.llm.mixing import mix_sources
@@ -59,7 +59,13 @@ def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_units(_table(spark, sf_dir, "documents"))
 
 
+def op1_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write(_table(spark, sf_dir, "pages"), warc.new_folder(spark))
+    return warc.read(index, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 LLM_QUERIES = {
+    "op1_seekable_warc": op1_seekable_warc,
     "op2_minimax_shards": op2_minimax_shards,
     "op3_setsketch_near_dedup": op3_setsketch_near_dedup,
     "op4_repeated_passages": op4_repeated_passages,
@@ -70,6 +76,7 @@ LLM_QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 LLM_ORACLES = {
+    "op1_seekable_warc": oracles.OP1,
     "op5_temperature_mixing": oracles.OP5,
     "op6_blob_ledger_secrets": oracles.OP6,
     "op10_line_dedup": oracles.OP10,
