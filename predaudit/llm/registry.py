@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from predaudit.functions.lineage import store
 from predaudit.llm import oracles, secrets, warc
 from predaudit.llm.decontaminate import leaks
+from predaudit.llm.extract import main_text
 from predaudit.llm.lines import drop_repeated_lines
 from predaudit.llm.mixing import mix_sources
 from predaudit.llm.quality import quality
@@ -64,6 +65,10 @@ def op1_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(index, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_dom_sum_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 LLM_QUERIES = {
     "op1_seekable_warc": op1_seekable_warc,
     "op2_minimax_shards": op2_minimax_shards,
@@ -71,6 +76,7 @@ LLM_QUERIES = {
     "op4_repeated_passages": op4_repeated_passages,
     "op5_temperature_mixing": op5_temperature_mixing,
     "op6_blob_ledger_secrets": op6_blob_ledger_secrets,
+    "op7_dom_sum_product": op7_dom_sum_product,
     "op8_quality_ngram_ratio": op8_quality_ngram_ratio,
     "op9_spaced_seed_leaks": op9_spaced_seed_leaks,
     "op10_line_dedup": op10_line_dedup,
