@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from predaudit.functions.lineage import store
 from predaudit.llm import oracles, secrets, warc
 from predaudit.llm.decontaminate import leaks
@@ -80,6 +81,7 @@ LLM_QUERIES = {
     "op8_quality_ngram_ratio": op8_quality_ngram_ratio,
     "op9_spaced_seed_leaks": op9_spaced_seed_leaks,
     "op10_line_dedup": op10_line_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 LLM_ORACLES = {
     "op1_seekable_warc": oracles.OP1,
