@@ -5,12 +5,13 @@
    Registers of a union are the maxima of the registers, and two are equal with a probability close to the similarity.
 2. Documents with the same set are one node, named by their smallest doc_id. Nodes with equal registers in a band of ``BAND`` meet
    in a bucket. A pair of similarity 0.75 meets in none of the 40 bands with probability (1 - 0.75^4)^40 < 3e-7.
-3. In each bucket all nodes are compared with the smallest one; later only nodes of buckets in which several components are left,
-   block by block, the most similar candidates of each node first, so that no group of copies is expanded into its pairs.
-4. The number of registers that are greater, smaller and equal gives the likelihood of every similarity, with the set sizes
-   known. A pair is discarded if 0.75 is less likely than the best estimate by a factor e^16; by Chernoff's bound
-   that hits a linked pair with probability below 2e-7. A size ratio below 0.75 rules a link out altogether.
-5. The rest is verified on the full sets of the whole texts, and components are formed of the verified links.
+3. In each bucket all nodes are compared with the smallest one. The number of registers that are greater, smaller and equal gives the
+   likelihood of every similarity, with the set sizes known. A pair is discarded if 0.75 is less likely than the best estimate
+   by a factor e^16; by Chernoff's bound that hits a linked pair with probability below 2e-7. A size ratio below 0.75 rules a link out
+   altogether. The rest is verified on the full sets of the whole texts.
+4. Buckets that hold several components of these links are cut into blocks, and pairs of blocks are compared in full, by bit matrices of
+   their shingles. Only links that join components leave the task, so no group of copies is expanded into its pairs.
+5. Components are formed of all verified links.
 
 Defined results: a null or wordless text has an empty set and no links; fewer words than a shingle make one shingle; rows with a null
 doc_id are not linked, have a null component and are kept; rows that share a doc_id act as one node; an empty table gives no rows.
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
@@ -35,8 +36,8 @@ REGISTERS, BAND = 160, 4
 BASE, RATE, LARGEST = 1.001, 20.0, 2**16 - 1
 MARGIN = 16.0  # of the log-likelihood
 MEMBERS = 64  # compared with one copy of a hub's text
-BLOCK = 512  # nodes of a bucket compared in one task at a time
-SLICES = ((0, 4), (4, 64), (64, 1024), (1024, None))  # ranks of candidates tested per node and pass
+BLOCK, BLOCK_SHINGLES = 256, 2**19  # documents and shingles of a bucket that are compared in one task at a time
+COLUMNS = 2**15  # of a bit matrix
 
 _FACTORS = (np.random.RandomState(7).randint(0, 2**31, REGISTERS).astype(np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 
@@ -197,48 +198,65 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _cells(threshold: float, low: int, high: int | None):
-    """Candidates of ranks ``low`` to ``high`` between components, within a block or between two blocks of a bucket."""
-
-    def pairs(rows: list[tuple]) -> tuple[set, bool]:
-        # node, block, first component, present component, set size, sketch
-        first, now = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
-        if (now == now[0]).all():
-            return set(), False
-        node, block = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        size, m = np.array([r[4] for r in rows]), _matrix([r[5] for r in rows])
-        across, emitted, more = block[0] != block[-1] or len(set(block.tolist())) > 1, set(), False
-        for x in range(len(rows)):
-            others = np.flatnonzero((first != first[x]) & ((block != block[x]) if across else True))
-            if not len(others):
-                continue
-            y = m[others]
-            best, keep = estimate(
-                np.full(len(others), size[x]), size[others], (m[x] > y).sum(1), (m[x] < y).sum(1), (m[x] == y).sum(1), threshold
-            )
-            others, best = others[keep], best[keep]
-            others = others[np.lexsort((node[others], -best))]
-            open_ = now[others] != now[x]
-            more |= bool(high is not None and open_[high:].any())
-            for y in others[low:high][open_[low:high]]:
-                emitted.add((max(int(node[x]), int(node[y])), min(int(node[x]), int(node[y]))))
-        return emitted, more
-
+def common_counts(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """Size of the intersection of each set in ``rows`` with every set, by bit matrices over the shingles that several sets share."""
+    found = np.zeros((len(rows), len(sets)), np.int64)
+    _, which, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    shared = times > 1
+    column = (np.cumsum(shared) - 1)[which]
+    owner, column = owner[shared[which]], column[shared[which]]
+    for low in range(0, int(shared.sum()), COLUMNS):
+        here = (column >= low) & (column < low + COLUMNS)
+        dense = np.zeros((len(sets), COLUMNS), bool)
+        dense[owner[here], column[here] - low] = True
+        bits = np.packbits(dense[:, : max(64, -(-int(column[here].max() - low + 1) // 64) * 64)], axis=1).view(np.uint64)
+        for at, row in enumerate(rows):
+            found[at] += np.bitwise_count(bits & bits[row]).sum(1, dtype=np.int64)
+    return found
+
+
+def _links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between components within a cell of ``(node, block, component, text)``, verified on the full sets: a spanning forest of them."""
+    rows.sort(key=lambda r: r[:3])
+    node, component = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
+    if (component == component[0]).all():
+        return []
+    sets = [shingle_set(r[3]) for r in rows]
+    size = np.array([len(x) for x in sets])
+    names, members = np.unique(component, return_counts=True)
+    smaller = np.flatnonzero(component != names[members.argmax()])  # every pair across components has one of these
+    common = common_counts(sets, smaller)
+    linked = 100 * common >= percent * (size[smaller][:, None] + size[None, :] - common)
+    parent = {int(c): int(c) for c in names}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            c = parent[c]
+        return c
+
+    found = []
+    for at, x in enumerate(smaller):
+        for y in np.flatnonzero(linked[at] & (component != component[x])):
+            p, q = root(int(component[x])), root(int(component[y]))
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                found.append((int(node[x]), int(node[y])))
+    return found
+
+
+def _cells(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows):
-            emitted, more = pairs(rows)
-            a = [p[0] for p in emitted] + [None] * more
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([p[1] for p in emitted] + [None] * more, pa.int64())], names=["a", "b"])
-
-        at, held = None, []
+        at, held, found = None, [], []
         for band, i, j, *row in _rows(batches):
-            if (band, i, j) != at and held:
-                yield out(held)
-                held = []
-            at = (band, i, j)
+            if (band, i, j) != at:
+                found += _links(held, percent) if len(held) > 1 else []
+                held, at = [], (band, i, j)
+                if len(found) >= 10_000:
+                    yield _edges(found)
+                    found = []
             held.append(row)
-        if held:
-            yield out(held)
+        yield _edges(found + (_links(held, percent) if len(held) > 1 else []))
 
     return run
 
@@ -250,17 +268,35 @@ def _labelled(df: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     ).drop("_node", "_component")
 
 
-def _left_over(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, dealt to cells of one or two blocks, with their registers."""
-    with_first = store(_labelled(members, labels, "first"), "nd-members")
-    mixed = with_first.groupBy("band").agg(F.min("first").alias("x"), F.max("first").alias("y")).where("x != y").select("band")
-    kept = store(with_first.join(store(mixed, "nd-mixed"), "band"), "nd-mixed-members")
-    blocks = F.ceil(F.col("size") / BLOCK)
-    dealt = kept.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", "band"), F.col("blocks")))
-    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "first"
+def _left_over(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, dealt to cells of one or two blocks of a bucket.
+
+    Two members of the bucket's main component need no comparison, so every cell has a block of the others: a group of copies is
+    sent once per block of strays, not once per block of copies.
+    """
+    current = store(_labelled(members, labels, "component"), "nd-members")
+    sizes = current.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = (
+        sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("several"))
+        .where("several > 1").select("band", F.col("main.component").alias("main"), F.col("main.n").alias("n_main"), (F.col("all") - F.col("main.n")).alias("n_others"))
+    )
+    stray = F.col("component") != F.col("main")
+
+    def blocks(n: str) -> Column:
+        return F.ceil(F.greatest(F.col(n) / BLOCK, F.col("mass") * F.col(n) / F.col("size") / BLOCK_SHINGLES))
+
+    dealt = (
+        current.join(store(mixed, "nd-mixed"), "band").withColumns({"strays": blocks("n_others"), "copies": blocks("n_main")})
+        .withColumn(
+            "block",
+            F.when(stray, F.pmod(F.xxhash64("node"), "strays")).otherwise(F.col("strays") + F.pmod(F.xxhash64("node"), "copies")),
+        )
+    )
+    partners = F.sequence(F.lit(0).cast("long"), F.when(stray, F.col("strays") + F.col("copies") - 1).otherwise(F.col("strays") - 1))
+    return dealt.withColumn("other", F.explode(partners)).select(
+        "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("node").alias("doc_id"),
+        "block", "component",
     )
-    return cells.join(nodes.select("node", "n_shingles", "sketch"), "node")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -273,28 +309,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         named.withColumnRenamed("doc_id", "node").join(sets, ["node", "set_key"])
         .dropDuplicates(["node", "set_key"]).select("node", "n_shingles", "sketch", "bands"), "nd-nodes",
     )
-    exploded = nodes.select("node", F.explode("bands").alias("band"))
-    buckets = exploded.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = store(exploded.join(store(buckets, "nd-buckets"), "band"), "nd-bucketed")
+    exploded = nodes.select("node", "n_shingles", F.explode("bands").alias("band"))
+    buckets = (
+        exploded.groupBy("band")
+        .agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("mass")).where("size > 1")
+    )
+    members = store(exploded.select("node", "band").join(store(buckets, "nd-buckets"), "band"), "nd-bucketed")
     star = members.where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     links = store(verified(store(plausible_pairs(star, nodes, threshold), "nd-star"), docs, percent), "nd-links")
     labels = components(links)
 
-    cells = None
-    for low, high in SLICES:
-        if cells is None:
-            cells = store(_left_over(members, nodes, labels), "nd-cells")
-        rows = _labelled(cells, labels, "now").select("band", "i", "j", "node", "block", "first", "now", "n_shingles", "sketch")
-        found = store(
-            rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-            .mapInArrow(_cells(threshold, low, high), "a long, b long").distinct(), "nd-candidates",
-        )
-        more, pairs = found.where("a is null"), found.where("a is not null")
-        if not pairs.isEmpty():
-            links = store(links.union(verified(pairs, docs, percent)), "nd-links")
-            labels = components(links)
-        if more.isEmpty():
-            break
+    cells = store(_left_over(members, labels), "nd-cells")
+    texts = likely_in(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", cells.select("doc_id"))
+    rows = texts.join(cells, "doc_id").select("band", "i", "j", "doc_id", "block", "component", "text")
+    across = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_cells(percent), "a long, b long")
+    labels = components(links.union(store(across, "nd-across")))
 
     by_set = sketched.select("doc_id", "n_shingles", "set_key").join(sets, "set_key", "left")
     return _labelled(by_set, labels, "component_id").select(
