@@ -638,7 +638,7 @@ ORACLES["residual_histograms"] = with_view(
 )
 ORACLES["column_boxes"] = with_view(
     "items",
-    f"""{stacked(ITEM_NUMERIC[:6])}, q as (select "column", count(*) as n, quantile_cont(x, [0.0, 0.25, 0.5, 0.75, 1.0]) as q from w group by "column")
+    f"""{stacked(ITEM_NUMERIC)}, q as (select "column", count(*) as n, quantile_cont(x, [0.0, 0.25, 0.5, 0.75, 1.0]) as q from w group by "column")
 select "column", n, """
     + ", ".join(f'{r(f"q[{i}]")} as "{c}"' for i, c in enumerate(("min", "q1", "median", "q3", "max"), 1))
     + " from q",
@@ -880,3 +880,37 @@ c as (select "column", bin, count(*) filter (where not late) as base, count(*) f
 p as (select "column", greatest(base / cast(sum(base) over (partition by "column") as double), 1e-4) as a,
   greatest(cur / cast(sum(cur) over (partition by "column") as double), 1e-4) as b from c)
 select "column", {r('sum((b - a) * ln(b / a))')} as psi from p group by "column" """
+ORACLES["windowed_multiclass"] = f"""
+with base as ({view_sql("timed_orders")}), v as (select strftime(ts, '%Y-%m-%d') as day, true_label, prediction from base),
+{label_tables(["day"]).strip()},
+c as (select day, count(*) as n from v group by day)
+select m.day, c.n, {r('accuracy')} as accuracy, {r('"precision"')} as "precision", {r('recall')} as recall, {r('f1_score')} as f1_score,
+  {r('matthews_corr')} as matthews_corr, {r('case when isnan(cohen_kappa) then null else cohen_kappa end')} as cohen_kappa
+from m join c on c.day = m.day"""
+ORACLES["duplicates_of_events"] = f"""
+with n as (select (select count(*) from events) as a, (select count(*) from (select distinct * from events)) as b)
+select a as rows, b as distinct_rows, a - b as duplicate_rows, {r('100.0 * (a - b) / a')} as duplicate_percentage from n"""
+WIDE_COLUMNS = (
+    "l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax o_custkey o_totalprice p_size p_retailprice "
+    "c11 c12 c13 c14 c15 c16 c17 c18 c19 c20 c21"
+).split()
+ORACLES["corr_wide"] = with_view(
+    "wide",
+    "z as (select 1) "
+    + " union all ".join(
+        f"select '{a}' as a, '{b}' as b, {r(f'corr({a}, {b})')} as corr from v"
+        for i, a in enumerate(WIDE_COLUMNS)
+        for b in WIDE_COLUMNS[i + 1 :]
+    ),
+)
+ORACLES["column_facts"] = with_view(
+    "nulls",
+    "z as (select 1) "
+    + " union all ".join(
+        f"select '{c}' as \"column\", '{kind}' as kind, count(*) as rows, count(*) - count({c}) as missing, count(distinct {c}) as \"distinct\" from v"
+        for c, kind in (
+            ("l_orderkey", "int"), ("l_tax", "float"), ("l_returnflag", "text"), ("l_quantity", "float"), ("constant_col", "float"), ("l_linestatus", "text"),
+        )
+    ),
+)
+ORACLES["top_interactions"] = f"select * from ({ORACLES['interactions']}) z order by strength desc, feature_a, feature_b limit 3"

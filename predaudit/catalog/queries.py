@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -293,6 +294,16 @@ def duplicates_by_digest(spark, sf_dir):
     return tidy(quality.duplicates(view(spark, sf_dir, "copies"), ["lang"], digest=True))
 
 
+@query
+def duplicates_of_events(spark, sf_dir):
+    return tidy(quality.duplicates(table(spark, sf_dir, "events")))
+
+
+@query
+def corr_wide(spark, sf_dir):
+    return tidy(quality.correlations(view(spark, sf_dir, "wide")))
+
+
 @query
 def column_profile(spark, sf_dir):
     profile = quality.column_profile(view(spark, sf_dir, "nulls")).drop("dtype")
@@ -466,10 +477,9 @@ def suggested_analyses(spark, sf_dir):
 def problem_type(spark, sf_dir):
     parts = []
     for name in ("docs", "orders_scored", "items", "risk"):
-        for mode in ("engine", "analyzer", "config", "column"):
-            found = roles.problem_type(view(spark, sf_dir, name), SPECS[name], mode=mode)
-            parts.append(found.select(F.lit(name).alias("data"), F.lit(mode).alias("mode"), "problem"))
-    return quality._union(parts)
+        found = roles.problem_modes(view(spark, sf_dir, name), SPECS[name])
+        parts.append(found.select(F.lit(name).alias("data"), "*").unpivot("data", list(roles.PROBLEM_MODES), "mode", "problem"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query
@@ -528,6 +538,11 @@ def top_correlations(spark, sf_dir):
     return tidy(charts.top_correlations(explain.target_correlation(*_frame(spark, sf_dir)), 3))
 
 
+@query
+def top_interactions(spark, sf_dir):
+    return tidy(charts.top_interactions(explain.interactions(*_frame(spark, sf_dir)), 3))
+
+
 @query
 def importance_histogram(spark, sf_dir):
     return tidy(charts.importance_histogram(explain.correlation_importance(*_frame(spark, sf_dir))))
@@ -634,6 +649,13 @@ def windowed_metrics(spark, sf_dir):
     return tidy(metrics.select(day, *[c for c in metrics.columns if not c.startswith("window_")]))
 
 
+@query
+def windowed_multiclass(spark, sf_dir):
+    metrics = monitor.windowed_metrics(view(spark, sf_dir, "timed_orders"), SPECS["timed_orders"])
+    day = F.date_format("window_start", "yyyy-MM-dd").alias("day")
+    return tidy(metrics.select(day, *[c for c in metrics.columns if not c.startswith("window_")]))
+
+
 @query
 def drift_psi(spark, sf_dir):
     events = table(spark, sf_dir, "events")

@@ -46,6 +46,16 @@ select event_id, cast(ts as timestamp) as ts, user_id, cast(value > 20 as int) a
   cast(event_type = 'purchase' as int) as true_label, event_type, value
 from {events}""",
     "copies": "select lang, source, text from {documents}",
+    "timed_orders": """
+select o.o_orderkey, cast(o.o_orderdate as timestamp) as ts, t.code as true_label,
+  cast(case when o.o_orderkey % 10 < 7 then t.code else (t.code + 1) % 3 end as int) as prediction
+from {orders} o join (values ('F', 0), ('O', 1), ('P', 2)) t(status, code) on t.status = o.o_orderstatus""",
+    "wide": """
+select l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, o_custkey, o_totalprice, p_size, p_retailprice,
+  l_quantity * l_discount as c11, l_quantity * l_tax as c12, l_extendedprice * l_discount as c13, l_extendedprice * l_tax as c14,
+  l_quantity * p_size as c15, l_quantity * p_retailprice as c16, l_discount * p_size as c17, l_tax * p_size as c18,
+  l_linenumber * l_quantity as c19, o_totalprice * l_discount as c20, case when l_linenumber = 7 then null else l_quantity + p_size end as c21
+from {lineitem} l join {orders} o on o.o_orderkey = l.l_orderkey join {part} p on p.p_partkey = l.l_partkey""",
 }
 
 SPECS = {
@@ -72,6 +82,7 @@ SPECS = {
         protected=("c_mktsegment", "o_orderpriority", "r_name"),
         identifier="o_orderkey",
     ),
+    "timed_orders": AuditSpec("prediction", "true_label", timestamp="ts", identifier="o_orderkey", problem=MULTICLASS),
     "timed": AuditSpec("prediction", "true_label", protected=("event_type",), timestamp="ts", identifier="event_id"),
 }
 

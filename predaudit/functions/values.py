@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,16 +68,9 @@ def numbers(values: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def few_values(df: DataFrame, column: Column, by: Sequence[str], limit: int, name: str = "value") -> DataFrame:
     """``(by…, value, n)`` for the keys with at most ``limit`` distinct values; others give no row.
 
-    A sketch first rules out keys whose distinct count is far above the limit (5 times, while its
-    error is about 5 %), so their values never reach the shuffle; the rest is counted exactly.
+    Values are counted before the shuffle, and the number of distinct ones is attached to the counts.
     """
     rows = df.select(*by, column.alias(name)).where(F.col(name).isNotNull())
-    sketch = group(rows, by, F.approx_count_distinct(name).alias("about"))
-    counted = (
-        attach(rows, sketch, by, "_sketch")
-        .where(F.col("_sketch.about") <= 5 * limit)
-        .groupBy(*by, name)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    distinct = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    return counted.withColumn("_distinct", distinct).where(F.col("_distinct") <= limit).drop("_distinct")
+    counted = rows.groupBy(*by, name).agg(F.count(F.lit(1)).alias("n"))
+    distinct = group(counted, by, F.count(F.lit(1)).alias("distinct"))
+    return attach(counted, distinct, by, "_few").where(F.col("_few.distinct") <= limit).drop("_few")

@@ -15,7 +15,7 @@ from predaudit.operators.regression import residuals
 from predaudit.spec import AuditSpec
 
 BOX = (0.0, 0.25, 0.5, 0.75, 1.0)
-BOX_COLUMNS, HISTOGRAM_COLUMNS, BINS = 6, 4, 30
+BINS = 30
 TOP_FEATURES, TOP_INTERACTIONS, IMPORTANCE_BINS = 15, 10, 20
 
 # Words in a metric name that decide its category, in this order.
@@ -60,8 +60,8 @@ def histogram(
     )
 
 
-def feature_histograms(df: DataFrame, by: Sequence[str] = (), limit: int | None = HISTOGRAM_COLUMNS, bins: int = BINS) -> DataFrame:
-    """Histograms of the first numeric columns."""
+def feature_histograms(df: DataFrame, by: Sequence[str] = (), limit: int | None = None, bins: int = BINS) -> DataFrame:
+    """Histograms of the numeric columns, or of the first ``limit`` ones."""
     names = numeric_columns(df, data_columns(df, by))[:limit]
     return histogram(df, {c: clean_double(df, c) for c in names}, by, bins)
 
@@ -81,9 +81,9 @@ def distribution_summary(df: DataFrame, column: str, by: Sequence[str] = (), acc
 
 
 def column_boxes(
-    df: DataFrame, by: Sequence[str] = (), limit: int | None = BOX_COLUMNS, accuracy: int | None = None
+    df: DataFrame, by: Sequence[str] = (), limit: int | None = None, accuracy: int | None = None
 ) -> DataFrame:
-    """Five numbers per numeric column, for the first ``limit`` columns."""
+    """Five numbers per numeric column, or for the first ``limit`` ones."""
     names = numeric_columns(df, data_columns(df, by))[:limit]
     boxes = column_quantiles(df, {c: clean_double(df, c) for c in names}, by, BOX, accuracy)
     labels = ("min", "q1", "median", "q3", "max")

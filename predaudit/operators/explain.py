@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from itertools import combinations
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,20 +18,26 @@ from predaudit.spec import EXPLAINABILITY, REGRESSION, AuditSpec
 TOP_FEATURES = 10
 IMPORTANT = 0.01
 ENCODED_VALUES = 20
-REPEATS, SEED, TREES = 5, 42, 50
+REPEATS, SEED, TREES, MAX_DEPTH = 5, 42, 50, 30
 SHUFFLE_ROWS = 100_000  # rows per bucket inside which a feature is permuted
 TARGET = "_target"
 
 
-def feature_frame(df: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+def feature_frame(
+    df: DataFrame, spec: AuditSpec, by: Sequence[str] = (), labels: bool = False
+) -> tuple[DataFrame, list[str]]:
     """``(by…, _target, features…)`` as doubles with gaps filled by the mean, and the feature names.
 
     Numeric features only; when there is none, text features with up to 20 values become codes in
-    alphabetical order. An empty name list says that nothing can be explained.
+    alphabetical order. An empty name list says that nothing can be explained. A text truth that holds no
+    numbers leaves no rows, unless ``labels`` asks for it as it is, as a forest does.
     """
     wanted = spec.feature_columns(df.columns, tuple(by))
     names = numeric_columns(df, wanted)
-    target = clean_double(df, spec.truth) if spec.truth in numeric_columns(df) else F.col(spec.truth).try_cast("double")
+    if spec.truth in numeric_columns(df):
+        target = clean_double(df, spec.truth)
+    else:
+        target = F.col(spec.truth).cast("string") if labels else F.col(spec.truth).try_cast("double")
     if names:
         rows = df.select(*by, target.alias(TARGET), *[clean_double(df, c).alias(c) for c in names])
     else:
@@ -64,7 +71,7 @@ def _codes(df: DataFrame, texts: Sequence[str]) -> tuple[list[str], dict[str, li
 
 
 def target_correlation(frame: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """``(by…, feature, corr)`` of a feature frame; 0 for a constant feature."""
+    """``(by…, feature, corr)`` of a feature frame; 0 for a constant feature, absent without a numeric target."""
     frames = []
     for chunk in _chunks(list(names), CHUNK_COLUMNS):
         parts: list[Column] = []
@@ -72,7 +79,7 @@ def target_correlation(frame: DataFrame, names: Sequence[str], by: Sequence[str]
             parts += [F.lit(c), F.coalesce(F.col(f"_{i}"), F.lit(0.0))]
         values = [corr(F.col(c), F.col(TARGET)).alias(f"_{i}") for i, c in enumerate(chunk)]
         stacked = F.stack(F.lit(len(chunk)), *parts).alias("feature", "corr")
-        frames.append(group(frame, by, *values).select(*by, stacked))
+        frames.append(group(frame, by, F.count(TARGET).alias("_n"), *values).where("_n > 0").select(*by, stacked))
     return _union(frames)
 
 
@@ -157,19 +164,27 @@ def correlation_pass(frame: DataFrame, names: Sequence[str], by: Sequence[str] =
         known = F.col(f"_p{i}").isNotNull() & at[a].isNotNull() & at[b].isNotNull()
         gain = F.col(f"_p{i}") - F.greatest(F.abs(at[a]), F.abs(at[b]))
         rows.append(row(a, b, F.when(known, F.greatest(F.lit(0.0), gain))))
-    opened = group(frame, by, *aggregates).select(*by, F.inline(F.array(*rows)))
+    opened = group(frame, by, F.count(TARGET).alias("_n"), *aggregates).where("_n > 0").select(*by, F.inline(F.array(*rows)))
     return opened.where(F.col("value").isNotNull())
 
 
 def forest_importance(
-    frame: DataFrame, names: Sequence[str], problem: str, trees: int = TREES, max_depth: int = 5
+    frame: DataFrame, names: Sequence[str], problem: str, trees: int = TREES, max_depth: int = MAX_DEPTH
 ) -> DataFrame:
-    """``(feature, importance)``: impurity importance of a random forest fitted to the truth."""
+    """``(feature, importance)``: impurity importance of a random forest fitted to the truth.
+
+    Trees grow to ``max_depth``, by default as deep as the library allows. Features without any value are left out of the forest
+    and have importance 0.
+    """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
-    vectors = VectorAssembler(inputCols=list(names), outputCol="_features").transform(frame)
+    present = frame.agg(*[F.count(c).alias(c) for c in names]).first()
+    used = [c for c in names if present[c]]
+    if not used:
+        raise ValueError("no feature has a value")
+    vectors = VectorAssembler(inputCols=used, outputCol="_features").transform(frame)
     settings = dict(featuresCol="_features", numTrees=trees, maxDepth=max_depth, seed=SEED)
     if problem == REGRESSION:
         model = RandomForestRegressor(labelCol=TARGET, **settings).fit(vectors)
@@ -177,7 +192,8 @@ def forest_importance(
         indexer = StringIndexer(inputCol=TARGET, outputCol="_label", stringOrderType="alphabetAsc").fit(vectors)
         model = RandomForestClassifier(labelCol="_label", **settings).fit(indexer.transform(vectors))
     weights = model.featureImportances.toArray().tolist()
-    rows = list(zip(names, (float(w) for w in weights)))
+    found = dict(zip(used, (float(w) for w in weights)))
+    rows = [(c, found.get(c, 0.0)) for c in names]
     return frame.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
@@ -342,7 +358,7 @@ def explain_metrics(
     """Tall explainability metrics: statistics, each feature's importance and correlation, interactions.
 
     ``importance`` is ``"correlation"``, ``"forest"`` (no keys) or a ``(by…, feature, importance)``
-    table, e.g. of :func:`permutation_importance`.
+    table, e.g. of :func:`permutation_importance`. A forest that cannot be fitted gives way to correlation.
     """
 
     if spec.truth is None:
@@ -360,7 +376,10 @@ def explain_metrics(
         correlation, pairs = target_correlation(frame, names, by), interactions(frame, names, by)
     if isinstance(importance, str):
         if importance == "forest" and not by:
-            importance = forest_importance(frame, names, spec.problem)
+            try:
+                importance = forest_importance(feature_frame(df, spec, labels=True)[0], names, spec.problem)
+            except (ValueError, IllegalArgumentException):  # no usable rows or features
+                importance = correlation.select(*by, "feature", F.abs("corr").alias("importance"))
         elif importance == "correlation":
             importance = correlation.select(*by, "feature", F.abs("corr").alias("importance"))
         else:

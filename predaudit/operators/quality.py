@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from predaudit.functions.keys import attach, group, join_on
 from predaudit.functions.ordered import quantiles
 from predaudit.functions.safe import (
+    FLOATING,
     TEMPORAL,
     clean_double,
     corr,
@@ -50,7 +51,7 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
 
 def _missing_aggregates(df: DataFrame, columns: Sequence[str]) -> list[Column]:
     missing = [is_missing(df, c) for c in columns]
-    any_missing = reduce(lambda a, b: a | b, missing, F.lit(False))
+    any_missing = F.array_contains(F.array(*missing), True) if missing else F.lit(False)
     return [
         F.count(F.lit(1)).alias("rows"),
         F.count_if(any_missing).alias("rows_with_missing"),
@@ -62,8 +63,9 @@ def _missing_metrics(columns: Sequence[str]) -> dict[str, Column]:
     zero = F.lit(0).cast("long")
     counts = [F.col(f"_m{i}") for i in range(len(columns))]
     cells = F.col("rows") * F.lit(len(columns))
-    lost = reduce(lambda a, b: a + b, counts, zero)
-    holed = reduce(lambda a, b: a + b, [F.when(c > 0, 1).otherwise(0).cast("long") for c in counts], zero)
+    # arrays, as long chains of additions are slow to optimise
+    lost = F.aggregate(F.array(*counts), zero, lambda a, b: a + b) if counts else zero
+    holed = F.size(F.filter(F.array(*counts), lambda c: c > 0)).cast("long") if counts else zero
     return {
         "rows": F.col("rows"),
         "columns": F.lit(len(columns)).cast("long"),
@@ -120,16 +122,35 @@ def column_moments(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str]
     return _union(frames).select(*by, "column", "rows", "missing", *MOMENTS)
 
 
-def duplicates(df: DataFrame, by: Sequence[str] = (), digest: bool = False) -> DataFrame:
+def row_digest(df: DataFrame, columns: Sequence[str]) -> Column:
+    """SHA-256 over the typed values of the columns; equal where the rows are equal.
+
+    Every value is written out with its length, so neighbours cannot run together, and null differs from any
+    text. As in grouping, 0.0 equals -0.0 and NaN equals NaN. Nested values are written as JSON with
+    microseconds.
+    """
+    times = {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+    parts = []
+    for c in columns:
+        v, dtype = F.col(c), df.schema[c].dataType
+        if isinstance(dtype, FLOATING):
+            v = F.when(v == 0, F.lit(0).cast(dtype)).otherwise(v)
+        if isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
+            text = F.to_json(F.struct(v), {**times, "ignoreNullFields": "false"})
+        else:
+            text = F.hex(v) if isinstance(dtype, T.BinaryType) else v.cast("string")
+        parts.append(F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.length(text).cast("string"), F.lit(":"), text)))
+    return F.unhex(F.sha2(F.concat(*parts), 256))
+
+
+def duplicates(df: DataFrame, by: Sequence[str] = (), digest: bool = True) -> DataFrame:
     """``(by…, rows, distinct_rows, duplicate_rows, duplicate_percentage)``; nulls are equal.
 
-    Copies collapse before the shuffle. ``digest`` shuffles a SHA-256 of each row instead of the row,
-    which pays off when rows hold long texts.
+    Copies collapse before the shuffle, which carries a digest of each row; ``digest=False`` compares the rows themselves.
     """
     columns = data_columns(df, by)
     if digest:
-        row = F.sha2(F.to_json(F.struct(*columns)), 256).alias("_row")
-        rows, keys = df.select(*by, row), [*by, "_row"]
+        rows, keys = df.select(*by, row_digest(df, columns).alias("_row")), [*by, "_row"]
     else:
         rows, keys = df, [*by, *columns]
     distinct = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"))
@@ -254,20 +275,28 @@ def extreme_values(
 
 
 def correlations(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
-    """``(by…, a, b, corr)`` for every pair of numeric columns, on rows where both are present."""
+    """``(by…, a, b, corr)`` for every pair of numeric columns, on rows where both are present.
+
+    Rows are opened into their pairs of values, which are aggregated before the shuffle: one scan, and a plan that grows with the
+    columns, not with their pairs.
+    """
     columns = numeric_columns(df, data_columns(df, by) if columns is None else list(columns))
-    frames = []
-    for chunk in _chunks(list(combinations(columns, 2)), CHUNK_PAIRS):
-        aggregates, parts = [], []
-        for i, (a, b) in enumerate(chunk):
-            aggregates.append(corr(clean_double(df, a), clean_double(df, b)).alias(f"_{i}"))
-            parts += [F.lit(a), F.lit(b), F.col(f"_{i}")]
-        stacked = F.stack(F.lit(len(chunk)), *parts).alias("a", "b", "corr")
-        frames.append(group(df, by, *aggregates).select(*by, stacked))
-    if not frames:
+    if len(columns) < 2:
         nothing = [F.lit(None).cast(t).alias(c) for c, t in (("a", "string"), ("b", "string"), ("corr", "double"))]
         return df.select(*by, *nothing).where(F.lit(False))
-    return _union(frames)
+    k = len(columns)
+
+    def with_later(i: Column) -> Column:
+        x = F.element_at("_v", i + 1)
+        later = F.slice("_v", i + 2, F.lit(k))
+        return F.transform(later, lambda y, d: F.struct(i.alias("i"), (i + 1 + d).alias("j"), x.alias("x"), y.alias("y")))
+
+    values = df.select(*by, F.array(*[clean_double(df, c) for c in columns]).alias("_v"))
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(k - 2)), with_later))
+    opened = values.select(*by, F.explode(pairs).alias("_p")).select(*by, "_p.*")
+    found = opened.groupBy(*by, "i", "j").agg(corr(F.col("x"), F.col("y")).alias("corr"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return found.select(*by, F.element_at(names, F.col("i") + 1).alias("a"), F.element_at(names, F.col("j") + 1).alias("b"), "corr")
 
 
 def correlation_matrix(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
@@ -453,14 +482,12 @@ def _aggregate(df: DataFrame, by: Sequence[str], aggregates: Sequence[Column]) -
 
 
 def _profile_aggregates(df: DataFrame, numeric: Sequence[str], spec: AuditSpec) -> list[Column]:
-    """Per numeric column min, max and skewness, all pair correlations and infinite predictions."""
+    """Per numeric column min, max and skewness, and infinite predictions."""
     values = {c: clean_double(df, c) for c in numeric}
     found = []
     for i, v in enumerate(values.values()):
         found += [F.min(v).alias(f"_lo{i}"), F.max(v).alias(f"_hi{i}"), F.skewness(v).alias(f"_skew{i}")]
         found.append(F.count(v).alias(f"_n{i}"))
-    pairs = combinations(values.values(), 2)
-    found += [corr(a, b).alias(f"_corr{i}") for i, (a, b) in enumerate(pairs)]
     for tag, name in (("p", spec.prediction), ("y", spec.truth)):
         if name:
             found.append(F.count_if(is_missing(df, name)).alias(f"_{tag}_missing"))
@@ -472,76 +499,83 @@ def _profile_aggregates(df: DataFrame, numeric: Sequence[str], spec: AuditSpec)
 def quality_metrics(df: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -> DataFrame:
     """Tall quality metrics, the confidence score and a flag per constant column.
 
-    The source is read three times: one aggregation without a shuffle for everything that needs no
-    distinct values, one for duplicate rows, and one value table for distinct values and quartiles.
+    The source is read four times, whatever the number of columns: one aggregation without a shuffle for everything that needs no
+    distinct values, one for duplicate rows, one for correlations, and one value table for distinct values and quartiles. Their results are stacked
+    as small facts and turned into one row per key by one more aggregation, which keeps the plan flat.
     """
     columns = data_columns(df, by)
     numeric = numeric_columns(df, columns)
-    wide = _aggregate(df, by, [*_missing_aggregates(df, columns), *_profile_aggregates(df, numeric, spec)])
-    wide = attach(wide, duplicates(df, by), by, "_dup")
     vectors = [c for c in (spec.prediction, spec.truth) if c]
+    wide = _aggregate(df, by, [*_missing_aggregates(df, columns), *_profile_aggregates(df, numeric, spec)])
+    first = {k: c for k, c in _missing_metrics(columns).items() if k in (*WIDE_METRICS, "rows")}
+    for tag, name, label in (("p", spec.prediction, "predictions"), ("y", spec.truth, "true_values")):
+        if name:
+            first |= {f"{label}_missing": F.col(f"_{tag}_missing"), f"{label}_infinite": F.col(f"_{tag}_infinite")}
+    if numeric:
+        skews = F.array(*[F.col(f"_skew{i}") for i in range(len(numeric))])
+        high = F.size(F.filter(skews, lambda x: F.coalesce(finite(F.abs(x)) > HIGH_SKEW, F.lit(False))))
+        first["highly_skewed_features"] = F.when(high > 0, high)
+    constant = [F.when((F.col(f"_n{i}") > 1) & (F.col(f"_lo{i}") == F.col(f"_hi{i}")), F.lit(c)) for i, c in enumerate(numeric)]
+    named = F.array_compact(F.array(*constant)).cast("array<string>")
+    facts = [_facts(wide, by, first, F.transform(named, lambda c: _fact(c, "zero_variance", F.lit(1.0))))]
+    copies = duplicates(df, by)
+    facts.append(_facts(copies, by, {k: F.col(k) for k in ("duplicate_rows", "duplicate_percentage")}))
     values = value_table(df, list(dict.fromkeys([*numeric, *vectors])), by).where(present())
-    kinds = values.groupBy(*by, "column").agg(
+    kinds = values.where(F.col("column").isin(vectors)).groupBy(*by, "column").agg(
         F.count(F.lit(1)).alias("distinct"), F.min("n").alias("least"), F.max("n").alias("most")
     )
-    facts = group(
-        kinds,
-        by,
-        *[F.max(F.when(F.col("column") == c, F.col(k))).alias(f"{k}_{i}") for i, c in enumerate(vectors) for k in ("distinct", "least", "most")],
-        F.count(F.lit(1)).alias("_"),
-    )
-    wide = attach(wide, facts, by, "_kinds")
-    nothing = F.lit(None).cast("double")
-    picked = {k: c for k, c in _missing_metrics(columns).items() if k in WIDE_METRICS}
-    picked["duplicate_rows"] = F.col("_dup.duplicate_rows")
-    picked["duplicate_percentage"] = F.col("_dup.duplicate_percentage")
-    picked["numeric_columns"] = F.lit(len(numeric))
-    picked["categorical_columns"] = F.lit(len(text_columns(df, columns)))
-    picked["total_columns"] = F.lit(len(columns))
-    picked["outlier_percentage"] = picked["columns_with_outliers"] = F.lit(0.0)
+    facts.append(_facts(kinds, by, {f"_{k}": F.col(k) for k in ("distinct", "least", "most")}, attribute=F.col("column")))
     if numeric:
-        counted = values.select(*by, "column", number().alias("v"), "n")
-        if any(c not in numeric for c in vectors):
-            counted = counted.where(F.col("column").isin(numeric))
-        wide = attach(wide, outlier_summary(_iqr(counted, by), by), by, "_out")
-        for k in ("outlier_percentage", "columns_with_outliers"):
-            picked[k] = F.coalesce(F.col(f"_out.{k}").cast("double"), F.lit(0.0))
-    for tag, name, label in (("p", spec.prediction, "predictions"), ("y", spec.truth, "true_values")):
-        if name:
-            picked[f"{label}_missing"] = F.col(f"_{tag}_missing")
-            picked[f"{label}_infinite"] = F.col(f"_{tag}_infinite")
+        counted = values.select(*by, "column", number().alias("v"), "n").where(F.col("column").isin(numeric))
+        outside = outlier_summary(_iqr(counted, by), by)
+        facts.append(_facts(outside, by, {k: F.col(k) for k in ("outlier_percentage", "columns_with_outliers")}))
+    if len(numeric) > 1:
+        pairs = group(correlations(df, by, numeric), by, F.count_if(F.abs("corr") > HIGH_CORRELATION).alias("high"))
+        facts.append(_facts(pairs, by, {"highly_correlated_features": F.col("high")}))
+
+    def fact(metric: str, attribute: str | None = None) -> Column:
+        same = (F.col("metric") == metric) & (F.col("attribute") == attribute if attribute else F.lit(True))
+        return F.max(F.when(same, F.col("value")))
+
+    needed = [k for k in WIDE_METRICS[:-1] if k not in ("numeric_columns", "categorical_columns", "total_columns")]
+    needed = [k for k in needed if k not in ("prediction_diversity", "class_balance_ratio")]
+    collected = [fact("rows").alias("rows"), *[fact(k).alias(k) for k in needed]]
+    collected += [fact(f"_{k}", c).alias(f"_{k}{i}") for i, c in enumerate(vectors) for k in ("distinct", "least", "most")]
+    collected.append(F.collect_list(F.when(F.col("metric") == "zero_variance", F.col("attribute"))).alias("_constant"))
+    row = group(_union(facts), by, *collected)
+    nothing = F.lit(None).cast("double")
+    picked = {k: F.col(k) for k in needed}
+    picked |= {"numeric_columns": F.lit(len(numeric)), "categorical_columns": F.lit(len(text_columns(df, columns))), "total_columns": F.lit(len(columns))}
+    for k in ("outlier_percentage", "columns_with_outliers"):
+        picked[k] = F.coalesce(F.col(k), F.lit(0.0))
+    if len(numeric) > 1:
+        picked["highly_correlated_features"] = F.coalesce("highly_correlated_features", F.lit(0.0))
     if spec.prediction:
-        seen = F.coalesce("_kinds.distinct_0", F.lit(0)) + F.when(F.col("_p_missing") > 0, 1).otherwise(0)
+        seen = F.coalesce("_distinct0", F.lit(0)) + F.when(F.col("predictions_missing") > 0, 1).otherwise(0)
         picked["prediction_diversity"] = div(seen, F.col("rows"))
     if spec.truth:
         i = len(vectors) - 1
-        few = F.col(f"_kinds.distinct_{i}") <= FEW_CLASSES
-        picked["class_balance_ratio"] = F.when(few, div(F.col(f"_kinds.least_{i}"), F.col(f"_kinds.most_{i}")))
-    if len(numeric) > 1:
-        pairs = len(numeric) * (len(numeric) - 1) // 2
-        high = [F.coalesce((F.abs(f"_corr{i}") > HIGH_CORRELATION).cast("int"), F.lit(0)) for i in range(pairs)]
-        picked["highly_correlated_features"] = F.aggregate(F.array(*high), F.lit(0), lambda a, b: a + b)
-    if numeric:
-        skewed = [F.coalesce((finite(F.abs(f"_skew{i}")) > HIGH_SKEW).cast("int"), F.lit(0)) for i in range(len(numeric))]
-        skews = F.aggregate(F.array(*skewed), F.lit(0), lambda a, b: a + b)
-        picked["highly_skewed_features"] = F.when(skews > 0, skews)
-    constant = [
-        F.when((F.col(f"_n{i}") > 1) & (F.col(f"_lo{i}") == F.col(f"_hi{i}")), F.lit(c)) for i, c in enumerate(numeric)
-    ]
-    named = F.array_compact(F.array(*constant)).cast("array<string>")
+        picked["class_balance_ratio"] = F.when(F.col(f"_distinct{i}") <= FEW_CLASSES, div(F.col(f"_least{i}"), F.col(f"_most{i}")))
     for k in WIDE_METRICS[:-1]:
         picked.setdefault(k, nothing)
-    flat = wide.select(*by, *[c.cast("double").alias(k) for k, c in picked.items()], named.alias("_constant"))
+    flat = row.select(*by, *[c.cast("double").alias(k) for k, c in picked.items()], "_constant")
     scored = flat.withColumn("confidence_score", confidence())
     # one pass over the single row per key emits the metrics and the constant columns together
     text = F.lit(None).cast("string")
-
-    def row(attribute: Column, metric: Column, value: Column) -> Column:
-        return F.struct(attribute.alias("attribute"), metric.alias("metric"), value.alias("value"))
-
-    metrics = F.array(*[row(text, F.lit(k), F.col(k)) for k in WIDE_METRICS])
-    flags = F.transform("_constant", lambda c: row(c, F.lit("zero_variance"), F.lit(1.0)))
+    metrics = F.array(*[_fact(text, k, F.col(k)) for k in WIDE_METRICS])
+    flags = F.transform("_constant", lambda c: _fact(c, "zero_variance", F.lit(1.0)))
     opened = scored.select(*by, F.inline(F.concat(metrics, flags))).where(F.col("value").isNotNull() & ~F.isnan("value"))
     return opened.select(
         *by, F.lit(QUALITY).alias("analysis"), "attribute", text.alias("group"), "metric", "value"
     )
+
+
+def _fact(attribute: Column, metric: str, value: Column) -> Column:
+    return F.struct(attribute.alias("attribute"), F.lit(metric).alias("metric"), value.cast("double").alias("value"))
+
+
+def _facts(df: DataFrame, by: Sequence[str], metrics: dict[str, Column], more: Column | None = None, attribute: Column | None = None) -> DataFrame:
+    """``(by…, attribute, metric, value)`` from the columns of a row per key."""
+    attribute = F.lit(None).cast("string") if attribute is None else attribute
+    listed = F.array(*[_fact(attribute, k, c) for k, c in metrics.items()])
+    return df.select(*by, F.inline(listed if more is None else F.concat(listed, more)))

@@ -70,11 +70,13 @@ def name_score(name: Column, keywords: Sequence[str], token_match: bool = False)
     return F.greatest(*scores) if len(scores) > 1 else scores[0]
 
 
+PROBLEM_MODES = ("engine", "analyzer", "config", "column")
+
+
 def column_facts(df: DataFrame) -> DataFrame:
     """One row per column with what the role rules need.
 
-    ``distinct`` is exact where a rule can depend on it (few values, or nearly all different) and
-    a sketch elsewhere, so columns in between are never shuffled.
+    ``distinct`` is counted exactly, from the value table.
     """
     columns = df.columns
     comparable = profiled_columns(df, columns)
@@ -96,11 +98,8 @@ def column_facts(df: DataFrame) -> DataFrame:
             if isinstance(dtype, T.BooleanType)
             else "other"
         )
-        low = high = dated = about = absent
+        low = high = dated = absent
         aggregates.append(F.count_if(is_missing(df, c)).alias(f"_{i}_missing"))
-        if c in comparable:
-            aggregates.append(F.approx_count_distinct(clean(df, c)).alias(f"_{i}_about"))
-            about = F.col(f"_{i}_about")
         if kind == "float":
             aggregates += [F.min(clean(df, c)).alias(f"_{i}_min"), F.max(clean(df, c)).alias(f"_{i}_max")]
             low, high = F.col(f"_{i}_min"), F.col(f"_{i}_max")
@@ -114,28 +113,14 @@ def column_facts(df: DataFrame) -> DataFrame:
             F.lit(c),
             F.lit(kind),
             F.col(f"_{i}_missing"),
-            about.cast("long"),
             low.cast("double"),
             high.cast("double"),
             dated.cast("boolean"),
         ]
-    names = ("ordinal", "column", "kind", "missing", "about", "low", "high", "dated")
-    sketch = df.agg(*aggregates)
-    facts = sketch.select("rows", F.stack(F.lit(len(columns)), *parts).alias(*names))
-    # a sketch error of about 5 % makes 100 and 70 % safe margins for "few" and "all different"
-    decisive = sketch.select(
-        *[
-            ((F.col(f"_{i}_about") <= 100) | (F.col(f"_{i}_about") >= 0.7 * F.col("rows"))).alias(f"_{i}")
-            for i, c in enumerate(columns)
-            if c in comparable
-        ]
-    )
-    marked = attach(df.select(*comparable), decisive, (), "_exact")
-    for i, c in enumerate(columns):
-        if c in comparable:
-            marked = marked.withColumn(c, F.when(F.col(f"_exact._{i}"), F.col(c)))
+    names = ("ordinal", "column", "kind", "missing", "low", "high", "dated")
+    facts = df.agg(*aggregates).select("rows", F.stack(F.lit(len(columns)), *parts).alias(*names))
     exact = (
-        value_table(marked.drop("_exact"), comparable)
+        value_table(df, comparable)
         .where(F.coalesce("as_text", F.col("as_long").cast("string"), F.col("as_double").cast("string")).isNotNull())
         .groupBy("column")
         .agg(F.count(F.lit(1)).alias("exact"))
@@ -146,7 +131,7 @@ def column_facts(df: DataFrame) -> DataFrame:
         "kind",
         "rows",
         "missing",
-        F.coalesce("exact", "about", F.lit(0)).alias("distinct"),
+        F.coalesce("exact", F.lit(0)).alias("distinct"),
         "low",
         "high",
         "dated",
@@ -278,53 +263,49 @@ def to_spec(config: DataFrame, problem: str) -> AuditSpec:
     )
 
 
-def _few_facts(df: DataFrame, name: str, by: Sequence[str], tag: str, limit: int = FEW_CLASSES) -> DataFrame:
-    """``(by…, <tag>_distinct, <tag>_integral)``; distinct is exact up to about 5 limits, else a sketch."""
+def _value_facts(df: DataFrame, name: str, by: Sequence[str], tag: str) -> DataFrame:
+    """``(by…, <tag>_distinct, <tag>_integral)`` from the distinct values, which are counted exactly."""
     v = F.col("_v")
-    rows = df.select(*by, clean(df, name).alias("_v")).where(v.isNotNull())
-    number = rows.schema["_v"].dataType
+    values = df.select(*by, clean(df, name).alias("_v")).where(v.isNotNull()).distinct()
+    number = values.schema["_v"].dataType
     as_double = v.try_cast("double") if isinstance(number, T.StringType) else v.cast("double")
     whole = F.coalesce(as_double == F.floor(as_double), F.lit(False))
     if isinstance(number, (*FLOATING, T.DecimalType)):
         whole = whole & (F.abs(as_double) < float("inf"))
-    sketch = group(rows, by, F.approx_count_distinct("_v").alias("about"), F.bool_and(whole).alias("integral"))
-    values = attach(rows, sketch, by, "_s").where(F.col("_s.about") <= 5 * limit).select(*by, "_v").distinct()
-    exact = group(values, by, F.count("_v").alias("exact"))
-    return attach(sketch, exact, by, "_e").select(
-        *by,
-        F.when(F.col("about") <= 5 * limit, F.col("_e.exact")).otherwise(F.col("about")).alias(f"{tag}_distinct"),
-        F.col("integral").alias(f"{tag}_integral"),
-    )
+    return group(values, by, F.count("_v").alias(f"{tag}_distinct"), F.bool_and(whole).alias(f"{tag}_integral"))
 
 
-def problem_type(df: DataFrame, spec: AuditSpec, by: Sequence[str] = (), mode: str = "engine") -> DataFrame:
-    """``(by…, problem)``. The modes differ in their rules:
+def problem_modes(df: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -> DataFrame:
+    """``(by…, engine, analyzer, config, column)``: the problem under the rules of every mode, from one row of facts per key.
 
     ``engine``: predictions with 2 values are binary; whole numbers with up to 20 multiclass; then
     the same for a whole-number truth; else regression. ``analyzer``: float predictions with more
     than 20 values are regression, 2 binary, up to 20 multiclass. ``config``: the prediction column
     alone decides, else the truth; multiclass wants whole numbers or, by column, an int or text type.
     """
-    facts = _few_facts(df, spec.prediction, by, "p")
+    facts = _value_facts(df, spec.prediction, by, "p")
     pd, pi = F.col("p_distinct"), F.col("p_integral")
-    if mode == "engine":
-        rule = F.when(pd == 2, BINARY).when(pi & (pd <= FEW_CLASSES), MULTICLASS)
-        if spec.truth:
-            truth = _few_facts(df, spec.truth, by, "y")
-            facts = attach(facts, truth, by, "_t")
-            yd, yi = F.col("_t.y_distinct"), F.col("_t.y_integral")
-            few = (yd <= FEW_CLASSES) & yi
-            rule = rule.when(few & (yd == 2), BINARY).when(few, MULTICLASS)
-    elif mode == "analyzer":
-        rule = F.when(pd == 2, BINARY).when(pd <= FEW_CLASSES, MULTICLASS)
-    elif mode == "config":
-        rule = F.when(pd == 2, BINARY).when((pd <= FEW_CLASSES) & pi, MULTICLASS)
-    elif mode == "column":
-        discrete = isinstance(df.schema[spec.prediction].dataType, (T.LongType, T.IntegerType, T.StringType))
-        rule = F.when(pd == 2, BINARY).when((pd <= FEW_CLASSES) & F.lit(discrete), MULTICLASS)
-    else:
+    engine = F.when(pd == 2, BINARY).when(pi & (pd <= FEW_CLASSES), MULTICLASS)
+    if spec.truth:
+        facts = attach(facts, _value_facts(df, spec.truth, by, "y"), by, "_t")
+        yd, yi = F.col("_t.y_distinct"), F.col("_t.y_integral")
+        few = (yd <= FEW_CLASSES) & yi
+        engine = engine.when(few & (yd == 2), BINARY).when(few, MULTICLASS)
+    discrete = isinstance(df.schema[spec.prediction].dataType, (T.LongType, T.IntegerType, T.StringType))
+    rules = {
+        "engine": engine,
+        "analyzer": F.when(pd == 2, BINARY).when(pd <= FEW_CLASSES, MULTICLASS),
+        "config": F.when(pd == 2, BINARY).when((pd <= FEW_CLASSES) & pi, MULTICLASS),
+        "column": F.when(pd == 2, BINARY).when((pd <= FEW_CLASSES) & F.lit(discrete), MULTICLASS),
+    }
+    return facts.select(*by, *[rule.otherwise(REGRESSION).alias(mode) for mode, rule in rules.items()])
+
+
+def problem_type(df: DataFrame, spec: AuditSpec, by: Sequence[str] = (), mode: str = "engine") -> DataFrame:
+    """``(by…, problem)`` under the rules of one mode of :func:`problem_modes`."""
+    if mode not in PROBLEM_MODES:
         raise ValueError(f"unknown mode {mode!r}")
-    return facts.select(*by, rule.otherwise(REGRESSION).alias("problem"))
+    return problem_modes(df, spec, by).select(*by, F.col(mode).alias("problem"))
 
 
 def suggested_analyses(df: DataFrame, config: DataFrame) -> DataFrame:

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from predaudit.functions.keys import attach
+from predaudit.functions.keys import attach, join_on
 from predaudit.functions.safe import clean, clean_double, div, div0, numeric_columns, r2
-from predaudit.operators.classification import label_pair
-from predaudit.spec import REGRESSION, AuditSpec
+from predaudit.operators.classification import BASIC, basic_metrics, label_pair, label_totals
+from predaudit.spec import MULTICLASS, REGRESSION, AuditSpec
 
 PSI_BINS = 10
 PSI_FLOOR = 1e-4  # share given to an empty bin so that the logarithm exists
@@ -29,7 +29,7 @@ def timed(df: DataFrame, spec: AuditSpec, watermark: str | None = None) -> DataF
 
 def _binary_sums(df: DataFrame, spec: AuditSpec) -> dict[str, Column]:
     y, p = label_pair(df, spec)
-    positive = F.lit(spec.positive)
+    positive = F.lit(spec.positive).cast(df.select(y.alias("y")).schema["y"].dataType)
     true, called = y == positive, p == positive
     return {
         "n": F.count(F.lit(1)),
@@ -72,6 +72,8 @@ def windowed_metrics(
     known = clean(df, spec.truth).isNotNull() & clean(df, spec.prediction).isNotNull()
     ts = F.col(spec.timestamp)
     window = F.session_window(ts, session_gap) if session_gap else F.window(ts, every, slide or every)
+    if spec.problem == MULTICLASS:
+        return _multiclass_windows(rows.where(known), spec, by, window)
     sums = _regression_sums(df, spec) if spec.problem == REGRESSION else _binary_sums(df, spec)
     grouped = rows.where(known).groupBy(*by, window.alias("_window")).agg(*[c.alias(k) for k, c in sums.items()])
     place = [*by, F.col("_window.start").alias("window_start"), F.col("_window.end").alias("window_end"), "n"]
@@ -97,6 +99,26 @@ def windowed_metrics(
     )
 
 
+def _multiclass_windows(rows: DataFrame, spec: AuditSpec, by: Sequence[str], window: Column) -> DataFrame:
+    """The averaged metrics of :func:`classification.performance` per window, from its counts of (truth, prediction).
+
+    On a batch table the averages follow; a stream cannot aggregate twice in append mode, so there the counts themselves are returned as
+    ``(by…, window_start, window_end, truth, prediction, n)``, from which the same functions make the metrics of finished windows.
+    """
+    y, p = label_pair(rows, spec)
+    counts = (
+        rows.select(*by, spec.timestamp, y.alias("truth"), p.alias("prediction"))
+        .groupBy(*by, window.alias("_window"), "truth", "prediction").agg(F.count(F.lit(1)).alias("n"))
+        .select(*by, F.col("_window.start").alias("window_start"), F.col("_window.end").alias("window_end"), "truth", "prediction", "n")
+    )
+    if rows.isStreaming:
+        return counts
+    keys = [*by, "window_start", "window_end"]
+    totals = label_totals(counts, keys)
+    sizes = totals.groupBy(*keys).agg(F.sum("support").alias("n"))
+    return join_on(sizes, basic_metrics(totals, spec, keys).select(*keys, *BASIC), keys)
+
+
 def write_windows(metrics: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Append finished windows of a streaming metrics table to Parquet, exactly once."""
     writer = metrics.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint)
