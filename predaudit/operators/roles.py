@@ -357,7 +357,7 @@ def configuration_issues(df: DataFrame, spec: AuditSpec, analyses: Sequence[str]
     facts = df.agg(F.count(F.lit(1)).alias("rows"))
     suspicious = F.lit(False)
     if spec.problem == REGRESSION and spec.prediction in df.columns:
-        facts = attach(facts, _few_facts(df, spec.prediction, (), "p", 10), (), "_p")
+        facts = attach(facts, _value_facts(df, spec.prediction, (), "p"), (), "_p")
         suspicious = F.col("_p.p_distinct") <= 10
 
     def issue(when: Column, text: str, column: str | None = None) -> Column:
