@@ -82,6 +82,24 @@ def test_passages_in_lines_and_in_the_middle_of_lines(make_docs, rng):
         assert left[i] == text
 
 
+def test_passages_whose_sentences_do_not_match(make_docs, rng):
+    lines = "\n".join(" ".join(words(rng, 3)) for _ in range(20))
+    inner = " ".join(words(rng, 20)) + ". " + " ".join(words(rng, 9)) + ". " + " ".join(words(rng, 22))
+    plain = " ".join(words(rng, 60))
+    texts = {}
+    for i, passage in enumerate([lines, inner, plain, inner.replace(". ", ".\n")]):
+        for d in (i, i + 10):
+            texts[d] = f"{' '.join(words(rng, 7))} {passage} {' '.join(words(rng, 7))}."
+    got = {}
+    for r in repeated_units(make_docs(texts)).collect():
+        part = texts[r["doc_id"]][r["start"] : r["end"]]
+        assert len(part.split()) == r["words"]
+        got.setdefault((r["doc_id"], r["first_doc_id"]), []).append(part)
+    ninth = inner.split(". ")[1] + "."
+    want = {(10, 0): lines.split("\n")[1:-1], (11, 1): [ninth], (12, 2): [plain], (3, 1): [ninth], (13, 1): [ninth]}
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
 def test_repeats_of_odd_rows(make_docs):
     passage = "one two three four five six. " * 6
     assert repeated_units(make_docs(odd_rows())).collect() == [] and repeated_units(make_docs([])).collect() == []
