@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh3_128_digest
@@ -230,12 +230,15 @@ def _in_stretches(docs: DataFrame, passage: int) -> DataFrame:
     )
 
 
-def repeated_units(docs: DataFrame, least: int = LEAST_WORDS, passage: int = PASSAGE_WORDS) -> DataFrame:
-    """``(doc_id, start, end, words, first_doc_id)``: one row per unit, or part of one, to remove, and where its first occurrence is."""
+def _row() -> Column:
+    """Rows of equal doc_id and text have the same key."""
+    return F.xxhash64("doc_id", F.lit(":"), F.col("text").cast("string"))
+
+
+def _repeated(docs: DataFrame, least: int, passage: int) -> DataFrame:
+    """``(row, doc_id, start, end, words, first_doc_id)``."""
     text = F.col("text").cast("string")
-    keyed = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", F.lit(":"), text).alias("row"), text.alias("text")
-    )
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), text.alias("text"))
     rows = keyed.mapInArrow(
         _exploded(least), "doc_id long, row long, no long, start long, end long, words long, digest binary, again boolean"
     )
@@ -253,7 +256,12 @@ def repeated_units(docs: DataFrame, least: int = LEAST_WORDS, passage: int = PAS
     covered = _in_stretches(keyed.select(rank.alias("rank"), "row", "text"), passage).select(*columns)
     both = whole.unionByName(covered.join(whole.select("row", "unit"), ["row", "unit"], "left_anti").select(*columns))
     doc, first = (F.when(F.col(c) != LAST, F.col(c)).alias(name) for c, name in (("rank", "doc_id"), ("first", "first_doc_id")))
-    return both.select(doc, "start", "end", "words", first)
+    return both.select("row", doc, "start", "end", "words", first)
+
+
+def repeated_units(docs: DataFrame, least: int = LEAST_WORDS, passage: int = PASSAGE_WORDS) -> DataFrame:
+    """``(doc_id, start, end, words, first_doc_id)``: one row per unit, or part of one, to remove, and where its first occurrence is."""
+    return _repeated(docs, least, passage).drop("row")
 
 
 def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -271,9 +279,9 @@ def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
 
 def remove_repeated(docs: DataFrame, least: int = LEAST_WORDS, passage: int = PASSAGE_WORDS) -> DataFrame:
     """All rows and columns of ``docs`` with the text that is left and ``removed``, the spans of the original text that are not."""
-    spans = repeated_units(docs, least, passage).where("doc_id is not null").groupBy(F.col("doc_id").alias("_doc")).agg(
+    spans = _repeated(docs, least, passage).groupBy(F.col("row").alias("_row")).agg(
         F.collect_set(F.struct("start", "end", "first_doc_id")).alias("removed")
     )  # of one document
     cut = F.pandas_udf(_cut, "string")
-    joined = docs.join(store(spans, "repeat-spans"), F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
+    joined = docs.withColumn("_key", _row()).join(store(spans, "repeat-spans"), F.col("_key") == F.col("_row"), "left").drop("_key", "_row")
     return joined.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(cut("text", "removed")))

@@ -106,3 +106,10 @@ def test_repeats_of_odd_rows(make_docs):
     rows = repeated_units(make_docs([(None, passage), (3, "Other words. " + passage)])).collect()
     assert {(r["doc_id"], r["first_doc_id"]) for r in rows} == {(None, 3), (3, 3)}
     assert remove_repeated(make_docs(odd_rows())).count() == len(odd_rows())
+
+
+def test_rows_of_one_doc_id_and_of_none_are_cut_at_their_own_spans(make_docs):
+    passage = "one two three four five six. " * 6
+    rows = [(1, passage), (2, "Own. " + passage), (2, "This other text of the same doc_id stays as it is."), (None, "Nobody's. " + passage)]
+    left = {r["text"].strip() for r in remove_repeated(make_docs(rows)).collect() if r["doc_id"] != 1}
+    assert left == {"Own.", "This other text of the same doc_id stays as it is.", "Nobody's."}
