@@ -100,3 +100,8 @@ def test_messages_give_the_exact_marginals(spark):
             mass[i][labels[i]] += p
     got = marginals(page, model)
     assert all(abs(got[i] - mass[i][1] / sum(mass[i])) < 1e-9 for i in range(1, n))
+
+
+def test_stray_quotes_end_with_their_tag():
+    for tag in ('<p class="a"">', "<p data-x=it's>", '<p data-x=a="b>', "<p 'x>", '<p class = "a>b" ">'):
+        assert [t for t in parse(f"{tag}one</p><p>two</p><p>it's \"three\"</p>").text if t] == ["one", "two", "it's \"three\""], tag
