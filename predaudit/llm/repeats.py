@@ -13,8 +13,8 @@ that a stock phrase or a licence line is left to line deduplication.
 A passage whose ends were edited, or that stands inside other sentences or between other line breaks, may have too few words in units
 that match. So stretches of words are compared as well, across units: every window of ``passage`` words that occurs earlier, by the same order,
 is covered, and a unit, however short, whose words are all covered is removed. Of a unit that is covered in part, what windows inside it cover
-and another document has is removed; a smaller part is left, since a few words at an edge agree by chance. A repeated passage
-of at least ``2 * passage - 1`` words therefore never stays whole, wherever its sentences end.
+and another document has is removed; a smaller part is left, since a few words at an edge agree by chance. A passage
+of at least ``2 * passage - 1`` words that an earlier document has therefore never stays whole, wherever its sentences end.
 
 Which windows can repeat is found first: the smallest hash of the shorter word sequences in a window is the same wherever the window stands,
 and neighbouring windows share it, so a document has one such hash for some seven words. Those that occur once clear their windows by a
