@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from predaudit.functions.lineage import store
 from predaudit.llm import oracles, secrets, warc
+from predaudit.llm.collocations import collocations
 from predaudit.llm.decontaminate import leaks
 from predaudit.llm.extract import main_text
 from predaudit.llm.lines import drop_repeated_lines
 from predaudit.llm.mixing import mix_sources
+from predaudit.llm.partenum import linked_classes
 from predaudit.llm.quality import quality
 from predaudit.llm.repeats import repeated_units
 from predaudit.llm.setsketch import near_duplicates
 from predaudit.llm.sharding import shard_documents
+from predaudit.llm.spelling import variants, vocabulary
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +73,19 @@ def op7_dom_sum_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = vocabulary(_table(spark, sf_dir, "documents"), 7, 2, noise=31)
+    return variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_classes(_table(spark, sf_dir, "documents"), 80)
+
+
+def op13_toivonen_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES = {
     "op1_seekable_warc": op1_seekable_warc,
     "op2_minimax_shards": op2_minimax_shards,
@@ -81,6 +97,9 @@ LLM_QUERIES = {
     "op8_quality_ngram_ratio": op8_quality_ngram_ratio,
     "op9_spaced_seed_leaks": op9_spaced_seed_leaks,
     "op10_line_dedup": op10_line_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_partenum_join": op12_partenum_join,
+    "op13_toivonen_collocations": op13_toivonen_collocations,
     "pipeline": corpus_pipeline.run,
 }
 LLM_ORACLES = {
