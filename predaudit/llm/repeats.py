@@ -1,27 +1,19 @@
 """Repeated passages: lines and paragraphs are cut into sentence units, hashed, and kept where they occur first.
 
-A unit is a stretch of a line up to a sentence end; a passage that was pasted into the middle of a paragraph therefore still shares its inner
-units with other copies. Units are normalised (lower case, single spaces) and digested. Per digest the earliest occurrence, by doc_id
+A unit is a stretch of a line up to a sentence end, however short; a passage that was pasted into the middle of a paragraph therefore still shares its inner
+units with other copies. Units are normalised (lower case, single spaces) and digested to 128 bits. Per digest the earliest occurrence, by doc_id
 and then by offset, stays; all others are removed. Offsets are code points of the original text, end exclusive.
 
 Whether a unit repeats within its own document is seen where the document is read; between documents, the smallest doc_id per digest
 is aggregated, combined before the shuffle, and joined back. A unit that every document shares is one row of that table.
 
-Repeated units of at least ``least`` words that follow one another form a passage. Only passages of at least ``passage`` words are removed, so
-that a stock phrase or a licence line is left to line deduplication.
+Repeated units that follow one another form a run. Only runs of at least ``passage`` words are removed, so that a short sentence that two
+documents share by chance stays. What is left of a passage are its first and last sentence where they were cut or joined with others; a passage that consists of no
+whole sentence is not found.
 
-A passage whose ends were edited, or that stands inside other sentences or between other line breaks, may have too few words in units
-that match. So stretches of words are compared as well, across units: every window of ``passage`` words that occurs earlier, by the same order,
-is covered, and a unit, however short, whose words are all covered is removed. Of a unit that is covered in part, what windows inside it cover
-and another document has is removed; a smaller part is left, since a few words at an edge agree by chance. A passage
-of at least ``2 * passage - 1`` words that an earlier document has therefore never stays whole, wherever its sentences end.
-
-Which windows can repeat is found first: the smallest hash of the shorter word sequences in a window is the same wherever the window stands,
-and neighbouring windows share it, so a document has one such hash for some seven words. Those that occur once clear their windows by a
-bitmap of fixed size; only the other windows are compared.
-
-Defined results: null and empty texts have no units; a null doc_id ranks after all
-others and counts as one document; rows that share a doc_id keep the same units and windows; repeated rows are reported once; an empty table gives no rows.
+Defined results: null and empty texts have no units; a null doc_id ranks after all others and counts as one document; rows that share a doc_id keep the
+same units; repeated rows are reported once; a very long text is a very long list of units, read by one task; an empty table gives no rows; other columns, whatever
+their names, are passed on by :func:`remove_repeated`, but for one named ``removed``, which is replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +21,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,230 +29,78 @@ from pyspark.sql.window import Window
 from xxhash import xxh3_128_digest
 
 from predaudit.functions.lineage import store
-from predaudit.llm.prefilter import BITS, BUCKETS
-from predaudit.llm.shingles import mix, word_hashes
 
-LEAST_WORDS = 5
-PASSAGE_WORDS = 25
+PASSAGE_WORDS = 10
 LAST = 2**63 - 1
 
 _BREAK = re.compile(r"\n|(?<=[.!?])[^\S\n]+")
-_WORD = re.compile(r"\S+")
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def units(text: str | None, least: int) -> list[tuple[int, int, int, bytes]]:
-    """``(start, end, words, digest)`` of all units with at least ``least`` words."""
+def units(text: str | None) -> list[tuple[int, int, int, bytes]]:
+    """``(start, end, words, digest)`` of all units that have a word."""
     found, start = [], 0
     for stop, after in [*((m.start(), m.end()) for m in _BREAK.finditer(text or "")), (len(text or ""), 0)]:
-        if stop - start > 2 * least - 2:  # too short for so many words otherwise
+        if stop > start:
             words = text[start:stop].lower().split()
-            if len(words) >= least:
+            if words:
                 found.append((start, stop, len(words), xxh3_128_digest(" ".join(words).encode())))
         start = after
     return found
 
 
-def _exploded(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
-        for batch in batches:
-            rows = []
-            for doc, key, text in zip(*[c.to_pylist() for c in batch.columns]):
-                seen = set()
-                for no, (start, end, words, digest) in enumerate(units(text, least)):
-                    rows.append((doc, key, no, start, end, words, digest, digest in seen))
-                    seen.add(digest)
-                if len(rows) > 50_000:
-                    yield _batch(rows, types)
-                    rows = []
-            yield _batch(rows, types)
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for rank, row, text in zip(*[c.to_pylist() for c in batch.columns]):
+            seen = set()
+            for no, (start, end, words, digest) in enumerate(units(text)):
+                rows.append((rank, row, no, start, end, words, digest, digest in seen))
+                seen.add(digest)
+            if len(rows) > 50_000:
+                yield _batch(rows)
+                rows = []
+        yield _batch(rows)
 
-    return run
 
-
-def _batch(rows: list[tuple], types: tuple) -> pa.RecordBatch:
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_())
     columns = list(zip(*rows)) if rows else [[]] * len(types)
     return pa.RecordBatch.from_arrays(
-        [pa.array(list(c), t) for c, t in zip(columns, types)], names=["doc_id", "row", "no", "start", "end", "words", "digest", "again"]
+        [pa.array(list(c), t) for c, t in zip(columns, types)], names=["rank", "row", "no", "start", "end", "words", "digest", "again"]
     )
 
 
-def _sequences(words: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all sequences of ``size`` words."""
-    total = np.zeros(max(0, len(words) - size + 1), np.uint64)
-    for j in range(size if len(total) else 0):
-        total = total * _BASE + words[j : j + len(total)]
-    return mix(total)
-
-
-def _least(words: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each window of ``passage`` words the smallest hash of its shorter sequences, and where that stands."""
-    size = (passage + 1) // 2
-    views = np.lib.stride_tricks.sliding_window_view(_sequences(words, size), passage - size + 1)
-    at = views.argmin(1)
-    return views[np.arange(len(at)), at], np.arange(len(at)) + at
-
-
-def _word_hashes(text: str | None) -> np.ndarray:
-    return word_hashes([w.encode() for w in (text or "").lower().split()])
-
-
-def _anchors(passage: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rank, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                words = _word_hashes(text)
-                if len(words) < passage:
-                    continue
-                least, at = _least(words, passage)
-                new = np.concatenate([[True], at[1:] != at[:-1]])  # positions do not decrease
-                found, times = np.unique(least[new], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(found), rank, np.int64)), pa.array(found.view(np.int64)), pa.array(times > 1)], names=["rank", "hash", "again"]
-                )
-
-    return run
-
-
-def _bit(hashes: np.ndarray) -> np.ndarray:
-    return hashes & np.uint64(BUCKETS * BITS - 1)
-
-
-def _windows(shared, passage: int):
-    """One row per document that has windows which may repeat, with its units and those windows."""
-    names = ["rank", "row", "u_start", "u_end", "u_at", "u_words", "pos", "start", "end", "hash", "again"]
-    longs = pa.list_(pa.int64())
-    types = [pa.int64(), pa.int64(), *[longs] * 8, pa.list_(pa.bool_())]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
-        for batch in batches:
-            for rank, row, text in zip(*[c.to_pylist() for c in batch.columns]):
-                words = _word_hashes(text)
-                if len(words) < passage:
-                    continue
-                bit = _bit(_least(words, passage)[0])
-                pos = np.flatnonzero((bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
-                if not len(pos):
-                    continue
-                hashes = _sequences(words, passage)[pos]
-                again = np.ones(len(pos), bool)
-                again[np.unique(hashes, return_index=True)[1]] = False
-                units_ = [(s, e, n) for s, e, n, _ in units(text, 1)]
-                first = np.cumsum([0, *[n for _, _, n in units_]])[:-1]
-                spans = np.zeros((len(words), 2), np.int64)  # only windows inside one unit need theirs
-                for (start, end, n), low in zip(units_, first):
-                    if n >= passage:
-                        spans[low : low + n] = [m.span() for m in _WORD.finditer(text, start, end)]
-                values = [
-                    *[[u[k] for u in units_] for k in (0, 1)], first, [u[2] for u in units_], pos, spans[pos, 0], spans[pos + passage - 1, 1],
-                    hashes.view(np.int64), again,
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([rank, row, *values], types)], names=names)
-
-    return run
-
-
-def _covered(passage: int):
-    """Units, or parts of them, that the repeated windows of a document cover."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        for batch in batches:
-            rows = []
-            for rank, row, *units_, windows in zip(*[c.to_pylist() for c in batch.columns]):
-                windows = sorted((w["pos"], w["start"], w["end"], w["first"]) for w in windows)
-                at = np.array([w[0] for w in windows])
-                stretch = np.cumsum(np.concatenate([[0], at[1:] > at[:-1] + passage]))  # windows that meet share one
-                for start, end, low, n in zip(*units_):
-                    over = range(*np.searchsorted(at, [low - passage + 1, low + n]).tolist())
-                    if not over:
-                        continue
-                    i, j = over[0], over[-1]
-                    if stretch[i] == stretch[j] and at[i] <= low and at[j] + passage >= low + n:
-                        rows.append((rank, row, start, start, end, n, min(windows[k][3] for k in over)))
-                        continue
-                    part = []
-                    for k in over:
-                        pos, begin, stop, first = windows[k]
-                        if low <= pos and pos + passage <= low + n and first != rank:
-                            if part and pos <= part[-1][4]:
-                                part[-1][1:] = [stop, part[-1][2] + pos + passage - part[-1][4], min(part[-1][3], first), pos + passage]
-                            else:
-                                part.append([begin, stop, passage, first, pos + passage])
-                    rows += [(rank, row, start, *p[:4]) for p in part]
-            columns = list(zip(*rows)) if rows else [[]] * len(types)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(columns, types)], names=["rank", "row", "unit", "start", "end", "words", "first"]
-            )
-
-    return run
-
-
-def _in_stretches(docs: DataFrame, passage: int) -> DataFrame:
-    """``(rank, row, unit, start, end, words, first)`` of what repeated windows cover; ``docs`` has rank, row and text."""
-    anchors = docs.mapInArrow(_anchors(passage), "rank long, hash long, again boolean")
-    again = store(
-        anchors.groupBy("hash").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.max("again").alias("within"))
-        .where("low != high or within").select(F.pmod("hash", F.lit(BUCKETS * BITS)).alias("bit")), "repeat-anchors",
-    )
-    bitmap = np.zeros((BUCKETS, BITS // 8), np.uint8)
-    made = again.groupBy(F.floor(F.col("bit") / BITS).alias("bucket")).agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(BITS))).alias("bits"))
-    for bucket, bits in made.collect():  # at most BUCKETS rows of 4 KiB
-        bitmap[bucket] = np.frombuffer(bytes(bits), np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap.reshape(-1))
-    lists = "u_start u_end u_at u_words pos start end hash".split()
-    schema = ", ".join(["rank long, row long", *[f"{c} array<long>" for c in lists], "again array<boolean>"])
-    rows = store(docs.mapInArrow(_windows(shared, passage), schema), "repeat-windows")
-    windows = rows.select("rank", "row", F.explode(F.arrays_zip("pos", "start", "end", "hash", "again")).alias("w")).select("rank", "row", "w.*")
-    earlier = store(
-        windows.groupBy("hash").agg(F.min("rank").alias("first"), F.max("rank").alias("high"), F.max("again").alias("within"))
-        .where("first != high or within").select("hash", "first"), "repeat-earlier",
-    )
-    later = (
-        windows.join(earlier, "hash").where((F.col("rank") != F.col("first")) | F.col("again"))
-        .groupBy("row").agg(F.collect_list(F.struct("pos", "start", "end", "first")).alias("windows"))
-    )  # of one document
-    return (
-        rows.select("rank", "row", "u_start", "u_end", "u_at", "u_words").dropDuplicates(["row"]).join(later, "row")
-        .select("rank", "row", "u_start", "u_end", "u_at", "u_words", "windows")
-        .mapInArrow(_covered(passage), "rank long, row long, unit long, start long, end long, words long, first long")
-    )
+def _rank() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
 
 
 def _row() -> Column:
-    """Rows of equal doc_id and text have the same key."""
-    return F.xxhash64("doc_id", F.lit(":"), F.col("text").cast("string"))
+    """Tells the rows of one doc_id apart; equal for equal texts."""
+    return F.xxhash64(F.col("text").cast("string"))
 
 
-def _repeated(docs: DataFrame, least: int, passage: int) -> DataFrame:
-    """``(row, doc_id, start, end, words, first_doc_id)``."""
-    text = F.col("text").cast("string")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), text.alias("text"))
-    rows = keyed.mapInArrow(
-        _exploded(least), "doc_id long, row long, no long, start long, end long, words long, digest binary, again boolean"
+def _repeated(docs: DataFrame, passage: int) -> DataFrame:
+    """``(rank, row, start, end, words, first)``."""
+    rows = docs.select(_rank().alias("rank"), _row().alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(
+        _exploded, "rank long, row long, no int, start int, end int, words int, digest binary, again boolean"
     )
-    rank = F.coalesce("doc_id", F.lit(LAST))
-    found = store(rows.withColumn("rank", rank), "repeat-units")
+    found = store(rows, "repeat-units")
     several = store(
         found.groupBy("digest").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.max("again").alias("within"))
         .where("first != last or within").select("digest", "first"), "repeat-digests",
     )
-    removed = found.join(several, "digest").where((F.col("rank") != F.col("first")) | F.col("again")).dropDuplicates(["row", "no"])
-    follows = F.col("no") - F.row_number().over(Window.partitionBy("row").orderBy("no"))  # equal for units in sequence
-    passages = removed.withColumn("run", follows).withColumn("run_words", F.sum("words").over(Window.partitionBy("row", "run")))
-    columns = ["rank", "row", "unit", "start", "end", "words", "first"]
-    whole = store(passages.where(F.col("run_words") >= passage).withColumn("unit", F.col("start")).select(*columns), "repeat-whole")
-    covered = _in_stretches(keyed.select(rank.alias("rank"), "row", "text"), passage).select(*columns)
-    both = whole.unionByName(covered.join(whole.select("row", "unit"), ["row", "unit"], "left_anti").select(*columns))
-    doc, first = (F.when(F.col(c) != LAST, F.col(c)).alias(name) for c, name in (("rank", "doc_id"), ("first", "first_doc_id")))
-    return both.select("row", doc, "start", "end", "words", first)
+    later = found.join(several, "digest").where((F.col("rank") != F.col("first")) | F.col("again")).drop("digest", "again")
+    document = ["rank", "row"]
+    removed = later.dropDuplicates([*document, "no"])  # of rows that are repeated as a whole
+    follows = F.col("no") - F.row_number().over(Window.partitionBy(*document).orderBy("no"))  # equal for units in sequence
+    runs = removed.withColumn("run", follows).withColumn("run_words", F.sum("words").over(Window.partitionBy(*document, "run")))
+    return runs.where(F.col("run_words") >= passage).select(*document, "start", "end", "words", "first")
 
 
-def repeated_units(docs: DataFrame, least: int = LEAST_WORDS, passage: int = PASSAGE_WORDS) -> DataFrame:
-    """``(doc_id, start, end, words, first_doc_id)``: one row per unit, or part of one, to remove, and where its first occurrence is."""
-    return _repeated(docs, least, passage).drop("row")
+def repeated_units(docs: DataFrame, passage: int = PASSAGE_WORDS) -> DataFrame:
+    """``(doc_id, start, end, words, first_doc_id)``: one row per unit to remove, and where its first occurrence is."""
+    doc, first = (F.when(F.col(c) != LAST, F.col(c)).alias(name) for c, name in (("rank", "doc_id"), ("first", "first_doc_id")))
+    return _repeated(docs, passage).select(doc, *[F.col(c).cast("long").alias(c) for c in ("start", "end", "words")], first)
 
 
 def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -277,11 +116,15 @@ def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([left(t, s) for t, s in zip(texts, spans)], dtype=object)
 
 
-def remove_repeated(docs: DataFrame, least: int = LEAST_WORDS, passage: int = PASSAGE_WORDS) -> DataFrame:
+def remove_repeated(docs: DataFrame, passage: int = PASSAGE_WORDS) -> DataFrame:
     """All rows and columns of ``docs`` with the text that is left and ``removed``, the spans of the original text that are not."""
-    spans = _repeated(docs, least, passage).groupBy(F.col("row").alias("_row")).agg(
-        F.collect_set(F.struct("start", "end", "first_doc_id")).alias("removed")
-    )  # of one document
+    first = F.when(F.col("first") != LAST, F.col("first"))
+    span = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), first.alias("first_doc_id"))
+    spans = _repeated(docs, passage).groupBy("rank", "row").agg(F.collect_set(span).alias("spans"))  # of one document
+    kept = [c for c in docs.columns if c not in ("text", "removed")]
+    rows = docs.select(_rank().alias("rank"), _row().alias("row"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("rest"), F.col("text").cast("string").alias("text"))
+    joined = rows.join(store(spans, "repeat-spans"), ["rank", "row"], "left")
     cut = F.pandas_udf(_cut, "string")
-    joined = docs.withColumn("_key", _row()).join(store(spans, "repeat-spans"), F.col("_key") == F.col("_row"), "left").drop("_key", "_row")
-    return joined.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(cut("text", "removed")))
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", "spans"))
+    left = joined.select("rest", text.alias("text"), F.col("spans").alias("removed"))
+    return left.select(*["text" if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns if c != "removed"], "removed")

@@ -2,7 +2,12 @@ import random
 
 import pytest
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, label int, rank string, key string, hash string"
+#: Names that the operators use inside.
+CLASHING = (
+    "size", "shard", "rank", "key", "hash", "row", "drops", "removed", "rest", "spans", "_offset", "_in_shard", "_size", "_s", "_source", "_row", "_text",
+    "_set", "node", "component", "band", "word", "phrase", "mask", "item",
+)
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, label int, " + ", ".join(f"{c} string" for c in CLASHING)
 
 
 @pytest.fixture(scope="session")
@@ -12,7 +17,7 @@ def make_docs(spark):
     def make(texts, source="s"):
         pairs = list(texts.items()) if isinstance(texts, dict) else list(texts)
         rows = [
-            (i, t, "en", source(i) if callable(source) else source, None if t is None else len(t), "x", "y", 7, "r", "k", "h") for i, t in pairs
+            (i, t, "en", source(i) if callable(source) else source, None if t is None else len(t), 7, *[f"own {c}" for c in CLASHING]) for i, t in pairs
         ]
         return spark.createDataFrame(rows, DOCS)
 

@@ -3,7 +3,7 @@
 import re
 
 from predaudit.llm.lines import drop_repeated_lines
-from predaudit.llm.repeats import remove_repeated, repeated_units, units
+from predaudit.llm.repeats import remove_repeated, repeated_units
 
 from .conftest import odd_rows, words
 
@@ -28,6 +28,7 @@ def test_lines(make_docs, rng):
         lines = texts[r["doc_id"]].split("\n")
         kept = [x for x in lines if (k := _lower(x.strip(SPACE))) not in several or first[k] == r["doc_id"]]
         assert (r["text"], r["n_lines"], r["n_dropped"]) == ("\n".join(kept), len(lines), len(lines) - len(kept))
+        assert (r["row"], r["drops"], r["rank"]) == ("own row", "own drops", "own rank")
 
 
 def test_lines_of_odd_rows(make_docs):
@@ -43,38 +44,57 @@ def _sentences(rng, n):
     return " ".join(" ".join(words(rng, rng.randrange(6, 14))).capitalize() + "." for _ in range(n))
 
 
+def _plain_units(text):
+    """Units by another way: (start, end, words)."""
+    out, start = [], 0
+    for at in range(len(text) + 1):
+        ends = at == len(text) or text[at] == "\n" or (text[at] in " \t" and at and text[at - 1] in ".!?")
+        if ends:
+            if text[start:at].split():
+                out.append((start, at, len(text[start:at].split())))
+            start = at + 1
+    return out
+
+
+def _brute(texts, passage):
+    """Spans to remove of each document, in order of doc_id."""
+    seen, out = set(), {}
+    for i in sorted(texts):
+        repeated, runs = [], []
+        for no, (start, end, n) in enumerate(_plain_units(texts[i])):
+            unit = " ".join(texts[i][start:end].lower().split())
+            if unit in seen:
+                repeated.append((no, start, end, n))
+            seen.add(unit)
+        for x in repeated:
+            if not runs or runs[-1][-1][0] + 1 != x[0]:
+                runs.append([])
+            runs[-1].append(x)
+        out[i] = {(s, e) for run in runs if sum(x[3] for x in run) >= passage for _, s, e, _ in run}
+    return out
+
+
 def test_passages_in_lines_and_in_the_middle_of_lines(make_docs, rng):
-    shared, stock = [_sentences(rng, 7) for _ in range(3)], "Licensed under some terms of use that all know."
+    shared, stock = [_sentences(rng, 7) for _ in range(3)], "Licensed under some terms of use that all of us know."
     texts = {}
     for i in range(90):
-        parts = [_sentences(rng, rng.randrange(1, 5)) for _ in range(3)] + [stock]
+        parts = [_sentences(rng, rng.randrange(1, 5)) for _ in range(3)] + [stock, "Short one."]
         if i % 3 == 0:
             parts[1] += " " + shared[i % 9 // 3] + " " + _sentences(rng, 2)
+        if i % 7 == 0:  # into the middle of a sentence
+            half = parts[0].split(" ")
+            parts[0] = " ".join([*half[:3], shared[0], *half[3:]])
         if i % 10 == 0:
             parts.append(parts[0])
         texts[i] = "\n".join(parts)
-    first, want = {}, {}
-    for i in sorted(texts):
-        run = []
-        for no, (start, end, n, digest) in enumerate(units(texts[i], 5)):
-            if digest in first:
-                run.append((no, start, end, n))
-            else:
-                first[digest] = i
-        runs, last = [], None
-        for x in run:
-            if last is None or x[0] != last + 1:
-                runs.append([])
-            runs[-1].append(x)
-            last = x[0]
-        want[i] = {(s, e) for r in runs if sum(x[3] for x in r) >= 25 for _, s, e, _ in r}
+    want = _brute(texts, 10)
     got = {i: set() for i in texts}
     for r in repeated_units(make_docs(texts)).collect():
-        assert re.fullmatch(r"\S.*\S", texts[r["doc_id"]][r["start"] : r["end"]])
+        part = texts[r["doc_id"]][r["start"] : r["end"]]
+        assert re.fullmatch(r"\S.*\S", part) and len(part.split()) == r["words"] and r["first_doc_id"] <= r["doc_id"]
         got[r["doc_id"]].add((r["start"], r["end"]))
     assert got == want
-    later = [i for i in texts if i % 3 == 0 and i > 8]
-    assert all(got[i] for i in later) and not any(got[i] for i in texts if i % 3 and i % 10)
+    assert all(len(got[i]) > 6 for i in texts if i % 3 == 0 and i > 8) and all(len(got[i]) > 4 for i in texts if i % 7 == 0 and i)
     left = {r["doc_id"]: r["text"] for r in remove_repeated(make_docs(texts)).collect()}
     for i, text in texts.items():
         for s, e in sorted(want[i], reverse=True):
@@ -82,22 +102,21 @@ def test_passages_in_lines_and_in_the_middle_of_lines(make_docs, rng):
         assert left[i] == text
 
 
-def test_passages_whose_sentences_do_not_match(make_docs, rng):
-    lines = "\n".join(" ".join(words(rng, 3)) for _ in range(20))
-    inner = " ".join(words(rng, 20)) + ". " + " ".join(words(rng, 9)) + ". " + " ".join(words(rng, 22))
-    plain = " ".join(words(rng, 60))
-    texts = {}
-    for i, passage in enumerate([lines, inner, plain, inner.replace(". ", ".\n")]):
-        for d in (i, i + 10):
-            texts[d] = f"{' '.join(words(rng, 7))} {passage} {' '.join(words(rng, 7))}."
-    got = {}
-    for r in repeated_units(make_docs(texts)).collect():
-        part = texts[r["doc_id"]][r["start"] : r["end"]]
-        assert len(part.split()) == r["words"]
-        got.setdefault((r["doc_id"], r["first_doc_id"]), []).append(part)
-    ninth = inner.split(". ")[1] + "."
-    want = {(10, 0): lines.split("\n")[1:-1], (11, 1): [ninth], (12, 2): [plain], (3, 1): [ninth], (13, 1): [ninth]}
-    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+def test_random_tables_and_passages_of_fifty_words(make_docs, rng):
+    vocabulary = [f"v{i}" for i in range(40)]
+    passages = [" ".join(words(rng, rng.randrange(4, 9))) + "." for _ in range(12)]
+    long = [" ".join(passages[i : i + 8]) for i in (0, 4)]
+    texts = {
+        i: " ".join(rng.choice([rng.choice(passages), rng.choice(vocabulary), rng.choice(vocabulary) + rng.choice(".!?"), "\n", "\t", *long]) for _ in range(rng.randrange(40)))
+        for i in range(150)
+    }
+    for passage in (1, 10, 25):
+        got = {i: set() for i in texts}
+        for r in repeated_units(make_docs(texts), passage).collect():
+            got[r["doc_id"]].add((r["start"], r["end"]))
+        # a blank before the first word of a unit belongs to no unit in the operator
+        strip = {i: {(s + len(texts[i][s:e]) - len(texts[i][s:e].lstrip(" \t")), e) for s, e in spans} for i, spans in _brute(texts, passage).items()}
+        assert {i: {(s + len(texts[i][s:e]) - len(texts[i][s:e].lstrip(" \t")), e) for s, e in spans} for i, spans in got.items()} == strip
 
 
 def test_repeats_of_odd_rows(make_docs):
@@ -106,6 +125,12 @@ def test_repeats_of_odd_rows(make_docs):
     rows = repeated_units(make_docs([(None, passage), (3, "Other words. " + passage)])).collect()
     assert {(r["doc_id"], r["first_doc_id"]) for r in rows} == {(None, 3), (3, 3)}
     assert remove_repeated(make_docs(odd_rows())).count() == len(odd_rows())
+    copies = [(None, "Own. " + passage)] * 3 + [(1, passage)]
+    assert repeated_units(make_docs(copies)).count() == 6 + 5
+    assert [r["text"].strip() for r in remove_repeated(make_docs(copies)).collect() if r["doc_id"] is None] == ["Own."] * 3
+    rows = {r["doc_id"]: r for r in remove_repeated(make_docs({1: passage, 2: "Other. " + passage})).collect()}
+    assert rows[2]["text"].strip() == "Other." and (rows[2]["rest"], rows[2]["row"], rows[2]["spans"]) == ("own rest", "own row", "own spans")
+    assert len(rows[2]["removed"]) == 6 and rows[1]["removed"] is None
 
 
 def test_rows_of_one_doc_id_and_of_none_are_cut_at_their_own_spans(make_docs):
