@@ -52,22 +52,31 @@ def _docs(spark, rows):
     return spark.createDataFrame([(i, lang, text, 1, "k", 2) for i, (lang, text) in enumerate(rows)], "doc_id long, lang string, text string, a int, phrase string, rank int")
 
 
-@pytest.mark.parametrize("share,stretch", [(1, 10**6), (8, 500), (1000, 2000)])  # a sample of all, some and hardly any documents
+@pytest.mark.parametrize("share,stretch", [(1, 10**7), (8, 100), (1000, 2000)])  # a sample of all, some and hardly any documents
 def test_phrases_equal_brute_force(spark, rng, monkeypatch, share, stretch):
     monkeypatch.setattr(module, "STRETCH", stretch)
+    monkeypatch.setattr(module, "BUFFER", min(module.BUFFER, stretch))
     rows = _texts(rng)
     got = sorted(tuple(r) for r in collocations(_docs(spark, rows), least=12, top=40, share=share).collect())
     want = _brute(rows, 12, top=40)
     assert got == want and max(len(r[2].split()) for r in want) == 4 and {r[0] for r in want} == {"en", "de", "und"}
 
 
-def test_failures_of_the_sample_are_counted_in_further_passes(spark, rng, monkeypatch):
-    rows, passes = _texts(rng), []
-    whole = module.phrase_counts
-    monkeypatch.setattr(module, "phrase_counts", lambda texts, sizes, *rest: passes.append(sizes) or whole(texts, sizes, *rest))
+def test_all_failures_of_the_sample_are_made_good(spark, rng, monkeypatch):
+    rows = _texts(rng)
     monkeypatch.setattr(module, "proposals", lambda texts, *_: texts.selectExpr("1 as size", "0L as key", "0L as check").limit(0))
     got = sorted(tuple(r) for r in collocations(_docs(spark, rows), least=12).collect())
-    assert got == _brute(rows, 12) and passes == [(1, 2, 3, 4), (2, 3, 4), (2, 3, 4), (2, 3, 4)]
+    assert got == _brute(rows, 12)
+
+
+def test_words_of_one_hash_are_equal(rng):
+    texts = [(b"en", " ".join(rng.choice("abcAB.") * rng.randrange(1, 4) + rng.choice("xyé") for _ in range(200)).encode()) for _ in range(40)]
+    words = module.Words(texts, module._powers(1 << 20))
+    by_hash = {}
+    for i in range(len(words.start)):
+        by_hash.setdefault((int(words.hash[0][i]), int(words.hash[1][i])), set()).add(words.text(i, 1))
+    assert all(len(x) == 1 for x in by_hash.values()) and len(by_hash) == len({w for x in by_hash.values() for w in x})
+    assert [x for t in texts for x in module._cut(t[1])] == [t[1] for t in texts]
 
 
 def test_scores_beyond_64_bits(spark):
