@@ -7,40 +7,45 @@
    that is the same for all sets hold one that the other set has among its own first: these are the signatures. Large subsets come
    first, since small ones are shared by chance. A set with at most ``k`` ranges that are not empty has one more signature, for the case that
    the pair agrees in empty ranges only. No linked pair is missed, whatever the hash values.
-3. Documents with the same set are one node, named by their smallest doc_id. Nodes that share a signature meet in a bucket, where each is compared
-   with the smallest. A parity sketch (one bit for the number of elements that hash to it being odd) differs in no more bits than the sets differ in elements,
-   so it rules out pairs exactly; the others are verified on the full sets of the whole texts.
+3. Documents with the same text are one node, named by their smallest doc_id. Signatures are sorted and packed in the tasks that make them, a stretch of
+   nodes at a time, and dealt by their value to slabs of bounded size, where equal ones meet; one that a stretch holds several times is sent once.
+   Nodes that share a signature form a bucket, where each is compared with the smallest. A parity sketch (one bit for the number of elements that
+   hash to it being odd) differs in no more bits than the sets differ in elements, so it rules out pairs exactly; the others are verified on the
+   full sets of the whole texts.
 4. Buckets that hold several components of these links are cut into blocks whose sketches are compared in full. Every node that may have a
    partner in another component is verified against the closest one; what is then still open is compared in full, by bit matrices of the shingles.
 
 No group of copies is expanded into its pairs, and no bucket meets in one task.
 
 Defined results: a null or wordless text has an empty set and no links; fewer words than a shingle make one shingle; rows with a null doc_id are not
-linked and have a null component; rows of one doc_id and different texts are linked each by its own set; an empty table gives no rows; other columns are ignored.
+linked and have a null component; rows of one doc_id and different texts are linked each by its own set; a very long text is one set in one task; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest
 
 from predaudit.functions.lineage import store
+from predaudit.llm.arrow import to_batch
 from predaudit.llm.components import components
-from predaudit.llm.prefilter import likely_in
+from predaudit.llm.prefilter import likely_in, without
 from predaudit.llm.setsketch import BLOCK, BLOCK_SHINGLES, _cells, verified
 from predaudit.llm.shingles import mix, shingle_set
 
+STRETCH = 1_000_000  # signatures that are packed together
+SLAB = 4_000_000  # shingles whose signatures, somewhat more than half as many, meet in one task at a time
+LOW_BITS = 40
+LOW = np.uint64(2**LOW_BITS - 1)
 SKETCH_BLOCK = 2048  # nodes of a bucket whose sketches are compared in one task at a time
 ROUNDS = 2  # of verifying the closest partner before what is left is compared in full
 
 
-@lru_cache(maxsize=None)
 def band(size: int, percent: int) -> tuple[int, int]:
     """Number and largest size of the band of a set size."""
     number, low = 0, 1
@@ -60,9 +65,9 @@ def signatures(found: np.ndarray, percent: int) -> np.ndarray:
     out = []
     for instance, largest in ((number, high), (number + 1, (high + 1) * 100 // percent)):
         k = difference(2 * largest, percent)
-        if not k:
-            continue  # linked sets are equal
-        ranges = k + 1 + max(3, (k + 1) * 3 // 10)
+        if not k and instance > number:
+            continue  # no set of the next band is linked with this one
+        ranges = k + 1 + max(3, (k + 1) * 3 // 10) if k else 1  # without differences the whole set is the signature
         index = ((found >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
         held = np.diff(np.append(first, len(found)))
@@ -92,30 +97,116 @@ def _binary(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def _described(percent: int):
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes, sketches = [], []
+        for text in _binary(batch.column(2)):
+            found = shingle_set(text)
+            sizes.append(len(found))
+            sketches.append(parity(found).tobytes() if len(found) else None)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], names=["text_key", "node", "n_shingles", "sketch"]
+        )
+
+
+def _slab(signed: np.ndarray, slabs: int) -> np.ndarray:
+    return (((signed >> np.uint64(32)) * np.uint64(slabs)) >> np.uint64(32)).astype(np.int64)
+
+
+def _bucket(signed: np.ndarray, slab: np.ndarray) -> np.ndarray:
+    """Name of a bucket: the slab and the low bits of the signature."""
+    return ((slab.astype(np.uint64) << np.uint64(LOW_BITS)) | (signed & LOW)).view(np.int64)
+
+
+PACKED = pa.schema([("slab", pa.int32()), ("low", pa.binary()), ("at", pa.binary()), ("nodes", pa.binary()), ("band", pa.int64()), ("node", pa.int64())])
+
+
+def _packed(percent: int, slabs: int):
+    """Signatures of stretches of nodes, one row per slab; and a row for every further node of a bucket that a stretch has several nodes of."""
+
+    def stretch(nodes: list[int], signed: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        values = np.concatenate(signed)
+        owner = np.repeat(np.arange(len(nodes)), [len(x) for x in signed])
+        order = np.lexsort((np.array(nodes)[owner], values))
+        values, owner = values[order], owner[order]
+        first = np.concatenate([[True], values[1:] != values[:-1]])
+        several = np.zeros(len(values), bool)
+        several[:-1] = ~first[1:] & first[:-1]
+        slab, names = _slab(values, slabs), np.array(nodes, np.int64)
+        again = np.flatnonzero(~first)
+        again = again[names[owner[again]] != names[owner[again - 1]]]  # rows that repeat a doc_id and a text
+        if len(again):
+            empty = pa.nulls(len(again), pa.binary())
+            band = _bucket(values[again], slab[again])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slab[again].astype(np.int32)), empty, empty, empty, pa.array(band), pa.array(names[owner[again]])], schema=PACKED
+            )
+        at = (owner[first] | (several[first] << 15)).astype(np.uint16)
+        values, slab = values[first], slab[first]
+        low = (values & LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : LOW_BITS // 8]
+        ends = np.flatnonzero(np.concatenate([slab[1:] != slab[:-1], [True]])) + 1
+        starts = np.concatenate([[0], ends[:-1]])
+        rows = [(int(slab[i]), low[i:j].tobytes(), at[i:j].tobytes(), names.tobytes(), None, None) for i, j in zip(starts, ends)]
+        yield to_batch(rows, PACKED)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, signed, held = [], [], 0
         for batch in batches:
-            sizes, keys, sketches, signed = [], [], [], []
-            for text in _binary(batch.column(1)):
+            for node, text in zip(batch.column(0).to_pylist(), _binary(batch.column(1))):
                 found = shingle_set(text)
-                some = len(found) > 0
-                sizes.append(len(found))
-                keys.append(xxh3_128_digest(found.tobytes()) if some else None)
-                sketches.append(parity(found).tobytes() if some else None)
-                signed.append(signatures(found, percent).view(np.int64) if some else None)
-            columns = [
-                batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()),
-                pa.array(signed, pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key", "sketch", "signatures"])
+                if len(found) and len(mine := signatures(found, percent)):
+                    nodes.append(node)
+                    signed.append(mine)
+                    held += len(mine)
+                    if held >= STRETCH or len(nodes) == 2**15 - 1:
+                        yield from stretch(nodes, signed)
+                        nodes, signed, held = [], [], 0
+        if nodes:
+            yield from stretch(nodes, signed)
 
     return run
 
 
-def described(docs: DataFrame, percent: int) -> DataFrame:
-    """``(doc_id, n_shingles, set_key, sketch, signatures)`` of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_described(percent), "doc_id long, n_shingles long, set_key binary, sketch binary, signatures array<long>")
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(band, node)`` of the signatures of a slab that several nodes have. Rows come sorted by slab."""
+    current, held = None, []
+
+    def shared() -> Iterator[pa.RecordBatch]:
+        count = np.array([len(at) // 2 for _, at, _ in held])
+        low = np.zeros((count.sum(), 8), np.uint8)
+        low[:, : LOW_BITS // 8] = np.frombuffer(b"".join(x for x, _, _ in held), np.uint8).reshape(-1, LOW_BITS // 8)
+        value = low.reshape(-1).view("<u8").astype(np.uint64)
+        at = np.frombuffer(b"".join(x for _, x, _ in held), np.uint16)
+        tables = [np.frombuffer(x, np.int64) for _, _, x in held]
+        base = np.repeat(np.cumsum([0, *[len(t) for t in tables[:-1]]]), count)
+        node = np.concatenate(tables)[base + (at & np.uint16(2**15 - 1))]
+        order = np.argsort(value, kind="stable")
+        value, node, several = value[order], node[order], (at >> np.uint16(15)).astype(bool)[order]
+        same = np.concatenate([[False], value[1:] == value[:-1], [False]])
+        keep = same[1:] | same[:-1] | several
+        band = (np.uint64(current) << np.uint64(LOW_BITS)) | value[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(band.view(np.int64)), pa.array(node[keep])], names=["band", "node"])
+
+    for batch in batches:
+        passed = batch.filter(batch.column(5).is_valid())
+        if passed.num_rows:
+            yield pa.RecordBatch.from_arrays([passed.column(4), passed.column(5)], names=["band", "node"])
+        for slab, *packed, _, node in zip(*[c.to_pylist() for c in batch.columns]):
+            if node is None:
+                if slab != current and held:
+                    yield from shared()
+                    held = []
+                current = slab
+                held.append(packed)
+    if held:
+        yield from shared()
+
+
+def shared_signatures(texts: DataFrame, elements: int, percent: int) -> DataFrame:
+    """``(band, node)``: the buckets of several nodes. ``texts`` are ``(doc_id, text)`` with ``elements`` shingles in all."""
+    slabs = max(1, -(-elements // SLAB))
+    rows = texts.select("doc_id", "text").mapInArrow(_packed(percent, slabs), "slab int, low binary, at binary, nodes binary, band long, node long")
+    return rows.repartition(min(slabs, 10_000), "slab").sortWithinPartitions("slab").mapInArrow(_meeting, "band long, node long")
 
 
 def _close(one: np.ndarray, n_one, others: np.ndarray, n_others: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -245,37 +336,44 @@ def _compared(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 def linked_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every row of ``docs``; the component is the smallest doc_id that links lead to."""
-    rows = store(described(docs, percent), "pe-rows")
-    named = rows.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    sets = store(named.groupBy("set_key").agg(F.min("doc_id").alias("node")), "pe-sets")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    keyed = docs.withColumn("text_key", F.unhex(F.md5("text")))
+    rows = store(keyed.select("doc_id", "text_key"), "pe-rows")
+    texts = store(rows.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows")), "pe-texts")
+    # one row of each text: rows of texts that stand alone are passed on without a shuffle
+    name = F.concat("text_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    copies = rows.join(texts.where("rows > 1").drop("rows"), "text_key").where(~F.col("doc_id").eqNullSafe(F.col("node"))).select(name.alias("name")).distinct()
+    ones = without(keyed.withColumn("name", name), "name", store(copies, "pe-copies")).withColumnRenamed("doc_id", "node")
     nodes = store(
-        named.withColumnRenamed("doc_id", "node").join(sets, ["node", "set_key"]).dropDuplicates(["node", "set_key"])
-        .select("node", "n_shingles", "sketch", "signatures"), "pe-nodes",
-    )
-    signed = nodes.select("node", "n_shingles", F.explode("signatures").alias("band"))
-    shared = store(
-        signed.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most").select("band", "least"), "pe-shared"
+        ones.select("text_key", "node", "text").mapInArrow(_described, "text_key binary, node long, n_shingles long, sketch binary")
+        .dropDuplicates(["text_key"]), "pe-nodes",
     )
-    members = store(likely_in(signed, "band", shared.select("band")).join(shared, "band"), "pe-members")
+    named = nodes.where("node is not null and n_shingles > 0")
+    single = ones.where("node is not null").select(F.col("node").alias("doc_id"), "text")
+    elements = named.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    bands = store(shared_signatures(single, elements, percent), "pe-bands")
+    least = store(bands.groupBy("band").agg(F.min("node").alias("least")), "pe-least")
+    members = bands.join(least, "band").join(named.select("node", "n_shingles").dropDuplicates(["node"]), "node")
+    members = store(members.select("band", "node", "n_shingles", "least"), "pe-members")
     star = members.where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    links = store(verified(store(possible_pairs(star, nodes, percent), "pe-star"), docs, percent), "pe-links")
+    links = store(verified(store(possible_pairs(star, named, percent), "pe-star"), single, percent), "pe-links")
     labels = components(links)
     for _ in range(ROUNDS):
         members = store(_labelled(members, labels), "pe-labelled")
-        found = store(closest_partners(members, nodes, percent), "pe-closest")
+        found = store(closest_partners(members, named, percent), "pe-closest")
         if found.isEmpty():
             break
         pairs = found.where("partner is not null").select(F.greatest("node", "partner").alias("a"), F.least("node", "partner").alias("b")).distinct()
-        more = store(verified(store(pairs, "pe-pairs"), docs, percent), "pe-links")
+        more = store(verified(store(pairs, "pe-pairs"), single, percent), "pe-links")
         links = links.unionByName(more)
         labels = components(links)
         members = members.join(found.select("band", "node").distinct(), ["band", "node"], "left_semi")
     else:
         members = store(_labelled(members, labels), "pe-labelled")
-        links = links.unionByName(store(_compared(members, docs, percent), "pe-links"))
+        links = links.unionByName(store(_compared(members, single, percent), "pe-links"))
         labels = components(links)
-    classes = _labelled(rows.where("set_key is not null").select("doc_id", "n_shingles", "set_key").join(sets, "set_key", "left"), labels)
-    alone = rows.where("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return classes.select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
-    ).unionByName(alone)
+    classes = _labelled(texts.select("text_key", "node").where("node is not null"), labels)
+    known = classes.join(nodes.select("text_key", "n_shingles"), "text_key").select("text_key", "n_shingles", "component")
+    unknown = nodes.where("node is null").select("text_key", "n_shingles", F.lit(None).cast("long").alias("component"))
+    linked = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
+    return rows.join(known.unionByName(unknown), "text_key").select("doc_id", "n_shingles", linked.alias("component_id"))
