@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from predaudit.catalog.views import view_sql
+from predaudit.catalog.views import FAULTY, SPECS, faulty_spec, view_sql
 
 ORACLES: dict[str, str] = {}
 
@@ -236,6 +236,34 @@ ORACLES["jarque_bera"] = with_view(
 )
 
 
+def horner(coefficients: tuple[float, ...], x: str) -> str:
+    """Value of a polynomial, highest power first."""
+    text = repr(coefficients[0])
+    for c in coefficients[1:]:
+        text = f"({text} * {x} + {c!r})"
+    return text
+
+
+# The published rational form of the normal distribution function below 7.07, and polynomials of the p-value.
+UPPER = f"""exp(-x * x / 2) * {horner((0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376), 'x')}
+  / {horner((0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752), 'x')}"""
+FITTED = f"""case when m <= 0.302 then 1 when m <= 0.5 then {horner((81.218052, -138.55152, 80.709644, -19.828315, 2.76773), 'm')}
+  when m <= 0.9 then {horner((-32.355711, 94.029866, -97.490286, 40.662806, -4.901232), 'm')}
+  when m <= 1.31 then {horner((2.423045, -12.234627, 23.186922, -19.558097, 6.198765), 'm')} else 0 end"""
+ORACLES["ks_normality"] = with_view(
+    "items",
+    f"""{RESIDUALS},
+z as (select l_returnflag, (res - avg(res) over w) / stddev_samp(res) over w as z, row_number() over (partition by l_returnflag order by res) as i,
+  count(*) over w as n from e window w as (partition by l_returnflag)),
+u as (select *, abs(z) as x from z),
+f as (select *, case when z > 0 then 1 - ({UPPER}) else {UPPER} end as f from u),
+d as (select l_returnflag, any_value(n) as n, max(greatest(i * 1.0 / n - f, f - (i - 1) * 1.0 / n)) as d from f group by l_returnflag),
+m as (select *, (sqrt(n) - 0.01 + 0.85 / sqrt(n)) * d as m, least(n, 100) as s, case when n > 100 then d * power(n / 100.0, 0.49) else d end as k from d),
+p as (select *, exp(-7.01256 * k * k * (s + 2.78019) + 2.99587 * k * sqrt(s + 2.78019) - 0.122119 + 0.974598 / sqrt(s) + 1.67997 / s) as tail from m)
+select l_returnflag, n, {r('d')} as statistic, {r(f'least(1, greatest(0, case when tail > 0.1 then {FITTED} else tail end))')} as p_value from p""",
+)
+
+
 def outliers(by: list[str]) -> str:
     on = " and ".join([f"e.{k} = c.{k}" for k in by] + ["true"])
     e = "".join(f"e.{k}, " for k in by)
@@ -687,6 +715,56 @@ union all select 'high_cardinality', 'warning', '{c}', -1 from v having count(di
 union all select 'protected_cardinality', 'warning', 'l_linestatus', -1 from v having count(distinct l_linestatus) > 50)
 """
 ORACLES["validation_issues"] = with_view("nulls", ISSUES + "select * from issues")
+def faults(name: str) -> str:
+    """Every rule of validation on one faulty table, as rows of ``(data, rule, severity, column, affected_rows, value)``."""
+    columns, spec = FAULTY[name][1], faulty_spec(name)
+    numbers, texts = ([c for c, k in columns.items() if k == kind] for kind in ("number", "text"))
+    gap = {c: f"({c} is null or isnan(cast({c} as double)))" if c in numbers else f"({c} is null)" for c in columns}
+    cells = " + ".join(f"count(*) filter (where {g})" for g in gap.values())
+    rows = [
+        "select 'empty_data', 'error', '', -1, -1.0 from f where n = 0",
+        "select 'missing_overall', case when missing > 50 then 'error' else 'warning' end, '', -1, missing from f where missing > 20",
+        "select 'duplicates', case when share > 10 then 'warning' else 'info' end, '', copies, share from f where share > 10 or copies > 1",
+        "select 'sample_size', case when n < 10 then 'error' else 'warning' end, '', -1, n from f where n < 100",
+    ]
+    if not numbers:
+        rows.append("select 'no_numeric_columns', 'warning', '', -1, -1.0 from f")
+    rows += [f"select 'protected_absent', 'error', '{a}', -1, -1.0 from f" for a in spec.protected if a not in columns]
+    if "prediction" in columns:
+        rows += [
+            "select 'prediction_nan', 'error', '', -1, nans from p where nans > 0",
+            "select 'prediction_infinite', 'error', '', -1, infs from p where infs > 0",
+            "select 'prediction_constant', 'error', '', -1, -1.0 from p where kinds = 1",
+            "select 'prediction_diversity', 'warning', '', -1, kinds from p where kinds <> 1 and kinds < 0.01 * n",
+            "select 'prediction_imbalance', 'warning', '', -1, -1.0 from p where kinds <= 20 and lo < 0.01 * hi",
+        ]
+    else:
+        rows.append("select 'no_predictions', 'error', '', -1, -1.0 from f where n > 0")
+    if spec.truth:
+        rows.append(f"select 'truth_nan', 'warning', '', -1, count(*) filter (where {gap[spec.truth]}) from v having count(*) filter (where {gap[spec.truth]}) > 0")
+    for c in columns:
+        lost = f"count(*) filter (where {gap[c]})"
+        rows.append(f"select 'missing_column', 'warning', '{c}', {lost}, 100.0 * {lost} / count(*) from v having {lost} > 0.5 * count(*)")
+        if c in texts:
+            rows.append(f"select 'high_cardinality', 'warning', '{c}', -1, count(distinct {c}) from v having count(distinct {c}) > 50")
+        if c in spec.protected:
+            rows.append(f"select 'protected_cardinality', 'warning', '{c}', -1, count(distinct {c}) from v having count(distinct {c}) > 50")
+    for c in numbers:
+        rows.append(f"select 'zero_variance', 'warning', '{c}', -1, -1.0 from v where not {gap[c]} having count(*) > 1 and min({c}) = max({c})")
+        rows.append(
+            f"""select 'extreme_values', 'warning', '{c}', count(*), count(*) from (select abs(x - avg(x) over ()) / nullif(stddev_samp(x) over (), 0) as z
+  from (select cast({c} as double) as x from v where not {gap[c]} and not isinf(cast({c} as double)))) where z > 5 having count(*) > 0"""
+        )
+    predicted = f"""p as (select count(*) as kinds, min(k) as lo, max(k) as hi, coalesce(sum(k) filter (where x is null), 0) as nans,
+  coalesce(sum(k) filter (where isinf(x)), 0) as infs, sum(k) as n
+  from (select case when not {gap['prediction']} then cast(prediction as double) end as x, count(*) as k from v group by x)),""" if "prediction" in columns else ""
+    return f"""select '{name}' as "data", rule, severity, col as "column", cast(affected as bigint) as affected_rows, {r('cast(value as double)')} as value from (
+with v as ({view_sql(name)}), c as (select count(*) as n, {cells} as lost from v), d as (select count(*) as b from (select distinct * from v)), {predicted}
+f as (select n, n - b as copies, 100.0 * (n - b) / nullif(n, 0) as share, 100.0 * lost / nullif(n * {len(columns)}, 0) as missing from c, d)
+{' union all '.join(rows)}) z(rule, severity, col, affected, value)"""
+
+
+ORACLES["validation_rules"] = " union all ".join(faults(name) for name in FAULTY)
 ORACLES["validation_summary"] = with_view(
     "nulls",
     ISSUES
@@ -743,6 +821,112 @@ ORACLES["prepared_missing"] = with_view(
     + f""") select "column", missing_count, {r('100.0 * missing_count / n')} as missing_percentage from m where missing_count > 0""",
 )
 
+# The name keywords of each role, in tie order of the roles.
+ROLE_WORDS = {
+    "prediction": ["prediction", "pred", "predicted", "predict", "output", "y_pred", "forecast", "estimate", "score", "class", "label"],
+    "true_value": ["true", "actual", "real", "ground_truth", "target", "y_true", "label", "correct", "reference", "expected"],
+    "probability": ["prob", "probability", "confidence", "score", "likelihood", "prob_", "proba", "confidence_score"],
+    "protected_attribute": [
+        "gender", "race", "ethnicity", "age", "religion", "disability", "sexual_orientation", "nationality", "protected", "sensitive", "demographic",
+        "group", "category",
+    ],
+    "timestamp": ["time", "date", "timestamp", "created", "updated", "datetime", "period", "when", "at"],
+    "identifier": ["id", "identifier", "key", "index", "row", "record", "unique", "uuid", "guid"],
+}
+DOC_COLUMNS = {
+    "doc_id": "int", "prediction": "int", "true_label": "int", "score": "float", "lang": "text", "source": "text", "toxic": "int", "n_chars": "int",
+}
+CUSTOMER_COLUMNS = {"c_custkey": "int", "c_name": "text", "c_nationkey": "int", "c_mktsegment": "text", "c_acctbal": "float"}
+
+
+def column_sql(columns: dict[str, str], source: str) -> str:
+    """Facts of every column."""
+    parts = []
+    for i, (c, kind) in enumerate(columns.items()):
+        low, high = (f"cast(min({c}) as double)", f"cast(max({c}) as double)") if kind == "float" else ("null", "null")
+        dated = f"count(*) filter (where {c} is not null and try_cast({c} as timestamp) is null) = 0" if kind == "text" else "null"
+        parts.append(
+            f"""select {i} as ordinal, '{c}' as "column", '{kind}' as kind, count(*) as "rows", count(*) filter (where {c} is null) as missing,
+  count(distinct {c}) as n_values, {low} as low, {high} as high, {dated} as dated from {source}"""
+        )
+    return "fx as (" + " union all ".join(parts) + ")"
+
+
+def role_sql(columns: dict[str, str], source: str, token: bool = False) -> str:
+    """Roles from the best of name and data scores; data scores replace name scores."""
+    words = ", ".join(f"({i}, '{role}', '{w}')" for i, (role, ws) in enumerate(ROLE_WORDS.items()) for w in ws)
+    inside = (
+        "when list_contains(string_split(n, '_'), word) or contains('_' || n || '_', '_' || word || '_') then 0.8 else 0 end"
+        if token
+        else "when starts_with(n, word) or ends_with(n, word) then 0.8 when contains(n, word) then 0.6 else 0 end"
+    )
+    return f"""{column_sql(columns, source)}, kw(tie, role, word) as (values {words}),
+ns as (select ordinal, tie, role, max(case when n = word then 1.0 {inside}) as score from (select *, lower("column") as n from fx), kw group by all),
+rs as (select ns.*, "column", coalesce(case
+  when role in ('prediction', 'true_value') and n_values = 2 and kind in ('int', 'bool') then 0.7
+  when role = 'probability' and kind = 'float' and low >= 0 and high <= 1 then 0.8
+  when role = 'protected_attribute' and kind = 'text' and n_values < 20 then 0.4
+  when role = 'timestamp' and (kind = 'time' or (kind = 'text' and missing < "rows" and dated)) then 0.9
+  when role = 'identifier' and n_values = "rows" and n_values > 10 then 0.8 end, score) as s from ns join fx using (ordinal)),
+rk as (select *, row_number() over (partition by ordinal order by s desc, tie) as k from rs),
+ro as (select ordinal, any_value("column") as "column", max(case when k = 1 then case when s < 0.3 then 'feature' else role end end) as role,
+  cast(max(case when k = 1 then case when s < 0.3 then 0.5 else s end end) as double) as confidence,
+  coalesce(string_agg(role, ',' order by k) filter (where k <= 3 and s > 0.3), '') as suggestions from rk group by ordinal)"""
+
+
+ORACLES["column_roles"] = with_view("docs", role_sql(DOC_COLUMNS, "v") + ' select "column", role, confidence, suggestions from ro')
+ORACLES["column_roles_by_token"] = f'with {role_sql(CUSTOMER_COLUMNS, "customer", token=True)} select "column", role, confidence from ro'
+ORACLES["suggest_columns"] = with_view("docs", role_sql(DOC_COLUMNS, "v") + " select \"column\", confidence from ro where role = 'protected_attribute'")
+PROTECTED_SQL = " or ".join(f"contains(n, '{w}')" for w in [*ROLE_WORDS["protected_attribute"], "sex"])
+ORACLES["protected_attributes"] = with_view(
+    "docs",
+    f"""w as (select * rename (lang as language_group) from v), {column_sql({("language_group" if c == "lang" else c): k for c, k in DOC_COLUMNS.items()}, 'w')}
+select "column" from (select *, lower("column") as n from fx) where ({PROTECTED_SQL}) and (kind = 'text' or n_values <= 10)""",
+)
+
+
+def config_sql(least: float) -> str:
+    def first(role: str) -> str:
+        return f"min_by(\"column\", ordinal) filter (where role = '{role}' and confidence >= {least})"
+
+    def every(role: str) -> str:
+        return f"coalesce(string_agg(\"column\", ',' order by ordinal) filter (where role = '{role}' and confidence >= {least}), '')"
+
+    return f"""cf as (select {first('prediction')} as prediction, {first('true_value')} as truth, {every('probability')} as probabilities,
+  {every('protected_attribute')} as protected, {first('timestamp')} as "timestamp", {first('identifier')} as identifier, {every('feature')} as features from ro)"""
+
+
+ORACLES["data_config"] = with_view("docs", f"{role_sql(DOC_COLUMNS, 'v')}, {config_sql(0)} select * from cf")
+NUMERIC_DOCS = [c for c, k in DOC_COLUMNS.items() if k != "text"]
+SMART = f"""{role_sql(DOC_COLUMNS, 'v')}, {config_sql(0.5)},
+sp as (select prediction, {{truth}} as truth, "timestamp", identifier, probabilities, {{protected}} as protected, features from cf),
+sm as (select * replace (case when features <> '' then features else (select string_agg(c, ',' order by i) from
+  (select unnest({NUMERIC_DOCS}) as c, unnest(range({len(NUMERIC_DOCS)})) as i) where not list_contains(
+    list_concat([prediction, truth, "timestamp", identifier], string_split(probabilities, ','), string_split(protected, ',')), c)) end as features) from sp)"""
+ORACLES["smart_config"] = with_view(
+    "docs",
+    SMART.format(
+        truth="'true_label'",
+        protected="array_to_string(list_concat(['lang'], list_filter(string_split(protected, ','), lambda c: c <> 'lang' and c <> '')), ',')",
+    )
+    + " select * from sm",
+)
+PLAIN_SMART = SMART.format(truth="truth", protected="protected")
+ORACLES["config_confidence"] = with_view(
+    "docs",
+    f"""{PLAIN_SMART}, cc as (select case when prediction is not null then (select confidence from ro where "column" = prediction) end as p,
+  case when truth is not null then (select confidence from ro where "column" = truth) end as t,
+  case when protected <> '' then (select avg(confidence) from ro where list_contains(string_split(protected, ','), "column")) end as a,
+  (select 1 - sum(missing) * 1.0 / sum("rows") from fx) as complete, least(1, (select max("rows") from fx) / 1000.0) as size from sm)
+select p as prediction_column, t as true_value_column, a as protected_attributes,
+  {r(f"(complete + size + {len(NUMERIC_DOCS) / len(DOC_COLUMNS)!r} + coalesce((coalesce(p, 0) + coalesce(t, 0) + coalesce(a, 0)) / nullif((p is not null)::int + (t is not null)::int + (a is not null)::int, 0), 0.5)) / 4")} as overall from cc""",
+)
+ORACLES["suggested_analyses"] = with_view(
+    "docs",
+    f"""{PLAIN_SMART} select concat_ws(',', 'quality', case when prediction is not null then 'performance' end, case when protected <> '' then 'bias' end,
+  case when features <> '' or {len(NUMERIC_DOCS)} > 0 then 'explainability' end) as analyses from sm""",
+)
+
 # --- explanations -----------------------------------------------------------------------------
 
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
@@ -772,6 +956,46 @@ ORACLES["interactions"] = with_view(
     + f""") select feature_a, feature_b, {r('greatest(0, x - greatest(abs(a.corr), abs(b.corr)))')} as strength
 from p join tc a on a.feature = feature_a join tc b on b.feature = feature_b""",
 )
+def first_split(features: list[str], target: str, score: str) -> str:
+    """The best split of each key; ``score(n, s, t)`` is what a side adds, from its size and the sums of the target and its square."""
+    values = " union all ".join(f"select l_returnflag, '{f}' as feature, {i} as i, cast({f} as double) as x, {target} as y from v" for i, f in enumerate(features))
+
+    def side(n: str, s: str) -> str:
+        return f"({score.format(n=n, s=s)})"
+
+    return f"""a as ({values}),
+c as (select l_returnflag, feature, i, x, cast(count(*) as double) as n, sum(y) as s from a group by all),
+g as (select *, sum(n) over w as ln, sum(s) over w as ls, sum(n) over k as tn, sum(s) over k as ts, dense_rank() over w - 1 as code
+  from c window w as (partition by l_returnflag, feature order by x), k as (partition by l_returnflag, feature)),
+b as (select l_returnflag, feature, i, code, cast(tn as bigint) as n, {side('ln', 'ls')} + {side('(tn - ln)', '(ts - ls)')} - {side('tn', 'ts')} as gain from g where ln < tn)
+select l_returnflag, feature, cast(code as int) as code, {r('gain')} as gain, n from b
+qualify row_number() over (partition by l_returnflag order by gain desc, i, code) = 1"""
+
+
+ORACLES["perm_importance"] = f"""with b as (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as id, l_extendedprice as y, l_quantity as q, l_discount as d from lineitem),
+p as (select b.*, k, row_number() over w as i, count(*) over (partition by k) as n from b, (select unnest(range(5)) as k) t
+  window w as (partition by k order by md5(id || ':' || k || ':43'), id)),
+o as (select a.y, a.k, a.q, a.d, o.q as oq, o.d as od from p a join p o on o.k = a.k and o.i = a.i % a.n + 1),
+base as (select avg(power(y - q * 1500.0 * (1 - d), 2)) as loss from b),
+l as (select k, 'l_quantity' as feature, avg(power(y - oq * 1500.0 * (1 - d), 2)) as loss from o group by k
+  union all select k, 'l_discount', avg(power(y - q * 1500.0 * (1 - od), 2)) from o group by k
+  union all select k, 'l_tax', avg(power(y - q * 1500.0 * (1 - d), 2)) from o group by k)
+select feature, round(avg(l.loss) - any_value(base.loss), 1) + 0.0 as importance from l, base group by feature"""
+SQUARES, GINI = "{s} * {s} / {n}", "({s} * {s} + ({n} - {s}) * ({n} - {s})) / {n}"
+ORACLES["surrogate_splits"] = (
+    f"select 'binary' as problem, * from ({with_view('picked', first_split(FEATURES, 'cast(true_label as double)', GINI))}) z union all "
+    f"select 'regression', * from ({with_view('items', first_split(FEATURES, 'true_value - avg(true_value) over (partition by l_returnflag)', SQUARES))}) z"
+)
+WIDE = list(SPECS["wide"].features)
+FILLED = "x as (select o_totalprice as y, " + ", ".join(f"coalesce({c}, avg({c}) over ()) as {c}" for c in WIDE) + " from v)"
+WIDE_CORR = "tc as (" + " union all ".join(f"select '{c}' as feature, coalesce(corr({c}, y), 0) as corr from x" for c in WIDE) + ")"
+ORACLES["interactions_wide"] = with_view(
+    "wide",
+    f"{FILLED}, {WIDE_CORR}, p as ("
+    + " union all ".join(f"select '{a}' as feature_a, '{b}' as feature_b, abs(corr({a} * {b}, y)) as x from x" for i, a in enumerate(WIDE) for b in WIDE[i + 1 :])
+    + f""") select feature_a, feature_b, {r('greatest(0, x - greatest(abs(a.corr), abs(b.corr)))')} as strength
+from p join tc a on a.feature = feature_a join tc b on b.feature = feature_b""",
+)
 IMPORTANCE_STATS = """im as (select feature, abs(corr) as v, row_number() over (order by abs(corr)) as i,
   row_number() over (order by abs(corr) desc) as d, sum(abs(corr)) over () as total, count(*) over () as n from tc),
 st as (select max(v) as top_feature_importance, sum(v) filter (where d <= 3) as top_3_importance_sum,
@@ -827,38 +1051,58 @@ ORACLES["encoded_features"] = with_view(
         for f, c in (("l_returnflag", "a"), ("l_linestatus", "b"))
     ),
 )
-ORACLES["explain_metrics"] = with_view(
-    "items",
-    f"""{target_corr(FEATURES)}, {IMPORTANCE_STATS}, p as ("""
-    + " union all ".join(
-        f"""select '{a}' as feature_a, '{b}' as feature_b, abs(covar_pop({a} * {b}, true_value)
-  / (stddev_pop({a} * {b}) * stddev_pop(true_value))) as x from v"""
-        for i, a in enumerate(FEATURES)
-        for b in FEATURES[i + 1 :]
+def explained(correlations: str, features: list[str], source: str, target: str) -> str:
+    """Every explainability metric of a table, correlation importance and all pairs."""
+    pairs = " union all ".join(
+        f"""select '{a}' as feature_a, '{b}' as feature_b, abs(covar_pop({a} * {b}, {target})
+  / (stddev_pop({a} * {b}) * stddev_pop({target}))) as x from {source}"""
+        for i, a in enumerate(features)
+        for b in features[i + 1 :]
     )
-    + ") "
-    + tall("st", STATS)
-    + f"""
+    return f"""{correlations}, {IMPORTANCE_STATS}, p as ({pairs}) {tall("st", STATS)}
 union all select feature, 'feature_importance', {r('abs(corr)')} from tc
 union all select feature, 'target_correlation', {r('corr')} from tc
 union all select feature_a || '×' || feature_b, 'feature_interactions', {r('greatest(0, x - greatest(abs(a.corr), abs(b.corr)))')}
-from p join tc a on a.feature = feature_a join tc b on b.feature = feature_b""",
-)
+from p join tc a on a.feature = feature_a join tc b on b.feature = feature_b"""
+
+
+ORACLES["explain_metrics"] = with_view("items", explained(target_corr(FEATURES), FEATURES, "v", "true_value"))
+ORACLES["explain_all_pairs"] = with_view("wide", explained(f"{FILLED}, {WIDE_CORR}", WIDE, "x", "y"))
 
 # --- overall score ----------------------------------------------------------------------------
 
 RISK_COLUMNS = "o_orderkey prediction true_label score c_mktsegment o_orderpriority r_name".split()
 RISK_NUMERIC = ["o_orderkey", "prediction", "true_label", "score"]
-ORACLES["overall_score"] = with_view(
+REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+
+
+def risk_scores(attributes: list[str]) -> str:
+    """The score of every analysis of the risk view: ``accuracy, overall_bias_score, confidence_score, diversity``."""
+    columns = [c for c in RISK_COLUMNS if c in attributes or c not in RISK]
+    codes = ", ".join(f"dense_rank() over (order by {a}) as a{i}" for i, a in enumerate(attributes))
+    useful = " + ".join(f"cast(abs(covar_pop(a{i}, y) / (stddev_pop(a{i}) * stddev_pop(y))) > 0.01 as int)" for i in range(len(attributes)))
+    return f"""{binary_groups(attributes).replace('w as (', 'bw as (').replace('from w ', 'from bw ')}, {gaps(CLASS_GAPS)},
+{overall_bias(list(CLASS_GAPS.values()))}, {quality(columns, RISK_NUMERIC, 'true_label', len(attributes))},
+acc as (select avg(cast(true_label = prediction as int)) as accuracy from v), co as (select true_label as y, {codes} from v),
+ex as (select ({useful}) / {len(attributes)}.0 as diversity from co)"""
+
+
+RISK_SCORE = r("(0.4 * accuracy + 0.3 * (1 - overall_bias_score) + 0.2 * confidence_score + 0.1 * diversity)")
+ORACLES["overall_score"] = with_view("risk", f"{risk_scores(RISK)} select {RISK_SCORE} as overall_score from acc, b, qm, ex")
+ORACLES["audit_auto"] = with_view(
     "risk",
-    f"""{binary_groups(RISK).replace('w as (', 'bw as (').replace('from w ', 'from bw ')}, {gaps(CLASS_GAPS)},
-{overall_bias(list(CLASS_GAPS.values()))}, {quality(RISK_COLUMNS, RISK_NUMERIC, 'true_label', 3)},
-acc as (select avg(cast(true_label = prediction as int)) as accuracy from v),
-co as (select true_label as y, dense_rank() over (order by c_mktsegment) as a, dense_rank() over (order by o_orderpriority) as b,
-  dense_rank() over (order by r_name) as c from v),
-ex as (select ({' + '.join(f'cast(abs(covar_pop({c}, y) / (stddev_pop({c}) * stddev_pop(y))) > 0.01 as int)' for c in 'abc')}) / 3.0 as diversity from co)
-select {r('(0.4 * accuracy + 0.3 * (1 - overall_bias_score) + 0.2 * confidence_score + 0.1 * diversity)')} as overall_score from acc, b, qm, ex""",
+    f"""{risk_scores(RISK)} select (select case when count(distinct prediction) = 2 then 'binary' else 'multiclass' end from v) as problem_type,
+  {RISK_SCORE} as overall_score from acc, b, qm, ex""",
 )
+ORACLES["score_parts"] = " union all ".join(
+    f"""select * from (with u as ({view_sql('risk')}), v as (select * exclude (r_name) from u where r_name = '{region}'), {risk_scores(RISK[:2])}
+select '{region}' as r_name, analysis, {r('score')} as score, weight from (
+  select 'performance' as analysis, accuracy as score, cast(0.4 as double) as weight from acc union all select 'bias', 1 - overall_bias_score, 0.3 from b
+  union all select 'quality', confidence_score, 0.2 from qm union all select 'explainability', diversity, 0.1 from ex)) z"""
+    for region in REGIONS
+)
+ORACLES["audit_status"] = """select * from (values ('performance', 'done', ''), ('bias', 'skipped', 'no protected attribute'), ('quality', 'done', ''),
+  ('explainability', 'done', '')) t(analysis, status, reason) where (select count(*) from orders) > 0"""
 
 # --- monitoring -------------------------------------------------------------------------------
 
@@ -870,6 +1114,27 @@ c as (select day, count(*) as n, {total('true_label = 1 and prediction = 1')} as
 select day, n, {r('accuracy')} as accuracy, {r(div0('tp', '(tp + fp)'))} as "precision", {r(div0('tp', '(tp + fn)'))} as recall,
   {r(div0('2 * tp', '(2 * tp + fp + fn)'))} as f1_score, {r('(tp + fp) / n')} as positive_rate, {r('(tp + fn) / n')} as base_rate from c""",
 )
+ORACLES["windowed_scores"] = with_view(
+    "timed",
+    f"""e as (select cast(date_trunc('day', ts) as date) as d, true_label as y, greatest(0, least(999, floor(score * 1000))) as k,
+  greatest(least(score, 1 - 1e-15), 1e-15) as s, score from v),
+c as (select d, k, cast(sum(y) as double) as pos, cast(sum(1 - y) as double) as neg from e group by d, k),
+b as (select *, coalesce(sum(neg) over (partition by d order by k rows between unbounded preceding and 1 preceding), 0) as below from c),
+a as (select d, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) as roc_auc from b group by d)
+select strftime(d, '%Y-%m-%d') as day, count(*) as n, cast(sum(y) as bigint) as positives, {r('any_value(roc_auc)')} as roc_auc,
+  {r('avg(-case when y = 1 then ln(s) else ln(1 - s) end)')} as log_loss, {r('avg(power(score - y, 2))')} as brier_score from e join a using (d) group by d""",
+)
+ORACLES["windowed_drift"] = f"""with t as (select date_trunc('day', cast(ts as timestamp)) as d, event_type, value from events),
+x as (select min(value) as lo, max(value) as hi from events),
+n as (select d, 'value' as "column", cast(least(floor((value - lo) * 10 / (hi - lo)), 9) + 1 as varchar) as bin from t, x
+  union all select d, 'event_type', event_type from t),
+c as (select d, "column", bin, count(*) as n from n group by all), w as (select distinct d, "column" from c),
+l as (select *, lag(d) over (partition by "column" order by d) as p from w),
+k as (select l.d, l.p, l."column", bin from l join c on c."column" = l."column" and (c.d = l.d or c.d = l.p) where p is not null group by all),
+s as (select k.*, greatest(coalesce(b.n, 0) / (select sum(n) from c z where z.d = k.p and z."column" = k."column"), 1e-4) as a,
+  greatest(coalesce(e.n, 0) / (select sum(n) from c z where z.d = k.d and z."column" = k."column"), 1e-4) as f from k
+  left join c b on b.d = k.p and b."column" = k."column" and b.bin = k.bin left join c e on e.d = k.d and e."column" = k."column" and e.bin = k.bin)
+select strftime(d, '%Y-%m-%d') as day, "column", {r('sum((f - a) * ln(f / a))')} as psi from s group by d, "column" """
 ORACLES["drift_psi"] = f"""
 with e as (select *, extract(day from ts) > 15 as late from events),
 s as (select min(value) as lo, max(value) as hi from e where not late),

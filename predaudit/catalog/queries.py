@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from predaudit.catalog.views import SPECS, table, view
-from predaudit.operators import charts, classification, explain, fairness, quality, regression, roles, validation
+from predaudit.catalog.views import FAULTY, SPECS, faulty_spec, table, view
+from predaudit.operators import charts, classification, explain, fairness, quality, regression, roles, surrogate, validation
 from predaudit.plans import report
 from predaudit.sources import load, sinks
-from predaudit.spec import BIAS, QUALITY, REGRESSION
+from predaudit.spec import AUTO, BIAS, QUALITY, REGRESSION
 from predaudit.streaming import monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,7 +151,14 @@ def jarque_bera(spark, sf_dir):
 
 @query
 def ks_normality(spark, sf_dir):
-    return tidy(regression.ks_normality(view(spark, sf_dir, "items"), SPECS["items"]))
+    by = ["l_returnflag"]
+    return tidy(regression.ks_normality(view(spark, sf_dir, "items"), SPECS["items"], by))
+
+
+@query
+def shapiro_normality(spark, sf_dir):
+    by = ["l_returnflag"]
+    return tidy(regression.shapiro_normality(view(spark, sf_dir, "items"), SPECS["items"], by))
 
 
 @query
@@ -407,6 +414,21 @@ def validation_issues(spark, sf_dir):
     return issues
 
 
+@query
+def validation_rules(spark, sf_dir):
+    """Every rule on tables that break it."""
+    parts = []
+    for name in FAULTY:
+        issues = validation.validation_issues(view(spark, sf_dir, name), faulty_spec(name))
+        parts.append(
+            issues.select(
+                F.lit(name).alias("data"), "rule", "severity", F.coalesce("column", F.lit("")).alias("column"),
+                F.coalesce("affected_rows", F.lit(-1)).alias("affected_rows"), F.coalesce("value", F.lit(-1.0)).alias("value"),
+            )
+        )
+    return tidy(reduce(DataFrame.unionByName, parts))
+
+
 @query
 def validation_summary(spark, sf_dir):
     return validation.validation_summary(_issues(spark, sf_dir))
@@ -422,6 +444,12 @@ def prediction_match(spark, sf_dir):
 # --- roles and configuration ------------------------------------------------------------------
 
 
+def _joined(df: DataFrame) -> DataFrame:
+    """Lists of names as text."""
+    lists = {f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)}
+    return df.select(*[F.array_join(c, ",").alias(c) if c in lists else F.col(c) for c in df.columns])
+
+
 @query
 def column_roles(spark, sf_dir):
     found = roles.column_roles(view(spark, sf_dir, "docs"))
@@ -452,12 +480,12 @@ def protected_attributes(spark, sf_dir):
 
 @query
 def data_config(spark, sf_dir):
-    return sinks.flatten(roles.data_config(roles.column_roles(view(spark, sf_dir, "docs"))))
+    return _joined(sinks.flatten(roles.data_config(roles.column_roles(view(spark, sf_dir, "docs")))))
 
 
 @query
 def smart_config(spark, sf_dir):
-    return roles.smart_config(view(spark, sf_dir, "docs"), {"truth": "true_label", "protected": ["lang"]})
+    return _joined(roles.smart_config(view(spark, sf_dir, "docs"), {"truth": "true_label", "protected": ["lang"]}))
 
 
 @query
@@ -470,7 +498,7 @@ def config_confidence(spark, sf_dir):
 @query
 def suggested_analyses(spark, sf_dir):
     data = view(spark, sf_dir, "docs")
-    return roles.suggested_analyses(data, roles.smart_config(data))
+    return _joined(roles.suggested_analyses(data, roles.smart_config(data)))
 
 
 @query
@@ -517,6 +545,16 @@ def interactions(spark, sf_dir):
     return tidy(explain.interactions(*_frame(spark, sf_dir)))
 
 
+@query
+def interactions_wide(spark, sf_dir):
+    return tidy(explain.interactions(*explain.feature_frame(view(spark, sf_dir, "wide"), SPECS["wide"])))
+
+
+@query
+def explain_all_pairs(spark, sf_dir):
+    return lean(explain.explain_metrics(view(spark, sf_dir, "wide"), SPECS["wide"], top=None))
+
+
 @query
 def importance_stats(spark, sf_dir):
     return tidy(explain.importance_statistics(explain.correlation_importance(*_frame(spark, sf_dir))))
@@ -560,16 +598,32 @@ def rf_importance(spark, sf_dir):
     return tidy(explain.forest_importance(*_frame(spark, sf_dir), REGRESSION))
 
 
+@query
+def surrogate_splits(spark, sf_dir):
+    """The best first split of every key, for classes and for numbers."""
+    by, found = ["l_returnflag"], []
+    for name in ("picked", "items"):
+        frame, names = explain.feature_frame(view(spark, sf_dir, name), SPECS[name], by)
+        splits = surrogate.first_splits(frame, names, SPECS[name].problem, by)
+        found.append(splits.select(F.lit(SPECS[name].problem).alias("problem"), *splits.columns))
+    return tidy(found[0].unionByName(found[1]))
+
+
+@query
+def surrogate_importance(spark, sf_dir):
+    by = ["l_returnflag", "l_linestatus"]
+    return tidy(surrogate.surrogate_importance(*_frame(spark, sf_dir, by), REGRESSION, by))
+
+
 @query
 def perm_importance(spark, sf_dir):
     features = ["l_quantity", "l_discount", "l_tax"]
-    data = table(spark, sf_dir, "lineitem").withColumn("_key", F.sha2(F.to_json(F.struct("*")), 256))
+    data = table(spark, sf_dir, "lineitem").withColumn("_key", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     price = F.col("l_quantity") * 1500.0 * (1 - F.col("l_discount"))
-    return tidy(
-        explain.permutation_importance(
-            data, features, "l_extendedprice", "_key", lambda rows: rows.withColumn("prediction", price), REGRESSION
-        )
+    found = explain.permutation_importance(
+        data, features, "l_extendedprice", "_key", lambda rows: rows.withColumn("prediction", price), REGRESSION
     )
+    return found.select("feature", F.round("importance", 1).alias("importance"))
 
 
 @query
@@ -590,6 +644,19 @@ def overall_score(spark, sf_dir):
     return tidy(_audit(spark, sf_dir).scores)
 
 
+@query
+def audit_auto(spark, sf_dir):
+    """The problem is found out from the values."""
+    audit = report.audit(view(spark, sf_dir, "risk"), SPECS["risk"].with_(problem=AUTO))
+    return tidy(audit.scores.select(F.lit(audit.spec.problem).alias("problem_type"), "overall_score"))
+
+
+@query
+def audit_status(spark, sf_dir):
+    audit = report.audit(view(spark, sf_dir, "risk"), SPECS["risk"].with_(protected=()))
+    return audit.status.select("analysis", "status", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
 @query
 def score_parts(spark, sf_dir):
     audit = _audit(spark, sf_dir, ["r_name"])
@@ -656,6 +723,20 @@ def windowed_multiclass(spark, sf_dir):
     return tidy(metrics.select(day, *[c for c in metrics.columns if not c.startswith("window_")]))
 
 
+@query
+def windowed_scores(spark, sf_dir):
+    scores = monitor.windowed_scores(view(spark, sf_dir, "timed"), SPECS["timed"])
+    day = F.date_format("window_start", "yyyy-MM-dd").alias("day")
+    return tidy(scores.select(day, *[c for c in scores.columns if not c.startswith("window_")]))
+
+
+@query
+def windowed_drift(spark, sf_dir):
+    events, columns = table(spark, sf_dir, "events"), ["value", "event_type"]
+    moved = monitor.windowed_drift(events, "ts", columns, monitor.bin_edges(events, columns))
+    return tidy(moved.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "column", "psi"))
+
+
 @query
 def drift_psi(spark, sf_dir):
     events = table(spark, sf_dir, "events")

@@ -35,6 +35,9 @@ from {orders} o join {customer} c on c.c_custkey = o.o_custkey
 join {nation} n on n.n_nationkey = c.c_nationkey join {region} g on g.r_regionkey = n.n_regionkey
 join (select l_orderkey, max(cast(l_returnflag = 'R' as int)) as returned from {lineitem} group by l_orderkey) r
   on r.l_orderkey = o.o_orderkey""",
+    "picked": """
+select l_returnflag, cast(l_quantity * (1 - l_discount) > 20 + 3 * l_linenumber as int) as true_label, l_quantity, l_discount, l_tax, l_linenumber
+from {lineitem}""",
     "nulls": """
 select l_orderkey, case when l_linenumber = 7 then null else l_tax end as l_tax,
   case when l_orderkey % 50 = 0 then null else l_returnflag end as l_returnflag, l_quantity,
@@ -43,7 +46,7 @@ select l_orderkey, case when l_linenumber = 7 then null else l_tax end as l_tax,
 from {lineitem}""",
     "timed": """
 select event_id, cast(ts as timestamp) as ts, user_id, cast(value > 20 as int) as prediction,
-  cast(event_type = 'purchase' as int) as true_label, event_type, value
+  cast(event_type = 'purchase' as int) as true_label, event_type, value, least(cast(1 as double), value / cast(200 as double)) as score
 from {events}""",
     "copies": "select lang, source, text from {documents}",
     "timed_orders": """
@@ -82,8 +85,17 @@ SPECS = {
         protected=("c_mktsegment", "o_orderpriority", "r_name"),
         identifier="o_orderkey",
     ),
+    "picked": AuditSpec(None, "true_label", features=("l_quantity", "l_discount", "l_tax", "l_linenumber")),
+    "wide": AuditSpec(
+        None,
+        "o_totalprice",
+        features=(
+            "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "p_size", "p_retailprice", "c11", "c13", "c15", "c18", "c21",
+        ),
+        problem=REGRESSION,
+    ),
     "timed_orders": AuditSpec("prediction", "true_label", timestamp="ts", identifier="o_orderkey", problem=MULTICLASS),
-    "timed": AuditSpec("prediction", "true_label", protected=("event_type",), timestamp="ts", identifier="event_id"),
+    "timed": AuditSpec("prediction", "true_label", "score", protected=("event_type",), timestamp="ts", identifier="event_id"),
 }
 
 
@@ -92,10 +104,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    text = VIEWS[name]
+    text = VIEWS[name] if name in VIEWS else FAULTY[name][0]
     used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
     return spark.sql(text, **used)
 
 
 def view_sql(name: str) -> str:
-    return VIEWS[name].format(**{t: t for t in TABLES}).strip()
+    return (VIEWS[name] if name in VIEWS else FAULTY[name][0]).format(**{t: t for t in TABLES}).strip()
+
+
+#: Tables with faults, each with its columns and kinds; between them they break every rule of validation that a table of theirs can.
+FAULTY = {
+    "empty": ("select l_quantity as prediction, l_returnflag from {lineitem} where l_quantity < 0", {"prediction": "number", "l_returnflag": "text"}),
+    "three_rows": (
+        "select l_returnflag, avg(l_quantity) as prediction from {lineitem} group by l_returnflag", {"l_returnflag": "text", "prediction": "number"},
+    ),
+    "few_rows": (
+        "select l_returnflag, l_linenumber, avg(l_quantity) as prediction from {lineitem} group by l_returnflag, l_linenumber",
+        {"l_returnflag": "text", "l_linenumber": "number", "prediction": "number"},
+    ),
+    "mostly_gaps": (
+        """select case l_linenumber when 1 then l_tax when 2 then cast('NaN' as double) when 3 then cast('Infinity' as double) end as prediction,
+  case when l_linenumber = 1 then l_returnflag end as l_returnflag, case when l_linenumber > 5 then l_quantity end as true_label from {lineitem}""",
+        {"prediction": "number", "l_returnflag": "text", "true_label": "number"},
+    ),
+    "some_gaps": (
+        """select l_tax as prediction, case when l_linenumber > 3 then l_returnflag end as l_returnflag,
+  case when l_linenumber > 2 then l_quantity end as true_label from {lineitem}""",
+        {"prediction": "number", "l_returnflag": "text", "true_label": "number"},
+    ),
+    "one_prediction": (
+        "select cast(1 as int) as prediction, c_name, c_mktsegment, c_acctbal from {customer}",
+        {"prediction": "number", "c_name": "text", "c_mktsegment": "text", "c_acctbal": "number"},
+    ),
+    "rare_class": (
+        """select cast(l_quantity = 50 and l_discount = 0.1 and l_linenumber = 7 as int) as prediction,
+  case when l_partkey = 1 then cast(1000000 as double) else l_quantity end as measured, l_orderkey, l_partkey, l_suppkey from {lineitem}""",
+        {"prediction": "number", "measured": "number", "l_orderkey": "number", "l_partkey": "number", "l_suppkey": "number"},
+    ),
+    "texts_only": ("select l_returnflag, l_linestatus from {lineitem}", {"l_returnflag": "text", "l_linestatus": "text"}),
+}
+
+
+def faulty_spec(name: str) -> AuditSpec:
+    columns = FAULTY[name][1]
+    return AuditSpec(
+        "prediction", "true_label" if "true_label" in columns else None, protected=(("c_name", "absent") if name == "one_prediction" else ()),
+    )

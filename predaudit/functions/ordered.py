@@ -141,6 +141,45 @@ def quantiles(
     )
 
 
+def segments(counts: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str], marks: DataFrame) -> DataFrame:
+    """``(keys…, segment, measures…)``: sums of the measures between marks, segment ``i`` lying behind ``i`` of the key's marks.
+
+    ``marks`` has the keys and an ascending array ``marks`` of structs ``(at, tie)``: a mark with tie -1 lies before the values equal to it, with 1
+    behind them. Whole pieces are summed where no mark falls into them; only the pieces around a mark are looked at value by value, so
+    no row meets its key's marks in a join, and sums of other segments cost no digits. Keys without marks are left out.
+    """
+    rows = coded(counts.select(*keys, value, *measures), value)
+    opened = marks.select(*keys, F.posexplode("marks").alias("_ord", "_m")).select(
+        *keys, "_ord", F.col("_m.at").alias(value), F.col("_m.tie").alias("_tie")
+    ).where(F.col(value).isNotNull())
+    placed = coded(opened, value)
+    zero = [F.lit(None).cast(rows.schema[m].dataType).alias(m) for m in measures]
+
+    def level(source: DataFrame, inside: Sequence[str], order: str) -> DataFrame:
+        """Rows of a level with their segment, but for those whose last code is also that of a mark."""
+        both = source.withColumns({"_ord": F.lit(None).cast("int"), "_tie": F.lit(0)}).unionByName(
+            placed.select(*[c for c in source.columns if c not in measures], "_ord", "_tie", *zero)
+        )
+        ordered = Window.partitionBy(*inside).orderBy(order, "_tie", "_ord").rowsBetween(*BEFORE)
+        found = both.withColumns({"_last": F.max("_ord").over(ordered), "_least": F.min("_ord").over(Window.partitionBy(*inside))})
+        if order != value:
+            found = found.withColumn("_near", F.count("_ord").over(Window.partitionBy(*inside, order))).where("_near = 0")
+        at = F.coalesce(F.col("_last") + 1, F.col("_least"))  # the marks of one partition follow one another
+        return found.where("_tie = 0").select(*keys, at.alias("segment"), *measures).where(F.col("segment").isNotNull())
+
+    outer, inner = [*keys, "_c1"], [*keys, "_c1", "_c2"]
+    sums = [F.sum(m).alias(m) for m in measures]
+    first = level(rows.groupBy(*outer).agg(*sums), keys, "_c1")
+    second = level(join_on(rows.groupBy(*inner).agg(*sums), placed.select(*outer).distinct(), outer, "left_semi"), outer, "_c2")
+    third = level(join_on(rows, placed.select(*inner).distinct(), inner, "left_semi"), inner, value)
+    return first.unionByName(second).unionByName(third).groupBy(*keys, "segment").agg(*sums)
+
+
+def marks(*cuts: tuple[Column, int]) -> Column:
+    """Ascending marks for :func:`segments` from ``(value, tie)`` pairs that are in order."""
+    return F.array(*[F.struct(at.cast("double").alias("at"), F.lit(tie).alias("tie")) for at, tie in cuts])
+
+
 def column_quantiles(
     df: DataFrame, columns: dict[str, Column], by: Sequence[str], probs: Sequence[float], accuracy: int | None = None
 ) -> DataFrame:

@@ -65,7 +65,7 @@ def _label_scores(totals: DataFrame) -> DataFrame:
 
 
 def basic_metrics(totals: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -> DataFrame:
-    """Accuracy, precision, recall, F1, Matthews correlation and Cohen's kappa, one row per key."""
+    """Size, accuracy, precision, recall, F1, Matthews correlation and Cohen's kappa, one row per key."""
     scored = _label_scores(totals)
     label_type = totals.schema["label"].dataType
     positive = F.col("label") == F.lit(spec.positive).cast(label_type)
@@ -90,6 +90,7 @@ def basic_metrics(totals: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) ->
     observed, expected = div(c, n), div(tp, n * n)
     return sums.select(
         *by,
+        n.cast("long").alias("n"),
         observed.alias("accuracy"),
         "precision",
         "recall",

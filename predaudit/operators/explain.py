@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
-from itertools import combinations
 
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from predaudit.functions.gram import product_correlations
 from predaudit.functions.keys import attach, group, join_on, tall
 from predaudit.functions.safe import clean_double, corr, div0, numeric_columns, text_columns
-from predaudit.operators.quality import CHUNK_COLUMNS, CHUNK_PAIRS, _chunks, _union
+from predaudit.operators.quality import CHUNK_COLUMNS, _chunks, _union
+from predaudit.operators.surrogate import surrogate_importance
 from predaudit.spec import EXPLAINABILITY, REGRESSION, AuditSpec
 
 TOP_FEATURES = 10
@@ -88,84 +89,52 @@ def correlation_importance(frame: DataFrame, names: Sequence[str], by: Sequence[
     return target_correlation(frame, names, by).select(*by, "feature", F.abs("corr").alias("importance"))
 
 
-def interactions(frame: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """``(by…, feature_a, feature_b, strength)``: what the product adds over the better single feature.
+def feature_effects(frame: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``(by…, feature_a, feature_b, value)``: target correlations (``feature_b`` null; 0 for a constant feature) and interactions.
 
-    With more than 10 features only pairs among the 10 best by |target correlation| are kept. Without
-    keys those 10 are read back first; with keys each key has its own 10, so all pairs are measured.
+    An interaction is what the product of two features adds to the better one, for all pairs, in one scan. Pairs with a constant feature or product
+    have none.
     """
     names = list(names)
-    top = None
-    if len(names) > TOP_FEATURES:
-        order = {c: i for i, c in enumerate(names)}
-        ordinal = F.create_map(*[F.lit(x) for c, i in order.items() for x in (c, i)])
-        ranked = target_correlation(frame, names, by).withColumn("_ord", F.element_at(ordinal, F.col("feature")))
-        if by:
-            best = Window.partitionBy(*by).orderBy(F.desc(F.abs("corr")), "_ord")
-            top = ranked.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= TOP_FEATURES)
-            ordered = F.array_sort(F.collect_list(F.struct("_rank", "feature")))
-            top = top.groupBy(*by).agg(F.transform(ordered, lambda f: f["feature"]).alias("best"))
-        else:
-            chosen = ranked.orderBy(F.desc(F.abs("corr")), "_ord").limit(TOP_FEATURES).collect()
-            names = [r["feature"] for r in chosen]
-    y = F.col(TARGET)
-    frames = []
-    for chunk in _chunks(list(combinations(names, 2)), CHUNK_PAIRS):
-        single = list(dict.fromkeys(c for pair in chunk for c in pair))
-        aggregates = [F.abs(corr(F.col(c), y)).alias(f"_s{i}") for i, c in enumerate(single)]
-        aggregates += [F.abs(corr(F.col(a) * F.col(b), y)).alias(f"_p{i}") for i, (a, b) in enumerate(chunk)]
-        at = {c: f"_s{i}" for i, c in enumerate(single)}
-        parts: list[Column] = []
-        for i, (a, b) in enumerate(chunk):
-            known = F.col(f"_p{i}").isNotNull() & F.col(at[a]).isNotNull() & F.col(at[b]).isNotNull()
-            gain = F.col(f"_p{i}") - F.greatest(F.col(at[a]), F.col(at[b]))
-            parts += [F.lit(a), F.lit(b), F.when(known, F.greatest(F.lit(0.0), gain))]
-        stacked = F.stack(F.lit(len(chunk)), *parts).alias("feature_a", "feature_b", "strength")
-        frames.append(group(frame, by, *aggregates).select(*by, stacked))
-    if not frames:
-        empty = [F.lit(None).cast(t).alias(c) for c, t in (("feature_a", "string"), ("feature_b", "string"), ("strength", "double"))]
-        return frame.select(*by, *empty).where(F.lit(False))
-    found = _union(frames).where(F.col("strength").isNotNull())
-    if top is None:
-        return found
-    # the better feature comes first, as it does when the features are chosen up front
-    a, b = (F.array_position("best", F.col(c)) for c in ("feature_a", "feature_b"))
-    first, second = F.least(a, b).cast("int"), F.greatest(a, b).cast("int")
-    return (
-        join_on(found, top, by)
-        .where((a > 0) & (b > 0))
-        .select(
-            *by,
-            F.element_at("best", first).alias("feature_a"),
-            F.element_at("best", second).alias("feature_b"),
-            "strength",
-        )
-    )
+    found = product_correlations(frame, names, TARGET, by)
+    last = len(names)
+    single = found.where(F.col("j") == last).drop("j", "n")
+    text = F.array(*[F.lit(c) for c in names])
+
+    def name(index: str) -> Column:
+        return F.element_at(text, F.col(index) + 1)
+
+    pairs = found.where((F.col("j") < last) & F.col("corr").isNotNull())
+    for side, position in (("a", "i"), ("b", "j")):
+        alone = single.select(*by, F.col("i").alias(position), F.abs("corr").alias(f"_{side}"))
+        pairs = join_on(pairs, alone, [*by, position])
+    gain = F.greatest(F.lit(0.0), F.abs("corr") - F.greatest("_a", "_b"))
+    known = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    strengths = pairs.where(known).select(*by, name("i").alias("feature_a"), name("j").alias("feature_b"), gain.alias("value"))
+    alone = single.select(*by, name("i").alias("feature_a"), F.lit(None).cast("string").alias("feature_b"), F.coalesce("corr", F.lit(0.0)).alias("value"))
+    return alone.unionByName(strengths)
 
 
-def correlation_pass(frame: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """``(by…, feature_a, feature_b, value)``: target correlations (``feature_b`` null) and interactions.
+def interactions(frame: DataFrame, names: Sequence[str], by: Sequence[str] = (), top: int | None = None) -> DataFrame:
+    """``(by…, feature_a, feature_b, strength)``: what the product adds over the better single feature, for all pairs.
 
-    The same numbers as :func:`target_correlation` and :func:`interactions`, in one scan; for at most
-    10 features, where no choice of the best ones is needed.
+    ``top`` keeps the pairs among so many features of each key, the best by |target correlation|.
     """
-    names = list(names)
-    pairs = list(combinations(names, 2))
-    y = F.col(TARGET)
-    aggregates = [corr(F.col(c), y).alias(f"_s{i}") for i, c in enumerate(names)]
-    aggregates += [F.abs(corr(F.col(a) * F.col(b), y)).alias(f"_p{i}") for i, (a, b) in enumerate(pairs)]
-    at = {c: F.col(f"_s{i}") for i, c in enumerate(names)}
+    if len(names) < 2:
+        empty = [F.lit(None).cast(t).alias(c) for c, t in (("feature_a", "string"), ("feature_b", "string"), ("strength", "double"))]
+        return frame.select(*by, *empty).where(F.lit(False))
+    return _among_best(feature_effects(frame, names, by), names, by, top)
 
-    def row(a: str, b: str | None, value: Column) -> Column:
-        return F.struct(F.lit(a).alias("feature_a"), F.lit(b).cast("string").alias("feature_b"), value.alias("value"))
 
-    rows = [row(c, None, F.coalesce(at[c], F.lit(0.0))) for c in names]
-    for i, (a, b) in enumerate(pairs):
-        known = F.col(f"_p{i}").isNotNull() & at[a].isNotNull() & at[b].isNotNull()
-        gain = F.col(f"_p{i}") - F.greatest(F.abs(at[a]), F.abs(at[b]))
-        rows.append(row(a, b, F.when(known, F.greatest(F.lit(0.0), gain))))
-    opened = group(frame, by, F.count(TARGET).alias("_n"), *aggregates).where("_n > 0").select(*by, F.inline(F.array(*rows)))
-    return opened.where(F.col("value").isNotNull())
+def _among_best(effects: DataFrame, names: Sequence[str], by: Sequence[str], top: int | None) -> DataFrame:
+    pairs = effects.where(F.col("feature_b").isNotNull()).withColumnRenamed("value", "strength")
+    if top is None or len(names) <= top:
+        return pairs
+    ordinal = F.create_map(*[F.lit(x) for i, c in enumerate(names) for x in (c, i)])
+    ranked = F.array_sort(F.collect_list(F.struct((-F.abs("value")).alias("value"), F.element_at(ordinal, F.col("feature_a")).alias("at"), "feature_a")))
+    best = group(effects.where(F.col("feature_b").isNull()), by, F.transform(F.slice(ranked, 1, top), lambda f: f["feature_a"]).alias("best"))
+    chosen = attach(pairs, best, by, "_best")
+    return chosen.where(F.array_contains("_best.best", F.col("feature_a")) & F.array_contains("_best.best", F.col("feature_b"))).drop("_best")
 
 
 def forest_importance(
@@ -207,24 +176,25 @@ def permutation_importance(
     repeats: int = REPEATS,
     bucket_rows: int = SHUFFLE_ROWS,
     rows: int | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """``(feature, importance)``: mean loss of accuracy, or rise of squared error, without a feature.
+    """``(by…, feature, importance)``: mean loss of accuracy, or rise of squared error, without a feature.
 
     ``predict`` adds a ``prediction`` column to a frame with the feature columns, e.g. a fitted
-    pipeline's ``transform``. Per repeat, rows fall into random buckets and each row takes the
+    pipeline's ``transform``; key columns are passed on to it. Per repeat, rows fall into random buckets of their key and each row takes the
     features of the next row of its bucket in random order: one window per bucket, never a global
-    one. The row of every feature variant is then built in place, without another shuffle.
+    one. The row of every feature variant is then built in place, without another shuffle. Order and buckets come from digests of the
+    identifier; rows without one are dealt by their values.
     """
-    features = list(features)
-    base = df.select(F.col(identifier).alias("_id"), F.col(truth).alias("_y"), *features)
+    features, by = list(features), list(by)
+    values = F.xxhash64(F.col(truth), *features)
+    base = df.select(*by, F.coalesce(F.col(identifier).cast("string"), values.cast("string")).alias("_id"), values.alias("_same"), F.col(truth).alias("_y"), *features)
     size = df.count() if rows is None else rows
     buckets = max(1, -(-size // bucket_rows))
     repeated = base.withColumn("_repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn(
-        "_bucket", F.pmod(F.xxhash64("_id", "_repeat", F.lit(SEED)), F.lit(buckets))
-    )
-    ring = Window.partitionBy("_repeat", "_bucket").orderBy(
-        F.xxhash64("_id", "_repeat", F.lit(SEED + 1)), "_id"
+        "_bucket", F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", "_id", "_repeat", F.lit(SEED))), 1, 12), 16, 10).cast("long"), F.lit(buckets))
     )
+    ring = Window.partitionBy(*by, "_repeat", "_bucket").orderBy(F.md5(F.concat_ws(":", "_id", "_repeat", F.lit(SEED + 1))), "_id", "_same")
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     own = F.struct(*features)
     shuffled = repeated.withColumn("_other", F.coalesce(F.lead(own).over(ring), F.first(own).over(whole)))
@@ -237,20 +207,20 @@ def permutation_importance(
             for f in features
         ]
     )
-    permuted = shuffled.select("_repeat", "_y", F.inline(variants))
+    permuted = shuffled.select(*by, "_repeat", "_y", F.inline(variants))
 
     def loss(scored: DataFrame) -> Column:
         if problem == REGRESSION:
             return F.avg(F.pow(F.col("_y").cast("double") - F.col("prediction").cast("double"), 2))
         return 1.0 - F.avg((F.col("_y").cast("double") == F.col("prediction").cast("double")).cast("double"))
 
-    before = predict(base.drop("_id"))
-    before = before.agg(loss(before).alias("loss"))
+    before = predict(base.drop("_id", "_same"))
+    before = group(before, by, loss(before).alias("loss"))
     after = predict(permuted)
-    per_repeat = after.groupBy("feature", "_repeat").agg(loss(after).alias("loss"))
-    mean = per_repeat.groupBy("feature").agg(F.avg("loss").alias("loss"))
-    return attach(mean, before, (), "_b").select(
-        "feature", (F.col("loss") - F.col("_b.loss")).alias("importance")
+    per_repeat = after.groupBy(*by, "feature", "_repeat").agg(loss(after).alias("loss"))
+    mean = per_repeat.groupBy(*by, "feature").agg(F.avg("loss").alias("loss"))
+    return attach(mean, before, by, "_b").select(
+        *by, "feature", (F.col("loss") - F.col("_b.loss")).alias("importance")
     )
 
 
@@ -354,11 +324,13 @@ def explain_metrics(
     spec: AuditSpec,
     by: Sequence[str] = (),
     importance: DataFrame | str = "correlation",
+    top: int | None = TOP_FEATURES,
 ) -> DataFrame:
     """Tall explainability metrics: statistics, each feature's importance and correlation, interactions.
 
-    ``importance`` is ``"correlation"``, ``"forest"`` (no keys) or a ``(by…, feature, importance)``
-    table, e.g. of :func:`permutation_importance`. A forest that cannot be fitted gives way to correlation.
+    ``importance`` is ``"correlation"``, ``"surrogate"`` (a forest per key, see the module of that name), ``"forest"`` (the library's forest, no
+    keys) or a ``(by…, feature, importance)`` table, e.g. of :func:`permutation_importance`. A forest that cannot be fitted gives way to
+    correlation. ``top`` limits interactions to the pairs among so many best features; None keeps all.
     """
 
     if spec.truth is None:
@@ -367,21 +339,20 @@ def explain_metrics(
     text = F.lit(None).cast("string")
     if not names:
         return _status(df, by, "no_numeric_features")
-    if len(names) <= TOP_FEATURES:
-        measured = correlation_pass(frame, names, by)
-        single = measured.where(F.col("feature_b").isNull())
-        correlation = single.select(*by, F.col("feature_a").alias("feature"), F.col("value").alias("corr"))
-        pairs = measured.where(F.col("feature_b").isNotNull()).withColumnRenamed("value", "strength")
-    else:
-        correlation, pairs = target_correlation(frame, names, by), interactions(frame, names, by)
+    measured = feature_effects(frame, names, by)
+    correlation = measured.where(F.col("feature_b").isNull()).select(*by, F.col("feature_a").alias("feature"), F.col("value").alias("corr"))
+    pairs = _among_best(measured, names, by, top)
     if isinstance(importance, str):
-        if importance == "forest" and not by:
+        plain = correlation.select(*by, "feature", F.abs("corr").alias("importance"))
+        if importance == "correlation":
+            importance = plain
+        elif importance == "surrogate":
+            importance = surrogate_importance(feature_frame(df, spec, by, labels=spec.problem != REGRESSION)[0], names, spec.problem, by)
+        elif importance == "forest" and not by:
             try:
                 importance = forest_importance(feature_frame(df, spec, labels=True)[0], names, spec.problem)
             except (ValueError, IllegalArgumentException):  # no usable rows or features
-                importance = correlation.select(*by, "feature", F.abs("corr").alias("importance"))
-        elif importance == "correlation":
-            importance = correlation.select(*by, "feature", F.abs("corr").alias("importance"))
+                importance = plain
         else:
             raise ValueError(f"cannot compute {importance!r} importance here")
 

@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from predaudit.functions.gram import pair_correlations
 from predaudit.functions.keys import attach, group, join_on
-from predaudit.functions.ordered import quantiles
+from predaudit.functions.ordered import marks, quantiles, segments
 from predaudit.functions.safe import (
     FLOATING,
     TEMPORAL,
     clean_double,
-    corr,
     div,
     div0,
     finite,
@@ -27,7 +27,6 @@ from predaudit.functions.values import few_values, number, numbers, present, val
 from predaudit.spec import QUALITY, AuditSpec
 
 CHUNK_COLUMNS = 40  # columns per aggregation, keeps generated code within the JVM method limit
-CHUNK_PAIRS = 120
 CHUNK_AGGREGATES = 300
 FEW_CLASSES = 20
 HIGH_CORRELATION = 0.95
@@ -207,28 +206,42 @@ def column_profile(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str]
     )
 
 
-def iqr_outliers(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
-    """``(by…, column, n, q1, q3, outlier_count, outlier_percentage)`` for every numeric column."""
+def iqr_outliers(
+    df: DataFrame, by: Sequence[str] = (), columns: Sequence[str] | None = None, accuracy: int | None = None
+) -> DataFrame:
+    """``(by…, column, n, q1, q3, outlier_count, outlier_percentage)`` for every numeric column.
+
+    ``accuracy`` takes the quartiles from a one-pass sketch and counts in a second pass, without a shuffle of values.
+    """
     columns = numeric_columns(df, data_columns(df, by) if columns is None else list(columns))
-    return _iqr(numbers(value_table(df, columns, by), by), by)
+    if accuracy is None or not columns:
+        return _iqr(numbers(value_table(df, columns, by), by), by)
+    cleaned = df.select(*by, *[clean_double(df, c).alias(f"_{i}") for i, c in enumerate(columns)])
+    cuts = group(cleaned, by, *[F.percentile_approx(f"_{i}", [0.25, 0.75], accuracy).alias(f"q{i}") for i in range(len(columns))])
+    rows, counts, parts = attach(cleaned, cuts, by, "_at"), [], []
+    for i, c in enumerate(columns):
+        q = F.col(f"_at.q{i}")
+        fence = 1.5 * (q[1] - q[0])
+        outside = (F.col(f"_{i}") < q[0] - fence) | (F.col(f"_{i}") > q[1] + fence)
+        counts += [F.count(f"_{i}").alias(f"n{i}"), F.max(q[0]).alias(f"a{i}"), F.max(q[1]).alias(f"b{i}"), F.count_if(outside).alias(f"x{i}")]
+        parts += [F.lit(c), *[F.col(f"{x}{i}") for x in ("n", "a", "b", "x")]]
+    stacked = F.stack(F.lit(len(columns)), *parts).alias("column", "n", "q1", "q3", "outlier_count")
+    return group(rows, by, *counts).select(*by, stacked).where("n > 0").withColumn(
+        "outlier_percentage", 100.0 * div(F.col("outlier_count"), F.col("n"))
+    )
 
 
 def _iqr(counted: DataFrame, by: Sequence[str]) -> DataFrame:
     keys = [*by, "column"]
     cuts = quantiles(counted, keys, "v", "n", (0.25, 0.75)).select(
-        *keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3")
+        *keys, F.col("n"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3")
     )
     fence = 1.5 * (F.col("q3") - F.col("q1"))
-    outside = (F.col("v") < F.col("q1") - fence) | (F.col("v") > F.col("q3") + fence)
+    fences = cuts.select(*keys, marks((F.col("q1") - fence, -1), (F.col("q3") + fence, 1)).alias("marks"))
+    outside = segments(counted, keys, "v", ["n"], fences).where("segment != 1").groupBy(*keys).agg(F.sum("n").alias("outlier_count"))
     return (
-        join_on(counted, cuts, keys)
-        .groupBy(*keys)
-        .agg(
-            F.sum("n").alias("n"),
-            F.max("q1").alias("q1"),
-            F.max("q3").alias("q3"),
-            F.coalesce(F.sum(F.when(outside, F.col("n"))), F.lit(0)).alias("outlier_count"),
-        )
+        join_on(cuts, outside, keys, "left")
+        .select(*keys, "n", "q1", "q3", F.coalesce("outlier_count", F.lit(0).cast("long")).alias("outlier_count"))
         .withColumn("outlier_percentage", 100.0 * div(F.col("outlier_count"), F.col("n")))
     )
 
@@ -275,26 +288,12 @@ def extreme_values(
 
 
 def correlations(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
-    """``(by…, a, b, corr)`` for every pair of numeric columns, on rows where both are present.
-
-    Rows are opened into their pairs of values, which are aggregated before the shuffle: one scan, and a plan that grows with the
-    columns, not with their pairs.
-    """
+    """``(by…, a, b, corr)`` for every pair of numeric columns, on rows where both are present: one scan, no row is opened."""
     columns = numeric_columns(df, data_columns(df, by) if columns is None else list(columns))
     if len(columns) < 2:
         nothing = [F.lit(None).cast(t).alias(c) for c, t in (("a", "string"), ("b", "string"), ("corr", "double"))]
         return df.select(*by, *nothing).where(F.lit(False))
-    k = len(columns)
-
-    def with_later(i: Column) -> Column:
-        x = F.element_at("_v", i + 1)
-        later = F.slice("_v", i + 2, F.lit(k))
-        return F.transform(later, lambda y, d: F.struct(i.alias("i"), (i + 1 + d).alias("j"), x.alias("x"), y.alias("y")))
-
-    values = df.select(*by, F.array(*[clean_double(df, c) for c in columns]).alias("_v"))
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(k - 2)), with_later))
-    opened = values.select(*by, F.explode(pairs).alias("_p")).select(*by, "_p.*")
-    found = opened.groupBy(*by, "i", "j").agg(corr(F.col("x"), F.col("y")).alias("corr"))
+    found = pair_correlations(df, {c: clean_double(df, c) for c in columns}, by)
     names = F.array(*[F.lit(c) for c in columns])
     return found.select(*by, F.element_at(names, F.col("i") + 1).alias("a"), F.element_at(names, F.col("j") + 1).alias("b"), "corr")
 

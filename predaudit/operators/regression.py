@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from predaudit.functions.keys import attach, group, tall
-from predaudit.functions.ordered import value_quantiles
+from predaudit.functions.normal import fitted_ks_p_value, normal_cdf, shapiro_wilk
+from predaudit.functions.ordered import marks, running_totals, segments, value_quantiles
 from predaudit.functions.safe import clean_double, corr, div, r2
 from predaudit.spec import PERFORMANCE, AuditSpec
 
@@ -41,6 +44,7 @@ DISTRIBUTION = (
     "prediction_kurtosis",
 )
 QQ_POINTS = 99
+SHAPIRO_ROWS = 5000  # the test has no published weights beyond
 
 
 def residuals(df: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -> DataFrame:
@@ -116,20 +120,46 @@ def jarque_bera(df: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -> DataF
     return moments.select(*by, "n", statistic.alias("statistic"), F.exp(-statistic / 2.0).alias("p_value"))
 
 
-def ks_normality(df: DataFrame, spec: AuditSpec) -> DataFrame:
-    """Kolmogorov-Smirnov test of all residuals against a fitted normal: ``(statistic, p_value)``.
+def ks_normality(df: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -> DataFrame:
+    """Kolmogorov-Smirnov test of all residuals against the normal fitted to them: ``(by…, n, statistic, p_value)``.
 
-    The fitted mean and standard deviation are two numbers read back to set up the test.
+    Exact over counted values, and the p-value allows for the fitted mean and deviation. Keys whose residuals do not vary are left out; the
+    p-value is null below five residuals.
     """
-    from pyspark.ml.stat import KolmogorovSmirnovTest
+    rows = residuals(df, spec, by)
+    counts = rows.groupBy(*by, "r").agg(F.count(F.lit(1)).alias("n"))
+    fitted = group(rows, by, F.avg("r").alias("mean"), F.stddev_samp("r").alias("std"))
+    placed = attach(running_totals(counts, by, "r", ["n"]), fitted, by, "_f").where(F.col("_f.std") > 0)
+    expected = normal_cdf((F.col("r") - F.col("_f.mean")) / F.col("_f.std"))
+    total = F.col("n_total").cast("double")
+    gap = F.greatest(expected - F.col("n_below") / total, (F.col("n_below") + F.col("n")) / total - expected)
+    found = group(placed, by, F.max("n_total").alias("n"), F.max(gap).alias("statistic")).where(F.col("n").isNotNull())
+    return found.withColumn("p_value", fitted_ks_p_value(F.col("statistic"), F.col("n")))
+
 
-    rows = residuals(df, spec).select("r")
-    mean, std = rows.agg(F.avg("r"), F.stddev_pop("r")).first()
-    if not std:
-        empty = rows.select(F.lit(None).cast("double").alias("statistic"), F.lit(None).cast("double").alias("p_value"))
-        return empty.where(F.lit(False))
-    test = KolmogorovSmirnovTest.test(rows, "r", "norm", float(mean), float(std))
-    return test.select(F.col("statistic"), F.col("pValue").alias("p_value"))
+def shapiro_normality(df: DataFrame, spec: AuditSpec, by: Sequence[str] = (), rows: int = SHAPIRO_ROWS) -> DataFrame:
+    """Shapiro-Wilk test of a sample of each key's residuals: ``(by…, n, statistic, p_value)``.
+
+    The sample are the ``rows`` residuals whose identifiers (or, without one, whose whole rows) have the smallest hashes: the same on every run, and merged like
+    a minimum. Keys with fewer than three residuals, or equal ones, are left out.
+    """
+    if not 3 <= rows <= SHAPIRO_ROWS:
+        raise ValueError(f"the test is known for 3 to {SHAPIRO_ROWS} rows")
+    scalars = [spec.identifier] if spec.identifier else [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    drawn = residuals(df.withColumn("_pick", F.xxhash64(*scalars)), spec, [*by, "_pick"])
+    if by:
+        order = Window.partitionBy(*by).orderBy("_pick", "r")
+        sample = drawn.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= rows)
+    else:
+        sample = drawn.orderBy("_pick", "r").limit(rows)
+    test = F.pandas_udf(_shapiro, "statistic double, p_value double")
+    tested = group(sample, by, F.count("r").alias("n"), F.collect_list("r").alias("_r")).withColumn("_t", test("_r"))
+    return tested.where(F.col("_t.statistic").isNotNull()).select(*by, "n", "_t.statistic", "_t.p_value")
+
+
+def _shapiro(samples: pd.Series) -> pd.DataFrame:
+    found = [shapiro_wilk(list(values)) or (None, None) for values in samples]
+    return pd.DataFrame(found, columns=["statistic", "p_value"], dtype="float64")
 
 
 def residual_outliers(
@@ -137,22 +167,17 @@ def residual_outliers(
 ) -> DataFrame:
     """Residuals beyond 1.5 interquartile ranges: fences, threshold, count and percentage."""
     rows = residuals(df, spec, by)
+    counts = rows.groupBy(*by, "r").agg(F.count(F.lit(1)).alias("n"))
     cuts = value_quantiles(rows, "r", F.col("r"), by, (0.25, 0.75), accuracy).select(
         *by, F.col("r")[0].alias("q25"), F.col("r")[1].alias("q75")
+    ).withColumn("outlier_threshold", 1.5 * (F.col("q75") - F.col("q25")))
+    fences = cuts.select(
+        *by, marks((F.col("q25") - F.col("outlier_threshold"), -1), (F.col("q75") + F.col("outlier_threshold"), 1)).alias("marks")
     )
-    fenced = attach(rows, cuts, by, "_q")
-    q25, q75 = F.col("_q.q25"), F.col("_q.q75")
-    threshold = 1.5 * (q75 - q25)
-    outside = (F.col("r") < q25 - threshold) | (F.col("r") > q75 + threshold)
-    return group(
-        fenced.withColumn("_out", outside).withColumn("_thr", threshold),
-        by,
-        F.count(F.lit(1)).alias("n"),
-        F.max(q25).alias("q25"),
-        F.max(q75).alias("q75"),
-        F.max("_thr").alias("outlier_threshold"),
-        F.count_if("_out").alias("outlier_count"),
-        (100.0 * F.avg(F.col("_out").cast("double"))).alias("outlier_percentage"),
+    found = segments(counts, by, "r", ["n"], fences)
+    sums = group(found, by, F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("segment") != 1, F.col("n"))), F.lit(0)).alias("outlier_count"))
+    return attach(sums.where(F.col("n").isNotNull()), cuts, by, "_q").select(
+        *by, "n", "_q.q25", "_q.q75", "_q.outlier_threshold", "outlier_count", (100.0 * F.col("outlier_count") / F.col("n")).alias("outlier_percentage")
     )
 
 
@@ -160,40 +185,44 @@ def error_bands(df: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -> DataF
     """Share of rows whose absolute residual is within 1, 2 and 3 population standard deviations."""
     rows = residuals(df, spec, by)
     spread = group(rows, by, F.stddev_pop("r").alias("std"))
-    banded = attach(rows, spread, by, "_s")
+    sizes = rows.select(*by, F.abs("r").alias("size")).groupBy(*by, "size").agg(F.count(F.lit(1)).alias("n"))
+    bands = spread.where(F.col("std").isNotNull()).select(*by, marks(*[(k * F.col("std"), 1) for k in (1, 2, 3)]).alias("marks"))
+    found = segments(sizes, by, "size", ["n"], bands)
     shares = [
-        F.avg((F.abs("r") <= k * F.col("_s.std")).cast("double")).alias(f"errors_within_{k}_std")
-        for k in (1, 2, 3)
+        (F.coalesce(F.sum(F.when(F.col("segment") < k, F.col("n"))), F.lit(0)) / F.sum("n")).alias(f"errors_within_{k}_std") for k in (1, 2, 3)
     ]
-    return group(banded, by, *shares)
+    return group(found, by, *shares)
 
 
 def quartile_performance(
     df: DataFrame, spec: AuditSpec, by: Sequence[str] = (), accuracy: int | None = None
 ) -> DataFrame:
     """R², MAE and count per quartile of the truth. Bins are closed at both ends, so a row on a
-    boundary counts in two of them."""
+    boundary counts in two of them.
+
+    Every value of the truth is a row with its moments; segments between the quartiles and at them are summed up to bins.
+    """
     rows = residuals(df, spec, by)
     cuts = value_quantiles(rows, "y", F.col("y"), by, (0.0, 0.25, 0.5, 0.75, 1.0), accuracy)
-    q = F.col("_q.y")
-    bins = F.array(*[F.when(F.col("y").between(q[i], q[i + 1]), F.lit(f"quartile_{i + 1}")) for i in range(4)])
-    binned = attach(rows, cuts, by, "_q").select(*by, "y", "r", F.explode(F.array_compact(bins)).alias("bin"))
     r = F.col("r")
-    return (
-        binned.groupBy(*by, "bin")
-        .agg(
-            F.sum(r * r).alias("_ss"),
-            F.var_pop("y").alias("_vy"),
-            F.avg(F.abs(r)).alias("mae"),
-            F.count(F.lit(1)).alias("sample_count"),
-        )
-        .select(
-            *by,
-            "bin",
-            r2(F.col("_ss"), F.col("sample_count"), F.col("_vy")).alias("r2"),
-            "mae",
-            "sample_count",
-        )
+    moments = rows.groupBy(*by, "y").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum(r * r).alias("ss"), F.sum(F.abs(r)).alias("size")
+    )
+    center = group(rows, by, F.avg("y").alias("mean"))
+    weighted = attach(moments, center, by, "_c").withColumn("d", F.col("y") - F.col("_c.mean")).withColumns(
+        {"sy": F.col("n") * F.col("d"), "syy": F.col("n") * F.col("d") * F.col("d")}
+    )
+    edges = cuts.select(*by, marks(*[(F.col("y")[i], tie) for i in range(5) for tie in (-1, 1)]).alias("marks"))
+    measures = ["n", "ss", "size", "sy", "syy", "values"]
+    found = attach(segments(weighted.withColumn("values", F.lit(1)).select(*by, "y", *measures), by, "y", measures, edges), cuts, by, "_q")
+    # segment 2e + 1 lies at edge e, segment 2e + 2 between it and the next; edges may be equal
+    y, low, high = F.col("_q.y"), F.floor((F.col("segment") - 1) / 2).cast("int"), F.floor(F.col("segment") / 2).cast("int")
+    bins = F.array(*[F.when((y[i] <= F.get(y, low)) & (F.get(y, high) <= y[i + 1]), F.lit(f"quartile_{i + 1}")) for i in range(4)])
+    sums = found.select(*by, *measures, F.explode(F.array_compact(bins)).alias("bin")).groupBy(*by, "bin").agg(*[F.sum(m).alias(m) for m in measures])
+    n = F.col("n")
+    variance = F.when(F.col("values") == 1, 0.0).otherwise(F.greatest(F.lit(0.0), F.col("syy") / n - F.col("sy") / n * F.col("sy") / n))
+    return sums.select(
+        *by, "bin", r2(F.col("ss"), n, variance).alias("r2"), (F.col("size") / n).alias("mae"), n.cast("long").alias("sample_count")
     )
 
 

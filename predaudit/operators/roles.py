@@ -14,6 +14,7 @@ from predaudit.functions.safe import FLOATING, TEMPORAL, clean, is_missing, nume
 from predaudit.functions.values import profiled_columns, value_table
 from predaudit.operators.quality import completeness
 from predaudit.spec import (
+    AUTO,
     BIAS,
     BINARY,
     EXPLAINABILITY,
@@ -247,7 +248,7 @@ def smart_config(df: DataFrame, preferences: dict | None = None, roles: DataFram
     return config.withColumn("features", features)
 
 
-def to_spec(config: DataFrame, problem: str) -> AuditSpec:
+def to_spec(config: DataFrame, problem: str = AUTO) -> AuditSpec:
     """The one configuration row as a spec; this round trip decides the plan of the audit."""
     row = config.first()
     probabilities = row["probabilities"] or []
@@ -308,6 +309,14 @@ def problem_type(df: DataFrame, spec: AuditSpec, by: Sequence[str] = (), mode: s
     return problem_modes(df, spec, by).select(*by, F.col(mode).alias("problem"))
 
 
+def resolved(df: DataFrame, spec: AuditSpec) -> AuditSpec:
+    """The spec with its problem found out from one row of facts, if it is ``auto``; without predictions there is nothing to tell by."""
+    if spec.problem != AUTO:
+        return spec
+    found = problem_type(df, spec).first() if spec.prediction in df.columns else None
+    return spec.with_(problem=found["problem"] if found else BINARY)
+
+
 def suggested_analyses(df: DataFrame, config: DataFrame) -> DataFrame:
     """``(analyses)``: quality always, the others when their columns are there."""
     explains = (F.size("features") > 0) | F.lit(bool(numeric_columns(df)))

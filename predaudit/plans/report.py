@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from predaudit.functions.keys import attach, group
 from predaudit.functions.lineage import cut
-from predaudit.operators import classification, explain, fairness, quality, regression
+from predaudit.operators import classification, explain, fairness, quality, regression, roles
 from predaudit.plans import rules
 from predaudit.spec import ANALYSES, BIAS, EXPLAINABILITY, PERFORMANCE, QUALITY, REGRESSION, AuditSpec
 
 # Weight of each analysis in the overall score.
 WEIGHTS = {PERFORMANCE: 0.4, BIAS: 0.3, QUALITY: 0.2, EXPLAINABILITY: 0.1}
 NEUTRAL = 0.5
+DONE, FAILED, SKIPPED = "done", "failed", "skipped"
+METRIC_TYPES = {"analysis": "string", "attribute": "string", "group": "string", "metric": "string", "value": "double"}
 
 
 def _performance(df: DataFrame, spec: AuditSpec, by: Sequence[str]) -> DataFrame:
@@ -33,26 +36,37 @@ OPERATORS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def selected(df: DataFrame, spec: AuditSpec, analyses: Sequence[str] | None = None) -> list[str]:
-    """The analyses that can run; like a failing one, an analysis without its columns is left out."""
+def left_out(df: DataFrame, spec: AuditSpec, analyses: Sequence[str] | None = None) -> dict[str, str | None]:
+    """The wanted analyses in order, each with the reason why it cannot run, if there is one."""
     wanted = list(ANALYSES if analyses is None else analyses)
     unknown = [a for a in wanted if a not in OPERATORS]
     if unknown:
         raise ValueError(f"unknown analyses: {unknown}")
-    possible = {
-        PERFORMANCE: spec.prediction in df.columns,
-        BIAS: spec.prediction in df.columns and bool(fairness.present_attributes(df, spec)),
-        QUALITY: True,
-        EXPLAINABILITY: True,
-    }
-    return [a for a in wanted if possible[a]]
+    predicted = None if spec.prediction in df.columns else "no prediction column"
+    protected = None if fairness.present_attributes(df, spec) else "no protected attribute"
+    reasons = {PERFORMANCE: predicted, BIAS: predicted or protected}
+    return {a: reasons.get(a) for a in wanted}
+
+
+def analysis_metrics(
+    df: DataFrame, spec: AuditSpec, by: Sequence[str], analysis: str, importance: DataFrame | str = "correlation",
+    predict: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Tall metrics of one analysis; ``predict`` makes the importance that of permutations (see :func:`explain.permutation_importance`)."""
+    if analysis != EXPLAINABILITY:
+        return OPERATORS[analysis](df, spec, by)
+    if predict is not None:
+        features = spec.feature_columns(df.columns, tuple(by))
+        importance = explain.permutation_importance(df, features, spec.truth, spec.identifier, predict, spec.problem, by=by)
+    return explain.explain_metrics(df, spec, by, importance)
 
 
 def all_metrics(
     df: DataFrame, spec: AuditSpec, by: Sequence[str] = (), analyses: Sequence[str] | None = None
 ) -> DataFrame:
-    """One tall table of the metrics of all selected analyses."""
-    parts = [OPERATORS[a](df, spec, by) for a in selected(df, spec, analyses)]
+    """One tall table of the metrics of all analyses that have their columns, as a plan."""
+    spec = roles.resolved(df, spec)
+    parts = [OPERATORS[a](df, spec, by) for a, reason in left_out(df, spec, analyses).items() if reason is None]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -100,39 +114,85 @@ def overall_score(metrics: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -
     return group(parts, by, F.coalesce(mean, F.lit(NEUTRAL)).alias("overall_score"))
 
 
-@dataclass(frozen=True)
 class Audit:
-    """The tables of one audit. All but ``metrics`` are lazy and derive from it."""
+    """The tables of one audit. Nothing is computed before one of them is asked for.
 
-    spec: AuditSpec
-    by: tuple[str, ...]
-    metrics: DataFrame
-    scores: DataFrame
-    findings: DataFrame
-    insights: DataFrame
-    recommendations: DataFrame
-    report: DataFrame
+    ``metrics`` are computed once, analysis by analysis, into reliable storage; an analysis that fails costs its own rows and is named in ``status``. All
+    other tables derive from the metrics, a few rows per key.
+    """
+
+    def __init__(
+        self, df: DataFrame, spec: AuditSpec, by: Sequence[str], analyses: dict[str, str | None],
+        compute: Callable[[str], DataFrame] | None = None, metrics: DataFrame | None = None,
+    ):
+        self.df, self.spec, self.by = df, spec, tuple(by)
+        self._analyses, self._compute, self._given = analyses, compute, metrics
+
+    @cached_property
+    def _results(self) -> tuple[list[DataFrame], list[tuple]]:
+        parts, status = [], []
+        for analysis, reason in self._analyses.items():
+            if reason is None:
+                try:
+                    parts.append(cut(self._compute(analysis)))
+                    status.append((analysis, DONE, None))
+                except (PySparkException, Py4JJavaError, ValueError) as error:  # data that an analysis cannot deal with
+                    status.append((analysis, FAILED, str(error).strip().split("\n")[0][:500]))
+            else:
+                status.append((analysis, SKIPPED, reason))
+        return parts, status
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        """Tall metrics of all analyses that ran."""
+        if self._given is not None:
+            return self._given
+        parts, _ = self._results
+        return reduce(DataFrame.unionByName, parts) if parts else self.df.select(*self.by, *[F.lit(None).cast(t).alias(c) for c, t in METRIC_TYPES.items()]).where(F.lit(False))
+
+    @cached_property
+    def status(self) -> DataFrame:
+        """``(analysis, status, reason)``: done, failed or skipped, one row per wanted analysis."""
+        rows = [(a, DONE, None) for a in self._analyses] if self._given is not None else self._results[1]
+        return self.df.sparkSession.createDataFrame(rows, "analysis string, status string, reason string")
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        return overall_score(self.metrics, self.spec, self.by)
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        return rules.findings(self.metrics, self.spec, self.by, len(quality.data_columns(self.df, self.by)))
+
+    @cached_property
+    def insights(self) -> DataFrame:
+        return rules.key_insights(self.findings, self.scores, self.by)
+
+    @cached_property
+    def recommendations(self) -> DataFrame:
+        return rules.priority_recommendations(self.findings, self.by)
+
+    @cached_property
+    def report(self) -> DataFrame:
+        return report_rows(self.df, self.spec, self.by, self.metrics, self.scores, self.findings, self.insights, self.recommendations)
 
 
 def audit(
-    df: DataFrame, spec: AuditSpec, by: Sequence[str] = (), analyses: Sequence[str] | None = None
+    df: DataFrame, spec: AuditSpec, by: Sequence[str] = (), analyses: Sequence[str] | None = None, importance: DataFrame | str = "correlation",
+    predict: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Audit:
     """Every table of an audit, per key of ``by`` or for the whole table.
 
-    The metrics, a few rows per key, are computed here once; the other tables only read them.
+    A problem ``auto`` is found out here, for the whole table. ``importance`` and ``predict`` say which feature importance the audit rests on: correlation, a
+    surrogate forest per key, the library's forest, a table of importances, or permutations scored by ``predict``.
     """
-    return audit_metrics(df, cut(all_metrics(df, spec, by, analyses)), spec, by)
+    spec = roles.resolved(df, spec)
+    return Audit(df, spec, by, left_out(df, spec, analyses), lambda a: analysis_metrics(df, spec, by, a, importance, predict))
 
 
 def audit_metrics(df: DataFrame, metrics: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -> Audit:
     """The same from a metrics table, e.g. one that was written and read back."""
-    width = len(quality.data_columns(df, by))
-    scores = overall_score(metrics, spec, by)
-    found = rules.findings(metrics, spec, by, width)
-    insights = rules.key_insights(found, scores, by)
-    recommendations = rules.priority_recommendations(found, by)
-    row = report_rows(df, spec, by, metrics, scores, found, insights, recommendations)
-    return Audit(spec, tuple(by), metrics, scores, found, insights, recommendations, row)
+    return Audit(df, spec, by, dict.fromkeys(ANALYSES), metrics=metrics)
 
 
 def report_rows(

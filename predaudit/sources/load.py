@@ -11,8 +11,11 @@ from pyspark.sql import types as T
 
 from predaudit.functions.safe import text_columns
 from predaudit.operators.quality import missing_by_column
+from predaudit.sources.json_array import stored_lines
 from predaudit.spec import AuditSpec
 
+LARGE_JSON = 64 * 2**20
+
 FORMATS = {".csv": "csv", ".txt": "csv", ".tsv": "tsv", ".json": "json", ".jsonl": "jsonl", ".parquet": "parquet"}
 
 
@@ -23,13 +26,18 @@ def file_format(path: str) -> str:
     return FORMATS[suffix]
 
 
+def _bytes(spark: SparkSession, path: str) -> int:
+    """Size of all files at a path; their contents are not read."""
+    return spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
 def load(
     spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | str | None = None, **options: str
 ) -> DataFrame:
     """CSV and TSV with a header, JSON arrays, JSON lines or Parquet.
 
-    Give a ``schema`` for large text files: inferring one reads the files twice. A JSON array must be
-    parsed as a whole file by one task, so large data should come as JSON lines (``jsonl``).
+    Give a ``schema`` for large text files: inferring one reads the files twice. Small JSON files are parsed as a whole; arrays of more than
+    ``LARGE_JSON`` bytes are cut up by many tasks and read from lines below the shared folder.
     """
     fmt = fmt or file_format(path)
     reader = spark.read.options(**options)
@@ -39,7 +47,8 @@ def load(
         separator = "\t" if fmt == "tsv" else options.get("sep", ",")
         return reader.csv(path, header=True, inferSchema=schema is None, sep=separator)
     if fmt == "json":
-        return reader.json(path, multiLine=True)
+        lines = stored_lines(spark, path) if _bytes(spark, path) > LARGE_JSON else None
+        return reader.json(lines) if lines else reader.json(path, multiLine=True)
     if fmt == "jsonl":
         return reader.json(path)
     if fmt == "parquet":

@@ -9,6 +9,7 @@ BINARY = "binary"
 MULTICLASS = "multiclass"
 REGRESSION = "regression"
 PROBLEMS = (BINARY, MULTICLASS, REGRESSION)
+AUTO = "auto"  # to be found out from the values when an audit begins
 
 PERFORMANCE = "performance"
 BIAS = "bias"
@@ -22,7 +23,8 @@ class AuditSpec:
     """Column roles of a table of scored records.
 
     ``class_scores`` holds ``(label, column)`` pairs for multiclass scores. ``features=None`` means
-    every column without another role; ``include_roles=True`` adds the role columns to the features.
+    every column without another role; ``include_roles=True`` adds the role columns to the features. ``problem="auto"`` is for audits, which
+    detect it; single operators want to know it.
     """
 
     prediction: str | None = "prediction"
@@ -39,8 +41,8 @@ class AuditSpec:
     include_roles: bool = False
 
     def __post_init__(self) -> None:
-        if self.problem not in PROBLEMS:
-            raise ValueError(f"problem must be one of {PROBLEMS}, got {self.problem!r}")
+        if self.problem not in (*PROBLEMS, AUTO):
+            raise ValueError(f"problem must be one of {(*PROBLEMS, AUTO)}, got {self.problem!r}")
 
     @property
     def role_columns(self) -> tuple[str, ...]:

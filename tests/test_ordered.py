@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from predaudit.functions.ordered import coded, column_quantiles, quantiles, running_totals
+from predaudit.functions.ordered import coded, column_quantiles, quantiles, running_totals, segments
 
 random.seed(7)
 HARD = (
@@ -74,3 +74,17 @@ def test_sketch_option_is_close(spark):
     df = spark.range(10001).select(F.col("id").cast("double").alias("x"))
     row = column_quantiles(df, {"x": F.col("x")}, [], [0.5], accuracy=10000).first()
     assert abs(row["q"][0] - 5000) <= 5
+
+
+def test_segments_between_marks(counts):
+    cuts = {"a": [-1.0, 0.0, 0.5, 1e9], "b": [0.25], None: [float("-inf"), 7.0, 7.0, float("inf")], "gone": [1.0]}
+    marked = counts.sparkSession.createDataFrame(
+        [(k, [(at, tie) for at in sorted(set(c)) for tie in (-1, 1)]) for k, c in cuts.items()], "k string, marks array<struct<at:double,tie:int>>"
+    )
+    got = {(r["k"], r["segment"]): r["n"] for r in segments(counts, ["k"], "v", ["n"], marked).collect()}
+    want = {}
+    for r in counts.collect():
+        edges = sorted(set(cuts[r["k"]]))
+        at = sum((r["v"] >= e) + (r["v"] > e) for e in edges)
+        want[r["k"], at] = want.get((r["k"], at), 0) + r["n"]
+    assert got == want

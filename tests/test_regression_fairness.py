@@ -53,7 +53,7 @@ def test_outliers_bands_and_normality(h2):
     assert tuple(bands) == (0.75, 0.75, 1.0)
     jb = R.jarque_bera(h2, SPEC).first()
     assert jb["statistic"] == pytest.approx(4 / 6 * (1.1547005383792515**2 + (2 / 3) ** 2 / 4))
-    assert 0 < R.ks_normality(h2, SPEC).first()["p_value"] < 1
+    assert R.ks_normality(h2, SPEC).first()["p_value"] is None  # too few residuals
 
 
 def test_qq_points_use_normal_quantiles(h2):

@@ -101,23 +101,32 @@ def test_correlations_against_numpy(numbers):
     pairs = {(r["feature_a"], r["feature_b"]): r["strength"] for r in E.interactions(frame, names).collect()}
     best = max(abs(found["a"]), abs(found["b"]))
     assert pairs == {("a", "b"): pytest.approx(max(0, abs(np.corrcoef(pdf.a * pdf.b, pdf.y)[0, 1]) - best))}
-    measured = E.correlation_pass(frame, names)
-    assert measured.where("feature_b is not null").first()["value"] == pytest.approx(pairs["a", "b"])
+    single = {r["feature_a"]: r["value"] for r in E.feature_effects(frame, names).where("feature_b is null").collect()}
+    assert single == pytest.approx(found)
 
 
-def test_many_features_keep_the_ten_best(spark):
+def test_all_pairs_of_many_features_and_those_of_the_best(spark):
+    import numpy as np
+
     cols = [((F.col("id") * (i + 3)) % (i + 13)).cast("double").alias(f"f{i:02d}") for i in range(13)]
     df = spark.range(300).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("y"), *cols)
     spec = AuditSpec(None, "y", features=tuple(f"f{i:02d}" for i in range(13)), problem=REGRESSION)
-    frame, names = E.feature_frame(df, spec)
-    assert E.interactions(frame, names).count() == 45
     frame, names = E.feature_frame(df, spec, ["g"])
     by = E.interactions(frame, names, ["g"])
-    assert {r["count"] for r in by.groupBy("g").count().collect()} == {45}
-    half, _ = E.feature_frame(df.where("g = 1").drop("g"), spec)
-    alone = {(r["feature_a"], r["feature_b"]): r["strength"] for r in E.interactions(half, names).collect()}
-    mine = {(r["feature_a"], r["feature_b"]): r["strength"] for r in by.where("g = 1").collect()}
-    assert mine == pytest.approx(alone)
+    assert {r["count"] for r in by.groupBy("g").count().collect()} == {66}  # one of the features is constant in either group
+    pdf = df.where("g = 1").toPandas()
+    names = [c for c in names if pdf[c].std() > 0]
+    single = {c: abs(np.corrcoef(pdf[c], pdf.y)[0, 1]) for c in names}
+    want = {
+        (a, b): max(0.0, abs(np.corrcoef(pdf[a] * pdf[b], pdf.y)[0, 1]) - max(single[a], single[b]))
+        for i, a in enumerate(names) for b in names[i + 1 :]
+    }
+    assert {(r["feature_a"], r["feature_b"]): r["strength"] for r in by.where("g = 1").collect()} == pytest.approx(want)
+    best = sorted(names, key=lambda c: -single[c])[:10]
+    top = {(r["feature_a"], r["feature_b"]) for r in E.interactions(frame, names, ["g"], top=10).where("g = 1").collect()}
+    assert top == {(a, b) for a, b in want if a in best and b in best} and len(top) == 45
+    half, every = E.feature_frame(df.where("g = 1").drop("g"), spec)
+    assert {(r["feature_a"], r["feature_b"]) for r in E.interactions(half, every, top=10).collect()} == top
 
 
 def test_importance_statistics(spark):
