@@ -32,14 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from predaudit.functions.lineage import store
-from predaudit.llm.arrow import to_batch
 from predaudit.llm.components import components
 from predaudit.llm.prefilter import likely_in, without
 from predaudit.llm.setsketch import BLOCK, BLOCK_SHINGLES, _cells, verified
 from predaudit.llm.shingles import mix, shingle_set
 
-STRETCH = 1_000_000  # signatures that are packed together
-SLAB = 4_000_000  # shingles whose signatures, somewhat more than half as many, meet in one task at a time
+STRETCH = 300_000  # signatures that are packed together
+SLAB = 16_000_000  # bytes of text whose signatures, about one for ten bytes, meet in one task at a time
 LOW_BITS = 40
 LOW = np.uint64(2**LOW_BITS - 1)
 SKETCH_BLOCK = 2048  # nodes of a bucket whose sketches are compared in one task at a time
@@ -97,18 +96,6 @@ def _binary(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes, sketches = [], []
-        for text in _binary(batch.column(2)):
-            found = shingle_set(text)
-            sizes.append(len(found))
-            sketches.append(parity(found).tobytes() if len(found) else None)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], names=["text_key", "node", "n_shingles", "sketch"]
-        )
-
-
 def _slab(signed: np.ndarray, slabs: int) -> np.ndarray:
     return (((signed >> np.uint64(32)) * np.uint64(slabs)) >> np.uint64(32)).astype(np.int64)
 
@@ -118,51 +105,69 @@ def _bucket(signed: np.ndarray, slab: np.ndarray) -> np.ndarray:
     return ((slab.astype(np.uint64) << np.uint64(LOW_BITS)) | (signed & LOW)).view(np.int64)
 
 
-PACKED = pa.schema([("slab", pa.int32()), ("low", pa.binary()), ("at", pa.binary()), ("nodes", pa.binary()), ("band", pa.int64()), ("node", pa.int64())])
-
-
-def _packed(percent: int, slabs: int):
-    """Signatures of stretches of nodes, one row per slab; and a row for every further node of a bucket that a stretch has several nodes of."""
-
-    def stretch(nodes: list[int], signed: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        values = np.concatenate(signed)
-        owner = np.repeat(np.arange(len(nodes)), [len(x) for x in signed])
-        order = np.lexsort((np.array(nodes)[owner], values))
-        values, owner = values[order], owner[order]
-        first = np.concatenate([[True], values[1:] != values[:-1]])
-        several = np.zeros(len(values), bool)
-        several[:-1] = ~first[1:] & first[:-1]
-        slab, names = _slab(values, slabs), np.array(nodes, np.int64)
-        again = np.flatnonzero(~first)
-        again = again[names[owner[again]] != names[owner[again - 1]]]  # rows that repeat a doc_id and a text
-        if len(again):
-            empty = pa.nulls(len(again), pa.binary())
-            band = _bucket(values[again], slab[again])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(slab[again].astype(np.int32)), empty, empty, empty, pa.array(band), pa.array(names[owner[again]])], schema=PACKED
-            )
-        at = (owner[first] | (several[first] << 15)).astype(np.uint16)
-        values, slab = values[first], slab[first]
-        low = (values & LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : LOW_BITS // 8]
-        ends = np.flatnonzero(np.concatenate([slab[1:] != slab[:-1], [True]])) + 1
-        starts = np.concatenate([[0], ends[:-1]])
-        rows = [(int(slab[i]), low[i:j].tobytes(), at[i:j].tobytes(), names.tobytes(), None, None) for i, j in zip(starts, ends)]
-        yield to_batch(rows, PACKED)
+MADE = pa.schema([
+    ("text_key", pa.binary()), ("node", pa.int64()), ("n_shingles", pa.int64()), ("sketch", pa.binary()),  # of a text
+    ("band", pa.int64()),  # with node: a further node of a bucket
+    ("slab", pa.int32()), ("low", pa.binary()), ("at", pa.binary()), ("nodes", pa.binary()),  # signatures of a stretch of nodes
+])
+
+
+def _filled(rows: int, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(rows, f.type) for f in MADE], schema=MADE)
+
+
+def _packed(nodes: list[int], signed: list[np.ndarray], slabs: int) -> Iterator[pa.RecordBatch]:
+    """Signatures of a stretch of nodes, one row per slab; and a row for every further node of a bucket that the stretch has several nodes of."""
+    values = np.concatenate(signed)
+    owner = np.repeat(np.arange(len(nodes)), [len(x) for x in signed])
+    names = np.array(nodes, np.int64)
+    order = np.lexsort((names[owner], values))
+    values, owner = values[order], owner[order]
+    first = np.concatenate([[True], values[1:] != values[:-1]])
+    several = np.zeros(len(values), bool)
+    several[:-1] = ~first[1:] & first[:-1]
+    slab = _slab(values, slabs)
+    again = np.flatnonzero(~first)
+    again = again[names[owner[again]] != names[owner[again - 1]]]  # rows that repeat a doc_id and a text
+    if len(again):
+        yield _filled(
+            len(again), slab=pa.array(slab[again].astype(np.int32)), band=pa.array(_bucket(values[again], slab[again])), node=pa.array(names[owner[again]])
+        )
+    at = (owner[first] | (several[first] << 15)).astype(np.uint16)
+    values, slab = values[first], slab[first]
+    low = (values & LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : LOW_BITS // 8]
+    ends = np.flatnonzero(np.concatenate([slab[1:] != slab[:-1], [True]])) + 1
+    starts = np.concatenate([[0], ends[:-1]])
+    yield _filled(
+        len(ends), slab=pa.array(slab[starts].astype(np.int32)), low=pa.array([low[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary()),
+        at=pa.array([at[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary()), nodes=pa.array([names.tobytes()] * len(ends), pa.binary()),
+    )
+
+
+def _made(percent: int, slabs: int):
+    """From ``(text_key, node, text)``: size and sketch of every text, and the signatures of those that have a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, signed, held = [], [], 0
         for batch in batches:
-            for node, text in zip(batch.column(0).to_pylist(), _binary(batch.column(1))):
+            sizes, sketches = [], []
+            for node, text in zip(batch.column(1).to_pylist(), _binary(batch.column(2))):
                 found = shingle_set(text)
-                if len(found) and len(mine := signatures(found, percent)):
+                sizes.append(len(found))
+                sketches.append(parity(found).tobytes() if len(found) else None)
+                if len(found) and node is not None:
+                    signed.append(signatures(found, percent))
                     nodes.append(node)
-                    signed.append(mine)
-                    held += len(mine)
+                    held += len(signed[-1])
                     if held >= STRETCH or len(nodes) == 2**15 - 1:
-                        yield from stretch(nodes, signed)
+                        yield from _packed(nodes, signed, slabs)
                         nodes, signed, held = [], [], 0
+            yield _filled(
+                len(sizes), text_key=batch.column(0).cast(pa.binary()), node=batch.column(1), n_shingles=pa.array(sizes, pa.int64()),
+                sketch=pa.array(sketches, pa.binary()),
+            )
         if nodes:
-            yield from stretch(nodes, signed)
+            yield from _packed(nodes, signed, slabs)
 
     return run
 
@@ -188,11 +193,11 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(band.view(np.int64)), pa.array(node[keep])], names=["band", "node"])
 
     for batch in batches:
-        passed = batch.filter(batch.column(5).is_valid())
+        passed = batch.filter(batch.column(1).is_valid())
         if passed.num_rows:
-            yield pa.RecordBatch.from_arrays([passed.column(4), passed.column(5)], names=["band", "node"])
-        for slab, *packed, _, node in zip(*[c.to_pylist() for c in batch.columns]):
-            if node is None:
+            yield passed.select(["band", "node"])
+        for slab, band_, _, *packed in zip(*[c.to_pylist() for c in batch.filter(batch.column(1).is_null()).columns]):
+            if band_ is None:
                 if slab != current and held:
                     yield from shared()
                     held = []
@@ -202,13 +207,19 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from shared()
 
 
-def shared_signatures(texts: DataFrame, elements: int, percent: int) -> DataFrame:
-    """``(band, node)``: the buckets of several nodes. ``texts`` are ``(doc_id, text)`` with ``elements`` shingles in all."""
-    slabs = max(1, -(-elements // SLAB))
-    rows = texts.select("doc_id", "text").mapInArrow(_packed(percent, slabs), "slab int, low binary, at binary, nodes binary, band long, node long")
+def shared_signatures(made: DataFrame, slabs: int) -> DataFrame:
+    """``(band, node)``: the buckets of several nodes, from the signatures in ``made``."""
+    rows = made.where("slab is not null").select("slab", "band", "node", "low", "at", "nodes")
     return rows.repartition(min(slabs, 10_000), "slab").sortWithinPartitions("slab").mapInArrow(_meeting, "band long, node long")
 
 
+def distinct_buckets(bands: DataFrame) -> DataFrame:
+    """``(band, least, size)`` of one bucket for each set of members, told apart by 128 bits. Sets that share one signature mostly share many."""
+    members = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
+    buckets = bands.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("size"), *members).where("size > 1")
+    return buckets.groupBy("least", "size", "x0", "x1").agg(F.min("band").alias("band")).select("band", "least", "size")
+
+
 def _close(one: np.ndarray, n_one, others: np.ndarray, n_others: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Differing bits of sketches of one length, and whether they allow a link."""
     apart = np.bitwise_count(one ^ others).sum(1, dtype=np.int64)
@@ -338,26 +349,27 @@ def linked_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every row of ``docs``; the component is the smallest doc_id that links lead to."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = docs.withColumn("text_key", F.unhex(F.md5("text")))
-    rows = store(keyed.select("doc_id", "text_key"), "pe-rows")
+    rows = store(keyed.select("doc_id", "text_key", F.octet_length("text").alias("bytes")), "pe-rows")
     texts = store(rows.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows")), "pe-texts")
     # one row of each text: rows of texts that stand alone are passed on without a shuffle
     name = F.concat("text_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     copies = rows.join(texts.where("rows > 1").drop("rows"), "text_key").where(~F.col("doc_id").eqNullSafe(F.col("node"))).select(name.alias("name")).distinct()
     ones = without(keyed.withColumn("name", name), "name", store(copies, "pe-copies")).withColumnRenamed("doc_id", "node")
-    nodes = store(
-        ones.select("text_key", "node", "text").mapInArrow(_described, "text_key binary, node long, n_shingles long, sketch binary")
-        .dropDuplicates(["text_key"]), "pe-nodes",
-    )
+    slabs = max(1, -(-rows.agg(F.coalesce(F.sum(F.col("bytes").cast("long")), F.lit(0))).first()[0] // SLAB))
+    schema = "text_key binary, node long, n_shingles long, sketch binary, band long, slab int, low binary, at binary, nodes binary"
+    made = store(ones.select("text_key", "node", "text").mapInArrow(_made(percent, slabs), schema), "pe-made")
+    nodes = made.where("text_key is not null").select("text_key", "node", "n_shingles", "sketch").dropDuplicates(["text_key"])
+    nodes = store(nodes, "pe-nodes")
     named = nodes.where("node is not null and n_shingles > 0")
     single = ones.where("node is not null").select(F.col("node").alias("doc_id"), "text")
-    elements = named.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    bands = store(shared_signatures(single, elements, percent), "pe-bands")
-    least = store(bands.groupBy("band").agg(F.min("node").alias("least")), "pe-least")
-    members = bands.join(least, "band").join(named.select("node", "n_shingles").dropDuplicates(["node"]), "node")
-    members = store(members.select("band", "node", "n_shingles", "least"), "pe-members")
+    bands = store(shared_signatures(made, slabs), "pe-bands")
+    buckets = store(distinct_buckets(bands), "pe-buckets")
+    members = bands.join(buckets, "band").join(named.select("node", "n_shingles").dropDuplicates(["node"]), "node")
+    members = store(members.select("band", "node", "n_shingles", "least", "size"), "pe-members")
     star = members.where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     links = store(verified(store(possible_pairs(star, named, percent), "pe-star"), single, percent), "pe-links")
     labels = components(links)
+    members = members.where("size > 2").drop("least", "size")  # of two members one is the smallest, with which the other was compared
     for _ in range(ROUNDS):
         members = store(_labelled(members, labels), "pe-labelled")
         found = store(closest_partners(members, named, percent), "pe-closest")
