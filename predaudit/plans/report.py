@@ -114,6 +114,14 @@ def overall_score(metrics: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -
     return group(parts, by, F.coalesce(mean, F.lit(NEUTRAL)).alias("overall_score"))
 
 
+def _reason(error: Exception) -> str:
+    """First line of what went wrong, from the innermost cause if the error comes from a task."""
+    cause = getattr(error, "java_exception", None)
+    while cause is not None and cause.getCause() is not None:
+        cause = cause.getCause()
+    return str(cause.getMessage() if cause is not None else error).strip().split("\n")[0][:500]
+
+
 class Audit:
     """The tables of one audit. Nothing is computed before one of them is asked for.
 
@@ -137,7 +145,7 @@ class Audit:
                     parts.append(cut(self._compute(analysis)))
                     status.append((analysis, DONE, None))
                 except (PySparkException, Py4JJavaError, ValueError) as error:  # data that an analysis cannot deal with
-                    status.append((analysis, FAILED, str(error).strip().split("\n")[0][:500]))
+                    status.append((analysis, FAILED, _reason(error)))
             else:
                 status.append((analysis, SKIPPED, reason))
         return parts, status

@@ -25,6 +25,8 @@ def audit_path(
     if spec is None:
         found = roles.column_roles(data)
         spec = roles.to_spec(roles.smart_config(data, roles=found), AUTO)
+        if not spec.protected:
+            spec = spec.with_(protected=tuple(r["column"] for r in roles.protected_attributes(data).collect()))  # some of the columns
     done = audit(prepare(data, spec).data, spec, by, importance=importance, predict=predict)
     if out is not None:
         write_report(done, out)
