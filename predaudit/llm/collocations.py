@@ -1,14 +1,14 @@
 """Phrase collocations by Toivonen's mining: a sample proposes phrases, full passes count them and their negative border exactly.
 
-1. A sample of documents, chosen by the hash of their identifiers, is mined level by level with a lowered threshold. What is frequent there is
-   proposed. Only this guess depends on the sample, no result.
+1. Single words are counted over all documents. A sample of documents, chosen by the hash of their identifiers, is mined level by level for phrases of frequent
+   words, with a lowered threshold. What is frequent there is proposed. Only this guess depends on the sample, no result.
 2. A full pass over all documents counts every phrase whose shorter phrases (without its last and without its first word) are both
-   proposed: the proposed phrases and their negative border. All single words belong to it.
+   proposed: the proposed phrases and their negative border. All pairs of frequent words belong to it.
 3. Phrases of the border that turn out frequent are failures of the sample. A frequent phrase that was not counted has a smallest part that was not
    proposed; that part was in the border, so it is a failure. A further pass therefore counts all phrases that hold a failure and consist of frequent
    words, to full length, and nothing is left open. It also writes out the words of the phrases counted before.
 
-A phrase is known by 128 bits of hash while it is counted. Proposed phrases and failures reach the tasks as bitmaps of bounded size
+A phrase is known by 96 bits of hash while it is counted. Proposed phrases and failures reach the tasks as bitmaps of bounded size
 (``bitmap``): a phrase they let through by chance is counted in vain, and none is lost. Counts are combined in each task over some million
 words before they are shuffled, so a phrase that every document shares costs one row per such stretch.
 
@@ -34,7 +34,7 @@ from predaudit.functions.lineage import store
 from predaudit.llm.shingles import mix
 
 LONGEST = 4
-STRETCH = 16_000_000  # bytes of text whose phrases are counted together in a task
+STRETCH = 24_000_000  # bytes of text whose phrases are counted together in a task
 BUFFER = 1_000_000  # bytes that are cut into words together, but for longer pieces
 SHARE = 8  # one of so many documents is in the sample
 LARGEST_BITMAP = 2**28  # bits: 32 MiB
@@ -111,12 +111,12 @@ class Words:
         return b" ".join(self.buffer[self.start[j] : self.end[j]] for j in range(i, i + size)).lower().decode()
 
     def keys(self, size: int, part: int) -> np.ndarray:
-        """One half (``part`` 0 or 1) of the keys of all phrases of ``size`` words, also of those that cross the end of a piece."""
+        """The key (``part`` 0, 64 bits) or its check (1, 32 bits) of all phrases of ``size`` words, also of those that cross the end of a piece."""
         n = len(self.whole(size))
         total = self._of_lang[part][:n] * _ODD[LONGEST] + np.uint64(size)
         for j in range(size):
             total += self.hash[part][j : j + n] * _ODD[j]
-        return mix(total)
+        return mix(total) >> np.uint64(32 * part)
 
     def whole(self, size: int) -> np.ndarray:
         """Whether a phrase of ``size`` words at each place stays within its piece."""
@@ -229,16 +229,19 @@ def bitmap(phrases: DataFrame):
     return phrases.sparkSession.sparkContext.broadcast(whole.reshape(-1))
 
 
-def proposals(texts: DataFrame, least: int, share: int = SHARE) -> DataFrame:
-    """``(size, key, check)`` of phrases that are frequent in a sample of ``texts``, and of words of the proposed phrases."""
-    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0) if share > 1 else texts
-    lowered = max(2, least // (2 * share)) if share > 1 else least
-    found = store(phrase_counts(sample, (1,), lowered).select("size", "key", "check"), "tm-proposed-1")
-    for size in range(2, LONGEST):
-        known = bitmap(found)
-        longer = store(phrase_counts(sample, (size,), lowered, known).select("size", "key", "check"), f"tm-proposed-{size}")
-        found = found.unionByName(longer)
-        known.unpersist()
+def sampled(texts: DataFrame, share: int) -> DataFrame:
+    return texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0) if share > 1 else texts
+
+
+def proposals(sample: DataFrame, words: DataFrame, lowered: int) -> DataFrame:
+    """``(size, key, check)`` of phrases that occur ``lowered`` times in the sample, as do the shorter ones they are made of; ``words`` are the frequent words."""
+    found, known = None, words
+    for size in range(2, LONGEST + 1):
+        bits = bitmap(known)
+        longer = store(phrase_counts(sample, (size,), lowered, bits).select("size", "key", "check"), f"tm-proposed-{size}")
+        found = longer if found is None else found.unionByName(longer)
+        known = words.unionByName(found)
+        bits.unpersist()
     return found
 
 
@@ -298,19 +301,24 @@ def _second(wanted, failures, frequent_words, proposed):
 
 def frequent(texts: DataFrame, least: int, share: int = SHARE) -> DataFrame:
     """``(lang, phrase, size, a)`` of all phrases of 1 to ``LONGEST`` words with at least ``least`` occurrences, counted exactly; ``size`` 0: all words."""
-    known = proposals(texts, least, share)
-    proposed = bitmap(known)
-    counted = store(phrase_counts(texts, tuple(range(LONGEST + 1)), least, proposed), "tm-counted")
-    shorter = counted.where(F.col("size").between(1, LONGEST - 1)).select("size", "key", "check")
-    failures = store(shorter.join(known, ["size", "key", "check"], "left_anti"), "tm-failures")
+    key, schema = ["size", "key", "check"], "size int, key long, check long, lang string, phrase string, a long"
+    words = store(phrase_counts(texts, (0, 1), least), "tm-words")
+    single = words.where("size = 1").select(key)
+    longer = proposals(sampled(texts, share), single, max(2, least // (2 * share)) if share > 1 else least)
+    proposed = bitmap(single.unionByName(longer))
+    counted = store(phrase_counts(texts, tuple(range(2, LONGEST + 1)), least, proposed), "tm-counted").unionByName(words)
+    # what the sample holds is named from there, so the other documents are asked for the names of the rest only
+    there = single.join(phrase_counts(sampled(texts, share), (1,), 1).select(key), key, "left_semi").unionByName(longer)
+    there = store(there, "tm-there")
+    border = store(counted.join(there, key, "left_anti").select(key), "tm-border")
+    failures = border.where(F.col("size").between(2, LONGEST - 1))
     failed = None if failures.isEmpty() else bitmap(failures)
-    words = bitmap(counted.where("size = 1")) if failed else None
-    second = texts.select("lang", "text").mapInArrow(
-        _second(bitmap(counted), failed, words, proposed), "size int, key long, check long, lang string, phrase string, a long"
+    second = texts.select("lang", "text").mapInArrow(_second(bitmap(border), failed, bitmap(single), proposed), schema).unionByName(
+        sampled(texts, share).select("lang", "text").mapInArrow(_second(bitmap(counted.join(there, key, "left_semi")), None, None, None), schema)
     )
     rows = store(second, "tm-second")
-    names = rows.where("a = 0").select("size", "key", "check", "lang", "phrase").dropDuplicates(["size", "key", "check"])
-    first = names.join(counted, ["size", "key", "check"]).select("lang", "phrase", "size", "a")
+    names = rows.where("a = 0").select("size", "key", "check", "lang", "phrase").dropDuplicates(key)
+    first = names.join(counted, key).select("lang", "phrase", "size", "a")
     further = rows.where("a > 0").groupBy("lang", "phrase", "size").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
     return first.unionByName(further.select("lang", "phrase", "size", "a"))
 

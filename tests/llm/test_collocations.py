@@ -64,7 +64,7 @@ def test_phrases_equal_brute_force(spark, rng, monkeypatch, share, stretch):
 
 def test_all_failures_of_the_sample_are_made_good(spark, rng, monkeypatch):
     rows = _texts(rng)
-    monkeypatch.setattr(module, "proposals", lambda texts, *_: texts.selectExpr("1 as size", "0L as key", "0L as check").limit(0))
+    monkeypatch.setattr(module, "proposals", lambda texts, *_: texts.selectExpr("2 as size", "0L as key", "0L as check").limit(0))
     got = sorted(tuple(r) for r in collocations(_docs(spark, rows), least=12).collect())
     assert got == _brute(rows, 12)
 
