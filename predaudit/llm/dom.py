@@ -15,6 +15,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
+PART = "-"  # before words of a longer class or id
 
 # Fixed values of the HTML standard.
 VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
@@ -56,14 +57,16 @@ class Page:
 
 
 def marks_of(attributes: str) -> tuple[str, ...]:
-    """Lower-case words of class, id and role, and ``hidden``."""
+    """Lower-case words of class, id and role, and ``hidden``. Words of a name of several (``has-sidebar``) say less and begin with ``PART``."""
     found = []
     for name, *values in _ATTRIBUTE.findall(attributes):
         value, name = "".join(values).lower(), name.lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             found.append("hidden")
         elif name != "aria-hidden":
-            found += _WORD.findall(value)
+            for token in value.split():
+                words = _WORD.findall(token)
+                found += words if len(words) == 1 else [PART + word for word in words]
     return tuple(dict.fromkeys(found))
 
 

@@ -1,7 +1,7 @@
 """Main text of pages by a tree-structured graphical model over the DOM.
 
 Every element and every text run has a hidden label: content or not. The potentials are those of a tree: of a node given the label
-of its parent and its own kind, and of its marks (words of class, id and role), its length and its links given its label. Messages are
+of its parent and its own kind, and of its marks (words of class, id and role), its length, its links and where it stands given its label. Messages are
 passed upward from the leaves and downward from the root (sum-product), which gives the exact marginal of each label given the whole page. Text whose
 marginal is at least one half is kept.
 
@@ -9,9 +9,12 @@ Training counts labelled nodes: those of ``LABELLED``, whose marked regions show
 ``TRAINING_PAGES`` pages, the first by a hash of page_id, that declare their one main region themselves (``article`` or ``main``); the
 region is the label. Counts are added up by Spark, and only the table of potentials is sent to the tasks.
 
+A class on a wrapper names the layout, not what it wraps: marks of ``body``, of a declared region and of what encloses it are observed as those of wrappers, and
+words that are part of a longer name (``has-sidebar``) speak against an element only if it holds less than half of the page's text.
+
 Defined results: null or empty html has no text; references are decoded, white space within a block becomes one space, blocks are trimmed, empty ones
-left out, the others joined in page order by two line feeds; rows with a null or repeated page_id are extracted like any other; an empty
-table gives no rows.
+left out, the others joined in page order by two line feeds; rows with a null or repeated page_id are extracted like any other; a very long page is
+read whole by one task; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from predaudit.llm.arrow import to_batch
-from predaudit.llm.dom import Page, parse
+from predaudit.llm.dom import PART, Page, parse
 
 TRAINING_PAGES = 2000
 SMOOTHING = 0.1
@@ -41,6 +44,8 @@ _BOILERPLATE = (
 )  # fixed words by which templates name such regions
 _CONTENT = ("content", "article", "post", "entry", "main", "story", "body", "text", "page", "maincontent", "articlebody")
 
+MAIN = "labelledmain"  # id of the main region of made-up pages, taken off before they are counted
+
 FEATURE = pa.schema([("feature", pa.string()), ("label", pa.int64()), ("n", pa.int64())])
 TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
@@ -65,6 +70,19 @@ def labelled_pages() -> list[str]:
                   "<p>Text with <a href='/'>a link</a>, <em>stress</em> and <b>weight</b>.</p>", "<dl><dt>Term</dt><dd>Meaning</dd></dl>"):
         pages.append(f"<body><main>{paragraph}{inner}</main></body>")
         pages.append(f"<body><article>{inner}{paragraph}</article></body>")
+    menu = '<ul><li><a href="/">One</a></li><li><a href="/b">Two</a></li></ul>'
+    for word in ("nav", "top", "header", "bar", "links", "footer", "bottom", "sidebar"):  # stories in elements without a name
+        for story in (f"<h1>Title</h1>{paragraph}", f"<h2>Title</h2>{paragraph}{paragraph}", paragraph):
+            pages.append(f'<body><div id="{word}">{menu}</div><div id="labelledmain">{story}</div></body>')
+            pages.append(f'<body><div id="labelledmain">{story}</div><div class="{word}">{menu}<p>Some words.</p></div></body>')
+            pages.append(f'<body><div><div id="{word}"><a href="/">Home</a></div><div id="labelledmain"><div>{story}</div></div></div></body>')
+    for word in ("has", "with", "no", "fixed", "layout"):  # wrappers named after something they only make room for
+        for other in ("sidebar", "header", "comments", "ad", "legal"):
+            pages.append(f'<body class="{word}-{other}"><nav>{menu}</nav><article class="{other}"><h1>Title</h1>{paragraph}</article><div><p>More words.</p></div></body>')
+            pages.append(f'<body><div class="{other}-{word}"><main><h1>Title</h1>{paragraph}</main></div><div>{menu}</div></body>')
+    for head in ("<header><h1>Title</h1></header>", "<header><h1>Title</h1><p>Under the title.</p></header>"):  # the header of a story, not of a site
+        pages.append(f"<body><header><a href='/'>Home</a></header><article>{head}{paragraph}</article></body>")
+        pages.append(f"<body><article>{head}{paragraph}</article><footer>Words.</footer></body>")
     return pages
 
 
@@ -72,39 +90,86 @@ def _length(text: str) -> str:
     return f"#length {min(9, len(text.strip()).bit_length())}"
 
 
+def declared_region(page: Page) -> int | None:
+    """The outermost ``article`` or ``main``, if there is just one."""
+    inside, roots = [False] * len(page.kind), []
+    for i, kind in enumerate(page.kind):
+        within = page.parent[i] >= 0 and inside[page.parent[i]]
+        if kind in ("article", "main"):
+            if not within:
+                roots.append(i)
+            within = True
+        inside[i] = within
+    return roots[0] if len(roots) == 1 else None
+
+
+def titled(page: Page) -> list[bool]:
+    """Whether a node is or holds the page's first ``h1``."""
+    found = [False] * len(page.kind)
+    node = next((i for i, kind in enumerate(page.kind) if kind == "h1"), 0)
+    while node > 0:
+        found[node] = True
+        node = page.parent[node]
+    return found
+
+
+def large(page: Page) -> list[bool]:
+    """Whether a node holds at least half of the page's text."""
+    mass = [len(t.strip()) if k == "#text" else 0 for t, k in zip(page.text, page.kind)]
+    for i in range(len(mass) - 1, 0, -1):
+        if page.kind[i] not in NEVER:
+            mass[page.parent[i]] += mass[i]
+    return [2 * m >= mass[0] for m in mass]
+
+
 def edge_kinds(page: Page) -> list[str]:
-    """Kind of every node for its tie to the parent: the tag, and whether marks can tell more."""
-    return [f"{k}*" if m else k for k, m in zip(page.kind, page.marks)]
+    """Kind of every node for its tie to the parent: the tag, whether marks can tell more, and whether a header holds the title."""
+    return [
+        f"{k}{'*' if m and not big else ''}{'^' if t and k == 'header' else ''}"
+        for k, m, t, big in zip(page.kind, page.marks, titled(page), large(page))
+    ]
 
 
 def observations(page: Page) -> list[tuple[str, ...]]:
     """Features of every node that do not depend on labels."""
-    linked = [False] * len(page.kind)
-    found = []
+    n, region, big = len(page.kind), declared_region(page), large(page)
+    encloses = [False] * n
+    node = -1 if region is None else region
+    while node >= 0:
+        encloses[node] = True
+        node = page.parent[node]
+    linked, inside, found = [False] * n, [False] * n, []
     for i, (kind, parent) in enumerate(zip(page.kind, page.parent)):
         linked[i] = kind == "a" or (parent >= 0 and linked[parent])
+        inside[i] = i == region or (parent >= 0 and inside[parent])
         if kind == "#text":
-            found.append((_length(page.text[i]), f"#link {linked[i]}") if page.text[i].strip() else ())
+            features = (_length(page.text[i]), f"#link {linked[i]}") if page.text[i].strip() else ()
+        elif encloses[i] or kind == "body":
+            features = tuple(f".~{m}" for m in page.marks[i])
         else:
-            found.append(tuple(f".{m}" for m in page.marks[i]))
+            features = tuple(("+" if big[i] and m.startswith(PART) else ".") + m.removeprefix(PART) for m in page.marks[i])
+        if region is not None and not (encloses[i] or inside[i]) and (features or kind != "#text"):
+            features += ("#out of region" if kind == "#text" else ".out of region",)
+        found.append(features)
     return found
 
 
 def labels_of(page: Page, declared: bool) -> list[int] | None:
     """Labels from the declared main region, less the regions in it that are named as boilerplate. None without one such region."""
-    roots = [i for i, k in enumerate(page.kind) if k in ("article", "main")]
-    roots = [i for i in roots if not any(page.parent[i] == r or _below(page, i, r) for r in roots if r < i)]
+    region = declared_region(page)
+    roots = [] if region is None else [region]
     if not roots and not declared:
-        roots = [i for i, m in enumerate(page.marks) if set(m) & set(_CONTENT)][:1]
+        roots = [i for i, m in enumerate(page.marks) if MAIN in m] or [i for i, m in enumerate(page.marks) if set(m) & set(_CONTENT)][:1]
     if len(roots) != 1:
         return None
-    inside = [0] * len(page.kind)
+    inside, title = [0] * len(page.kind), titled(page)
     for i, kind in enumerate(page.kind):
         parent = page.parent[i]
         if i == roots[0]:
             inside[i] = 1
         elif parent >= 0 and inside[parent]:
-            out = kind in NEVER or kind in ("nav", "header", "footer", "aside", "form", "menu", "dialog") or set(page.marks[i]) & set(_BOILERPLATE)
+            named = {m.removeprefix(PART) for m in page.marks[i]} & set(_BOILERPLATE)
+            out = kind in NEVER or kind in ("nav", "footer", "aside", "form", "menu", "dialog") or (kind == "header" and not title[i]) or named
             inside[i] = 0 if out else 1
     for i in range(roots[0], 0, -1):  # what encloses content only passes it on
         if inside[i] and page.kind[page.parent[i]] in ("#root", "html", "body", "div", "section"):
@@ -112,12 +177,6 @@ def labels_of(page: Page, declared: bool) -> list[int] | None:
     return inside
 
 
-def _below(page: Page, node: int, root: int) -> bool:
-    while node > root:
-        node = page.parent[node]
-    return node == root
-
-
 def count(page: Page, labels: list[int], into: Counter, weight: int = 1, measured: bool = True) -> None:
     """Count a labelled page. Lengths and links of made-up text say nothing, so ``measured`` leaves them out."""
     kinds = edge_kinds(page)
@@ -128,7 +187,8 @@ def count(page: Page, labels: list[int], into: Counter, weight: int = 1, measure
             if group == "#element" or measured:
                 into[group, labels[i]] += weight
                 for f in features:
-                    into[f, labels[i]] += weight
+                    if f[0] != "+":
+                        into[f, labels[i]] += weight
 
 
 class Model:
@@ -155,10 +215,12 @@ class Model:
         if features not in self.own_cache:
             ratio = 0.0
             for f in features:
-                seen = [self.counts.get((f, y), 0) for y in (0, 1)]
+                name = f".{f[1:]}" if f[0] == "+" else f
+                seen = [self.counts.get((name, y), 0) for y in (0, 1)]
                 if sum(seen):
-                    total = self.total["#element" if f[0] == "." else "#text"]
-                    ratio += math.log((seen[1] + SMOOTHING) / total[1]) - math.log((seen[0] + SMOOTHING) / total[0])
+                    total = self.total["#element" if name[0] == "." else "#text"]
+                    found = math.log((seen[1] + SMOOTHING) / total[1]) - math.log((seen[0] + SMOOTHING) / total[0])
+                    ratio += max(0.0, found) if f[0] == "+" else found
             self.own_cache[features] = ratio
         return self.own_cache[features]
 
@@ -227,7 +289,9 @@ def train(pages: DataFrame) -> dict[tuple[str, int], float]:
     counts: Counter = Counter()
     for source in labelled_pages():
         page = parse(source)
-        count(page, labels_of(page, declared=False), counts, LABELLED_WEIGHT, measured=False)
+        labels = labels_of(page, declared=False)
+        page.marks = [tuple(m for m in marks if m != MAIN) for marks in page.marks]
+        count(page, labels, counts, LABELLED_WEIGHT, measured=False)
     for row in rows:
         counts[row["feature"], row["label"]] += row["n"]
     return dict(counts)
