@@ -6,15 +6,20 @@ a bitmap of all hashes of the benchmark, a fixed number of bytes whatever either
 hashes exactly. Each hit gives an alignment of item and document, and the item counts as leaked if among some
 ``WINDOW`` consecutive words of it (all, if it has fewer) at least ``PERCENT`` hundredths stand in the document at their place.
 
+Items of fewer than ``SPACED`` words have unspaced masks, so short that the words that may be replaced cannot hit every part of the item: whatever the rule
+accepts has a hit. Only masks that some item needs are laid over the documents.
+
 Documents with equal texts are verified once. Words are lower-cased, without ASCII punctuation.
 
-Defined results: null or empty texts have no hits; items with fewer words than the shortest mask are never found; equal items
-are reported under the smallest item_id; documents with a null doc_id are reported with it, but ``drop_leaked`` keeps them, as no key tells
-them apart; an empty table on either side gives no rows.
+Defined results: null or empty texts have no hits; items of fewer than ``LEAST_WORDS`` words are not looked for, since one or two words are no
+leak; equal items are reported under the smallest item_id, those without any item_id under null; documents with a null doc_id are reported with it;
+``drop_leaked`` tells documents by their texts, so all rows of a leaked text go, whatever their doc_id, and no other row does; a very long text is
+read by one task and verified only where it has hits; an empty table on either side gives no rows; other columns are kept whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import string
 from collections.abc import Iterator
 
@@ -22,13 +27,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest
 
 from predaudit.functions.lineage import store
+from predaudit.llm.names import aside
 from predaudit.llm.prefilter import BITS, without
 from predaudit.llm.shingles import mix, word_hashes
 
 MASKS = ("111111", "110110011", "1011010011", "1100101011")
+SHORT_MASKS = ("11", "111", "1111")
+LEAST_WORDS, SPACED = 3, 12  # words of the shortest item, and of the shortest that the spaced masks serve
 WINDOW, PERCENT = 13, 80
 BUCKETS = 512  # bitmaps of 4 KiB: 2 MiB in all
 PROBES = 3
@@ -42,10 +49,21 @@ def tokens(text: str | None) -> np.ndarray:
     return word_hashes(text.lower().encode().translate(None, _PUNCTUATION).split()) if text else np.empty(0, np.uint64)
 
 
-def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes under all masks at all positions, and those positions."""
-    hashes, places = [], []
-    for number, mask in enumerate(MASKS):
+def masks_for(words: int) -> tuple[int, ...]:
+    """Numbers of the masks for an item of so many words."""
+    if words < LEAST_WORDS:
+        return ()
+    if words >= SPACED:
+        return tuple(range(len(MASKS)))
+    replaced = words - -(-words * PERCENT // 100)
+    return (len(MASKS) + SHORT_MASKS.index("1" * (words // (replaced + 1))),)
+
+
+def seeds(words: np.ndarray, masks: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes under masks at all positions, those positions, and the masks."""
+    hashes, places, numbers = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for number in masks:
+        mask = (*MASKS, *SHORT_MASKS)[number]
         n = len(words) - len(mask) + 1
         if n > 0:
             total = np.full(n, number + 1, np.uint64) * _ODD[15]
@@ -53,7 +71,8 @@ def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 total += words[j : j + n] * _ODD[j]
             hashes.append(mix(total))
             places.append(np.arange(n, dtype=np.int64))
-    return (np.concatenate(hashes), np.concatenate(places)) if hashes else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            numbers.append(np.full(n, number, np.int64))
+    return np.concatenate(hashes), np.concatenate(places), np.concatenate(numbers)
 
 
 def _probes(hashes: np.ndarray) -> list[np.ndarray]:
@@ -63,20 +82,19 @@ def _probes(hashes: np.ndarray) -> list[np.ndarray]:
 
 def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        items, found, places = [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        items, found = [], [seeds(np.empty(0, np.uint64), ())]
         for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            hashes, at = seeds(tokens(text))
-            items += [item] * len(at)
-            found.append(hashes)
-            places.append(at)
-        hashes = np.concatenate(found)
+            words = tokens(text)
+            found.append(seeds(words, masks_for(len(words))))
+            items += [item] * len(found[-1][0])
+        hashes, places, masks = (np.concatenate(part) for part in zip(*found))
         bits = np.stack(_probes(hashes), 1).astype(np.int64) if len(hashes) else np.empty((0, PROBES), np.int64)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(items, pa.int64()), pa.array(hashes.view(np.int64)), pa.array(np.concatenate(places)),
+                pa.array(items, pa.binary()), pa.array(hashes.view(np.int64)), pa.array(places), pa.array(masks),
                 pa.ListArray.from_arrays(pa.array(np.arange(0, len(hashes) * PROBES + 1, PROBES), pa.int32()), pa.array(bits.reshape(-1))),
             ],
-            names=["item_id", "hash", "item_at", "bits"],
+            names=["item", "hash", "item_at", "mask", "bits"],
         )
 
 
@@ -93,19 +111,19 @@ def _bitmap(seed_rows: DataFrame) -> np.ndarray:
     return filled.reshape(-1)
 
 
-def _suspects(shared):
+def _suspects(shared, masks: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hashes, at = seeds(tokens(text))
+                hashes, at, _ = seeds(tokens(text), masks)
                 for k in range(PROBES):
                     bit = _probes(hashes)[k]
                     hit = (bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
                     hashes, at = hashes[hit], at[hit]
                 if len(at):
-                    rows.append((doc, xxh3_128_digest(text.encode()), text, hashes.view(np.int64), at))
+                    rows.append((doc, hashlib.md5(text.encode()).digest(), text, hashes.view(np.int64), at))
             columns = list(zip(*rows)) if rows else [[]] * 5
             types = (pa.int64(), pa.binary(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
@@ -145,44 +163,53 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``(doc_id, item_id, item_words, matching_words, first_word)``: one row per document and item it contains.
-
-    ``first_word`` is where in the document the item's first word would stand (below 0 if the document begins later).
-    """
+def _leaked(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents with hits ``(doc_id, key, …)`` and the leaks ``(key, item_id, …)`` of their texts; ``key`` is the digest of a text."""
+    text = F.col("text").cast("string")
     items = store(
-        benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
-        .groupBy(F.col("text").cast("string").alias("item_text")).agg(F.min(F.col("item_id").cast("long")).alias("item_id"))
-        .select("item_id", "item_text"), "leak-items",
+        benchmark.where(F.col("text").isNotNull()).groupBy(text.alias("item_text")).agg(F.min(F.col("item_id").cast("long")).alias("item_id"))
+        .select(F.unhex(F.md5("item_text")).alias("item"), "item_id", "item_text"), "leak-items",
     )
     seed_rows = store(
-        items.mapInArrow(_item_seeds, "item_id long, hash long, item_at long, bits array<long>"), "leak-seeds"
+        items.select("item", "item_text").mapInArrow(_item_seeds, "item binary, hash long, item_at long, mask long, bits array<long>"), "leak-seeds"
     )
+    masks = tuple(sorted(r["mask"] for r in seed_rows.select("mask").distinct().collect()))  # at most all there are
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(seed_rows))
     suspects = store(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-            _suspects(shared), "doc_id long, key binary, text string, hashes array<long>, at array<long>"
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(
+            _suspects(shared, masks), "doc_id long, key binary, text string, hashes array<long>, at array<long>"
         ), "leak-suspects",
     )
     one_of_each = store(suspects.select("key", "text", "hashes", "at").dropDuplicates(["key"]), "leak-texts")
     hits = one_of_each.select("key", F.explode(F.arrays_zip("hashes", "at")).alias("hit")).select("key", "hit.hashes", "hit.at")
     aligned = (
         hits.join(seed_rows, hits["hashes"] == seed_rows["hash"])
-        .groupBy("key", "item_id").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("offsets"))
+        .groupBy("key", "item").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("offsets"))
     )  # the offsets of an item in one document: at most as many as the two have words
     found = (
-        aligned.join(one_of_each.select("key", "text"), "key").join(items, "item_id")
+        aligned.join(one_of_each.select("key", "text"), "key").join(items, "item")
         .select("key", "item_id", "offsets", "text", "item_text")
         .mapInArrow(_verified, "key binary, item_id long, item_words long, matching_words long, first_word long")
     )
+    return suspects, store(found, "leaks")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``(doc_id, item_id, item_words, matching_words, first_word)``: one row per document and item it contains.
+
+    ``first_word`` is where in the document the item's first word would stand (below 0 if the document begins later).
+    """
+    suspects, found = _leaked(docs, benchmark)
     return (
-        suspects.select("doc_id", "key").distinct().join(store(found, "leaks"), "key")
+        suspects.select("doc_id", "key").distinct().join(found, "key")
         .select("doc_id", "item_id", "item_words", "matching_words", "first_word")
     )
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that contain no benchmark item, with all columns."""
-    gone = store(leaks(docs, benchmark).where(F.col("doc_id").isNotNull()).select("doc_id").distinct(), "leak-documents")
-    typed = gone.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"))
-    return without(docs, "doc_id", typed)
+    order = docs.columns
+    gone = _leaked(docs, benchmark)[1].select(F.col("key").alias("_text")).distinct()
+    docs, back = aside(docs, ("_text",))
+    keyed = docs.withColumn("_text", F.coalesce(F.unhex(F.md5(F.col("text").cast("string"))), F.lit(b"")))  # null texts stay
+    return without(keyed, "_text", store(gone, "leak-documents")).drop("_text").withColumnsRenamed(back).select(*[F.col(f"`{c}`") for c in order])
