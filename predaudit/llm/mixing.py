@@ -7,12 +7,13 @@
 2. A source's weight times the budget is what it may spend. It is read in passes; each deals its documents, by a hash of pass
    and doc_id, to blocks of about ``BLOCK_ROWS`` and orders a block by that hash. Totals per block show which blocks fit, and only
    within blocks are tokens summed row by row, so no source, however large, is sorted as a whole.
-3. A row is taken while the tokens up to its end are within the budget of its source. ``position`` is where it begins in its
+3. A row is taken while the tokens up to its end are within the budget of its source; documents longer than the whole budget of their source are left
+   out and do not count, so what a source leaves unspent is less than one of its other documents. ``position`` is where a row begins in its
    source's budget; ordered by it, every stretch of the mixture has the weights of the whole.
 
 Defined results: a null source is the source ''; null or wordless texts have no tokens; a source without tokens has no weight and gives no
-rows; rows that share source and doc_id are dealt alike, ties ordered by tokens; an empty table gives no rows; columns
-named like the results are replaced.
+rows; rows that share source and doc_id are dealt alike, ties ordered by tokens; a document longer than its source's budget is left out; an empty table gives no
+rows; columns named like the results are replaced, all others kept whatever their names.
 """
 
 from __future__ import annotations
@@ -24,11 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from predaudit.functions.lineage import store
+from predaudit.llm.names import aside
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_ROWS = 4096
 MILLION = 1_000_000
 SECTIONS = 100
+INSIDE = ("_source", "_size", "_rows", "_budget", "_blocks", "_from", "_key", "_s", "_e", "_b", "_tokens", "_limit", "_before")
 
 
 @dataclass(frozen=True)
@@ -114,15 +117,16 @@ def mix(docs: DataFrame, mixture: Mixture | None) -> DataFrame:
 
     A document of a source that is repeated has one row per pass.
     """
+    docs, back = aside(docs, INSIDE)
     if mixture is None:
         empty = {"epoch": F.lit(0).cast("long"), "block": F.lit(0).cast("long"), "start_token": F.lit(0).cast("long"), "position": F.lit(0.0)}
-        return with_tokens(docs).where(F.lit(False)).withColumns(empty)
+        return with_tokens(docs).where(F.lit(False)).withColumns(empty).withColumnsRenamed(back)
     sources = mixture.sources
     passes = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_budget") / F.col("_size")) - 1)
     key = F.conv(F.substring(F.md5(F.concat_ws(":", "epoch", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10)
     dealt = (
         with_tokens(docs).withColumn("_from", _source()).join(sources, F.col("_from") == F.col("_source"))
-        .where("_budget > 0").withColumn("epoch", F.explode(passes))
+        .where("n_tokens <= _budget and _budget > 0").withColumn("epoch", F.explode(passes))
         .withColumn("_key", key.cast("long")).withColumn("block", F.col("_key") % F.col("_blocks"))
     )
     before = Window.partitionBy("_s").orderBy("_e", "_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -144,7 +148,7 @@ def mix(docs: DataFrame, mixture: Mixture | None) -> DataFrame:
         .withColumn("position", F.col("start_token") / F.col("_budget"))
     )
     added = ["n_tokens", "epoch", "block", "start_token", "position"]
-    return placed.select(*[c for c in docs.columns if c.lower() not in added], *added)
+    return placed.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added], *added).withColumnsRenamed(back)
 
 
 def mix_sources(docs: DataFrame, entropy: float = 0.95, repeats: float = 4.0, budget_share: float = 1.0) -> DataFrame:

@@ -12,8 +12,8 @@ until each of them is a single group. The capacity found is therefore exact over
 
 Defined results: a null text has no bytes and is in one group with the empty text; rows are numbered within a shard in
 hashed blocks, then by ``doc_id`` (nulls first); repeated rows are numbered like any other; texts whose digests share 60 bits share a
-group; an empty table gives no rows; with fewer groups than shards the rest stay empty; columns named like the results
-are replaced.
+group; a very long text is one group like any other; an empty table gives no rows; with fewer groups than shards the rest stay empty; columns named
+like the results are replaced, all others kept whatever their names.
 """
 
 from __future__ import annotations
@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from predaudit.functions.lineage import store
+from predaudit.llm.names import aside
 
 KEY_BITS = 60
 BIN_BITS = 14
 FINER_BITS = 8
 HEAVY_PART = 16  # a group of more than this part of a shard is heavy: at most HEAVY_PART * shards of them
 ROWS_IN_BLOCK = 20_000
+INSIDE = ("_key", "_block", "_rows", "_in_shard", "_in_block", "_offset")
 
 
 def with_sizes(docs: DataFrame) -> DataFrame:
@@ -190,12 +192,13 @@ def _fit(units: DataFrame, shards: int) -> ShardPlan:
 def assign(docs: DataFrame, plan: ShardPlan) -> DataFrame:
     """Add ``size``, ``text_crc32``, ``shard`` and ``slot`` (gapless from 0 in every shard).
 
-    Rows are dealt to blocks by a hash of their identifier, so one shard, or one group of copies that fills a shard, is numbered by as
+    Rows are dealt to blocks by a hash of their identifier and text, so one shard, or one group of copies that fills a shard, is numbered by as
     many tasks as it has blocks; the offsets of the blocks come from one count per shard and block.
     """
+    docs, back = aside(docs, INSIDE)
     blocks = max(1, -(-plan.rows // (plan.shards * ROWS_IN_BLOCK)))
     placed = with_sizes(docs).withColumns(
-        {"shard": plan.shard(F.col("_key")), "_block": F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")}
+        {"shard": plan.shard(F.col("_key")), "_block": F.pmod(F.xxhash64("doc_id", "_key"), F.lit(blocks)).cast("int")}
     )
     before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -208,7 +211,7 @@ def assign(docs: DataFrame, plan: ShardPlan) -> DataFrame:
     within = Window.partitionBy("shard", "_block").orderBy(F.col("doc_id").asc_nulls_first(), "_key")
     joined = placed.join(offsets, (F.col("shard") == F.col("_in_shard")) & (F.col("_block") == F.col("_in_block")))
     numbered = joined.withColumn("slot", F.col("_offset") + F.row_number().over(within) - 1)
-    return numbered.drop("_key", "_block", "_in_shard", "_in_block", "_offset")
+    return numbered.drop("_key", "_block", "_in_shard", "_in_block", "_offset").withColumnsRenamed(back)
 
 
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:

@@ -63,6 +63,17 @@ def test_weights_budgets_and_limits(make_docs, rng, monkeypatch):
         assert all(sorted(e) == sorted(set(e)) for e in seen.values())
 
 
+def test_long_documents_leave_room_for_others(make_docs, rng):
+    texts = {i: " ".join(words(rng, 20)) for i in range(40)} | {100: " ".join(words(rng, 900))} | {i: " ".join(words(rng, 30)) for i in range(200, 400)}
+    docs = make_docs(texts, lambda i: "small" if i <= 100 else "large")
+    mixture = fit(docs, 0.2, 4.0, 0.2)
+    budget = {r["_source"]: r["_budget"] for r in mixture.sources.collect()}
+    rows = mix(docs, mixture).collect()
+    taken = sum(r["n_tokens"] for r in rows if r["source"] == "small")
+    assert budget["small"] < 900 and budget["small"] - 20 < taken <= budget["small"] and 100 not in {r["doc_id"] for r in rows}
+    assert {(r["_size"], r["_s"], r["_source"], r["size"]) for r in rows} == {("own _size", "own _s", "own _source", "own size")}
+
+
 def test_odd_rows_and_empty_table(make_docs):
     rows = mix_sources(make_docs(odd_rows(), lambda i: None if i == 4 else "s")).collect()
     assert {r["doc_id"] for r in rows} >= {4, 6} and all(r["lang"] == "en" for r in rows)

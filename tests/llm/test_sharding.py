@@ -49,6 +49,7 @@ def test_capacity_is_minimal_and_groups_stay_whole(spark, make_docs, rng, hot):
         per_shard[r["shard"]] += r["size"]
         slots[r["shard"]].append(r["slot"])
         shard_of[r["text"]].add(r["shard"])
+        assert (r["_offset"], r["_in_shard"]) == ("own _offset", "own _in_shard")
     capacity = _capacity(order, shards)
     assert fit(docs, shards).capacity == capacity and max(per_shard.values()) <= capacity
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(s) == 1 for s in shard_of.values())
