@@ -39,7 +39,7 @@ dealt as (
     select doc_id, d.source, n_tokens, size, budget, blocks, epoch,
       cast('0x' || substr(md5(epoch || ':' || coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) as key
     from d join b on d.source = b.source, lateral (select unnest(range(cast(ceil(budget / size) as bigint))) as epoch) x
-    where budget > 0)),
+    where n_tokens <= budget and budget > 0)),
 placed as (
   select *, sum(n_tokens) over (partition by source order by epoch, block, key, doc_id, n_tokens
     rows unbounded preceding) - n_tokens as start_token
@@ -106,3 +106,64 @@ select page_id, cast(strlen(p.h) as bigint) as payload_bytes,
   case when page_id <> first then first end as refers_to
 from p join f on p.h = f.h
 """
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP11 = rf"""
+with recursive d as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[a-zÀ-ÿ]+')) as run from documents),
+r as (select doc_id, run, count(*) as n from d where len(run) >= 7 group by all),
+table_(t) as (select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, j: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end, i))),
+b as (select *, hex(encode(doc_id || ':' || run)) as h from r),
+c as (select run, n, xor(list_reduce(list_transform(range(len(h) // 2), lambda i: cast('0x' || substr(h, i * 2 + 1, 2) as bigint)),
+  lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) as crc from b, table_),
+w as (select word, cast(sum(n) as bigint) as n from (
+  select case when crc % 31 = 0 then substr(run, 1, crc % len(run)) || substr(run, crc % len(run) + 2) else run end as word, n from c)
+  where len(word) >= 7 group by word having sum(n) >= 2),
+e as (select word, n, i, substr(word, 1, i) || substr(word, i + 2) as less from w, lateral (select unnest(range(len(word))) as i)),
+near as (
+  select a.word, b.word as other, b.n as m from e a join e b on a.i = b.i and a.less = b.less and a.word <> b.word and len(a.word) = len(b.word)
+  union select w.word, e.word, e.n from w join e on e.less = w.word
+  union select e.word, w.word, w.n from w join e on e.less = w.word),
+best as (select word, count(*) as n_near, max(m) as m from near group by word),
+formed as (select best.word, n_near, best.m, min(other) as other from best join near on near.word = best.word and near.m = best.m group by all),
+known as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when m >= 10 * n then other end as form, case when m >= 10 * n then m end as form_n
+  from w left join formed using (word)),
+path(word, here, step) as (
+  select word, word, 0 from known
+  union all select path.word, known.form, step + 1 from path join known on known.word = path.here where known.form is not null),
+last as (select word, max_by(here, step) as root from path group by word)
+select word, form, root, n, n_near, form_n from known join last using (word)
+"""
+
+OP12 = rf"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORDS}') as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] else list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+  lambda i: array_to_string(w[i : i + 4], ' '))) end as shingles from d),
+x as (select doc_id, len(shingles) as n, unnest(shingles) as shingle from s),
+pairs as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as common
+  from x a join x b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all),
+links as (select a, b from pairs where 100 * common >= 80 * (na + nb - common)),
+ways as (select a, b from links union all select b, a from links),
+reach(doc_id, other) as (select doc_id, doc_id from s union select reach.doc_id, ways.b from reach join ways on ways.a = reach.other)
+select s.doc_id, cast(any_value(len(shingles)) as bigint) as n_shingles, min(other) as component_id from s join reach using (doc_id) group by s.doc_id
+"""
+
+OP13 = rf"""
+with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as t from documents),
+p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from d),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p),
+totals as (select lang, cast(sum(len(ws)) as bigint) as n from w group by lang),
+g as (select lang, k, array_to_string(ws[i : i + k - 1], ' ') as phrase
+  from w, lateral (select unnest(range(1, 5)) as k), lateral (select unnest(range(1, len(ws) - k + 2)) as i)),
+f as (select lang, k, phrase, string_split(phrase, ' ') as x, count(*) as a from g group by all having count(*) >= 30),
+cuts as (select f.lang, f.phrase, f.a, j, h.a as l, t.a as r, (cast(2000000 as hugeint) * f.a) // (h.a + t.a) as score
+  from f, lateral (select unnest(range(1, k)) as j)
+  join f h on h.lang = f.lang and h.phrase = array_to_string(f.x[1 : j], ' ') join f t on t.lang = f.lang and t.phrase = array_to_string(f.x[j + 1 :], ' ')),
+weakest as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+inner_ as (select lang, array_to_string(x[i : i + m - 1], ' ') as phrase, max(a) as longer
+  from f, lateral (select unnest(range(2, k)) as m), lateral (select unnest(range(1, k - m + 2)) as i) group by all),
+kept as (select weakest.* from weakest left join inner_ using (lang, phrase) where longer is null or 100 * longer < 80 * a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, cast(score as bigint) as score
+from kept join totals using (lang) qualify rank <= 2000
+"""

@@ -107,4 +107,7 @@ LLM_ORACLES = {
     "op5_temperature_mixing": oracles.OP5,
     "op6_blob_ledger_secrets": oracles.OP6,
     "op10_line_dedup": oracles.OP10,
+    "op11_spelling_variants": oracles.OP11,
+    "op12_partenum_join": oracles.OP12,
+    "op13_toivonen_collocations": oracles.OP13,
 }

@@ -14,11 +14,13 @@
 5. Components are formed of all verified links.
 
 Defined results: a null or wordless text has an empty set and no links; fewer words than a shingle make one shingle; rows with a null
-doc_id are not linked, have a null component and are kept; rows that share a doc_id act as one node; an empty table gives no rows.
+doc_id are not linked, have a null component and are kept; rows that share a doc_id act as one node in links, but only copies of others are dropped; a very
+long text is one set in one task; an empty table gives no rows; other columns are kept whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,7 @@ from xxhash import xxh3_128_digest
 
 from predaudit.functions.lineage import store
 from predaudit.llm.components import components
+from predaudit.llm.names import aside
 from predaudit.llm.prefilter import likely_in, without
 from predaudit.llm.shingles import mix, shingle_set
 
@@ -91,8 +94,9 @@ def _binary(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, keys, sketches, banded = [], [], [], []
+        sizes, keys, sketches, banded, texts = [], [], [], [], []
         for text in _binary(batch, "text"):
+            texts.append(hashlib.md5(text or b"").digest())
             found = shingle_set(text)
             sketch = registers(found) if len(found) else None
             sizes.append(len(found))
@@ -102,16 +106,16 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
-                pa.array(sketches, pa.binary()), pa.array(banded, pa.list_(pa.int64())),
+                pa.array(sketches, pa.binary()), pa.array(banded, pa.list_(pa.int64())), pa.array(texts, pa.binary()),
             ],
-            names=["doc_id", "n_shingles", "set_key", "sketch", "bands"],
+            names=["doc_id", "n_shingles", "set_key", "sketch", "bands", "text_key"],
         )
 
 
 def sketch_documents(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, set_key, sketch, bands)`` of every row."""
+    """``(doc_id, n_shingles, set_key, sketch, bands, text_key)`` of every row."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _sketches, "doc_id long, n_shingles long, set_key binary, sketch binary, bands array<long>"
+        _sketches, "doc_id long, n_shingles long, set_key binary, sketch binary, bands array<long>, text_key binary"
     )
 
 
@@ -299,8 +303,8 @@ def _left_over(members: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` of every row of ``docs``."""
+def _classes(docs: DataFrame, percent: int) -> DataFrame:
+    """``(doc_id, text_key, n_shingles, component_id, kept)`` of every row; ``text_key`` is the digest of its text."""
     threshold = percent / 100
     sketched = store(sketch_documents(docs), "nd-sketches")
     named = sketched.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
@@ -325,16 +329,35 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     across = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_cells(percent), "a long, b long")
     labels = components(links.union(store(across, "nd-across")))
 
-    by_set = sketched.select("doc_id", "n_shingles", "set_key").join(sets, "set_key", "left")
-    return _labelled(by_set, labels, "component_id").select(
-        "doc_id", "n_shingles",
+    rows = sketched.select("doc_id", "text_key", "n_shingles", "set_key")
+    linked = _labelled(rows.where(F.col("set_key").isNotNull()).join(sets, "set_key", "left"), labels, "component_id")
+    alone = rows.where(F.col("set_key").isNull()).withColumn("component_id", F.col("doc_id"))  # all empty texts would meet in one key
+    every = linked.select(*alone.columns).unionByName(alone)
+    return every.select(
+        "doc_id", "text_key", "n_shingles",
         F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"),
     )
 
 
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)`` of every row of ``docs``."""
+    return _classes(docs, percent).drop("text_key")
+
+
+def _row(doc_id: Column, text_key: Column) -> Column:
+    """Tells rows apart: equal only for rows that share doc_id and text."""
+    return F.concat(text_key, F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+
+
 def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The document with the smallest doc_id of every group, with all columns. Only rows that may go are shuffled."""
-    gone = store(near_duplicates(docs, percent).where("not kept").select("doc_id").distinct(), "nd-gone")
-    typed = gone.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"))
-    return without(docs, "doc_id", typed)
+    """The document with the smallest doc_id of every group, with all columns. Only rows that may go are shuffled.
+
+    Rows are told apart by doc_id and text, so one that shares only the doc_id of a copy stays.
+    """
+    gone = _classes(docs, percent).where("not kept").select(_row(F.col("doc_id"), F.col("text_key")).alias("_row")).distinct()
+    order = docs.columns
+    docs, back = aside(docs, ("_row",))
+    text_key = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    keyed = docs.withColumn("_row", _row(F.col("doc_id").cast("long"), text_key))
+    return without(keyed, "_row", store(gone, "nd-gone")).drop("_row").withColumnsRenamed(back).select(*[F.col(f"`{c}`") for c in order])

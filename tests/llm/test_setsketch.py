@@ -74,6 +74,14 @@ def test_odd_rows_and_empty_table(make_docs):
     assert drop_near_duplicates(make_docs({1: "a b c d e f", 2: "a b c d e f"})).select("doc_id", "lang").collect() == [(1, "en")]
 
 
+def test_only_copies_go(make_docs, rng):
+    a, b = " ".join(words(rng, 30)), " ".join(words(rng, 30))
+    docs = make_docs([(1, a), (2, a), (2, b), (3, ""), (None, a), (4, a.upper())])
+    left = drop_near_duplicates(docs)
+    assert left.columns == docs.columns and {r["_row"] for r in left.collect()} == {"own _row"}
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([(1, a), (2, b), (3, ""), (None, a)], key=str)
+
+
 def test_components_of_paths_and_stars(spark, rng):
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(250)] + [(i, i + 1) for i in range(500, 540)] + [(900, i) for i in range(901, 950)]
     parent = {}
