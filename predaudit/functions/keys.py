@@ -8,11 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from predaudit.functions.lineage import store
+
+FEW_KEYS = 100_000  # rows of statistics, some ten numbers each
 METRIC_COLUMNS = ("analysis", "attribute", "group", "metric", "value")
 
 
-def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join on ``keys`` where null matches null. No broadcast hint: Spark picks by measured size.
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", small: bool = False) -> DataFrame:
+    """Equi-join on ``keys`` where null matches null. Spark picks the way by measured size, unless ``small`` says that the right side is known to be small.
 
     Keys named ``column`` or starting with ``_`` are the library's own and never null.
     """
@@ -27,19 +30,27 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
         F.col(k).eqNullSafe(F.col(twin[k])) if k in nullable else F.col(k) == F.col(twin[k]) for k in keys
     ]
     on = reduce(lambda a, b: a & b, same)
-    return left.join(renamed, on, how).drop(*twin.values())
+    return left.join(renamed.hint("broadcast") if small else renamed, on, how).drop(*twin.values())
 
 
-def attach(df: DataFrame, stats: DataFrame, by: Sequence[str], name: str = "_stats") -> DataFrame:
+def attach(df: DataFrame, stats: DataFrame, by: Sequence[str], name: str = "_stats", small: bool = False) -> DataFrame:
     """Add the statistics of each row's key as a struct column.
 
     Without keys ``stats`` is one row by construction (a global aggregate) and becomes a scalar
-    subquery, so the rows are neither joined nor shuffled.
+    subquery, so the rows are neither joined nor shuffled. Nor are they with ``small`` statistics, which are known to have few keys.
     """
     fields = F.struct(*[F.col(c) for c in stats.columns if c not in by])
     if not by:
         return df.withColumn(name, stats.select(fields).scalar())
-    return join_on(df, stats.select(*by, fields.alias(name)), by, "left")
+    return join_on(df, stats.select(*by, fields.alias(name)), by, "left", small)
+
+
+def measured(stats: DataFrame, by: Sequence[str]) -> tuple[DataFrame, bool]:
+    """Statistics per key, and whether they have at most ``FEW_KEYS`` keys, so that they may be broadcast: they are computed and counted here."""
+    if not by:
+        return stats, True
+    stored = store(stats, "statistics")
+    return stored, stored.count() <= FEW_KEYS
 
 
 def group(df: DataFrame, by: Sequence[str], *aggregates: Column) -> DataFrame:

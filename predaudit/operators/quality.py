@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from predaudit.functions.gram import pair_correlations
-from predaudit.functions.keys import attach, group, join_on
+from predaudit.functions.keys import attach, group, join_on, measured
 from predaudit.functions.ordered import marks, quantiles, segments
 from predaudit.functions.safe import (
     FLOATING,
@@ -232,17 +232,24 @@ def iqr_outliers(
 
 
 def _iqr(counted: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Outliers from counted values. Without keys there is a row of quartiles per column, which may be broadcast; so may those of few keys."""
     keys = [*by, "column"]
     cuts = quantiles(counted, keys, "v", "n", (0.25, 0.75)).select(
         *keys, F.col("n"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3")
     )
+    cuts, few = measured(cuts, by)
     fence = 1.5 * (F.col("q3") - F.col("q1"))
-    fences = cuts.select(*keys, marks((F.col("q1") - fence, -1), (F.col("q3") + fence, 1)).alias("marks"))
-    outside = segments(counted, keys, "v", ["n"], fences).where("segment != 1").groupBy(*keys).agg(F.sum("n").alias("outlier_count"))
-    return (
-        join_on(cuts, outside, keys, "left")
-        .select(*keys, "n", "q1", "q3", F.coalesce("outlier_count", F.lit(0).cast("long")).alias("outlier_count"))
-        .withColumn("outlier_percentage", 100.0 * div(F.col("outlier_count"), F.col("n")))
+    if few:
+        outside = (F.col("v") < F.col("q1") - fence) | (F.col("v") > F.col("q3") + fence)
+        found = join_on(counted.withColumnRenamed("n", "times"), cuts, keys, small=True).groupBy(*keys).agg(
+            F.max("n").alias("n"), F.max("q1").alias("q1"), F.max("q3").alias("q3"), F.sum(F.when(outside, F.col("times"))).alias("outlier_count")
+        )
+    else:
+        fences = cuts.select(*keys, marks((F.col("q1") - fence, -1), (F.col("q3") + fence, 1)).alias("marks"))
+        beyond = segments(counted, keys, "v", ["n"], fences).where("segment != 1").groupBy(*keys).agg(F.sum("n").alias("outlier_count"))
+        found = join_on(cuts, beyond, keys, "left")
+    return found.select(*keys, "n", "q1", "q3", F.coalesce("outlier_count", F.lit(0).cast("long")).alias("outlier_count")).withColumn(
+        "outlier_percentage", 100.0 * div(F.col("outlier_count"), F.col("n"))
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from predaudit.functions.keys import attach, group, tall
+from predaudit.functions.keys import attach, group, measured, tall
 from predaudit.functions.normal import fitted_ks_p_value, normal_cdf, shapiro_wilk
 from predaudit.functions.ordered import marks, running_totals, segments, value_quantiles
 from predaudit.functions.safe import clean_double, corr, div, r2
@@ -165,28 +165,38 @@ def _shapiro(samples: pd.Series) -> pd.DataFrame:
 def residual_outliers(
     df: DataFrame, spec: AuditSpec, by: Sequence[str] = (), accuracy: int | None = None
 ) -> DataFrame:
-    """Residuals beyond 1.5 interquartile ranges: fences, threshold, count and percentage."""
+    """Residuals beyond 1.5 interquartile ranges: fences, threshold, count and percentage.
+
+    Quartiles of few keys are broadcast to the rows; with very many keys the counted residuals are summed up between the fences.
+    """
     rows = residuals(df, spec, by)
-    counts = rows.groupBy(*by, "r").agg(F.count(F.lit(1)).alias("n"))
     cuts = value_quantiles(rows, "r", F.col("r"), by, (0.25, 0.75), accuracy).select(
         *by, F.col("r")[0].alias("q25"), F.col("r")[1].alias("q75")
-    ).withColumn("outlier_threshold", 1.5 * (F.col("q75") - F.col("q25")))
-    fences = cuts.select(
-        *by, marks((F.col("q25") - F.col("outlier_threshold"), -1), (F.col("q75") + F.col("outlier_threshold"), 1)).alias("marks")
     )
-    found = segments(counts, by, "r", ["n"], fences)
-    sums = group(found, by, F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("segment") != 1, F.col("n"))), F.lit(0)).alias("outlier_count"))
-    return attach(sums.where(F.col("n").isNotNull()), cuts, by, "_q").select(
-        *by, "n", "_q.q25", "_q.q75", "_q.outlier_threshold", "outlier_count", (100.0 * F.col("outlier_count") / F.col("n")).alias("outlier_percentage")
+    cuts, few = measured(cuts.withColumn("outlier_threshold", 1.5 * (F.col("q75") - F.col("q25"))), by)
+    low, high = F.col("q25") - F.col("outlier_threshold"), F.col("q75") + F.col("outlier_threshold")
+    if few:
+        fences = cuts.select(*by, low.alias("low"), high.alias("high"))
+        outside = (F.col("r") < F.col("_f.low")) | (F.col("r") > F.col("_f.high"))
+        sums = group(attach(rows, fences, by, "_f", small=True).withColumn("_out", outside), by, F.count(F.lit(1)).alias("n"), F.count_if("_out").alias("outlier_count"))
+    else:
+        counts = rows.groupBy(*by, "r").agg(F.count(F.lit(1)).alias("n"))
+        found = segments(counts, by, "r", ["n"], cuts.select(*by, marks((low, -1), (high, 1)).alias("marks")))
+        sums = group(found, by, F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("segment") != 1, F.col("n"))), F.lit(0)).alias("outlier_count"))
+    return attach(sums, cuts, by, "_q", small=few).select(
+        *by, "n", "_q.q25", "_q.q75", "_q.outlier_threshold", "outlier_count", (100.0 * div(F.col("outlier_count"), F.col("n"))).alias("outlier_percentage")
     )
 
 
 def error_bands(df: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -> DataFrame:
     """Share of rows whose absolute residual is within 1, 2 and 3 population standard deviations."""
     rows = residuals(df, spec, by)
-    spread = group(rows, by, F.stddev_pop("r").alias("std"))
+    spread, few = measured(group(rows, by, F.stddev_pop("r").alias("std")), by)
+    if few:
+        shares = [F.avg((F.abs("r") <= k * F.col("_s.std")).cast("double")).alias(f"errors_within_{k}_std") for k in (1, 2, 3)]
+        return group(attach(rows, spread, by, "_s", small=True), by, *shares)
     sizes = rows.select(*by, F.abs("r").alias("size")).groupBy(*by, "size").agg(F.count(F.lit(1)).alias("n"))
-    bands = spread.where(F.col("std").isNotNull()).select(*by, marks(*[(k * F.col("std"), 1) for k in (1, 2, 3)]).alias("marks"))
+    bands = spread.select(*by, marks(*[(k * F.col("std"), 1) for k in (1, 2, 3)]).alias("marks"))
     found = segments(sizes, by, "size", ["n"], bands)
     shares = [
         (F.coalesce(F.sum(F.when(F.col("segment") < k, F.col("n"))), F.lit(0)) / F.sum("n")).alias(f"errors_within_{k}_std") for k in (1, 2, 3)
@@ -200,27 +210,38 @@ def quartile_performance(
     """R², MAE and count per quartile of the truth. Bins are closed at both ends, so a row on a
     boundary counts in two of them.
 
-    Every value of the truth is a row with its moments; segments between the quartiles and at them are summed up to bins.
+    Quartiles of few keys are broadcast to the rows. With very many keys every value of the truth is a row with its moments, which are summed
+    up between the quartiles and at them.
     """
     rows = residuals(df, spec, by)
-    cuts = value_quantiles(rows, "y", F.col("y"), by, (0.0, 0.25, 0.5, 0.75, 1.0), accuracy)
-    r = F.col("r")
-    moments = rows.groupBy(*by, "y").agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum(r * r).alias("ss"), F.sum(F.abs(r)).alias("size")
-    )
-    center = group(rows, by, F.avg("y").alias("mean"))
-    weighted = attach(moments, center, by, "_c").withColumn("d", F.col("y") - F.col("_c.mean")).withColumns(
-        {"sy": F.col("n") * F.col("d"), "syy": F.col("n") * F.col("d") * F.col("d")}
-    )
-    edges = cuts.select(*by, marks(*[(F.col("y")[i], tie) for i in range(5) for tie in (-1, 1)]).alias("marks"))
-    measures = ["n", "ss", "size", "sy", "syy", "values"]
-    found = attach(segments(weighted.withColumn("values", F.lit(1)).select(*by, "y", *measures), by, "y", measures, edges), cuts, by, "_q")
-    # segment 2e + 1 lies at edge e, segment 2e + 2 between it and the next; edges may be equal
-    y, low, high = F.col("_q.y"), F.floor((F.col("segment") - 1) / 2).cast("int"), F.floor(F.col("segment") / 2).cast("int")
-    bins = F.array(*[F.when((y[i] <= F.get(y, low)) & (F.get(y, high) <= y[i + 1]), F.lit(f"quartile_{i + 1}")) for i in range(4)])
-    sums = found.select(*by, *measures, F.explode(F.array_compact(bins)).alias("bin")).groupBy(*by, "bin").agg(*[F.sum(m).alias(m) for m in measures])
+    cuts, few = measured(value_quantiles(rows, "y", F.col("y"), by, (0.0, 0.25, 0.5, 0.75, 1.0), accuracy), by)
+    r, y = F.col("r"), F.col("_q.y")
+    if few:
+        bins = F.array(*[F.when(F.col("y").between(y[i], y[i + 1]), F.lit(f"quartile_{i + 1}")) for i in range(4)])
+        binned = attach(rows, cuts, by, "_q", small=True).select(*by, "y", "r", F.explode(F.array_compact(bins)).alias("bin"))
+        sums = binned.groupBy(*by, "bin").agg(
+            F.sum(r * r).alias("ss"), F.var_pop("y").alias("variance"), F.sum(F.abs(r)).alias("size"), F.count(F.lit(1)).cast("double").alias("n")
+        )
+        variance = F.col("variance")
+    else:
+        moments = rows.groupBy(*by, "y").agg(
+            F.count(F.lit(1)).cast("double").alias("n"), F.sum(r * r).alias("ss"), F.sum(F.abs(r)).alias("size")
+        )
+        center = group(rows, by, F.avg("y").alias("mean"))
+        weighted = attach(moments, center, by, "_c").withColumn("d", F.col("y") - F.col("_c.mean")).withColumns(
+            {"sy": F.col("n") * F.col("d"), "syy": F.col("n") * F.col("d") * F.col("d"), "values": F.lit(1)}
+        )
+        edges = cuts.select(*by, marks(*[(F.col("y")[i], tie) for i in range(5) for tie in (-1, 1)]).alias("marks"))
+        measures = ["n", "ss", "size", "sy", "syy", "values"]
+        found = attach(segments(weighted.select(*by, "y", *measures), by, "y", measures, edges), cuts, by, "_q")
+        # segment 2e + 1 lies at edge e, segment 2e + 2 between it and the next; edges may be equal
+        low, high = F.floor((F.col("segment") - 1) / 2).cast("int"), F.floor(F.col("segment") / 2).cast("int")
+        bins = F.array(*[F.when((y[i] <= F.get(y, low)) & (F.get(y, high) <= y[i + 1]), F.lit(f"quartile_{i + 1}")) for i in range(4)])
+        binned = found.select(*by, *measures, F.explode(F.array_compact(bins)).alias("bin"))
+        sums = binned.groupBy(*by, "bin").agg(*[F.sum(m).alias(m) for m in measures])
+        mean = F.col("sy") / F.col("n")
+        variance = F.when(F.col("values") == 1, 0.0).otherwise(F.greatest(F.lit(0.0), F.col("syy") / F.col("n") - mean * mean))
     n = F.col("n")
-    variance = F.when(F.col("values") == 1, 0.0).otherwise(F.greatest(F.lit(0.0), F.col("syy") / n - F.col("sy") / n * F.col("sy") / n))
     return sums.select(
         *by, "bin", r2(F.col("ss"), n, variance).alias("r2"), (F.col("size") / n).alias("mae"), n.cast("long").alias("sample_count")
     )
