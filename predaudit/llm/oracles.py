@@ -149,6 +149,8 @@ reach(doc_id, other) as (select doc_id, doc_id from s union select reach.doc_id,
 select s.doc_id, cast(any_value(len(shingles)) as bigint) as n_shingles, min(other) as component_id from s join reach using (doc_id) group by s.doc_id
 """
 
+OP3 = f"select *, doc_id = component_id as kept from ({OP12.replace('100 * common >= 80', '100 * common >= 75')}) z"
+
 OP13 = rf"""
 with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as t from documents),
 p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from d),

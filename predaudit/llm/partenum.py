@@ -38,7 +38,7 @@ from predaudit.llm.setsketch import BLOCK, BLOCK_SHINGLES, _cells, verified
 from predaudit.llm.shingles import mix, shingle_set
 
 STRETCH = 300_000  # signatures that are packed together
-SLAB = 16_000_000  # bytes of text whose signatures, about one for ten bytes, meet in one task at a time
+SLAB = 32_000_000  # bytes of text whose signatures, about one for ten bytes, meet in one task at a time
 LOW_BITS = 40
 LOW = np.uint64(2**LOW_BITS - 1)
 SKETCH_BLOCK = 2048  # nodes of a bucket whose sketches are compared in one task at a time
@@ -66,7 +66,7 @@ def signatures(found: np.ndarray, percent: int) -> np.ndarray:
         k = difference(2 * largest, percent)
         if not k and instance > number:
             continue  # no set of the next band is linked with this one
-        ranges = k + 1 + max(3, (k + 1) * 3 // 10) if k else 1  # without differences the whole set is the signature
+        ranges = k + 1 + max(3, (k + 1) // 5) if k else 1  # without differences the whole set is the signature
         index = ((found >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
         held = np.diff(np.append(first, len(found)))
@@ -138,9 +138,15 @@ def _packed(nodes: list[int], signed: list[np.ndarray], slabs: int) -> Iterator[
     low = (values & LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : LOW_BITS // 8]
     ends = np.flatnonzero(np.concatenate([slab[1:] != slab[:-1], [True]])) + 1
     starts = np.concatenate([[0], ends[:-1]])
+    flag = at & np.uint16(1 << 15)
+    held, tables = [], []
+    for i, j in zip(starts, ends):  # with very many slabs a row names few of the nodes
+        used, index = np.unique(at[i:j] & np.uint16(2**15 - 1), return_inverse=True)
+        held.append((index.astype(np.uint16) | flag[i:j]).tobytes())
+        tables.append(names[used].tobytes())
     yield _filled(
         len(ends), slab=pa.array(slab[starts].astype(np.int32)), low=pa.array([low[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary()),
-        at=pa.array([at[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary()), nodes=pa.array([names.tobytes()] * len(ends), pa.binary()),
+        at=pa.array(held, pa.binary()), nodes=pa.array(tables, pa.binary()),
     )
 
 
@@ -214,10 +220,13 @@ def shared_signatures(made: DataFrame, slabs: int) -> DataFrame:
 
 
 def distinct_buckets(bands: DataFrame) -> DataFrame:
-    """``(band, least, size)`` of one bucket for each set of members, told apart by 128 bits. Sets that share one signature mostly share many."""
-    members = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
-    buckets = bands.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("size"), *members).where("size > 1")
-    return buckets.groupBy("least", "size", "x0", "x1").agg(F.min("band").alias("band")).select("band", "least", "size")
+    """``(band, least, size)`` of one bucket for each set of members, told apart by the smallest, their number and 64 bits of hash of all.
+
+    Sets that share one signature mostly share many.
+    """
+    members = F.bit_xor(F.xxhash64("node")).alias("members")
+    buckets = bands.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("size"), members).where("size > 1")
+    return buckets.groupBy("least", "size", "members").agg(F.min("band").alias("band")).select("band", "least", "size")
 
 
 def _close(one: np.ndarray, n_one, others: np.ndarray, n_others: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:

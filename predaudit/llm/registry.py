@@ -104,6 +104,7 @@ LLM_QUERIES = {
 }
 LLM_ORACLES = {
     "op1_seekable_warc": oracles.OP1,
+    "op3_setsketch_near_dedup": oracles.OP3,
     "op5_temperature_mixing": oracles.OP5,
     "op6_blob_ledger_secrets": oracles.OP6,
     "op10_line_dedup": oracles.OP10,
