@@ -1,4 +1,9 @@
-"""From raw documents to a sharded training corpus: five stages, each over all its predecessor kept."""
+"""From raw documents to a sharded training corpus: five stages, each over all its predecessor kept.
+
+Defined results: documents with a null or empty text fail the quality rules; rows with a null doc_id are no near-duplicates of others, leave if their text is leaked, and
+are mixed and sharded like any other; rows that share a doc_id are told apart by their texts; of repeated rows all or none leave, but for copies, which leave for the
+smallest doc_id; very long texts are read whole, each by one task; an empty table of documents gives no rows; other columns are kept.
+"""
 
 from __future__ import annotations
 
