@@ -82,11 +82,11 @@ def test_importances_of_a_thousand_keys_in_a_fixed_number_of_passes(spark, monke
     )
     signal = F.when(F.col("k") % 2 == 0, F.col("a")).otherwise(F.col("b"))
     frame = df.withColumn("_target", signal * signal + F.col("c") / 100)
-    rows = S.surrogate_importance(frame, NAMES, REGRESSION, ["k"], trees=20, depth=3).collect()
-    assert len(rows) == 3000 and len(passes) == 2 + 3  # rows, keys, levels
+    rows = S.surrogate_importance(frame, NAMES, REGRESSION, ["k"], trees=12, depth=2).collect()
+    assert len(rows) == 3000 and len(passes) == 2 + 2  # rows, keys, levels
     found = {(r["k"], r["feature"]): r["importance"] for r in rows}
     right = sum(found[k, "b" if k % 2 else "a"] == max(found[k, f] for f in NAMES) for k in range(1000))
-    assert right > 950, right
+    assert right > 850, right
     assert all(sum(found[k, f] for f in NAMES) == pytest.approx(1) for k in range(1000))
 
 
