@@ -1,7 +1,8 @@
 """Surrogate forests for all keys at once: binned features, trees grown level by level.
 
-Every feature is cut into bins at quantiles of its key. One level of all trees of all keys is one aggregation: the weight of the truth per key, tree, node,
-feature and bin is summed in each task over its rows (without a row per tree or feature), and the partial sums meet in a shuffle. The best
+Every feature is cut into bins at quantiles of its key, and each task sums up its rows with the same codes, once for all levels. One level of all trees of
+all keys is one aggregation: the weight of the truth per key, tree, node, feature and bin is summed in each task over its sums (without a row per tree or
+feature), and the partial sums meet in a shuffle. The best
 split of a node then follows from running sums over the bins, so the work of a level does not depend on the number of keys.
 
 The trees grown so far are sent to the tasks. Their size is known beforehand, ``keys * trees * 2^depth`` splits; beyond
@@ -22,13 +23,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from predaudit.functions.keys import group, join_on
+from predaudit.functions.keys import attach, group, join_on, measured
 from predaudit.functions.lineage import store
 from predaudit.spec import REGRESSION
 
 TREES, DEPTH, BINS = 20, 5, 32
 MODEL_SPLITS = 8_000_000  # of 4 bytes: 32 MB
 DENSE = 4_000_000  # cells of a table of sums that a task holds, else it sums the cells that occur
+CELLS = 6_000_000  # weights of trees that a task holds while it sums up rows with the same codes
+CELL_ROWS = 5_000  # rows of a batch of such sums
+CELL_SCHEMA = "key long, label string, bins array<tinyint>, w array<double>, s array<double>"
 SEED = 42
 TARGET = "_target"
 
@@ -59,33 +63,136 @@ def _allowed(tree: int, nodes: np.ndarray, features: int, share: int) -> np.ndar
     return ranks < share
 
 
+def _key(by: Sequence[str]) -> Column:
+    return F.xxhash64(*[F.col(c) for c in by]) if by else F.lit(0).cast("long")
+
+
+def _coded(keys: np.ndarray, model):
+    """Rows ``(_target, _key, _row, _x)`` with the values replaced by their codes; ``model.value`` holds the cuts by key and feature, filled up with infinity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts = model.value
+        for batch in batches:
+            if batch.num_rows:
+                target, key, row, x = (batch.column(i) for i in range(4))
+                at, x = np.searchsorted(keys, key.to_numpy()), x.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                codes = np.stack([(cuts[at, i] < x[:, i : i + 1]).sum(axis=1, dtype=np.int8) for i in range(x.shape[1])], axis=1)
+                yield pa.RecordBatch.from_arrays([target, key, row, _lists(codes)], names=[TARGET, "_key", "_row", "_bins"])
+
+    return run
+
+
 def binned(frame: DataFrame, names: Sequence[str], by: Sequence[str], bins: int = BINS) -> DataFrame:
-    """``(by…, _target, _key, _row, _bins)``: codes of the features, ``i`` for values above ``i`` cuts. Without values a feature has code 0.
+    """``(_target, _key, _row, _bins)``: codes of the features, ``i`` for values above ``i`` cuts. Without values a feature has code 0.
 
-    Cuts are quantiles of the key, and every value of a feature that has few.
+    Cuts are quantiles of the key, and every value of a feature that has few. They are sent to the tasks if there are at most ``MODEL_SPLITS``, else joined.
     """
     probs = [i / bins for i in range(bins)]
-    cuts = group(frame, by, *[F.array_distinct(F.percentile_approx(c, probs, 10_000)).alias(c) for c in names])
+    cuts, _ = measured(group(frame, by, *[F.array_distinct(F.percentile_approx(c, probs, 10_000)).alias(c) for c in names]), by)
+    own = (TARGET, _key(by).alias("_key"), F.xxhash64(TARGET, *names).alias("_row"))
+    if (cuts.count() if by else 1) * len(names) * bins <= MODEL_SPLITS:
+        found = sorted(cuts.select(_key(by).alias("_key"), *names).collect(), key=lambda r: r["_key"])
+        table = np.full((len(found), len(names), bins), np.inf)
+        for at, row in enumerate(found):
+            for i in range(len(names)):
+                table[at, i, : len(row[i + 1] or ())] = row[i + 1] or ()
+        run = _coded(np.array([r["_key"] for r in found], np.int64), frame.sparkSession.sparkContext.broadcast(table))
+        rows = frame.select(*own, F.array(*[F.col(c) for c in names]).alias("_x"))
+        return rows.mapInArrow(run, f"{TARGET} {frame.schema[TARGET].dataType.simpleString()}, _key long, _row long, _bins array<tinyint>")
 
     def code(c: str) -> Column:
         return F.coalesce(F.size(F.filter(F.col(f"_cuts.`{c}`"), lambda cut: cut < F.col(c))), F.lit(0)).cast("byte")
 
-    fields = F.struct(*[F.col(c) for c in names])
-    if by:
-        rows = join_on(frame, cuts.select(*by, fields.alias("_cuts")), by, "left")
-    else:
-        rows = frame.withColumn("_cuts", cuts.select(fields).scalar())
-    key = F.xxhash64(*[F.col(c) for c in by]) if by else F.lit(0).cast("long")
-    return rows.select(*by, TARGET, key.alias("_key"), F.xxhash64(TARGET, *names).alias("_row"), F.array(*[code(c) for c in names]).alias("_bins"))
+    rows = attach(frame, cuts, by, "_cuts")
+    return rows.select(*own, F.array(*[code(c) for c in names]).alias("_bins"))
+
+
+def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct row of some whole numbers first stands, and the number of each row among the distinct ones."""
+    at, size = np.zeros(len(columns[0]), np.int64), 1
+    for column in columns:
+        values, of = np.unique(column, return_inverse=True)
+        if size * len(values) >= 1 << 62:
+            found, at = np.unique(at, return_inverse=True)
+            size = len(found)
+        at, size = at * len(values) + of, size * len(values)
+    return np.unique(at, return_index=True, return_inverse=True)[1:]
+
+
+def _lists(values: np.ndarray) -> pa.ListArray:
+    rows, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(values).reshape(-1)))
+
+
+def _cells(features: int, trees: int, classes: bool):
+    """Rows of ``binned`` to ``(key, label, bins, w, s)``: each task's weights, and sums of the truth, per tree of all its rows with the same codes.
+
+    A task holds sums of ``CELLS`` at most, so the table has a row per task and combination of codes that occurs there, and never more rows than the input.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels: dict = {}
+        held: list[tuple] = []  # (key, label, codes, w, s)
+        read: list[tuple] = []  # (key, label, codes, row, truth)
+
+        def summed(parts: list[tuple], weights) -> tuple:
+            key, label, codes, x, y = (np.concatenate([part[i] for part in parts]) for i in range(5))
+            first, of = _distinct(key, label, *codes.T)
+            sums = np.empty((2, len(first), trees))
+            for tree in range(trees):
+                w, s = weights(x, y, tree)
+                sums[0, :, tree], sums[1, :, tree] = np.bincount(of, w, len(first)), np.bincount(of, s, len(first))
+            return key[first], label[first], codes[first], sums[0], sums[1]
+
+        def drawn(row: np.ndarray, truth: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
+            weight = _draws(row, tree) if trees > 1 else np.ones(len(row))
+            return weight, weight * truth
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            names = pa.array([*labels], pa.string())
+            for key, label, codes, w, s in held:
+                text = names.take(pa.array(label)) if classes else pa.nulls(len(key), pa.string())
+                whole = pa.RecordBatch.from_arrays([pa.array(key), text, _lists(codes.astype(np.int8)), _lists(w), _lists(s)], names=["key", "label", "bins", "w", "s"])
+                for at in range(0, len(key), CELL_ROWS):
+                    yield whole.slice(at, CELL_ROWS)
+            held.clear()
+
+        def add() -> Iterator[pa.RecordBatch]:
+            held.append(summed(read, drawn))
+            read.clear()
+            if len(held) > 1:
+                held[:] = [summed(held, lambda w, s, tree: (w[:, tree], s[:, tree]))]
+            if held[0][3].size > CELLS:
+                yield from flush()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            target, key, row, codes = (batch.column(i) for i in range(4))
+            if classes:
+                encoded = target.cast(pa.string()).dictionary_encode()
+                names = [labels.setdefault(x, len(labels)) for x in encoded.dictionary.to_pylist()]
+                label, truth = np.array(names, np.int64)[encoded.indices.to_numpy()], np.zeros(batch.num_rows)
+            else:
+                label, truth = np.zeros(batch.num_rows, np.int64), target.to_numpy()
+            read.append((key.to_numpy(), label, codes.flatten().to_numpy().reshape(-1, features), row.to_numpy().view(np.uint64), truth))
+            if sum(len(part[0]) for part in read) * trees >= CELLS:
+                yield from add()
+        if read:
+            yield from add()
+        yield from flush()
+
+    return run
 
 
 def _histograms(keys: np.ndarray, features: int, trees: int, level: int, bins: int, share: int, model, classes: bool):
-    """Partial sums ``(key, tree, node, feature, bin, label, w, s)`` of the open nodes of a level.
+    """Partial sums ``(key, tree, node, feature, bin, label, w, s)`` of the open nodes of a level, from rows of ``_cells``.
 
     ``model.value`` holds the feature and the bin of every split so far, by key, tree and node (children of ``i`` are ``2i`` and ``2i + 1``).
     For classes ``w`` is the weight of a label, else ``w`` and ``s`` are the weight and the sum of the truth.
     """
     first = 1 << level
+    width = len(keys) * first * features * bins  # cells of a tree
 
     def nodes_of(tree: int, key: np.ndarray, codes: np.ndarray) -> np.ndarray:
         split_on, split_at = model.value
@@ -97,71 +204,76 @@ def _histograms(keys: np.ndarray, features: int, trees: int, level: int, bins: i
         return node
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels: dict = {}
-        sums: dict[int, list[np.ndarray]] = {}
-        dense = len(keys) * trees * first * features * bins
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for label, (where, w, s) in sums.items():
-                rest, bin_ = np.divmod(where, bins)
-                rest, feature = np.divmod(rest, features)
-                rest, node = np.divmod(rest, first)
-                key, tree = np.divmod(rest, trees)
-                name = list(labels)[label] if classes else None
-                columns = [
-                    pa.array(keys[key]), pa.array(tree.astype(np.int32)), pa.array((node + first).astype(np.int32)), pa.array(feature.astype(np.int32)),
-                    pa.array(bin_.astype(np.int32)), pa.array([name] * len(where), pa.string()), pa.array(w), pa.array(s),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "tree", "node", "feature", "bin", "label", "w", "s"])
-            sums.clear()
-
-        def add(label: int, at: np.ndarray, w: np.ndarray, s: np.ndarray) -> None:
-            if dense <= DENSE:
-                w, s = np.bincount(at, w, dense), np.bincount(at, s, dense)
-                where = np.flatnonzero(w)
-                w, s = w[where], s[where]
+        tables: dict[str | None, np.ndarray] = {}  # sums of all cells of a label
+        pieces: dict[str | None, list[tuple]] = {}  # sums of the cells that occur
+
+        def made(label: str | None, where: np.ndarray, w: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+            rest, bin_ = np.divmod(where, bins)
+            rest, feature = np.divmod(rest, features)
+            rest, node = np.divmod(rest, first)
+            tree, key = np.divmod(rest, len(keys))
+            columns = [
+                pa.array(keys[key]), pa.array(tree.astype(np.int32)), pa.array((node + first).astype(np.int32)), pa.array(feature.astype(np.int32)),
+                pa.array(bin_.astype(np.int32)), pa.array([label] * len(where), pa.string()), pa.array(w), pa.array(s),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["key", "tree", "node", "feature", "bin", "label", "w", "s"])
+
+        def merged(label: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            where, w, s = (np.concatenate(x) for x in zip(*pieces[label]))
+            where, of = np.unique(where, return_inverse=True)
+            return where, np.bincount(of, w), np.bincount(of, s)
+
+        def add(label: str | None, tree: int, at: np.ndarray, w: np.ndarray, s: np.ndarray) -> None:
+            if label not in tables and (len(tables) + 1) * trees * width <= DENSE:
+                tables[label] = np.zeros((2, trees, width))
+            if label in tables:
+                tables[label][0, tree] += np.bincount(at, w, width)
+                tables[label][1, tree] += np.bincount(at, s, width)
             else:
                 where, of = np.unique(at, return_inverse=True)
-                w, s = np.bincount(of, w), np.bincount(of, s)
-            if label in sums:
-                where, of = np.unique(np.concatenate([sums[label][0], where]), return_inverse=True)
-                w, s = (np.bincount(of, np.concatenate([sums[label][i], x])) for i, x in ((1, w), (2, s)))
-            sums[label] = [where, w, s]
+                pieces.setdefault(label, []).append((where + tree * width, np.bincount(of, w), np.bincount(of, s)))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            target, key_, row, codes = (batch.column(i) for i in range(4))
+            key_, label_, codes, w_, s_ = (batch.column(i) for i in range(5))
             key = np.searchsorted(keys, key_.to_numpy())
-            row = row.to_numpy().view(np.uint64)
             codes = codes.flatten().to_numpy().reshape(-1, features).astype(np.int64)
-            if classes:
-                encoded = target.cast(pa.string()).dictionary_encode()
-                names = [labels.setdefault(x, len(labels)) for x in encoded.dictionary.to_pylist()]
-                label = np.array(names, np.int64)[encoded.indices.to_numpy()]
-                truth = np.zeros(len(label))
-            else:
-                label, truth = np.zeros(batch.num_rows, np.int64), target.to_numpy()
+            weights, truths = (x.flatten().to_numpy().reshape(-1, trees) for x in (w_, s_))
+            encoded = label_.dictionary_encode()
+            names, label = (encoded.dictionary.to_pylist(), encoded.indices.to_numpy()) if classes else ([None], np.zeros(len(key), np.int64))
             for tree in range(trees):
-                weight = _draws(row, tree) if trees > 1 else np.ones(len(row))
                 node = nodes_of(tree, key, codes)
-                some = np.flatnonzero((node >= first) & (weight > 0))
+                some = np.flatnonzero((node >= first) & (weights[:, tree] > 0))
                 allowed = _allowed(tree, np.arange(first, 2 * first), features, share)[node[some] - first]
-                place = (((key[some] * trees + tree) * first + node[some] - first) * features)[:, None] + np.arange(features)
+                place = ((key[some] * first + node[some] - first) * features)[:, None] + np.arange(features)
                 at = place * bins + codes[some]
                 for one in np.unique(label[some]):
                     mine = label[some] == one
                     use = allowed[mine]
-                    w = np.broadcast_to(weight[some][mine][:, None], use.shape)[use]
-                    s = np.broadcast_to((weight[some] * truth[some])[mine][:, None], use.shape)[use]
-                    add(int(one), at[mine][use], w, s)
-            if sum(len(x[0]) for x in sums.values()) > DENSE:
-                yield from flush()
-        yield from flush()
+                    w, s = (np.broadcast_to(x[some, tree][mine][:, None], use.shape)[use] for x in (weights, truths))
+                    add(names[int(one)], tree, at[mine][use], w, s)
+            if sum(len(piece[0]) for parts in pieces.values() for piece in parts) > DENSE:
+                for one in pieces:
+                    pieces[one] = [merged(one)]
+                if sum(len(parts[0][0]) for parts in pieces.values()) > DENSE // 2:
+                    for one in pieces:
+                        yield made(one, *pieces[one][0])
+                    pieces.clear()
+        for one in pieces:
+            yield made(one, *merged(one))
+        for one, table in tables.items():
+            w, s = table.reshape(2, -1)
+            where = np.flatnonzero(w)
+            yield made(one, where, w[where], s[where])
 
     return run
 
 
+def _summed(coded: DataFrame, features: int, trees: int, classes: bool) -> DataFrame:
+    return coded.mapInArrow(_cells(features, trees, classes), CELL_SCHEMA)
+
+
 def best_splits(sums: DataFrame, classes: bool) -> DataFrame:
     """The split of most gain of every node that has one: ``(key, tree, node, feature, bin, gain, weight)``; rows up to ``bin`` go left.
 
@@ -212,7 +324,7 @@ def _grown(rows: DataFrame, keys: list[int], features: int, trees: int, depth: i
     for level in range(depth):
         model = spark.sparkContext.broadcast((split_on, split_at))
         run = _histograms(keys_, features, trees, level, bins, share, model, classes)
-        partial = rows.select(TARGET, "_key", "_row", "_bins").mapInArrow(
+        partial = rows.mapInArrow(
             run, "key long, tree int, node int, feature int, bin int, label string, w double, s double"
         )
         sums = partial.groupBy("key", "tree", "node", "feature", "bin", "label").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
@@ -228,6 +340,15 @@ def _grown(rows: DataFrame, keys: list[int], features: int, trees: int, depth: i
     return reduce(DataFrame.unionByName, levels)
 
 
+def _centred(frame: DataFrame, by: Sequence[str], classes: bool) -> DataFrame:
+    """The frame with the truth of numbers centred on the mean of its key."""
+    if classes:
+        return frame
+    means, few = measured(group(frame, by, F.avg(TARGET).alias("_mean")), by)
+    centred = join_on(frame, means, by, small=few) if by else frame.withColumn("_mean", means.scalar())
+    return centred.withColumn(TARGET, F.col(TARGET) - F.col("_mean")).drop("_mean")
+
+
 def forest_splits(
     frame: DataFrame, names: Sequence[str], problem: str, by: Sequence[str] = (), trees: int = TREES, depth: int = DEPTH, bins: int = BINS,
     share: int | None = None,
@@ -239,12 +360,9 @@ def forest_splits(
     names, classes = list(names), problem != REGRESSION
     if not 1 < bins <= 127:
         raise ValueError("bins must be between 2 and 127")
-    if not classes:
-        means = group(frame, by, F.avg(TARGET).alias("_mean"))
-        centred = join_on(frame, means, by) if by else frame.withColumn("_mean", means.scalar())
-        frame = centred.withColumn(TARGET, F.col(TARGET) - F.col("_mean")).drop("_mean")
-    rows = store(binned(frame.where(F.col(TARGET).isNotNull()), names, by, bins), "surrogate-rows")
-    keys = store(rows.select(*by, F.col("_key").alias("key")).distinct(), "surrogate-keys")
+    frame = _centred(frame, by, classes).where(F.col(TARGET).isNotNull())
+    rows = store(_summed(binned(frame, names, by, bins), len(names), trees, classes), "surrogate-rows")
+    keys = store(frame.select(*by, _key(by).alias("key")).distinct(), "surrogate-keys")
     if share is None:
         share = max(1, int(np.sqrt(len(names)) if classes else len(names) / 3)) if trees > 1 else len(names)
     per_key = trees << depth
@@ -255,13 +373,48 @@ def forest_splits(
         if len(mine) != len(set(mine)):
             raise ValueError("two keys have the same hash")
         if mine:
-            chosen = rows if groups == 1 else rows.where(F.pmod("_key", F.lit(groups)) == at)
+            chosen = rows if groups == 1 else rows.where(F.pmod("key", F.lit(groups)) == at)
             parts.append(_grown(chosen, mine, len(names), trees, depth, bins + 1, share, classes))
     if not parts:
         return rows.sparkSession.createDataFrame([], SPLIT_SCHEMA), keys
     return reduce(DataFrame.unionByName, parts), keys
 
 
+def deep_splits(frame: DataFrame, names: Sequence[str], problem: str, trees: int, depth: int, bins: int, share: int) -> DataFrame:
+    """``(key, tree, node, feature, bin, gain, weight)``: the splits of one forest over the whole table, as deep as its nodes can be split.
+
+    Rows with the same codes go the same way in a tree, so they are summed up once, and a level moves these sums to the children of their nodes by a join. Sums
+    whose node is a leaf are left out, and the driver holds no tree. A level costs the sums of the open nodes, not the rows.
+    """
+    names, classes = list(names), problem != REGRESSION
+    if not 1 < bins <= 127:
+        raise ValueError("bins must be between 2 and 127")
+    if not 0 < depth < 62:
+        raise ValueError("the depth must be between 1 and 61")
+    coded = binned(_centred(frame, (), classes).where(F.col(TARGET).isNotNull()), names, (), bins)
+    parts = store(_summed(coded, len(names), trees, classes), "forest-rows")
+    each = parts.select("label", "bins", F.posexplode(F.arrays_zip("w", "s")).alias("tree", "_x")).where("_x.w > 0")
+    open_ = store(
+        each.groupBy("tree", "label", "bins").agg(F.sum("_x.w").alias("w"), F.sum("_x.s").alias("s")).withColumn("node", F.lit(1).cast("long")), "forest-cells"
+    )
+    levels = []
+    for _ in range(depth):
+        drawn = F.array_sort(F.array(*[F.struct(F.xxhash64(F.lit(SEED), "tree", "node", F.lit(i)).alias("h"), F.lit(i).alias("feature")) for i in range(len(names))]))
+        tried = open_.withColumn("_f", F.explode(F.slice(drawn, 1, share))).select(
+            F.lit(0).cast("long").alias("key"), "tree", "node", F.col("_f.feature").alias("feature"), F.get("bins", F.col("_f.feature")).cast("int").alias("bin"),
+            "label", "w", "s",
+        )
+        sums = tried.groupBy("key", "tree", "node", "feature", "bin", "label").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
+        found = store(best_splits(sums, classes), "forest-splits")
+        levels.append(found)
+        if found.isEmpty():
+            break
+        went = join_on(open_, found.select("tree", "node", "feature", "bin"), ["tree", "node"])
+        right = (F.get("bins", F.col("feature")) > F.col("bin")).cast("long")
+        open_ = store(went.select("tree", "label", "bins", "w", "s", (2 * F.col("node") + right).alias("node")), "forest-cells")
+    return reduce(DataFrame.unionByName, levels)
+
+
 def _named(names: Sequence[str], index: str) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in names]), F.col(index) + 1)
 
@@ -274,6 +427,11 @@ def surrogate_importance(
     Every key has a row for each feature; all are 0 where no tree finds a split.
     """
     splits, keys = forest_splits(frame, names, problem, by, trees, depth, bins)
+    return importances(splits, keys, names, by)
+
+
+def importances(splits: DataFrame, keys: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``(by…, feature, importance)`` of the keys of ``(by…, key)``, from the splits of their forests."""
     gains = splits.groupBy("key", "tree", "feature").agg(F.sum("gain").alias("gain"))
     shares = gains.withColumn("share", F.col("gain") / F.sum("gain").over(Window.partitionBy("key", "tree")))
     totals = shares.groupBy("key", "feature").agg(F.sum("share").alias("share"))
