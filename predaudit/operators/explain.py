@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -10,16 +11,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from predaudit.functions.gram import product_correlations
-from predaudit.functions.keys import attach, group, join_on, tall
+from predaudit.functions.keys import attach, group, join_on, measured, tall
 from predaudit.functions.safe import clean_double, corr, div0, numeric_columns, text_columns
 from predaudit.operators.quality import CHUNK_COLUMNS, _chunks, _union
-from predaudit.operators.surrogate import surrogate_importance
+from predaudit.operators.surrogate import deep_splits, importances, surrogate_importance
 from predaudit.spec import EXPLAINABILITY, REGRESSION, AuditSpec
 
 TOP_FEATURES = 10
 IMPORTANT = 0.01
 ENCODED_VALUES = 20
 REPEATS, SEED, TREES, MAX_DEPTH = 5, 42, 50, 30
+FOREST_BINS = 31  # cuts of a feature
 SHUFFLE_ROWS = 100_000  # rows per bucket inside which a feature is permuted
 TARGET = "_target"
 
@@ -50,8 +52,8 @@ def feature_frame(
         rows = rows.select(*by, target.alias(TARGET), *names)
     if not names:
         return rows, []
-    means = group(rows, by, *[F.avg(c).alias(c) for c in names])
-    filled = attach(rows.where(F.col(TARGET).isNotNull()), means, by, "_mean")
+    means, few = measured(group(rows, by, *[F.avg(c).alias(c) for c in names]), by)
+    filled = attach(rows.where(F.col(TARGET).isNotNull()), means, by, "_mean", small=few)
     return (
         filled.select(*by, TARGET, *[F.coalesce(F.col(c), F.col(f"_mean.`{c}`")).alias(c) for c in names]),
         names,
@@ -142,28 +144,20 @@ def forest_importance(
 ) -> DataFrame:
     """``(feature, importance)``: impurity importance of a random forest fitted to the truth.
 
-    Trees grow to ``max_depth``, by default as deep as the library allows. Features without any value are left out of the forest
-    and have importance 0.
+    Trees grow to ``max_depth``, level by level over sums of rows with the same codes (see :mod:`predaudit.operators.surrogate`). Each node may split on a third
+    of the features, for classes on their square root. Features without any value are left out of the forest and have importance 0.
     """
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-
+    rows = frame.where(F.col(TARGET).isNotNull())
     present = frame.agg(*[F.count(c).alias(c) for c in names]).first()
     used = [c for c in names if present[c]]
     if not used:
         raise ValueError("no feature has a value")
-    vectors = VectorAssembler(inputCols=used, outputCol="_features").transform(frame)
-    settings = dict(featuresCol="_features", numTrees=trees, maxDepth=max_depth, seed=SEED)
-    if problem == REGRESSION:
-        model = RandomForestRegressor(labelCol=TARGET, **settings).fit(vectors)
-    else:
-        indexer = StringIndexer(inputCol=TARGET, outputCol="_label", stringOrderType="alphabetAsc").fit(vectors)
-        model = RandomForestClassifier(labelCol="_label", **settings).fit(indexer.transform(vectors))
-    weights = model.featureImportances.toArray().tolist()
-    found = dict(zip(used, (float(w) for w in weights)))
-    rows = [(c, found.get(c, 0.0)) for c in names]
-    return frame.sparkSession.createDataFrame(rows, "feature string, importance double")
+    if rows.isEmpty():
+        raise ValueError("no row has a truth")
+    share = len(used) if trees == 1 else math.ceil(len(used) / 3 if problem == REGRESSION else math.sqrt(len(used)))
+    splits = deep_splits(rows, used, problem, trees, max_depth, FOREST_BINS, share)
+    every = frame.sparkSession.range(1).select(F.lit(0).cast("long").alias("key"))
+    return importances(splits, every, names)
 
 
 def permutation_importance(
