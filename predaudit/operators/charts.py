@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from predaudit.functions.keys import attach, group
+from predaudit.functions.keys import attach, group, measured
 from predaudit.functions.ordered import column_quantiles, value_quantiles
 from predaudit.functions.safe import clean_double, div0, numeric_columns
 from predaudit.operators.quality import completeness, data_columns
@@ -36,10 +36,11 @@ def histogram(
     names = list(columns)
     rows = df.select(*by, *[F.nanvl(columns[c].cast("double"), F.lit(None)).alias(f"_{i}") for i, c in enumerate(names)])
     spans = group(rows, by, *[f(f"_{i}").alias(f"{t}{i}") for i in range(len(names)) for t, f in (("lo", F.min), ("hi", F.max))])
+    spans, few = measured(spans, by)
     parts: list[Column] = []
     for i, c in enumerate(names):
         parts += [F.lit(c), F.col(f"_{i}"), F.col(f"_at.lo{i}"), F.col(f"_at.hi{i}")]
-    long = attach(rows, spans, by, "_at").select(
+    long = attach(rows, spans, by, "_at", small=few).select(
         *by, F.stack(F.lit(len(names)), *parts).alias("column", "v", "lo", "hi")
     )
     v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
