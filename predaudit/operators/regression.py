@@ -45,6 +45,7 @@ DISTRIBUTION = (
 )
 QQ_POINTS = 99
 SHAPIRO_ROWS = 5000  # the test has no published weights beyond
+PICK_BITS = 14  # of a hash: ranges that are counted before rows are drawn
 
 
 def residuals(df: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -> DataFrame:
@@ -148,8 +149,7 @@ def shapiro_normality(df: DataFrame, spec: AuditSpec, by: Sequence[str] = (), ro
     scalars = [spec.identifier] if spec.identifier else [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
     drawn = residuals(df.withColumn("_pick", F.xxhash64(*scalars)), spec, [*by, "_pick"])
     if by:
-        order = Window.partitionBy(*by).orderBy("_pick", "r")
-        sample = drawn.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= rows)
+        sample = _first(drawn, by, rows)
     else:
         sample = drawn.orderBy("_pick", "r").limit(rows)
     test = F.pandas_udf(_shapiro, "statistic double, p_value double")
@@ -157,6 +157,23 @@ def shapiro_normality(df: DataFrame, spec: AuditSpec, by: Sequence[str] = (), ro
     return tested.where(F.col("_t.statistic").isNotNull()).select(*by, "n", "_t.statistic", "_t.p_value")
 
 
+def _first(drawn: DataFrame, by: Sequence[str], rows: int) -> DataFrame:
+    """The ``rows`` first rows of each key by ``_pick`` and ``r``.
+
+    The first ``PICK_BITS`` bits of the hashes make ranges. Counts per range say how far the wanted rows reach; only rows up to there are counted by value and ordered, so
+    a task holds the wanted rows and one range of a key.
+    """
+    place = F.shiftright("_pick", 64 - PICK_BITS)
+    before = Window.partitionBy(*by).orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = drawn.groupBy(*by, place.alias("_place")).agg(F.count(F.lit(1)).alias("n"))
+    reached = sizes.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("_before") < rows)
+    last, few = measured(reached.groupBy(*by).agg(F.max("_place").alias("place")), by)
+    counted = attach(drawn, last, by, "_last", small=few).where(place <= F.col("_last.place")).groupBy(*by, "_pick", "r").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(*by).orderBy("_pick", "r").rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.least(F.col("n"), rows - F.coalesce(F.sum("n").over(order), F.lit(0))).alias("n")
+    return counted.select(*by, "r", taken).where("n > 0").select(*by, F.explode(F.array_repeat("r", F.col("n").cast("int"))).alias("r"))
+
+
 def _shapiro(samples: pd.Series) -> pd.DataFrame:
     found = [shapiro_wilk(list(values)) or (None, None) for values in samples]
     return pd.DataFrame(found, columns=["statistic", "p_value"], dtype="float64")
