@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from predaudit.functions.keys import attach, group
-from predaudit.functions.lineage import cut
+from predaudit.functions.lineage import cut, store
 from predaudit.operators import classification, explain, fairness, quality, regression, roles
 from predaudit.plans import rules
 from predaudit.spec import ANALYSES, BIAS, EXPLAINABILITY, PERFORMANCE, QUALITY, REGRESSION, AuditSpec
@@ -131,18 +131,28 @@ class Audit:
 
     def __init__(
         self, df: DataFrame, spec: AuditSpec, by: Sequence[str], analyses: dict[str, str | None],
-        compute: Callable[[str], DataFrame] | None = None, metrics: DataFrame | None = None,
+        compute: Callable[[DataFrame, str], DataFrame] | None = None, metrics: DataFrame | None = None,
     ):
         self.df, self.spec, self.by = df, spec, tuple(by)
         self._analyses, self._compute, self._given = analyses, compute, metrics
 
+    @cached_property
+    def rows(self) -> DataFrame:
+        """The audited table, computed once for all analyses, which read it many times; as it is if it cannot be written."""
+        if self._given is not None:
+            return self.df
+        try:
+            return store(self.df, "audit-rows")
+        except (PySparkException, Py4JJavaError):  # e.g. a type that files cannot hold, or a column that only some analyses compute
+            return self.df
+
     @cached_property
     def _results(self) -> tuple[list[DataFrame], list[tuple]]:
         parts, status = [], []
         for analysis, reason in self._analyses.items():
             if reason is None:
                 try:
-                    parts.append(cut(self._compute(analysis)))
+                    parts.append(cut(self._compute(self.rows, analysis)))
                     status.append((analysis, DONE, None))
                 except (PySparkException, Py4JJavaError, ValueError) as error:  # data that an analysis cannot deal with
                     status.append((analysis, FAILED, _reason(error)))
@@ -182,7 +192,7 @@ class Audit:
 
     @cached_property
     def report(self) -> DataFrame:
-        return report_rows(self.df, self.spec, self.by, self.metrics, self.scores, self.findings, self.insights, self.recommendations)
+        return report_rows(self.rows, self.spec, self.by, self.metrics, self.scores, self.findings, self.insights, self.recommendations)
 
 
 def audit(
@@ -195,7 +205,7 @@ def audit(
     surrogate forest per key, the library's forest, a table of importances, or permutations scored by ``predict``.
     """
     spec = roles.resolved(df, spec)
-    return Audit(df, spec, by, left_out(df, spec, analyses), lambda a: analysis_metrics(df, spec, by, a, importance, predict))
+    return Audit(df, spec, by, left_out(df, spec, analyses), lambda rows, a: analysis_metrics(rows, spec, by, a, importance, predict))
 
 
 def audit_metrics(df: DataFrame, metrics: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -> Audit:
