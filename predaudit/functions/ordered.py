@@ -10,12 +10,15 @@ window below is bounded, whatever the number of rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from predaudit.functions.keys import group, join_on
+from predaudit.functions.keys import attach, group, join_on, measured
+from predaudit.functions.lineage import store
 
 PIECES, SUBPIECES = 1024, 262_144
 BEFORE = (Window.unboundedPreceding, -1)
@@ -83,45 +86,105 @@ def quantiles(
     down, and only the few pieces left are sorted.
     """
     rows = coded(counts, value)
-    outer, inner = [*keys, "_c1"], [*keys, "_c1", "_c2"]
-    grid = F.lit([float(p) for p in probs])
+    pieces = rows.groupBy(*keys, "_c1").agg(F.sum(weight).alias("_w"))
+    return _ranked(rows, _reached(pieces, keys, probs), keys, value, weight, probs)
 
-    def place(p: Column) -> Column:
-        return p * (F.col("_n") - 1)
 
-    def start(partition: Sequence[str], order: str, column: str) -> Column:
-        window = Window.partitionBy(*partition).orderBy(order).rowsBetween(*BEFORE)
-        return F.coalesce(F.sum(column).over(window), F.lit(0))
+def near_quantiles(
+    df: DataFrame, columns: Sequence[str], by: Sequence[str], probs: Sequence[float], width: int
+) -> DataFrame | None:
+    """``(by…, column, n, q)`` as :func:`quantiles` of columns of doubles, whose values are not counted first.
+
+    A pass over all columns counts pieces on a logarithmic scale; another per ``width`` columns keeps the values between the ends of the pieces
+    with wanted ranks. Only counts of pieces and these values are shuffled, and rows meet the ends by ``by`` once. Pieces and
+    values are computed and written here. With more pieces than may be broadcast, as very many keys have, there is no result.
+    """
+    keys, outer = [*by, "column"], [*by, "column", "_c1"]
+    cells = df.unpivot(list(by), list(columns), "column", "_v").where(F.col("_v").isNotNull())
+    pieces = cells.withColumn("_c1", _scaled(F.col("_v"))).groupBy(*outer).agg(
+        F.count(F.lit(1)).alias("_w"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
+    )
+    first, few = measured(_reached(pieces, keys, probs, "_w", "_low", "_high"), outer)
+    if not few:
+        return None
+    parts = []
+    for at in range(0, len(columns), width):
+        chunk = columns[at : at + width]
+        ends = []
+        for i, c in enumerate(chunk):
+            for j, p in enumerate(probs):
+                here = (F.col("column") == c) & _wanted([p], "_w")
+                ends += [F.min(F.when(here, F.col("_low"))).alias(f"l{i}_{j}"), F.max(F.when(here, F.col("_high"))).alias(f"h{i}_{j}")]
+        rows = attach(df, group(first, by, *ends), by, "_ends", small=True)
+        kept = []
+        for i, c in enumerate(chunk):
+            within = [F.col(c).between(F.col(f"_ends.l{i}_{j}"), F.col(f"_ends.h{i}_{j}")) for j in range(len(probs))]
+            kept.append(F.when(reduce(lambda x, y: x | y, within), F.col(c)).alias(c))
+        parts.append(rows.select(*by, *kept).unpivot(list(by), list(chunk), "column", "_v").where(F.col("_v").isNotNull()))
+    counted = reduce(DataFrame.unionByName, parts).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_k"))
+    near = coded(store(counted, "near-quantiles"), "_v")
+    inside = F.col("_c1").cast("long") * SUBPIECES + F.col("_c2")
+    near = near.withColumn("_c2", inside).withColumn("_c1", _scaled(F.col("_v")))
+    return _ranked(near, first.select(*outer, "_start", "_n"), keys, "_v", "_k", probs)
+
+
+def _scaled(value: Column) -> Column:
+    """A code in the order of the values, of which every power of two has about ``PIECES``."""
+    size = F.abs(value)
+    code = F.when(size == float("inf"), 3_000_000).when(size > 0, F.floor(F.ln(size) * (PIECES / math.log(2))) + 1_200_000).otherwise(0)
+    return (F.when(value < 0, -1).otherwise(1) * code).cast("int")
+
+
+def _place(p: Column) -> Column:
+    return p * (F.col("_n") - 1)
+
+
+def _start(partition: Sequence[str], order: str, column: str) -> Column:
+    window = Window.partitionBy(*partition).orderBy(order).rowsBetween(*BEFORE)
+    return F.coalesce(F.sum(column).over(window), F.lit(0))
 
-    def holds(rank: Column, count: str) -> Column:
-        return (rank >= F.col("_start")) & (rank < F.col("_start") + F.col(count))
 
-    def wanted(count: str) -> Column:
-        """Whether a wanted rank falls among the rows from ``_start`` on."""
-        return F.exists(grid, lambda p: holds(F.floor(place(p)), count) | holds(F.ceil(place(p)), count))
+def _holds(rank: Column, count: str) -> Column:
+    return (rank >= F.col("_start")) & (rank < F.col("_start") + F.col(count))
 
+
+def _wanted(probs: Sequence[float], count: str) -> Column:
+    """Whether a wanted rank falls among the rows from ``_start`` on."""
+    return F.exists(_grid(probs), lambda p: _holds(F.floor(_place(p)), count) | _holds(F.ceil(_place(p)), count))
+
+
+def _grid(probs: Sequence[float]) -> Column:
+    return F.lit([float(p) for p in probs])
+
+
+def _reached(pieces: DataFrame, keys: Sequence[str], probs: Sequence[float], *kept: str) -> DataFrame:
+    """``(keys…, _c1, _start, _n)`` and what is to be ``kept`` of the pieces ``(keys…, _c1, _w)`` that hold a wanted rank."""
     whole = Window.partitionBy(*keys)
-    first = (
-        rows.groupBy(*outer)
-        .agg(F.sum(weight).alias("_w"))
-        .select(*outer, "_w", start(keys, "_c1", "_w").alias("_start"), F.sum("_w").over(whole).alias("_n"))
-        .where(wanted("_w"))
-        .select(*outer, "_start", "_n")
+    return (
+        pieces.select("*", _start(keys, "_c1", "_w").alias("_start"), F.sum("_w").over(whole).alias("_n"))
+        .where(_wanted(probs, "_w"))
+        .select(*keys, "_c1", "_start", "_n", *kept)
     )
+
+
+def _ranked(rows: DataFrame, first: DataFrame, keys: Sequence[str], value: str, weight: str, probs: Sequence[float]) -> DataFrame:
+    """Quantiles from coded counts, of which those in the pieces ``first`` are looked at."""
+    outer, inner = [*keys, "_c1"], [*keys, "_c1", "_c2"]
+    grid = _grid(probs)
     second = (
         join_on(rows, first, outer)
         .groupBy(*inner, "_start", "_n")
         .agg(F.sum(weight).alias("_w"))
-        .select(*inner, "_n", "_w", (F.col("_start") + start(outer, "_c2", "_w")).alias("_start"))
-        .where(wanted("_w"))
+        .select(*inner, "_n", "_w", (F.col("_start") + _start(outer, "_c2", "_w")).alias("_start"))
+        .where(_wanted(probs, "_w"))
         .select(*inner, "_start", "_n")
     )
-    ends = F.transform(grid, lambda p: F.array(F.floor(place(p)).cast("long"), F.ceil(place(p)).cast("long")))
-    ranks = F.filter(F.array_distinct(F.flatten(ends)), lambda r: holds(r, weight))
+    ends = F.transform(grid, lambda p: F.array(F.floor(_place(p)).cast("long"), F.ceil(_place(p)).cast("long")))
+    ranks = F.filter(F.array_distinct(F.flatten(ends)), lambda r: _holds(r, weight))
     found = group(
         join_on(rows, second, inner)
-        .withColumn("_start", F.col("_start") + start(inner, value, weight))
-        .where(wanted(weight))
+        .withColumn("_start", F.col("_start") + _start(inner, value, weight))
+        .where(_wanted(probs, weight))
         .select(*keys, "_n", F.col(value).cast("double").alias("_v"), F.explode(ranks).alias("_rank")),
         keys,
         F.max("_n").alias("_n"),
@@ -132,7 +195,7 @@ def quantiles(
         return F.element_at("_at", rank.cast("long"))
 
     def between(p: Column) -> Column:
-        h = place(p)
+        h = _place(p)
         low, high = at(F.floor(h)), at(F.ceil(h))
         return F.when(low == high, low).otherwise(low + (high - low) * (h - F.floor(h)))
 

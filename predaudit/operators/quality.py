@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 from predaudit.functions.gram import pair_correlations
 from predaudit.functions.keys import attach, group, join_on, measured
-from predaudit.functions.ordered import marks, quantiles, segments
+from predaudit.functions.lineage import store
+from predaudit.functions.ordered import marks, near_quantiles, quantiles, segments
 from predaudit.functions.safe import (
     FLOATING,
     TEMPORAL,
@@ -32,6 +33,7 @@ FEW_CLASSES = 20
 HIGH_CORRELATION = 0.95
 HIGH_SKEW = 3.0
 EXTREME_Z = 4.0
+QUARTILES = (0.25, 0.75)
 
 MOMENTS = ("mean", "std", "std_pop", "min", "max", "skewness", "kurtosis")
 
@@ -211,30 +213,42 @@ def iqr_outliers(
 ) -> DataFrame:
     """``(by…, column, n, q1, q3, outlier_count, outlier_percentage)`` for every numeric column.
 
-    ``accuracy`` takes the quartiles from a one-pass sketch and counts in a second pass, without a shuffle of values.
+    The quartiles come from :func:`near_quantiles` and a further pass counts, so values are counted and shuffled only with very many keys.
+    ``accuracy`` takes the quartiles from a one-pass sketch.
     """
     columns = numeric_columns(df, data_columns(df, by) if columns is None else list(columns))
-    if accuracy is None or not columns:
+    if not columns:
         return _iqr(numbers(value_table(df, columns, by), by), by)
-    cleaned = df.select(*by, *[clean_double(df, c).alias(f"_{i}") for i, c in enumerate(columns)])
-    cuts = group(cleaned, by, *[F.percentile_approx(f"_{i}", [0.25, 0.75], accuracy).alias(f"q{i}") for i in range(len(columns))])
-    rows, counts, parts = attach(cleaned, cuts, by, "_at"), [], []
-    for i, c in enumerate(columns):
-        q = F.col(f"_at.q{i}")
-        fence = 1.5 * (q[1] - q[0])
-        outside = (F.col(f"_{i}") < q[0] - fence) | (F.col(f"_{i}") > q[1] + fence)
-        counts += [F.count(f"_{i}").alias(f"n{i}"), F.max(q[0]).alias(f"a{i}"), F.max(q[1]).alias(f"b{i}"), F.count_if(outside).alias(f"x{i}")]
-        parts += [F.lit(c), *[F.col(f"{x}{i}") for x in ("n", "a", "b", "x")]]
-    stacked = F.stack(F.lit(len(columns)), *parts).alias("column", "n", "q1", "q3", "outlier_count")
-    return group(rows, by, *counts).select(*by, stacked).where("n > 0").withColumn(
-        "outlier_percentage", 100.0 * div(F.col("outlier_count"), F.col("n"))
-    )
+    names = [f"_{i}" for i in range(len(columns))]
+    cleaned = df.select(*by, *[clean_double(df, c).alias(name) for name, c in zip(names, columns)])
+    if accuracy is None:
+        found = near_quantiles(cleaned, names, by, QUARTILES, CHUNK_COLUMNS)
+        if found is None:
+            return _iqr(numbers(value_table(df, columns, by), by), by)
+        found = store(found, "quartiles")
+    frames = []
+    for chunk in _chunks(list(enumerate(columns)), CHUNK_COLUMNS):
+        if accuracy is None:
+            cuts = group(found, by, *[F.max(F.when(F.col("column") == f"_{i}", F.struct(F.col("q")[0], F.col("q")[1]))).alias(f"q{i}") for i, _ in chunk])
+            cuts = cuts.select(*by, *[F.array(*[F.col(f"q{i}.col{k}") for k in (1, 2)]).alias(f"q{i}") for i, _ in chunk])
+        else:
+            cuts = group(cleaned, by, *[F.percentile_approx(f"_{i}", list(QUARTILES), accuracy).alias(f"q{i}") for i, _ in chunk])
+        rows, counts, parts = attach(cleaned, cuts, by, "_at", small=accuracy is None), [], []
+        for i, c in chunk:
+            q = F.col(f"_at.q{i}")
+            fence = 1.5 * (q[1] - q[0])
+            outside = (F.col(f"_{i}") < q[0] - fence) | (F.col(f"_{i}") > q[1] + fence)
+            counts += [F.count(f"_{i}").alias(f"n{i}"), F.max(q[0]).alias(f"a{i}"), F.max(q[1]).alias(f"b{i}"), F.count_if(outside).alias(f"x{i}")]
+            parts += [F.lit(c), *[F.col(f"{x}{i}") for x in ("n", "a", "b", "x")]]
+        stacked = F.stack(F.lit(len(chunk)), *parts).alias("column", "n", "q1", "q3", "outlier_count")
+        frames.append(group(rows, by, *counts).select(*by, stacked).where("n > 0"))
+    return _union(frames).withColumn("outlier_percentage", 100.0 * div(F.col("outlier_count"), F.col("n")))
 
 
 def _iqr(counted: DataFrame, by: Sequence[str]) -> DataFrame:
     """Outliers from counted values. Without keys there is a row of quartiles per column, which may be broadcast; so may those of few keys."""
     keys = [*by, "column"]
-    cuts = quantiles(counted, keys, "v", "n", (0.25, 0.75)).select(
+    cuts = quantiles(counted, keys, "v", "n", QUARTILES).select(
         *keys, F.col("n"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3")
     )
     cuts, few = measured(cuts, by)

@@ -49,3 +49,15 @@ def test_outliers_from_a_sketch(rows):
     exact, sketch = (_table(Q.iqr_outliers(rows, ["k"], ["y", "p"], accuracy=a), "k", "column") for a in (None, 10_000))
     assert exact.keys() == sketch.keys()
     assert all(abs(exact[k]["q1"] - sketch[k]["q1"]) < 0.2 and exact[k]["n"] == sketch[k]["n"] for k in exact)
+
+
+def test_outliers_of_few_keys_count_no_values(rows, monkeypatch):
+    exact = _table(Q.iqr_outliers(rows, ["k"], ["y", "p"]), "k", "column")
+
+    def refused(*_):
+        raise AssertionError("values of all cells were counted")
+
+    monkeypatch.setattr(Q, "value_table", refused)
+    assert _table(Q.iqr_outliers(rows, ["k"], ["y", "p"]), "k", "column") == exact
+    monkeypatch.setattr(Q, "CHUNK_COLUMNS", 1)
+    assert _table(Q.iqr_outliers(rows, ["k"], ["y", "p"]), "k", "column") == exact

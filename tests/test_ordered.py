@@ -1,12 +1,14 @@
 """Exact quantiles and running totals against brute force."""
 
+import math
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from predaudit.functions.ordered import coded, column_quantiles, quantiles, running_totals, segments
+from predaudit.functions import keys, ordered
+from predaudit.functions.ordered import coded, column_quantiles, near_quantiles, quantiles, running_totals, segments
 
 random.seed(7)
 HARD = (
@@ -88,3 +90,40 @@ def test_segments_between_marks(counts):
         at = sum((r["v"] >= e) + (r["v"] > e) for e in edges)
         want[r["k"], at] = want.get((r["k"], at), 0) + r["n"]
     assert got == want
+
+
+@pytest.mark.parametrize("width", [1, 5])
+def test_quantiles_of_rows_match_brute_force(spark, width):
+    inf = float("inf")
+    rows = [(k, float(v), None if i % 3 else -float(v)) for i, (k, v) in enumerate(zip(["a", "b", None] * 1000, [*HARD, inf, -inf, inf, -inf]))]
+    df = spark.createDataFrame([*rows, ("one", 4.0, None), ("none", None, None)], "k string, x double, y double").repartition(3)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999]
+    for by in (["k"], []):
+        found = {(r["k"] if by else 0, r["column"]): r for r in near_quantiles(df, ["x", "y"], by, probs, width).collect()}
+        expected = {}
+        for r in df.collect():
+            for c in "xy":
+                if r[c] is not None:
+                    expected.setdefault((r["k"] if by else 0, c), []).append(r[c])
+        assert found.keys() == expected.keys()
+        for key, values in expected.items():
+            values, places = sorted(values), [p * (len(values) - 1) for p in probs]
+            low, high = ([values[f(h)] for h in places] for f in (math.floor, math.ceil))
+            assert found[key]["n"] == len(values)
+            assert found[key]["q"] == pytest.approx([a if a == b else a + (b - a) * (h % 1) for a, b, h in zip(low, high, places)], rel=1e-12)
+
+
+def test_quantiles_of_rows_count_only_values_near_them(spark, monkeypatch):
+    sizes, store = {}, ordered.store
+
+    def kept(df, name):
+        stored = store(df, name)
+        sizes[name] = stored.count()
+        return stored
+
+    monkeypatch.setattr(ordered, "store", kept)
+    df = spark.range(40_000).select((1000 + F.col("id") / 7).alias("x"))
+    assert near_quantiles(df, ["x"], [], [0.25, 0.75], 5).first()["q"] == pytest.approx([1000 + 9999.75 / 7, 1000 + 29999.25 / 7])
+    assert sizes["near-quantiles"] < 400
+    monkeypatch.setattr(keys, "FEW_KEYS", 0)
+    assert near_quantiles(df, ["x"], [], [0.25, 0.75], 5) is None
