@@ -24,7 +24,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +34,11 @@ from pyspark.sql import functions as F
 from predaudit.functions.lineage import store
 from predaudit.llm.components import components
 from predaudit.llm.prefilter import likely_in, without
-from predaudit.llm.setsketch import BLOCK, BLOCK_SHINGLES, _cells, verified
+from predaudit.llm.setsketch import BLOCK, BLOCK_SHINGLES, _cells, verified_texts
 from predaudit.llm.shingles import mix, shingle_set
 
 STRETCH = 300_000  # signatures that are packed together
+SLICE = 1000  # texts that are taken out of a batch at a time
 SLAB = 32_000_000  # bytes of text whose signatures, about one for ten bytes, meet in one task at a time
 LOW_BITS = 40
 LOW = np.uint64(2**LOW_BITS - 1)
@@ -155,7 +156,7 @@ def _made(percent: int, slabs: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, signed, held = [], [], 0
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             sizes, sketches = [], []
             for node, text in zip(batch.column(1).to_pylist(), _binary(batch.column(2))):
                 found = shingle_set(text)
@@ -186,13 +187,19 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.array([len(at) // 2 for _, at, _ in held])
         low = np.zeros((count.sum(), 8), np.uint8)
         low[:, : LOW_BITS // 8] = np.frombuffer(b"".join(x for x, _, _ in held), np.uint8).reshape(-1, LOW_BITS // 8)
-        value = low.reshape(-1).view("<u8").astype(np.uint64)
+        value = low.reshape(-1).view("<u8")
         at = np.frombuffer(b"".join(x for _, x, _ in held), np.uint16)
         tables = [np.frombuffer(x, np.int64) for _, _, x in held]
-        base = np.repeat(np.cumsum([0, *[len(t) for t in tables[:-1]]]), count)
-        node = np.concatenate(tables)[base + (at & np.uint16(2**15 - 1))]
+        held.clear()  # a slab has millions of signatures, so nothing is kept longer than needed
+        place = np.repeat(np.cumsum([0, *[len(t) for t in tables[:-1]]]), count)
+        place += at & np.uint16(2**15 - 1)
+        node = np.concatenate(tables)[place]
+        del low, tables, place
         order = np.argsort(value, kind="stable")
-        value, node, several = value[order], node[order], (at >> np.uint16(15)).astype(bool)[order]
+        value = value[order]
+        node = node[order]
+        several = (at >> np.uint16(15)).astype(bool)[order]
+        del order, at
         same = np.concatenate([[False], value[1:] == value[:-1], [False]])
         keep = same[1:] | same[:-1] | several
         band = (np.uint64(current) << np.uint64(LOW_BITS)) | value[keep]
@@ -346,37 +353,48 @@ def closest_partners(members: DataFrame, nodes: DataFrame, percent: int) -> Data
     return sorted_.mapInArrow(_closest(percent), "band long, node long, partner long")
 
 
-def _compared(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _compared(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Verified links ``(a, b)`` between components of buckets, all pairs compared on full sets."""
     cells = store(_dealt(members, BLOCK, BLOCK_SHINGLES), "pe-cells").withColumnRenamed("node", "doc_id")
-    texts = likely_in(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", cells.select("doc_id"))
-    rows = texts.join(cells, "doc_id").select("band", "i", "j", "doc_id", "block", "component", "text")
+    rows = texts_of(cells.select("doc_id")).join(cells, "doc_id").select("band", "i", "j", "doc_id", "block", "component", "text")
     return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_cells(percent), "a long, b long")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With the key of the text, and a name for rows of the same doc_id and text."""
+    keyed = docs.withColumn("text_key", F.unhex(F.md5("text")))
+    return keyed.withColumn("name", F.concat("text_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+
+
 def linked_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every row of ``docs``; the component is the smallest doc_id that links lead to."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = docs.withColumn("text_key", F.unhex(F.md5("text")))
+    keyed = _keyed(docs)
     rows = store(keyed.select("doc_id", "text_key", F.octet_length("text").alias("bytes")), "pe-rows")
     texts = store(rows.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows")), "pe-texts")
     # one row of each text: rows of texts that stand alone are passed on without a shuffle
     name = F.concat("text_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     copies = rows.join(texts.where("rows > 1").drop("rows"), "text_key").where(~F.col("doc_id").eqNullSafe(F.col("node"))).select(name.alias("name")).distinct()
-    ones = without(keyed.withColumn("name", name), "name", store(copies, "pe-copies")).withColumnRenamed("doc_id", "node")
+    copies = store(copies, "pe-copies")
+    ones = without(keyed, "name", copies).withColumnRenamed("doc_id", "node")
     slabs = max(1, -(-rows.agg(F.coalesce(F.sum(F.col("bytes").cast("long")), F.lit(0))).first()[0] // SLAB))
     schema = "text_key binary, node long, n_shingles long, sketch binary, band long, slab int, low binary, at binary, nodes binary"
     made = store(ones.select("text_key", "node", "text").mapInArrow(_made(percent, slabs), schema), "pe-made")
     nodes = made.where("text_key is not null").select("text_key", "node", "n_shingles", "sketch").dropDuplicates(["text_key"])
     nodes = store(nodes, "pe-nodes")
     named = nodes.where("node is not null and n_shingles > 0")
-    single = ones.where("node is not null").select(F.col("node").alias("doc_id"), "text")
+
+    def single(wanted: DataFrame) -> DataFrame:
+        """Texts of wanted nodes. Other rows go first, so the texts of copies are not shuffled to be dropped."""
+        near = _keyed(likely_in(docs.where("doc_id is not null"), "doc_id", wanted))
+        return without(near, "name", copies).select("doc_id", "text")
+
     bands = store(shared_signatures(made, slabs), "pe-bands")
     buckets = store(distinct_buckets(bands), "pe-buckets")
     members = bands.join(buckets, "band").join(named.select("node", "n_shingles").dropDuplicates(["node"]), "node")
     members = store(members.select("band", "node", "n_shingles", "least", "size"), "pe-members")
     star = members.where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    links = store(verified(store(possible_pairs(star, named, percent), "pe-star"), single, percent), "pe-links")
+    links = store(verified_texts(store(possible_pairs(star, named, percent), "pe-star"), single, percent), "pe-links")
     labels = components(links)
     members = members.where("size > 2").drop("least", "size")  # of two members one is the smallest, with which the other was compared
     for _ in range(ROUNDS):
@@ -385,7 +403,7 @@ def linked_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
         if found.isEmpty():
             break
         pairs = found.where("partner is not null").select(F.greatest("node", "partner").alias("a"), F.least("node", "partner").alias("b")).distinct()
-        more = store(verified(store(pairs, "pe-pairs"), single, percent), "pe-links")
+        more = store(verified_texts(store(pairs, "pe-pairs"), single, percent), "pe-links")
         links = links.unionByName(more)
         labels = components(links)
         members = members.join(found.select("band", "node").distinct(), ["band", "node"], "left_semi")

@@ -21,7 +21,7 @@ long text is one set in one task; an empty table gives no rows; other columns ar
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -180,7 +180,13 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets share at least ``percent`` hundredths of their union.
+    """The pairs of rows of ``docs`` whose full sets share at least ``percent`` hundredths of their union."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return verified_texts(pairs, lambda wanted: likely_in(docs, "doc_id", wanted), percent)
+
+
+def verified_texts(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """The pairs whose full sets share at least ``percent`` hundredths of their union; ``texts_of`` gives ``(doc_id, text)`` of wanted ids, and of a few others.
 
     Members are sent to their hub in chunks of about ``MEMBERS``, each with one copy of the hub's text; rows of a chunk are read
     one after another, so a task holds one hub's set and one member's.
@@ -195,8 +201,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         F.lit(0).alias("role"),
     )
     needed = store(members.union(own), "nd-needed")
-    texts = likely_in(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", needed.select("doc_id"))
-    rows = texts.join(needed, "doc_id").select("hub", "chunk", "role", "doc_id", "text")
+    rows = texts_of(needed.select("doc_id")).join(needed, "doc_id").select("hub", "chunk", "role", "doc_id", "text")
     return (
         rows.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "role").mapInArrow(_verify(percent), "a long, b long")
     )

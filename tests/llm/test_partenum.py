@@ -85,6 +85,24 @@ def test_linked_sets_share_a_signature_and_sketches_never_rule_them_out(percent)
     assert linked > 50
 
 
+def test_texts_of_copies_are_left_out_before_links_are_verified(make_docs, rng, monkeypatch):
+    sizes, without = [], partenum.without
+
+    def counted(df, column, keys):
+        sizes.append(df.count())
+        return without(df, column, keys)
+
+    monkeypatch.setattr(partenum, "without", counted)
+    base = words(rng, 100)
+    texts = {i: " ".join(base) for i in range(60)}  # copies
+    texts |= {i: " ".join(words(rng, 50)) for i in range(100, 160)}  # without links
+    texts |= {200: " ".join(base[:97]), 201: _edited(rng, base, 1)}
+    rows = [*texts.items(), (200, texts[30]), (300, texts[200])]  # a row of a node that is a copy of another text
+    got = linked_classes(make_docs(rows)).collect()
+    assert sorted({(r["doc_id"], r["component_id"]) for r in got}) == sorted({(i, 0 if i < 60 or i >= 200 else i) for i, _ in rows})
+    assert sizes[0] == len(rows) and len(sizes) > 1 and max(sizes[1:]) < 10
+
+
 def test_odd_rows_and_empty_table(make_docs):
     rows = linked_classes(make_docs([*odd_rows(), (None, "same text here")])).collect()
     assert len(rows) == len(odd_rows()) + 1
