@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from predaudit.functions.gram import product_correlations
 from predaudit.functions.keys import attach, group, join_on, measured, tall
+from predaudit.functions.lineage import cut
 from predaudit.functions.safe import clean_double, corr, div0, numeric_columns, text_columns
 from predaudit.operators.quality import CHUNK_COLUMNS, _chunks, _union
 from predaudit.operators.surrogate import deep_splits, importances, surrogate_importance
@@ -179,19 +180,18 @@ def permutation_importance(
     features of the next row of its bucket in random order: one window per bucket, never a global
     one. The row of every feature variant is then built in place, without another shuffle. Order and buckets come from digests of the
     identifier; rows without one are dealt by their values.
+
+    Repeats are computed here, one after the other, and each drops its shuffle before the next begins, so the disk holds the rows once and not once per
+    repeat. A row is shuffled as its bucket, its digest, the truth and the features. ``df`` is read once per repeat, and before for its size and loss.
     """
     features, by = list(features), list(by)
-    values = F.xxhash64(F.col(truth), *features)
-    base = df.select(*by, F.coalesce(F.col(identifier).cast("string"), values.cast("string")).alias("_id"), values.alias("_same"), F.col(truth).alias("_y"), *features)
+    name = F.coalesce(F.col(identifier).cast("string"), F.xxhash64(F.col(truth), *features).cast("string"))
     size = df.count() if rows is None else rows
     buckets = max(1, -(-size // bucket_rows))
-    repeated = base.withColumn("_repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn(
-        "_bucket", F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", "_id", "_repeat", F.lit(SEED))), 1, 12), 16, 10).cast("long"), F.lit(buckets))
-    )
-    ring = Window.partitionBy(*by, "_repeat", "_bucket").orderBy(F.md5(F.concat_ws(":", "_id", "_repeat", F.lit(SEED + 1))), "_id", "_same")
+    # as an expression over the columns that are shuffled, it is computed after the shuffle
+    ring = Window.partitionBy(*by, "_bucket").orderBy("_order", F.xxhash64("_y", *features))
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     own = F.struct(*features)
-    shuffled = repeated.withColumn("_other", F.coalesce(F.lead(own).over(ring), F.first(own).over(whole)))
     variants = F.array(
         *[
             F.struct(
@@ -201,18 +201,27 @@ def permutation_importance(
             for f in features
         ]
     )
-    permuted = shuffled.select(*by, "_repeat", "_y", F.inline(variants))
+
+    def permuted(repeat: int) -> DataFrame:
+        digests = [F.md5(F.concat_ws(":", name, F.lit(repeat), F.lit(seed))) for seed in (SEED, SEED + 1)]
+        bucket = F.pmod(F.conv(F.substring(digests[0], 1, 12), 16, 10).cast("long"), F.lit(buckets))
+        dealt = df.select(*by, bucket.alias("_bucket"), F.unhex(digests[1]).alias("_order"), F.col(truth).alias("_y"), *features)
+        # dealt out before the window, so that what the window adds to a row is not shuffled
+        shuffled = dealt.repartition(*by, "_bucket").withColumn("_other", F.coalesce(F.lead(own).over(ring), F.first(own).over(whole)))
+        return shuffled.select(*by, "_y", F.inline(variants))
 
     def loss(scored: DataFrame) -> Column:
         if problem == REGRESSION:
             return F.avg(F.pow(F.col("_y").cast("double") - F.col("prediction").cast("double"), 2))
         return 1.0 - F.avg((F.col("_y").cast("double") == F.col("prediction").cast("double")).cast("double"))
 
-    before = predict(base.drop("_id", "_same"))
+    before = predict(df.select(*by, F.col(truth).alias("_y"), *features))
     before = group(before, by, loss(before).alias("loss"))
-    after = predict(permuted)
-    per_repeat = after.groupBy(*by, "feature", "_repeat").agg(loss(after).alias("loss"))
-    mean = per_repeat.groupBy(*by, "feature").agg(F.avg("loss").alias("loss"))
+    per_repeat = []
+    for repeat in range(repeats):
+        after = predict(permuted(repeat))
+        per_repeat.append(cut(after.groupBy(*by, "feature").agg(loss(after).alias("loss")), drop_shuffles=True))
+    mean = _union(per_repeat).groupBy(*by, "feature").agg(F.avg("loss").alias("loss"))
     return attach(mean, before, by, "_b").select(
         *by, "feature", (F.col("loss") - F.col("_b.loss")).alias("importance")
     )

@@ -1,6 +1,8 @@
 """Work that must not grow with the rows, or with the rows of one key."""
 
+import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,3 +94,50 @@ def test_an_audit_computes_its_table_once(spark, monkeypatch):
     df = spark.range(200).selectExpr("id % 2 as y", "id % 3 % 2 as p", "id % 5 as a").mapInArrow(noted, "y long, p long, a long")
     assert P.audit(df, AuditSpec("p", "y", protected=("a",))).report.first()["sample_size"] == 200
     assert reads.value == 200
+
+
+def _shuffled(spark):
+    """Bytes of the shuffle files that lie on the disk."""
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    files = [blocks.apply(i) for i in range(blocks.size())]
+    return sum(f.length() for f in files if f.getName().startswith("shuffle_"))
+
+
+def test_repeats_of_permutations_do_not_pile_up_on_the_disk(spark):
+    rows = spark.range(0, 30_000, 1, 3).select("id", (F.col("id") % 17).cast("double").alias("a"), F.rand(1).alias("b"), F.rand(2).alias("y"))
+    before = _shuffled(spark)
+    lost = E.permutation_importance(rows, ["a", "b"], "y", "id", lambda r: r.withColumn("prediction", F.col("a") + F.col("b")), REGRESSION, bucket_rows=10_000)
+    assert lost.count() == 2
+    for _ in range(50):  # files go in the background
+        if (left := _shuffled(spark) - before) < 200_000:
+            break
+        time.sleep(0.1)
+    assert left < 200_000  # one repeat alone shuffles over a megabyte
+
+
+def test_permuted_rows_take_the_features_of_the_next_row_of_their_bucket(spark):
+    rng = random.Random(7)
+    data = [(None if i % 9 == 0 else str(i % 70), "u" if i % 2 else None, rng.randrange(5) / 4, rng.random(), rng.random()) for i in range(120)]
+    df = spark.createDataFrame(data, "id string, k string, a double, b double, y double").repartition(3)
+    values = {tuple(r)[:5]: r["h"] for r in df.withColumn("h", F.xxhash64("y", "a", "b")).collect()}
+
+    def digest(row, repeat, seed):
+        return hashlib.md5(f"{row[0] if row[0] is not None else values[row]}:{repeat}:{seed}".encode()).hexdigest()
+
+    wanted = {}
+    for key in ("u", None):
+        mine = [r for r in data if r[1] == key]
+        plain = sum((y - a - 2 * b) ** 2 for *_, a, b, y in mine) / len(mine)
+        rise = {"a": 0.0, "b": 0.0}
+        for repeat in range(E.REPEATS):
+            buckets = {}
+            for r in mine:
+                buckets.setdefault(int(digest(r, repeat, E.SEED)[:12], 16) % 6, []).append(r)
+            for rows in buckets.values():
+                rows.sort(key=lambda r: (digest(r, repeat, E.SEED + 1), values[r]))
+                for r, o in zip(rows, rows[1:] + rows[:1]):
+                    rise["a"] += (r[4] - o[2] - 2 * r[3]) ** 2
+                    rise["b"] += (r[4] - r[2] - 2 * o[3]) ** 2
+        wanted |= {(key, f): v / len(mine) / E.REPEATS - plain for f, v in rise.items()}
+    lost = E.permutation_importance(df, ["a", "b"], "y", "id", lambda r: r.withColumn("prediction", F.col("a") + 2 * F.col("b")), REGRESSION, bucket_rows=20, by=["k"])
+    assert {(r["k"], r["feature"]): r["importance"] for r in lost.collect()} == pytest.approx(wanted)
