@@ -636,7 +636,7 @@ def explain_metrics(spark, sf_dir):
 
 def _audit(spark, sf_dir, by=()):
     spec = SPECS["risk"].with_(protected=tuple(a for a in SPECS["risk"].protected if a not in by))
-    return report.audit(view(spark, sf_dir, "risk"), spec, by)
+    return report.audit(view(spark, sf_dir, "risk"), spec, by).whole()
 
 
 @query
@@ -647,7 +647,7 @@ def overall_score(spark, sf_dir):
 @query
 def audit_auto(spark, sf_dir):
     """The problem is found out from the values."""
-    audit = report.audit(view(spark, sf_dir, "risk"), SPECS["risk"].with_(problem=AUTO))
+    audit = report.audit(view(spark, sf_dir, "risk"), SPECS["risk"].with_(problem=AUTO)).whole()
     return tidy(audit.scores.select(F.lit(audit.spec.problem).alias("problem_type"), "overall_score"))
 
 

@@ -16,6 +16,7 @@ from predaudit.functions.keys import group
 from predaudit.spec import BIAS, EXPLAINABILITY, PERFORMANCE, QUALITY, REGRESSION, AuditSpec
 
 INSIGHT, RECOMMENDATION = "insight", "recommendation"
+OVERALL = "overall"  # in place of an analysis, for the line about the whole
 CRITICAL, WARN, FAIR, FIX, NOTE = "critical", "warning", "fairness", "fix", "note"
 
 Rule = tuple[Column, str, str, "str | Column"]  # condition, rule id, tag, text
@@ -495,7 +496,7 @@ def key_insights(rows: DataFrame, scores: DataFrame, by: Sequence[str] = ()) ->
         (F.lit(True), "overall_poor", CRITICAL, "The model has significant issues"),
     )[0]
     overall = scores.select(*by, line.alias("f")).select(
-        *by, F.lit(1).alias("rank"), F.lit("overall").alias("analysis"), "f.*"
+        *by, F.lit(1).alias("rank"), F.lit(OVERALL).alias("analysis"), "f.*"
     )
     return overall.unionByName(picked)
 

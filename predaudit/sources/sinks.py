@@ -25,7 +25,7 @@ def flat_name() -> Column:
 
 
 def flat_row(audit: Audit) -> DataFrame:
-    """One wide row per key: every metric under its flat name, the score, sizes and problem type.
+    """One wide row per key: every metric under its flat name, the score, sizes and problem type, and the failed analyses if there are any.
 
     The pivot reads the metric names first; they number metrics times columns, not rows.
     """
@@ -34,14 +34,14 @@ def flat_row(audit: Audit) -> DataFrame:
     names = sorted(r["name"] for r in named.select("name").distinct().collect())
     picks = [F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names]
     wide = group(named, by, *picks)
-    wide = attach(wide, audit.scores, by, "_s")
-    sizes = audit.report.select(*by, "sample_size", "feature_count", "problem_type")
-    wide = attach(wide, sizes, by, "_z")
+    about = ("overall_score", "sample_size", "feature_count", "problem_type")
+    failed = [F.lit("; ".join(f"{a}: {reason}" for a, reason in audit.failed.items())).alias("failed_analyses")] if audit.failed else []
+    wide = attach(wide, audit.report.select(*by, *about), by, "_z")
     return wide.select(
         *by,
         *[F.col(f"`{n}`") for n in names],
-        F.col("_s.overall_score").alias("overall_score"),
-        *[F.col(f"_z.{c}").alias(c) for c in ("sample_size", "feature_count", "problem_type")],
+        *[F.col(f"_z.{c}").alias(c) for c in about],
+        *failed,
     )
 
 

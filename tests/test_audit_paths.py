@@ -4,12 +4,14 @@ import json
 import random
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
+from predaudit.catalog import queries as Q
 from predaudit.operators import explain
 from predaudit.plans import report as P
 from predaudit.plans.run import audit_path
-from predaudit.sources import json_array, load
+from predaudit.sources import json_array, load, sinks
 from predaudit.spec import AUTO, REGRESSION, AuditSpec
 
 from conftest import metrics
@@ -127,3 +129,65 @@ def test_block_states_of_random_documents():
             if scan.depth < 0:
                 break
         assert commas == max(0, len(data) - 1)
+
+
+def _broken(df, spec, by):
+    return df.select(F.raise_error(F.lit("broken value")).alias("analysis"))
+
+
+def test_a_report_names_failed_analyses_and_gives_no_score(spark, numbers, monkeypatch, tmp_path):
+    monkeypatch.setitem(P.OPERATORS, "quality", _broken)
+    audit = P.audit(numbers, SPEC.with_(problem=REGRESSION), ["k"])
+    assert audit.report.count() == 2
+    for row in audit.report.collect():
+        status = {r["analysis"]: (r["status"], r["reason"]) for r in row["analyses"]}
+        assert {a: s for a, (s, _) in status.items()} == {"performance": "done", "bias": "skipped", "quality": "failed", "explainability": "done"}
+        assert "broken value" in status["quality"][1] and status["bias"][1] == "no protected attribute" and status["performance"][1] is None
+        assert row["overall_score"] is None and row["quality_metrics"] is None and row["quality_insights"] is None and row["quality_recommendations"] is None
+        assert row["performance_metrics"]["r2_score"] > 0.99 and row["bias_metrics"] == {} and row["key_insights"]
+        assert not [text for text in row["key_insights"] if "overall" in text or "some areas" in text or "significant issues" in text]
+    document = json.loads(sinks.report_json(audit.report, ["k"]).first()["report"])
+    assert "quality_metrics" not in document and {"analysis": "quality", "status": "failed"}.items() <= document["analyses"][2].items()
+    flat = sinks.flat_row(audit).first()
+    assert "broken value" in flat["failed_analyses"] and flat["overall_score"] is None
+    with pytest.raises(RuntimeError, match="quality: .*broken value"):
+        audit.whole()
+
+
+def test_a_whole_report_has_its_score(numbers):
+    audit = P.audit(numbers, SPEC.with_(problem=REGRESSION)).whole()
+    row = audit.report.first()
+    assert row["overall_score"] > 0.9 and [r["status"] for r in row["analyses"]] == ["done", "skipped", "done", "done"] and row["quality_metrics"]
+    assert "failed_analyses" not in sinks.flat_row(audit).columns
+    read = P.audit_metrics(numbers, audit.metrics.where("analysis != 'quality'"), audit.spec).report.first()
+    assert [(r["status"], r["reason"]) for r in read["analyses"]][2] == ("skipped", "no metrics given")
+
+
+def test_a_job_that_dies_is_no_result(spark, numbers, monkeypatch, tmp_path):
+    numbers.write.parquet(str(tmp_path / "rows"))
+    gone = spark.read.parquet(str(tmp_path / "rows"))
+    for part in (tmp_path / "rows").glob("part-*"):
+        part.write_bytes(b"cut")
+    monkeypatch.setitem(P.OPERATORS, "quality", lambda df, spec, by: gone.select(F.lit("quality").alias("analysis"), "id"))
+    with pytest.raises(Py4JJavaError):
+        P.audit(numbers, SPEC.with_(problem=REGRESSION)).report
+
+
+def test_registered_audits_do_not_pass_over_failures(spark, numbers, monkeypatch):
+    rows = numbers.selectExpr("id o_orderkey", "cast(id % 2 as int) prediction", "cast(id % 3 % 2 as int) true_label", "a / 13 score", "'x' c_mktsegment", "'y' o_orderpriority", "'z' r_name")
+    monkeypatch.setattr(Q, "view", lambda *_: rows)
+    assert {r["status"] for r in json.loads(Q.audit_report(spark, "").first()["report"])["analyses"]} == {"done"}
+    monkeypatch.setitem(P.OPERATORS, "quality", _broken)
+    for name in ("audit_report", "overall_score"):
+        with pytest.raises(RuntimeError, match="quality"):
+            Q.QUERIES[name](spark, "")
+
+
+def test_errors_of_python_workers_are_named(numbers, monkeypatch):
+    def broken(batches):
+        raise ModuleNotFoundError("No module named 'absent'")
+        yield
+
+    monkeypatch.setitem(P.OPERATORS, "quality", lambda df, spec, by: df.select("id").mapInArrow(broken, "id long"))
+    with pytest.raises(RuntimeError, match="^failed analyses: quality: ModuleNotFoundError: No module named 'absent'$"):
+        P.audit(numbers, SPEC.with_(problem=REGRESSION), analyses=["quality"]).whole()
